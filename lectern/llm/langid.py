@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.storage import broadcast_within, cut
+from lectern.storage import broadcast_within, cut, texts
 
 #: n-grams of 1 .. GRAMS characters, and how many of the most frequent make a profile.
 GRAMS, PROFILE = 3, 400
@@ -95,7 +95,7 @@ def learn(docs: DataFrame, most: int = 5_000) -> Profiles:
     bounded sample of labelled rows. n-grams are counted in the tasks and summed by (language, n-gram); the top of each
     language is first found within hash buckets of n-grams, so the ranking never gathers all n-grams of a language.
     """
-    named = docs.where("lang is not null and text is not null").select("lang", "text")
+    named = texts(docs).where("lang is not null and text is not null").select("lang", "text")
     share = cut(named.groupBy("lang").agg(F.least(F.lit(1.0), most / F.count("*")).alias("share")))
     sample = named.join(broadcast_within(share), "lang").where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
 
@@ -131,10 +131,10 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def near(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.near(t) for t in texts], columns=["lang_pred", "score"])
+    def near(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([profiles.near(t) for t in column], columns=["lang_pred", "score"])
 
-    return docs.select(*[docs[c] for c in names], near(docs[text]).alias("_near")).select(*names, "_near.lang_pred", "_near.score")
+    return texts(docs).select(*[docs[c] for c in names], near(docs[text]).alias("_near")).select(*names, "_near.lang_pred", "_near.score")
 
 
 def held_out(key: str = "doc_id"):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import BATCH_BYTES, class_key
 from lectern.llm.tokens import encoder
-from lectern.storage import broadcast_within, cut, park
+from lectern.storage import broadcast_within, cut, park, texts
 
 PIECES = "doc_id long, cls string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -42,7 +42,7 @@ def tokenise(docs: DataFrame, path: str, end: int | None = 1) -> DataFrame:
             if rows:
                 yield table(rows)
 
-    return docs.select("doc_id", "cls", "text").mapInArrow(batches, "doc_id long, cls string, at long, n long, ids binary")
+    return texts(docs).select("doc_id", "cls", "text").mapInArrow(batches, "doc_id long, cls string, at long, n long, ids binary")
 
 
 def phases(totals: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int, int]]:

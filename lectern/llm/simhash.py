@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from lectern.operators.components import connected_components
-from lectern.storage import broadcast_within, cut
+from lectern.storage import broadcast_within, cut, texts
 
 BITS = 64
 #: Pairs that are compared at once, lanes of a block, and planes between two looks at whether a block can be left.
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, key: str = "doc_id", text:
     linked like others; a null doc_id gets its group's smallest other one (null if there is none); repeated rows give
     repeated rows; an empty table gives an empty result; other columns are ignored.
     """
-    rows = cut(docs.select(F.col(key).alias("doc_id"), simhash(text).alias("fp")))
+    rows = cut(texts(docs).select(F.col(key).alias("doc_id"), simhash(text).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(connected_components(near_links(prints, radius)))
     named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

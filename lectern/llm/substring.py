@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from lectern.llm.common import BATCH_BYTES
-from lectern.storage import cut, park
+from lectern.storage import cut, park, texts
 
 #: A sentence ends behind its closing marks before white space, or with its line.
 END = re.compile(r"(?<=[.!?。！？])\s+|\n+")
@@ -128,7 +128,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     Every run is hashed. Minimum and maximum doc_id are aggregated by hash before any join, and only hashes of two
     documents or more are joined back, so a passage of any number of documents is never gathered in one group.
     """
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    base = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     spans = park(base.mapInArrow(_spans, "doc_id long, text_hash long, hashes array<long>, again array<int>"))
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord")
     each = spans.select("doc_id", "text_hash", order, F.posexplode("hashes").alias("at", "hash"))

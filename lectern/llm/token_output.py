@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.tokens import encoder
+from lectern.storage import texts
 
 ROWS = "sequence_id long, n_tokens int, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
@@ -114,5 +115,5 @@ def pack_matrix(docs: DataFrame, tokenizer: str, window: int = 2048, end: int |
                         yield from flush()
         yield from flush()
 
-    packed = docs.select("doc_id", "text").mapInArrow(batches, ROWS)
+    packed = texts(docs).select("doc_id", "text").mapInArrow(batches, ROWS)
     return packed.withColumn("sequence_id", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("sequence_id"))

@@ -57,16 +57,23 @@ class Encoder:
     leaves no such cuts, go through the tokenizer in longer pieces; the ids are the same either way.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        tokenizer = Tokenizer.from_file(path)
+        self.code = "H" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
-        self.quick, self.most = _quick(path, self.tokenizer), most
+        self.quick, self.most, self.path = _quick(path, tokenizer), most, path
         self.memo = _Memo(self._part)
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The tokenizer itself, loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _part(self, text: str) -> bytes:
         return array(self.code, self.quick(text)).tobytes()
 

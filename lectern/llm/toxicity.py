@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.langid import held_out
+from lectern.storage import texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Identity terms; a term is swapped for the others of its line.
@@ -45,7 +46,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(texts: list[str | None], labels: list[int], prior: float | None = None, identity=IDENTITY, counterfactual: float = 1.0, sparse: float = 2e-4, ridge: float = 1e-4, support: int = 3, rounds: int = 300) -> Model:
+def fit(said: list[str | None], labels: list[int], prior: float | None = None, identity=IDENTITY, counterfactual: float = 1.0, sparse: float = 2e-4, ridge: float = 1e-4, support: int = 3, rounds: int = 300) -> Model:
     """Proximal gradient descent on mean log loss + ridge/2 |w|^2 + counterfactual/2 * mean over swaps of (z - z')^2 + sparse |w|_1.
 
     z is the linear score of a labelled text and z' that of the text with one identity term swapped for another of its
@@ -53,7 +54,7 @@ def fit(texts: list[str | None], labels: list[int], prior: float | None = None,
     group's name what only its company in the labelled texts gave it. Features are words in at least ``support`` texts
     or in a swap. ``prior`` is the share of label 1 among the rows that the texts were drawn from.
     """
-    docs = [words(t) for t in texts]
+    docs = [words(t) for t in said]
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0 if not len(y) else (8.0 if y[0] else -8.0))
@@ -115,10 +116,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c not in ("score", "predicted")]
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    def score(column: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in column], dtype="float64")
 
-    scored = docs.select(*[docs[c] for c in names], score(docs[text]).alias("score"))
+    scored = texts(docs).select(*[docs[c] for c in names], score(docs[text]).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
