@@ -39,3 +39,17 @@ def park(df: DataFrame) -> DataFrame:
 def broadcast_within(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is. Call it on cut tables: it counts."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Rows and bytes of an Arrow batch of texts. Texts run to a megabyte, and a batch is held several times over between the
+#: JVM and Python.
+TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def texts(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches for rows that hold whole texts; smaller bounds are kept."""
+    conf = df.sparkSession.conf
+    for key, most in TEXT_BATCH.items():
+        if not 0 < int(conf.get(key).rstrip("bB")) <= most:  # 0 and below: no bound
+            conf.set(key, str(most))
+    return df
