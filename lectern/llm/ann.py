@@ -16,6 +16,8 @@ from lectern.storage import broadcast_within, cut
 SAMPLE, PROBES, RECALL = 20_000, 256, 0.985
 #: Rows of a cell, and queries, that one task compares.
 BLOCK = 4096
+#: Rows that a pair of centroids holds on average.
+CELL = 200
 
 
 def usable(vector: str) -> Column:
@@ -88,6 +90,14 @@ class Index:
                 heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
         return out
 
+    def reach(self, q: np.ndarray) -> tuple[list[int], list[int]]:
+        """The cells within the budget, in two parts: the first hold sqrt(budget * CELL) rows, the rest are behind them.
+
+        What beats the neighbours found in the first part is then about as little as that part itself."""
+        cells = self.walk(q, self.budget)
+        first = int(np.searchsorted(np.cumsum(self.held[cells]), np.sqrt(self.budget * CELL))) + 1
+        return cells[:first], cells[first:]
+
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k largest scores, largest first, ties by id."""
@@ -131,7 +141,7 @@ def build(vectors: DataFrame, k: int) -> tuple[DataFrame, Index] | None:
     sample = classes.where(order < min(1.0, SAMPLE / n) * (1 << 30)).select("cid", "vector").collect() or classes.limit(SAMPLE).select("cid", "vector").collect()
     sample.sort(key=lambda r: r.cid)
     x = unit([r.vector for r in sample])
-    index = Index(x, int(np.clip(round(np.sqrt(n / 200)), 2, 256)))
+    index = Index(x, int(np.clip(round(np.sqrt(n / CELL)), 2, 256)))
 
     @F.pandas_udf("long")
     def cell(v: pd.Series) -> pd.Series:
@@ -150,15 +160,17 @@ def build(vectors: DataFrame, k: int) -> tuple[DataFrame, Index] | None:
 
 
 def _compare(k: int):
+    """Joins queries (qid, vector, least) with the rows of a cell: the k + 1 best of each query that reach ``least``."""
     schema = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
             q, x = unit(left.column("vector").to_pylist()), unit(right.column("vector").to_pylist())
-            qid, cid, ids = left.column("qid").to_pylist(), right.column("cid").to_numpy(), right.column("ids").to_pylist()
+            qid, least, cid, ids = left.column("qid").to_pylist(), left.column("least").to_pylist(), right.column("cid").to_numpy(), right.column("ids").to_pylist()
             for i, s in enumerate(q @ x.T):
-                rows += [(qid[i], int(cid[j]), ids[j], float(s[j])) for j in best(s, cid, k + 1)]
+                if s.max() >= least[i]:
+                    rows += [(qid[i], int(cid[j]), ids[j], float(s[j])) for j in best(s, cid, k + 1) if s[j] >= least[i]]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
 
     return compare
@@ -169,7 +181,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     ``every``, nearest first and ties by smaller vec_id; all others if they are fewer.
 
     A query walks the pairs of centroids until their cells hold the index's budget of rows and meets these cells' rows,
-    which are compared in double precision. Large cells and many queries are split into blocks that meet pairwise, so no
+    which are compared in double precision. The first cells give a bound, and of the cells behind them only rows that
+    reach it leave their task. Large cells and many queries are split into blocks that meet pairwise, so no
     task outgrows BLOCK rows of either; equal vectors are searched once.
 
     Null keys, null and zero vectors, vectors with null or non-finite components, and vectors of another length than most
@@ -189,17 +202,23 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     halves = max(1, -(-wanted.count() // BLOCK))
     split = np.maximum(1, -(-index.held // BLOCK))
 
-    def walk(batches):
-        schema = pa.schema([("qid", pa.int64()), ("cell", pa.int64()), ("part", pa.int64()), ("vector", pa.list_(pa.float64()))])
-        for batch in batches:
-            out = []
-            for qid, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(qid, c, part, v) for c in index.walk(unit([v])[0], index.budget) for part in range(split[c])]
-                if len(out) > 10_000:
+    def probes(asking: DataFrame, part: int) -> DataFrame:
+        """(qid, cell, part, vector, least, side) of (qid, vector, least), for the first cells (0) or those behind (1)."""
+        schema = pa.schema([("qid", pa.int64()), ("cell", pa.int64()), ("part", pa.int64()), ("vector", pa.list_(pa.float64())), ("least", pa.float64())])
+
+        def walk(batches):
+            for batch in batches:
+                out = []
+                for qid, v, least in zip(*(c.to_pylist() for c in batch.columns)):
+                    out += [(qid, c, p, v, least) for c in index.reach(unit([v])[0])[part] for p in range(split[c])]
+                    if len(out) > 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+                        out = []
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+        found = asking.select("qid", "vector", "least").mapInArrow(walk, "qid long, cell long, part long, vector array<double>, least double")
+        return found.withColumn("side", F.pmod(F.xxhash64("qid"), F.lit(halves).cast("long")))
 
     one = int(split.max()) == 1
     if not one:
@@ -208,10 +227,18 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     else:
         entries = classes.withColumn("parts", F.lit(1))
     entries = entries.select("cid", "ids", "vector", "cell", F.pmod(F.xxhash64("cid"), F.col("parts").cast("long")).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(halves - 1)).cast("array<bigint>")).alias("side"))
-    probes = wanted.mapInArrow(walk, "qid long, cell long, part long, vector array<double>").withColumn("side", F.pmod(F.xxhash64("qid"), F.lit(halves).cast("long")))
-    met = probes.groupBy("cell", "part", "side").cogroup(entries.groupBy("cell", "part", "side")).applyInArrow(_compare(k), "qid long, cid long, ids array<long>, score double")
     first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cid"))
-    hits = cut(met.withColumn("r", first).where(F.col("r") <= k + 1).drop("r"))
+
+    def meet(probing: DataFrame) -> DataFrame:
+        return probing.groupBy("cell", "part", "side").cogroup(entries.groupBy("cell", "part", "side")).applyInArrow(_compare(k), "qid long, cid long, ids array<long>, score double")
+
+    def top(met: DataFrame) -> DataFrame:
+        return cut(met.withColumn("r", first).where(F.col("r") <= k + 1).drop("r"))
+
+    near = top(meet(probes(wanted.withColumn("least", F.lit(-2.0)), 0)))
+    bound = near.groupBy("qid").agg(F.when(F.count("*") > k, F.min("score")).alias("bound"))
+    bounded = wanted.join(bound, "qid", "left").select("qid", "vector", F.coalesce("bound", F.lit(-2.0)).alias("least"))
+    hits = top(near.union(meet(probes(bounded, 1))))
     found = queries.join(hits, queries["cid"] == hits["qid"]).select(F.col("vec_id").alias("query_id"), F.explode("ids").alias("near"), "score").where("near <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "near"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("near").alias("vec_id"), "score")
