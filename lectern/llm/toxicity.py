@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.langid import held_out
-from lectern.storage import texts
+from lectern.storage import broadcast_within, cut, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Identity terms; a term is swapped for the others of its line.
@@ -91,18 +91,23 @@ def fit(said: list[str | None], labels: list[int], prior: float | None = None, i
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = 3_000, **options) -> Model:
-    """A model of label ``toxic`` from the labelled rows: at most about ``most`` texts of each label, chosen by hash of the
-    text, are read and fitted on the driver, a bounded sample; the intercept is set back to the labels' true shares."""
-    known = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
-    rows = docs.where("text is not null").select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
-    counts = dict(rows.groupBy("toxic").count().collect())
+    """A model of label ``toxic`` from the labelled rows: at most about ``most`` of each label, chosen by hash of doc_id,
+    are read and fitted on the driver, a bounded sample; the intercept is set back to the labels' true shares.
+
+    Only ids meet the labels; the chosen ids, about 2 * ``most``, are broadcast to the texts, so no text is shuffled. Of
+    rows with the same doc_id the smallest text is read; null doc_ids, labels and texts teach nothing.
+    """
+    known = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).distinct()
+    taught = docs.where("text is not null").select("doc_id").distinct().join(known, F.col("doc_id") == F.col("_id")).select("_id", F.col("_toxic").alias("toxic"))
+    counts = dict(taught.groupBy("toxic").count().collect())
     if not counts:
         return Model({}, 0.0)
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, most / n))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 30)) < share * (1 << 30)).collect()
-    sample = sorted((r.text, r.toxic) for r in sample)
+    chosen = cut(taught.where(F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(1 << 30)) < share * (1 << 30)))
+    rows = docs.where("text is not null").select("doc_id", "text").join(broadcast_within(chosen), F.col("doc_id") == F.col("_id"))
+    sample = sorted((r.text, r.toxic) for r in rows.groupBy("_id", "toxic").agg(F.min("text").alias("text")).collect())
     total = sum(counts.values())
     return fit([t for t, _ in sample], [int(x == 1) for _, x in sample], counts.get(1, 0) / total, **options)
 
