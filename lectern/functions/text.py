@@ -31,6 +31,11 @@ def search_view(text: Column) -> Column:
     return collapsed(F.translate(nfc(text), "‘’“”", "''\"\""))
 
 
+def line(text: Column) -> Column:
+    """White space collapsed, and none before closing punctuation."""
+    return collapsed(F.regexp_replace(text, r"\s+([,;:!?।])", "$1"))
+
+
 def word_tokens(text: Column) -> Column:
     """Maximal runs of letters, marks and digits."""
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))

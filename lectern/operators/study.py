@@ -62,3 +62,26 @@ def threshold_grid(rows: DataFrame, score: str, good: Column, bad: Column, steps
     above = Window.orderBy(F.desc("cell"))  # over the grid's steps + 1 rows
     full = grid.join(cells, "cell", "left").na.fill(0)
     return full.select((F.col("cell") / steps).alias("threshold"), *[F.sum(c).over(above).alias(c) for c in ("accepted", "good", "bad")])
+
+
+def bootstrap(families: DataFrame, family: str, value: str, rounds: int = 1000, seed: str = "b") -> DataFrame:
+    """(mean, low, high): the mean of the families' values and its 95 % interval over resamples of families.
+
+    Draw j of round i takes the family at position md5(seed:i:j) mod n in the order of families. ``families`` has one row
+    for each; only the rounds' sums are gathered."""
+    at = families.select((F.row_number().over(Window.orderBy(family)) - 1).alias("at"), F.col(value).cast("double").alias("v"))
+    n = families.agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    draws = families.sparkSession.range(rounds).withColumnRenamed("id", "i").crossJoin(F.broadcast(n)).where("n > 0")  # n: one row
+    drawn = draws.select("i", "n", "mean", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    place = portable_hash(F.concat_ws(":", F.lit(seed), F.col("i").cast("string"), F.col("j").cast("string"))) % F.col("n")
+    means = drawn.withColumn("at", place.cast("int")).join(at, "at").groupBy("i").agg(F.avg("v").alias("m"), F.first("mean").alias("mean"))
+    return means.agg(F.first("mean").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def agreement(votes: DataFrame, page: str, voter: str, text: str) -> DataFrame:
+    """(a, b, pages, rate) for two voters a < b: the pages that both voted on, and the share on which their texts agree.
+
+    A vote is a voter's smallest text for a page, so a page has at most a row for each voter."""
+    one = votes.groupBy(page, voter).agg(F.min(text).alias("t")).where("t is not null")
+    left, right = (one.select(page, F.col(voter).alias(s), F.col("t").alias(f"t_{s}")) for s in "ab")
+    return left.join(right, page).where("a < b").groupBy("a", "b").agg(F.count("*").alias("pages"), F.avg((F.col("t_a") == F.col("t_b")).cast("double")).alias("rate"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import catalogue, duplicates, study
+from lectern.operators import catalogue, duplicates, signatures, study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -277,3 +277,63 @@ def loo_stability(t):
     fam = t("labels").join(t("documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("bad"))
     total = fam.agg(F.sum("n").alias("tn"), F.sum("bad").alias("tb"))
     return fam.crossJoin(F.broadcast(total)).select("source", F.abs(F.try_divide(F.col("tb") - F.col("bad"), (F.col("tn") - F.col("n")).cast("double")) - F.try_divide(F.col("tb"), F.col("tn"))).alias("shift"))
+
+
+# --- Signatures, resampling, agreement, queues
+
+@query("""WITH s AS (SELECT min(vec_id) AS id, sig FROM (SELECT vec_id, CAST(list_sum(list_transform(embedding[1:62], lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << CAST(i - 1 AS INT) ELSE 0::BIGINT END)) AS BIGINT) AS sig FROM embeddings) GROUP BY sig)
+SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.sig, b.sig)) AS INT) AS distance FROM s a JOIN s b ON a.id < b.id AND bit_count(xor(a.sig, b.sig)) <= 10""")
+def signbit_hamming_pairs(t):
+    return signatures.hamming_pairs(t("embeddings"), "vec_id", signatures.sign_bits("embedding"), 10)
+
+
+@query("""WITH f AS (SELECT source, avg(toxic) AS v FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1),
+p AS (SELECT row_number() OVER (ORDER BY source) - 1 AS pos, v FROM f), n AS (SELECT count(*) AS n, avg(v) AS mean FROM f),
+m AS (SELECT i, avg(v) AS m FROM range(1000) r(i), n, unnest(range(n.n)) u(j) JOIN p ON pos = ('0x' || substr(md5('b:' || i || ':' || j), 1, 8))::BIGINT % n.n GROUP BY 1)
+SELECT (SELECT mean FROM n) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m""")
+def harm_bootstrap(t):
+    rows = t("labels").join(t("documents").select("doc_id", "source"), "doc_id").where("source is not null")
+    return study.bootstrap(rows.groupBy("source").agg(F.avg("toxic").alias("v")), "source", "v")
+
+
+@query("""WITH v AS (SELECT conv_id, role, min(text) AS t FROM conversations GROUP BY 1, 2 HAVING min(text) IS NOT NULL)
+SELECT a.role AS a, b.role AS b, count(*) AS pages, avg(CAST(a.t = b.t AS DOUBLE)) AS rate FROM v a JOIN v b ON a.conv_id = b.conv_id AND a.role < b.role GROUP BY 1, 2""")
+def pairwise_agreement(t):
+    return study.agreement(t("conversations"), "conv_id", "role", "text")
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
+def host_parts(t):
+    return t("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\s+([,;:!?।])', '\1', 'g'), '\s+', ' ', 'g')) AS line FROM documents")
+def line_normalize(t):
+    return t("documents").select("doc_id", X.line(F.col("text")).alias("line"))
+
+
+@query("""WITH w AS (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}]+')) AS token FROM documents) SELECT token, count(*) AS n FROM w GROUP BY 1""")
+def token_counts(t):
+    return t("documents").select(F.explode(X.word_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(*) AS attempts, CAST(least(3600, 60 * pow(2, count(*) FILTER (WHERE event_type = 'error'))) AS BIGINT) AS wait_s FROM events GROUP BY 1")
+def retry_backoff(t):
+    failed = F.count_if(F.col("event_type") == "error")
+    return t("events").groupBy("user_id").agg(F.count("*").alias("attempts"), F.least(F.lit(3600.0), 60 * F.pow(F.lit(2.0), failed)).cast("long").alias("wait_s"))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY value, ts, event_id LIMIT 1")
+def next_job(t):
+    return t("events").where("event_type = 'error'").orderBy("value", "ts", "event_id").select("event_id", "user_id", "value").limit(1)
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m') AS month, count(*) AS calls FROM events GROUP BY 1, 2")
+def quota_by_month(t):
+    return t("events").groupBy("event_type", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("calls"))
+
+
+@query("SELECT * FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)")
+def orphan_sweep(t):
+    lines = t("lineitem")
+    return lines.join(t("orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
