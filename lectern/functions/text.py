@@ -68,3 +68,39 @@ def isbn13(isbn10: Column) -> Column:
     weighted = sum((F.substring(body, i, 1).try_cast("int") * (1 if i % 2 else 3) for i in range(1, 13)), F.lit(0))
     good = isbn10.rlike("^[0-9]{9}[0-9X]$") & (total % 11 == 0)
     return F.when(good, F.concat(body, F.pmod(10 - weighted % 10, F.lit(10)).cast("string")))
+
+
+def last_volume(title: Column) -> Column:
+    """The last number of one or two digits that stands alone, without leading zeros; null if there is none."""
+    return F.try_element_at(F.regexp_extract_all(title, F.lit(r"(?<!\d)\d{1,2}(?!\d)"), F.lit(0)), F.lit(-1)).try_cast("int")
+
+
+def page_ranges(given: Column) -> Column:
+    """The sorted numbers of a list like ``4-13,100``; a null or malformed part has none."""
+    part = lambda p, i: F.try_element_at(F.split(p, "-"), F.lit(i)).try_cast("int")
+    numbers = F.transform(F.split(F.regexp_replace(given, r"\s", ""), ","), lambda p: F.when(part(p, 1) <= part(p, -1), F.sequence(part(p, 1), part(p, -1))))
+    return F.array_sort(F.array_distinct(F.flatten(F.filter(numbers, lambda n: n.isNotNull()))))
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by rows of bits."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+@pandas_udf(T.DoubleType())
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the longest common subsequence by both lengths; 1 for two empty texts, null if one is null."""
+    return pd.Series([None if x is None or y is None else 2 * common_length(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a, b)], dtype="float64")
+
+
+def sorted_tokens(text: Column) -> Column:
+    """Words in order, for comparing texts whatever their order of words."""
+    return F.array_join(F.array_sort(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")), " ")

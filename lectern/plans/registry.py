@@ -166,7 +166,7 @@ def strip_tags_text(t):
     return t("pages").select("page_id", X.without_tags(F.col("html")).alias("body"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(translate(nfc_normalize(text), '‘’“”', '''''""'), '\s+', ' ', 'g')) AS view FROM documents")
+@query(r"""SELECT doc_id, trim(regexp_replace(translate(nfc_normalize(text), '‘’“”', '''''""'), '\s+', ' ', 'g')) AS view FROM documents""")
 def text_policy_views(t):
     return t("documents").select("doc_id", X.search_view(F.col("text")).alias("view"))
 

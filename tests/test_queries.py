@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lectern.plans import registry
+from lectern.plans import more, registry  # noqa: F401  (more registers its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

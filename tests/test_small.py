@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.operators import signatures, study
+from lectern.functions import text
+from lectern.operators import review, signatures, spatial, study
 from lectern.sources import records
 from lectern.streaming import queues
 
@@ -62,3 +63,51 @@ def test_streams(spark, tmp_path):
     source = lambda: queues.events(spark, str(tmp_path / "in"), events.schema)
     assert sorted(r.event_id for r in final(queues.once(source(), "event_id"), "once_rows", "append")) == [1, 2]
     assert sorted((r.start.hour, r.n, r.total) for r in final(queues.windowed(source()), "windows", "complete")) == [(0, 2, 2.0), (1, 1, 2.0)]
+
+
+def test_overlap_resolution_equals_a_plain_pass(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice("ab"), s := draw.randint(0, 400), s + draw.randint(1, 30), i) for i in range(150)]
+    want = []
+    for page in "ab":
+        last = None
+        for p, s, e, i in sorted((r for r in rows if r[0] == page), key=lambda r: r[1:]):
+            if last is None or s >= last:
+                want.append((p, s, e, i))
+                last = e
+    got = review.without_overlaps(spark.createDataFrame(rows, "page string, start int, end int, id int"), "page").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_spliced(spark):
+    df = spark.sql("select 'the cat sat' as t, array(named_struct('start', 4, 'end', 7, 'before', 'cat', 'after', 'dogs'), named_struct('start', 0, 'end', 3, 'before', 'the', 'after', 'a')) as e")
+    assert df.select(review.spliced(F.col("t"), F.col("e"))).first()[0] == "a dogs sat"
+
+
+def test_text_helpers(spark):
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+        return row[-1]
+
+    draw = random.Random(7)
+    words = ["".join(draw.choice("abc") for _ in range(draw.randint(0, 90))) for _ in range(60)]
+    pairs = list(zip(words, reversed(words)))
+    assert all(text.common_length(a, b) == plain(a, b) for a, b in pairs)
+    df = spark.createDataFrame([("abcd", "bcde"), ("", ""), (None, "a")], "a string, b string")
+    assert [r[0] for r in df.select(text.indel_ratio("a", "b")).collect()] == [0.75, 1.0, None]
+    row = spark.sql("select '4-6, 100,x,5' as p, 'Set 123 no. 07' as v, 'none' as w, ' b  A ' as s").select(text.page_ranges(F.col("p")), text.last_volume(F.col("v")), text.last_volume(F.col("w")), text.sorted_tokens(F.col("s"))).first()
+    assert tuple(row) == ([4, 5, 6, 100], 7, None, "a b")
+
+
+def test_boxes_equal_brute_force(spark):
+    draw = random.Random(9)
+    make = lambda n: [(draw.choice("pq"), i, x := draw.randint(-300, 900), y := draw.randint(-300, 900), x + draw.randint(0, 700), y + draw.randint(0, 700)) for i in range(n)]
+    left, right = make(60), make(60)
+    kind = "page string, id int, x0 int, y0 int, x1 int, y1 int"
+    want = {(p, i, j, w * h) for p, i, a, b, c, d in left for q, j, e, f, g, k in right if p == q and (w := min(c, g) - max(a, e)) > 0 and (h := min(d, k) - max(b, f)) > 0}
+    got = [(r.page, r.a, r.b, r.common) for r in spatial.overlaps(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), "page", "id").collect()]
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
