@@ -183,6 +183,16 @@ def near_links(prints: DataFrame, radius: int = 3, blocks: int = 5, block_rows:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search(radius), "a long, b long")
 
 
+def _grouped(docs: DataFrame, radius: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of each document and (fp, root, component_id) of each fingerprint, both cut."""
+    rows = cut(texts(docs).select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), simhash(text).alias("fp")))
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = cut(connected_components(near_links(prints, radius)))
+    named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows, cut(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each document: its fingerprint and the smallest doc_id that it reaches over links of
     ``radius`` or fewer differing bits.
@@ -191,21 +201,21 @@ def near_duplicates(docs: DataFrame, radius: int = 3, key: str = "doc_id", text:
     linked like others; a null doc_id gets its group's smallest other one (null if there is none); repeated rows give
     repeated rows; an empty table gives an empty result; other columns are ignored.
     """
-    rows = cut(texts(docs).select(F.col(key).alias("doc_id"), simhash(text).alias("fp")))
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(connected_components(near_links(prints, radius)))
-    named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = cut(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
+    rows, groups = _grouped(docs, radius, key, text)
     return rows.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The documents of which doc_id is the component_id: one of each group of near-duplicates, with all columns.
+    """One document of each group of near-duplicates, with all columns: that with the smallest doc_id (null last), of
+    several texts under it that with the smallest hash. Rows that repeat its doc_id and text stay one row.
 
-    Rows that repeat a kept doc_id and text stay one row; of rows with that doc_id but other texts, the one with the
-    smallest text stays.
+    Groups are told apart by their fingerprints, so documents without a doc_id are not mixed up, and a doc_id that stands
+    for texts of several groups is kept once for each.
     """
-    kept = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return found.dropDuplicates(["doc_id"])
+    rows, groups = _grouped(docs, radius, "doc_id", "text")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = rows.groupBy("fp").agg(F.min(first).alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = cut(best.select("first.doc_id", "first.text_hash"))
+    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
+    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["doc_id"]) & (marked["_text_hash"] == kept["text_hash"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")

@@ -196,6 +196,15 @@ def test_simhash_components_equal_brute_force(docs, odd, empty):
     assert simhash.keep_first(odd).columns == odd.columns
 
 
+def test_keep_first_keeps_one_of_each_group(spark):
+    said = "a quiet river runs past the old mill and the boats lie still under its bridge until the morning comes"
+    other = "nine grey ships left harbour at dawn with salt and iron for towns along a coast that no map had shown"
+    third = "she counted every lamp in that long street twice before the rain had put the last of them out again"
+    rows = [(None, said), (None, other), (7, third), (7, third), (7, "x y"), (9, third.upper()), (8, None), (None, "")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, said), (None, other), (7, third), (7, "x y"), (8, None)], key=repr)
+
+
 def test_near_links_find_all_planted_links(spark):
     draw = random.Random(3)
     base = [draw.getrandbits(64) for _ in range(60)]
