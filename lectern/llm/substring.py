@@ -121,6 +121,11 @@ def _without(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["sentences", "removed", "spans", "text"])
 
 
+#: Called nondeterministic so that Spark pushes no filter on its result below it, which would clean every text twice, in two
+#: Python workers a task.
+_cleaned = _without.asNondeterministic()
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, starts): for the documents with repeated runs, the sentences at which those start that are not
     the first with their hash. First is the smallest doc_id (null last), inside a document the earliest.
@@ -151,5 +156,5 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     names = docs.columns
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.xxhash64("text").alias("_h"))
     joined = rows.join(found, rows["row.doc_id"].eqNullSafe(found["_id"]) & (rows["_h"] == found["_hash"]), "left")
-    out = joined.select("row", _without(F.col("row.text"), F.col("starts")).alias("new"))
+    out = joined.select("row", _cleaned(F.col("row.text"), F.col("starts")).alias("new"))
     return out.select(*[F.col("row")[c].alias(c) for c in names if c != "text"], "new.sentences", "new.removed", "new.spans", "new.text")
