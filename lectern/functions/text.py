@@ -104,3 +104,14 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def sorted_tokens(text: Column) -> Column:
     """Words in order, for comparing texts whatever their order of words."""
     return F.array_join(F.array_sort(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")), " ")
+
+
+def positional_similarity(a: Column, b: Column) -> Column:
+    """Characters that agree in place, by the length of the longer; null for two empty texts."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y) & (x != ""))
+    return F.try_divide(F.size(F.filter(same, lambda s: s)).cast("double"), F.greatest(F.char_length(a), F.char_length(b)))
+
+
+def first_integer(text: Column) -> Column:
+    """The first run of ASCII digits as a long; null if there is none or it is too large."""
+    return F.regexp_extract(text, "[0-9]+", 0).try_cast("long")

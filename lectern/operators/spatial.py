@@ -58,3 +58,23 @@ def omitted(regions: DataFrame, found: DataFrame, page: str, key: str, least: fl
     """The regions that meet no found box of the page with an IoU of ``least`` or more."""
     met = overlaps(regions, found, page, key).where(iou() >= least).select(F.col("a").alias(key)).distinct()
     return regions.join(met, key, "left_anti")
+
+
+def rows_by_height(boxes: DataFrame, page: str, key: str) -> DataFrame:
+    """(page, key, row): boxes of a page from top to bottom, in rows numbered from 0. A box starts a new row if its middle
+    lies half the page's median height or more below the middle of the box that started the row.
+
+    A page's boxes are gathered, which is bounded by what a page holds; ties go from left to right, then by key.
+    """
+    middle = ((F.col("y0") + F.col("y1")) / 2).cast("double")
+    item = F.struct(middle.alias("cy"), F.col("x0").alias("x0"), F.col(key).alias("id"))
+    pages = boxes.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("items"), F.percentile(F.col("y1") - F.col("y0"), 0.5).alias("tall"))
+    start = F.struct(F.lit(None).cast("double").alias("cy"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
+
+    def step(state: Column, box: Column) -> Column:
+        fresh = state["cy"].isNull() | (box["cy"] - state["cy"] >= F.col("tall") / 2)
+        row = state["row"] + F.when(fresh, 1).otherwise(0)
+        return F.struct(F.when(fresh, box["cy"]).otherwise(state["cy"]).alias("cy"), row.alias("row"), F.concat(state["rows"], F.array(row)).alias("rows"))
+
+    numbered = pages.withColumn("rows", F.aggregate("items", start, step)["rows"])
+    return numbered.select(page, F.explode(F.arrays_zip("items", "rows")).alias("e")).select(page, F.col("e.items.id").alias(key), F.col("e.rows").alias("row"))

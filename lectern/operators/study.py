@@ -85,3 +85,21 @@ def agreement(votes: DataFrame, page: str, voter: str, text: str) -> DataFrame:
     one = votes.groupBy(page, voter).agg(F.min(text).alias("t")).where("t is not null")
     left, right = (one.select(page, F.col(voter).alias(s), F.col("t").alias(f"t_{s}")) for s in "ab")
     return left.join(right, page).where("a < b").groupBy("a", "b").agg(F.count("*").alias("pages"), F.avg((F.col("t_a") == F.col("t_b")).cast("double")).alias("rate"))
+
+
+def zero_filled(rows: DataFrame, key: str, state: str, states: tuple[str, ...]) -> DataFrame:
+    """(key, state, n): how often each key has each of ``states``, 0 included. One aggregation, no join with the states."""
+    counted = rows.groupBy(key).agg(*[F.count(F.when(F.col(state) == s, 1)).alias(s) for s in states])
+    return counted.unpivot(key, list(states), state, "n")
+
+
+def stratified(rows: DataFrame, cells: list[str], key: str, most: int, seed: str) -> DataFrame:
+    """At most ``most`` rows of each cell, by the MD5 of seed and key, so reruns agree; null is a value of a cell."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    rank = F.row_number().over(Window.partitionBy(*cells).orderBy(order, key))
+    return rows.withColumn("pick", rank).where(F.col("pick") <= most)
+
+
+def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
+    """(key, start, n): a key's events with no pause longer than ``gap`` between them."""
+    return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")

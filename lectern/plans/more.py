@@ -143,3 +143,46 @@ def overlap_resolution(t):
     """Spans of a user's day by event: from the second of the event on, as long as its id's last digits say."""
     spans = t("events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("start"), F.col("event_id").alias("id")).withColumn("end", F.col("start") + 3600 + F.col("id") % 86400)
     return review.without_overlaps(spans, "user_id")
+
+
+STATES = ("view", "click", "purchase", "signup", "error")
+
+
+@query("""SELECT user_id, s.event_type, count(e.event_id) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES ('view'), ('click'), ('purchase'), ('signup'), ('error')) s(event_type)
+LEFT JOIN events e USING (user_id, event_type) GROUP BY 1, 2""")
+def failure_states_zero_filled(t):
+    return study.zero_filled(t("events"), "user_id", "event_type", STATES)
+
+
+@query("""SELECT doc_id, source, lang, n_chars > 1000 AS long, row_number() OVER (PARTITION BY source, lang, n_chars > 1000 ORDER BY md5('pick:' || doc_id), doc_id) AS pick
+FROM documents QUALIFY pick <= 5""")
+def stratified_pick(t):
+    rows = t("documents").select("doc_id", "source", "lang", (F.col("n_chars") > 1000).alias("long"))
+    return study.stratified(rows, ["source", "lang", "long"], "doc_id", 5, "pick")
+
+
+@query("""WITH g AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR, true)::INT AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(t):
+    return study.sessions(t("events"), "user_id", "ts", "6 hours")
+
+
+@query("""SELECT source, count(*) AS total, count(*) FILTER (WHERE quality IS NOT NULL) AS completed, count(*) FILTER (WHERE quality IS NULL) AS remaining,
+sum(quality * n_chars)::DOUBLE / sum(CASE WHEN quality IS NOT NULL THEN n_chars END) AS weighted_quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def review_progress(t):
+    rows = t("documents").select("doc_id", "source", "n_chars").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    seen = F.col("quality").isNotNull()
+    weighted = F.try_divide(F.sum(F.col("quality") * F.col("n_chars")).cast("double"), F.sum(F.when(seen, F.col("n_chars"))))
+    return rows.groupBy("source").agg(F.count("*").alias("total"), F.count("quality").alias("completed"), F.count(F.when(~seen, 1)).alias("remaining"), weighted.alias("weighted_quality"))
+
+
+@query("""SELECT c_custkey, len(list_filter(range(1, least(length(c_name), length(c_mktsegment)) + 1), lambda i: c_name[i] = c_mktsegment[i]))::DOUBLE / greatest(length(c_name), length(c_mktsegment)) AS similarity,
+try_cast(regexp_extract(c_name, '[0-9]+') AS BIGINT) AS number FROM customer""")
+def name_similarity(t):
+    return t("customer").select("c_custkey", X.positional_similarity(F.col("c_name"), F.col("c_mktsegment")).alias("similarity"), X.first_integer(F.col("c_name")).alias("number"))
+
+
+@query()
+def rows_by_height(t):
+    lines, _ = boxes(t("orders"))
+    return spatial.rows_by_height(lines, "page", "id")

@@ -111,3 +111,22 @@ def test_boxes_equal_brute_force(spark):
     want = {(p, i, j, w * h) for p, i, a, b, c, d in left for q, j, e, f, g, k in right if p == q and (w := min(c, g) - max(a, e)) > 0 and (h := min(d, k) - max(b, f)) > 0}
     got = [(r.page, r.a, r.b, r.common) for r in spatial.overlaps(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), "page", "id").collect()]
     assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_rows_by_height_equal_a_plain_pass(spark):
+    from statistics import median
+
+    from lectern.operators import spatial
+
+    data = [(p, i, i * 37 % 90, y, 60 + i, y + 10 + i % 5) for p in (1, 2) for i, y in enumerate([0, 3, 4, 5, 12, 40, 44, 46, 46, 90])]
+    data.append((3, 0, 1, 1, 2, 2))
+    got = {(r.page, r.id): r.row for r in spatial.rows_by_height(spark.createDataFrame(data, "page long, id long, x0 long, y0 long, x1 long, y1 long"), "page", "id").collect()}
+    want = {}
+    for page in (1, 2, 3):
+        mine = sorted(((y0 + y1) / 2, x0, i) for p, i, x0, y0, _, y1 in data if p == page)
+        tall, anchor, row = median(y1 - y0 for p, _, _, y0, _, y1 in data if p == page), None, -1
+        for cy, _, i in mine:
+            if anchor is None or cy - anchor >= tall / 2:
+                anchor, row = cy, row + 1
+            want[page, i] = row
+    assert got == want
