@@ -1,4 +1,4 @@
-"""Substring dedup over sliding runs of sentences."""
+"""Substring dedup over sliding runs of sentences and chosen runs of words."""
 
 from __future__ import annotations
 
@@ -24,6 +24,9 @@ LONG, CHOICE = 16, 8
 #: A run: so many consecutive sentences at least, and so many words.
 SENTENCES, WORDS = 3, 25
 WORD = re.compile(r"\S+")
+#: Words of a gram, and consecutive grams of which at least one is chosen. A stretch of GRAM + WINDOW - 1 = 51 words holds
+#: WINDOW whole grams, so one is chosen in it, and by its content alone.
+GRAM, WINDOW = 26, 26
 SPAN = T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType())
 CLEANED = T.StructType().add("sentences", T.IntegerType()).add("removed", T.IntegerType()).add("spans", T.ArrayType(SPAN)).add("text", T.StringType())
 
@@ -73,17 +76,70 @@ def runs(text: str) -> tuple[list[int], list[int]]:
     return hashes, lasts
 
 
+def _chosen(values: np.ndarray) -> np.ndarray:
+    """Positions of the values that are least in some WINDOW consecutive ones. Of equal values so few are taken that each
+    window still has one."""
+    n, low, size = len(values), values, 1
+    while 2 * size <= WINDOW:
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+    low = np.minimum(low[:n - WINDOW + 1], low[WINDOW - size:])
+    lows = np.concatenate([np.zeros(WINDOW - 1, np.uint64), low, np.zeros(WINDOW - 1, np.uint64)])
+    high, size = lows, 1  # at p: the largest of the minima of the windows that hold p
+    while 2 * size <= WINDOW:
+        high, size = np.maximum(high[:-size], high[size:]), 2 * size
+    high = np.maximum(high[:n], high[WINDOW - size:])
+    at = np.flatnonzero(values == high)
+    if len(np.unique(values[at])) == len(at):
+        return at
+    keep, last, then = np.ones(len(at), bool), {}, {}
+    following = np.full(len(at), n + WINDOW)
+    for k in range(len(at) - 1, -1, -1):
+        following[k] = then.get(v := int(values[at[k]]), n + WINDOW)
+        then[v] = at[k]
+    for k, p in enumerate(at.tolist()):
+        v = int(values[p])
+        if v in last and following[k] - last[v] <= WINDOW:
+            keep[k] = False
+        else:
+            last[v] = p
+    return at[keep]
+
+
+def grams(text: str) -> tuple[list[int], list[int]]:
+    """(hash, first word) of chosen runs of GRAM words, without regard to sentences, case and the kind of white space: any
+    WINDOW consecutive runs have one. Texts too short for a passage of over 50 words have none."""
+    words = text.lower().split()
+    if len(words) < GRAM + WINDOW - 1:
+        return [], []
+    one = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in set(words)}
+    each = np.array([one[w] for w in words], np.uint64)
+    n = len(each) - GRAM + 1
+    values = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        values = values * np.uint64(0x9E3779B97F4A7C15) + each[k:k + n]
+    values ^= values >> np.uint64(32)
+    values *= np.uint64(0xD6E8FEB86659FD93)
+    values ^= values >> np.uint64(29)
+    at = _chosen(values)
+    return values[at].view(np.int64).tolist(), at.tolist()
+
+
 def _spans(batches):
-    """(doc_id, text_hash, hashes, first) for each document with runs: ``first`` tells which runs are new in the document."""
+    """(doc_id, text_hash, hashes, again) for each document with runs of sentences, then of words: ``again`` tells which
+    repeat an earlier one of the document; a run of words does so only behind the end of that one."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("hashes", pa.list_(pa.int64())), ("again", pa.list_(pa.int32()))])
     for batch in batches:
         rows, held = [], 0
         for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            hashes, _ = runs(text.as_py() or "")
-            if not hashes:
+            text = text.as_py() or ""
+            (hashes, _), (more, at) = runs(text), grams(text)
+            if not hashes and not more:
                 continue
             seen: set[int] = set()
             again = [i for i, h in enumerate(hashes) if h in seen or seen.add(h)]
+            ahead: dict[int, int] = {}
+            again += [len(hashes) + i for i, (h, p) in enumerate(zip(more, at)) if p >= ahead.setdefault(h, p) + GRAM]
+            hashes += more
             rows.append((doc, mark, hashes, again))
             held += 8 * len(hashes)
             if held > BATCH_BYTES:
@@ -102,15 +158,21 @@ def _without(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
             continue
         found, (_, lasts) = sentences(t), runs(t)
         gone = np.zeros(len(found) + 1, np.int32)
-        for i in set(covered.tolist()):
+        for i in covered[covered < len(lasts)]:
             gone[i] += 1
             gone[lasts[i] + 1] -= 1
         gone = np.cumsum(gone[:-1]) > 0
+        ranges = [(found[i][0], found[i + 1][0] if i + 1 < len(found) else len(t)) for i in np.flatnonzero(gone)]
+        if len(words := covered[covered >= len(lasts)]):
+            (_, at), edges = grams(t), [*(m.start() for m in WORD.finditer(t)), len(t)]
+            ranges = sorted(ranges + [(edges[at[i - len(lasts)]], edges[at[i - len(lasts)] + GRAM]) for i in words])
+            starts_of = np.array([a for a, *_ in found])
+            for a, b in ranges:
+                gone[np.searchsorted(starts_of, a, "right") - 1:np.searchsorted(starts_of, b)] = True
         spans, kept, at = [], [], 0
-        for i in np.flatnonzero(gone):
-            start, stop = found[i][0], found[i + 1][0] if i + 1 < len(found) else len(t)
-            if spans and spans[-1][1] == start:
-                spans[-1][1] = stop
+        for start, stop in ranges:
+            if spans and spans[-1][1] >= start:
+                spans[-1][1] = max(stop, spans[-1][1])
             else:
                 spans.append([start, stop])
         for start, stop in spans:
@@ -127,8 +189,8 @@ _cleaned = _without.asNondeterministic()
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, starts): for the documents with repeated runs, the sentences at which those start that are not
-    the first with their hash. First is the smallest doc_id (null last), inside a document the earliest.
+    """(doc_id, text_hash, starts): for the documents with repeated runs, the numbers of those that are not the first with
+    their hash; runs of sentences are numbered first, then the chosen runs of words. First is the smallest doc_id (null last), inside a document the earliest.
 
     Every run is hashed. Minimum and maximum doc_id are aggregated by hash before any join, and only hashes of two
     documents or more are joined back, so a passage of any number of documents is never gathered in one group.
@@ -144,13 +206,16 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """(all columns but text, sentences, removed, spans, text): each document without the sentences that a non-first
-    repeated run covers; ``spans`` are their character ranges in the old text.
-
-    A run is three or more consecutive sentences with 25 or more words; sentences over 16 words are first cut behind
-    words that the content chooses. So passages of over 50 words are found wherever they stand, and single lines and
-    stock phrases stay. Null text stays null, empty and short texts stay; rows with the same doc_id are versions of one
-    document and do not repeat each other; an empty table gives an empty result; other columns are kept as they are.
+    """(all columns but text, sentences, removed, spans, text): each document without the sentences and words that a
+    non-first repeated run covers; ``spans`` are their character ranges in the old text, ``removed`` counts the sentences
+    that lose anything.
+
+    A run is three or more consecutive sentences with 25 or more words (sentences over 16 words are first cut behind words
+    that the content chooses), or 26 words at a place that the content chooses, at least one in any 51 words. So every
+    passage of over 50 words is found wherever it stands and loses at least 26 words; where it starts or ends inside a
+    sentence, up to 25 words at either end may stay. Single lines and stock phrases stay. Null text stays null, empty and
+    short texts stay; rows with the same doc_id are versions of one document and do not repeat each other; an empty table
+    gives an empty result; other columns are kept as they are.
     """
     found = repeated_runs(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts")
     names = docs.columns
