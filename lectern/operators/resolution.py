@@ -19,6 +19,14 @@ def blocked_pairs(rows: DataFrame, key: str, block: Column, text: str, score, le
     return left.join(right, "block").where("a < b").select("a", "b", score(F.col("t_a"), F.col("t_b")).alias("score")).where(F.col("score") >= least)
 
 
+def large_blocks(rows: DataFrame, key: str, block: Column, most: int = 20) -> DataFrame:
+    """(id, class_id, members): every row of a block with more than ``most`` rows, which ``blocked_pairs`` leaves out: the
+    block's smallest id stands for its class. A row for each member, not for each pair. Null blocks have none."""
+    named = rows.select(F.col(key).alias("id"), block.alias("block")).where("block is not null")
+    large = named.groupBy("block").agg(F.min("id").alias("class_id"), F.count("*").alias("members")).where(F.col("members") > most)
+    return named.join(large, "block").select("id", "class_id", "members")
+
+
 def best_candidates(left: DataFrame, right: DataFrame, key: str, block: str, text: str, score, least: float, k: int) -> DataFrame:
     """(id, candidate, score, rank): for each left row the k best right rows of its block, ties to the smaller candidate."""
     a = left.select(F.col(key).alias("id"), F.col(block).alias("block"), F.col(text).alias("t_a"))

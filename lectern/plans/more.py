@@ -54,6 +54,18 @@ def title_block_fuzzy(t):
     return resolution.blocked_pairs(t("part"), "p_partkey", F.concat_ws("/", "p_brand", "p_size"), "p_name", X.similarity, 0.3, (2, 500))
 
 
+@query("""WITH k AS (SELECT p_partkey AS id, p_brand || '/' || p_type AS block FROM part)
+SELECT id, min(id) OVER (PARTITION BY block) AS class_id, count(*) OVER (PARTITION BY block) AS members FROM k WHERE block IS NOT NULL QUALIFY members > 20""")
+def title_block_exact_large(t):
+    return resolution.large_blocks(t("part"), "p_partkey", F.concat("p_brand", F.lit("/"), "p_type"), 20)
+
+
+@query("""WITH k AS (SELECT p_partkey AS id, p_brand || '/' || p_size AS block FROM part)
+SELECT id, min(id) OVER (PARTITION BY block) AS class_id, count(*) OVER (PARTITION BY block) AS members FROM k WHERE block IS NOT NULL QUALIFY members > 500""")
+def title_block_fuzzy_large(t):
+    return resolution.large_blocks(t("part"), "p_partkey", F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")), 500)
+
+
 @query("""WITH s AS (SELECT a.p_partkey AS id, b.p_partkey AS candidate, 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_size <= 5 AND b.p_size > 5)
 SELECT id, candidate, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate) AS rank FROM s WHERE score >= 0.2 QUALIFY rank <= 3""")
 def resolve_topk(t):
