@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def sign_bits(vector: str, bits: int = 62) -> Column:
-    """Bit i is set where component i is positive, for the first ``bits`` components."""
-    each = F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
+    """Bit i is set where component i is positive, for the first ``bits`` components, 64 at most; bit 63 is the sign."""
+    each = F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
@@ -26,3 +26,14 @@ def hamming_pairs(rows: DataFrame, key: str, signature: Column, radius: int = 10
     distance = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b")))
     shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) - 1
     return left.join(right, ["band", "bits"]).where((F.col("id_a") < F.col("id_b")) & (distance <= radius) & (shared == F.col("band"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), distance.alias("distance"))
+
+
+def hamming_members(rows: DataFrame, key: str, signature: Column, radius: int = 10, bits: int = 64) -> DataFrame:
+    """(id, class_id, members, links): every row with a signature. The smallest id with its signature stands for its class
+    of ``members`` rows; ``links`` counts the other classes within ``radius`` bits, those that ``hamming_pairs`` pairs it with."""
+    signed = rows.select(F.col(key).alias("id"), signature.alias("sig")).where("sig is not null")
+    classes = signed.groupBy("sig").agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+    pairs = hamming_pairs(rows, key, signature, radius, bits)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    known = classes.join(ends, "class_id", "left").na.fill(0, ["links"])
+    return signed.join(known, "sig").select("id", "class_id", "members", "links")

@@ -287,6 +287,13 @@ def signbit_hamming_pairs(t):
     return signatures.hamming_pairs(t("embeddings"), "vec_id", signatures.sign_bits("embedding"), 10)
 
 
+@query("""WITH v AS (SELECT vec_id AS id, array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS sig FROM embeddings WHERE embedding IS NOT NULL),
+c AS (SELECT min(id) AS class_id, count(*) AS members, sig FROM v GROUP BY sig), l AS (SELECT a.class_id, count(*) AS links FROM c a JOIN c b ON a.class_id <> b.class_id AND hamming(a.sig, b.sig) <= 10 GROUP BY 1)
+SELECT id, class_id, members, coalesce(links, 0) AS links FROM v JOIN c USING (sig) LEFT JOIN l USING (class_id)""")
+def signbit_hamming_members(t):
+    return signatures.hamming_members(t("embeddings"), "vec_id", signatures.sign_bits("embedding", 64), 10)
+
+
 @query("""WITH f AS (SELECT source, avg(toxic) AS v FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1),
 p AS (SELECT row_number() OVER (ORDER BY source) - 1 AS pos, v FROM f), n AS (SELECT count(*) AS n, avg(v) AS mean FROM f),
 m AS (SELECT i, avg(v) AS m FROM range(1000) r(i), n, unnest(range(n.n)) u(j) JOIN p ON pos = ('0x' || substr(md5('b:' || i || ':' || j), 1, 8))::BIGINT % n.n GROUP BY 1)
