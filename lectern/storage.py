@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_PARKED: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables parked inside the block are deleted at its end; results that read them must be written before."""
+    _PARKED.append([])
+    try:
+        yield
+    finally:
+        for path in _PARKED.pop():
+            delete(spark, path)
+
+
 def park(df: DataFrame) -> DataFrame:
-    """The same rows as a compressed column table in the shared folder, for wide rows of which later steps read few columns."""
+    """The same rows as a compressed column table in the shared folder, for wide rows of which later steps read few columns.
+    It stays until the block of ``scratch`` around it ends, else with the application's folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/parked-{uuid.uuid4().hex}"
+    if _PARKED:
+        _PARKED[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
