@@ -3,25 +3,35 @@
 from __future__ import annotations
 
 import re
+import warnings
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from lectern.llm.langid import held_out
 from lectern.storage import broadcast_within, cut, texts
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Identity terms; a term is swapped for the others of its line.
+#: Letters of the word beginnings that count as features beside whole words.
+BEGINNINGS = (5, 7)
+#: Identity terms in English, German, French and Spanish; a term is swapped for the others of its line.
+#: Words that mark a person's gender (pronouns, articles) are among them.
 IDENTITY = (
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "arab", "african"),
-    ("woman", "man"), ("women", "men"), ("female", "male"), ("girl", "boy"), ("girls", "boys"),
-    ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"),
-    ("immigrant", "citizen", "refugee"), ("immigrants", "citizens", "refugees"),
-    ("disabled", "blind", "deaf"), ("old", "young"), ("elderly", "youthful"),
+    ("he", "she"), ("him", "her"), ("himself", "herself"), ("man", "woman"), ("men", "women"), ("male", "female"), ("boy", "girl"), ("boys", "girls"),
+    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+    ("black", "white", "asian", "latino", "arab", "african"), ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"),
+    ("immigrant", "citizen", "refugee"), ("immigrants", "citizens", "refugees"), ("disabled", "blind", "deaf"), ("elderly", "youthful"),
+    ("er", "sie"), ("ihm", "ihr"), ("der", "die"), ("ein", "eine"), ("mann", "frau"), ("männer", "frauen"), ("junge", "mädchen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"), ("ausländer", "einheimische", "flüchtlinge"), ("schwarze", "weiße"), ("behinderte", "blinde", "gehörlose"),
+    ("il", "elle"), ("ils", "elles"), ("le", "la"), ("un", "une"), ("homme", "femme"), ("hommes", "femmes"), ("garçon", "fille"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("étrangers", "citoyens", "réfugiés"), ("noirs", "blancs", "arabes", "asiatiques"), ("handicapés", "aveugles", "sourds"),
+    ("él", "ella"), ("ellos", "ellas"), ("el", "la"), ("los", "las"), ("un", "una"), ("hombre", "mujer"), ("hombres", "mujeres"), ("niño", "niña"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("extranjeros", "ciudadanos", "refugiados"), ("negros", "blancos", "árabes", "asiáticos"), ("discapacitados", "ciegos", "sordos"),
 )
 
 
@@ -30,72 +40,118 @@ def words(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
+def features(found) -> set[str]:
+    """Words and the beginnings of longer words, marked with a star."""
+    return {*found, *(f"{w[:n]}*" for w in found for n in BEGINNINGS if len(w) > n)}
+
+
 def swaps(found: set[str], identity=IDENTITY) -> list[tuple[str, str]]:
     """(term, other) for each identity term of a text and each other term of its line."""
     return [(t, o) for line in identity for t in line if t in found for o in line if o != t and o not in found]
 
 
+def changes(found: set[str], identity=IDENTITY) -> list[tuple[set[str], set[str]]]:
+    """(features that go, features that come) for each swap of an identity term in a text."""
+    out = []
+    for term, other in swaps(found, identity):
+        rest = features(found - {term})
+        out.append((features({term}) - rest, features({other}) - rest))
+    return out
+
+
 class Model:
-    """Weights of words and an intercept."""
+    """Weights of features and an intercept; ``swapped`` is how many counterfactual pairs the fit held together."""
+
+    def __init__(self, weights: dict[str, float], bias: float, swapped: int = 0):
+        self.weights, self.bias, self.swapped = weights, bias, swapped
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def margin(self, found: set[str]) -> float:
+        return self.bias + sum(map(self.weights.__getitem__, features(found) & self.weights.keys()))
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(map(self.weights.__getitem__, words(text) & self.weights.keys()))
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return float(1 / (1 + np.exp(-np.clip(self.margin(words(text)), -40, 40))))
 
 
-def fit(said: list[str | None], labels: list[int], prior: float | None = None, identity=IDENTITY, counterfactual: float = 1.0, sparse: float = 2e-4, ridge: float = 1e-4, support: int = 3, rounds: int = 300) -> Model:
-    """Proximal gradient descent on mean log loss + ridge/2 |w|^2 + counterfactual/2 * mean over swaps of (z - z')^2 + sparse |w|_1.
+def solve(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], size: int, counterfactual: float = 1.0, sparse: float = 2e-4, ridge: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Proximal gradient descent on mean log loss + ridge/2 |w|^2 + counterfactual/2 * mean over pairs of (z - z')^2 + sparse |w|_1.
 
     z is the linear score of a labelled text and z' that of the text with one identity term swapped for another of its
-    line, so a pair's difference is the difference of two weights; the penalty holds these together, which takes from a
-    group's name what only its company in the labelled texts gave it. Features are words in at least ``support`` texts
-    or in a swap. ``prior`` is the share of label 1 among the rows that the texts were drawn from.
+    line: what a pair's features that come weigh, less those that go. The penalty holds both scores together, which takes
+    from a group's name what only its company in the labelled texts gave it.
     """
-    docs = [words(t) for t in said]
     y = np.array(labels, float)
-    if not len(y) or y.min() == y.max():
-        return Model({}, 0.0 if not len(y) else (8.0 if y[0] else -8.0))
-    seen: dict[str, int] = {}
-    for d in docs:
-        for w in d:
-            seen[w] = seen.get(w, 0) + 1
-    pairs = [p for d in docs for p in swaps(d, identity)]
-    kept = sorted({w for w, n in seen.items() if n >= support} | {w for p in pairs for w in p})
-    at = {w: i for i, w in enumerate(kept)}
-    rows = [[at[w] for w in d if w in at] for d in docs]
-    size = np.array([len(r) for r in rows])
-    col, row, n = np.concatenate([np.array(r, np.int64) for r in rows]), np.repeat(np.arange(len(rows)), size), len(kept)
-    a, b = (np.array([at[p[k]] for p in pairs], np.int64) for k in (0, 1))
-    w, bias = np.zeros(n), float(np.log(y.mean() / (1 - y.mean())))
-    grown, momentum = np.zeros(n), 0.0
-    speed = np.zeros(n)
+    flat = lambda lists: (np.array([c for r in lists for c in r], np.int64), np.repeat(np.arange(len(lists)), [len(r) for r in lists]))
+    col, row = flat(rows)
+    gone, gone_of = flat([g for g, _ in pairs])
+    come, come_of = flat([c for _, c in pairs])
+    w, bias = np.zeros(size), float(np.log(y.mean() / (1 - y.mean())))
+    grown, momentum = np.zeros(size), 0.0
     for _ in range(rounds):  # AdaGrad steps, then soft thresholds
         z = bias + np.bincount(row, w[col], len(rows))
         off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.bincount(col, off[row], n) / len(rows) + ridge * w
-        if len(pairs):
-            d = (w[a] - w[b]) * (counterfactual / len(pairs))
-            g += np.bincount(a, d, n) - np.bincount(b, d, n)
+        g = np.bincount(col, off[row], size) / len(rows) + ridge * w
+        if pairs and counterfactual:
+            d = (np.bincount(come_of, w[come], len(pairs)) - np.bincount(gone_of, w[gone], len(pairs))) * (counterfactual / len(pairs))
+            g += np.bincount(come, d[come_of], size) - np.bincount(gone, d[gone_of], size)
         grown += g * g
         speed = 0.3 / (np.sqrt(grown) + 1e-8)
         w = w - speed * g
         w = np.sign(w) * np.maximum(np.abs(w) - speed * sparse, 0)
         momentum += off.mean() ** 2
         bias -= 0.3 * off.mean() / (np.sqrt(momentum) + 1e-8)
+    return w, bias
+
+
+def trained(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], names: list[str], prior: float | None = None, **options) -> Model:
+    """The model of encoded texts; ``prior`` is the share of label 1 among the rows that the texts were drawn from. With one
+    label alone, or none, the score is constant."""
+    share = sum(labels) / max(1, len(labels))
+    if share in (0, 1):
+        return Model({}, 0.0 if not labels else 16.0 * share - 8)
+    if not pairs:
+        warnings.warn("no labelled text holds an identity term, so no counterfactual pair regularises the classifier", stacklevel=2)
+    w, bias = solve(rows, labels, pairs, len(names), **options)
     if prior is not None and 0 < prior < 1:
-        bias += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
-    return Model({k: float(v) for k, v in zip(kept, w) if v}, float(bias))
+        bias += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    return Model({k: float(v) for k, v in zip(names, w) if v}, float(bias), len(pairs))
+
+
+def encoded(found: set[str], at: dict[str, int], identity=IDENTITY) -> tuple[list[int], list[tuple[list[int], list[int]]]]:
+    """A text's known features, and the known features of its swaps, by number."""
+    known = lambda names: sorted(at[f] for f in names if f in at)
+    return known(features(found)), [(known(a), known(b)) for a, b in changes(found, identity)]
+
+
+def fit(said: list[str | None], labels: list[int], prior: float | None = None, identity=IDENTITY, support: int = 3, **options) -> Model:
+    """A model of texts held here. Features are those of at least ``support`` texts, and those of the identity terms."""
+    docs = [words(t) for t in said]
+    seen = Counter(f for d in docs for f in features(d))
+    names = sorted({f for f, n in seen.items() if n >= support} | features({t for line in identity for t in line}))
+    at = {f: i for i, f in enumerate(names)}
+    both = [encoded(d, at, identity) for d in docs]
+    return trained([r for r, _ in both], list(labels), [p for _, ps in both for p in ps], names, prior, **options)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 3_000, **options) -> Model:
+STRINGS = T.ArrayType(T.StringType())
+
+
+@pandas_udf(STRINGS)
+def _words(text: pd.Series) -> pd.Series:
+    return pd.Series([sorted(words(t)) for t in text], dtype=object)
+
+
+@pandas_udf(STRINGS)
+def _features(found: pd.Series) -> pd.Series:
+    return pd.Series([sorted(features(set(w))) for w in found], dtype=object)
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = 3_000, identity=IDENTITY, support: int = 3, **options) -> Model:
     """A model of label ``toxic`` from the labelled rows: at most about ``most`` of each label, chosen by hash of doc_id,
-    are read and fitted on the driver, a bounded sample; the intercept is set back to the labels' true shares.
+    are fitted on, a bounded sample; the intercept is set back to the labels' true shares.
 
-    Only ids meet the labels; the chosen ids, about 2 * ``most``, are broadcast to the texts, so no text is shuffled. Of
-    rows with the same doc_id the smallest text is read; null doc_ids, labels and texts teach nothing.
+    Only ids meet the labels; the chosen ids, about 2 * ``most``, are broadcast to the texts, so no text is shuffled. Texts
+    become sets of words in the tasks, features are counted there, and the driver gets numbers of known features alone.
+    Of rows with the same doc_id the smallest text is read; null doc_ids, labels and texts teach nothing.
     """
     known = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).distinct()
     taught = docs.where("text is not null").select("doc_id").distinct().join(known, F.col("doc_id") == F.col("_id")).select("_id", F.col("_toxic").alias("toxic"))
@@ -106,10 +162,20 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 3_000, **options) -> M
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, most / n))).otherwise(share)
     chosen = cut(taught.where(F.pmod(F.xxhash64("_id", F.lit(6)), F.lit(1 << 30)) < share * (1 << 30)))
-    rows = docs.where("text is not null").select("doc_id", "text").join(broadcast_within(chosen), F.col("doc_id") == F.col("_id"))
-    sample = sorted((r.text, r.toxic) for r in rows.groupBy("_id", "toxic").agg(F.min("text").alias("text")).collect())
-    total = sum(counts.values())
-    return fit([t for t, _ in sample], [int(x == 1) for _, x in sample], counts.get(1, 0) / total, **options)
+    rows = texts(docs).where("text is not null").select("doc_id", "text").join(broadcast_within(chosen), F.col("doc_id") == F.col("_id"))
+    sample = cut(rows.groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("_id", (F.col("toxic") == 1).cast("int").alias("toxic"), _words("text").alias("words")))
+    often = sample.select(F.explode(_features("words")).alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    names = sorted({r.f for r in often.select("f").collect()} | features({t for line in identity for t in line}))
+    numbers = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    @pandas_udf("struct<row:array<int>,gone:array<array<int>>,come:array<array<int>>>")
+    def encode(found: pd.Series) -> pd.DataFrame:
+        both = [encoded(set(w), numbers.value, identity) for w in found]
+        return pd.DataFrame({"row": [r for r, _ in both], "gone": [[g for g, _ in p] for _, p in both], "come": [[c for _, c in p] for _, p in both]})
+
+    got = sorted(sample.select("_id", "toxic", encode("words").alias("e")).select("_id", "toxic", "e.*").collect(), key=lambda r: (r._id, r.toxic))
+    pairs = [p for r in got for p in zip(r.gone, r.come)]
+    return trained([r.row for r in got], [r.toxic for r in got], pairs, names, counts.get(1, 0) / sum(counts.values()), **options)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -120,7 +186,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
 
-    @F.pandas_udf("double")
+    @pandas_udf("double")
     def score(column: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in column], dtype="float64")
 
@@ -129,7 +195,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each document, learned from the labelled rows not held out."""
+    """(doc_id, held_out, score, predicted) for each document, learned from the labelled rows not held out.
+
+    Rows with null doc_id are scored and teach nothing; repeated rows get equal scores; without usable labels every score
+    is 0.5; an empty table gives an empty result; other columns, whatever their names, are ignored.
+    """
     out = docs.select("doc_id", held_out().alias("held_out"), "text")
     model = learn(out.where("not held_out"), labels, **options)
     return predict(out, model).select("doc_id", "held_out", "score", "predicted")
