@@ -1,4 +1,4 @@
-"""Lossless WebP (VP8L): a decoder of whole streams, a lockstep decoder of many images, and an encoder for samples.
+"""Lossless WebP (VP8L): a decoder of whole streams, a lockstep decoder of many images, and encoders.
 
 Follows the published specification of the WebP lossless bitstream. Pixels are 32-bit words, alpha, red, green and blue
 from the top.
@@ -6,6 +6,7 @@ from the top.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 
@@ -319,78 +320,151 @@ def streams(data: bytes) -> list[bytes]:
     return out
 
 
-# --- Decoding many images of literals in lockstep
+# --- Decoding many images in lockstep
 
 
-def _plain(data: bytes):
-    """(width, height, green lengths, constant bits of the pixels, first bit) of a stream of green literals alone without
-    transforms, cache or groups; else None."""
+class _Head:
+    """What a stream of green values says before its first pixel: sizes, prefix codes, the constant bits of the pixels, the
+    palette if it has one, and the first bit of the pixels."""
+
+    def __init__(self, width, height, green, distance, constant, palette, full, at):
+        self.width, self.height, self.green, self.distance, self.constant, self.palette, self.full, self.at = width, height, green, distance, constant, palette, full, at
+
+    def pixels(self, green: np.ndarray) -> np.ndarray:
+        image = (green.astype(np.uint32) << 8 | np.uint32(self.constant)).reshape(self.height, self.width)
+        return image if self.palette is None else from_palette(image, self.palette, self.full)
+
+
+def _head_of(data: bytes) -> _Head | None:
+    """The head of a stream with literals of green and copies, one group of codes, no cache, and no transform but a
+    palette; None for other streams."""
     bits = Bits(data)
     if bits.read(8) != 0x2F:
         return None
     width, height = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(4)
-    if bits.read(1) or bits.read(1) or bits.read(1):
+    bits.read(1)
+    if bits.read(3):
         return None
-    lengths = read_lengths(bits, 280)
-    if any(lengths[256:]) or max(lengths) > SPAN:
+    full, palette = width, None
+    if bits.read(1):
+        if bits.read(2) != PALETTE:
+            return None
+        colours = entropy_image(bits, bits.read(8) + 1, 1, False)
+        palette = joined(np.cumsum(channels(colours), axis=0))
+        shift = palette_bits(len(palette))
+        width = (width + (1 << shift) - 1) >> shift
+        if bits.read(1):
+            return None
+    if bits.read(1) or bits.read(1):
         return None
-    rest = []
-    for n in (256, 256, 256, 40):
-        used = [s for s, k in enumerate(read_lengths(bits, n)) if k]
+    green, rest = read_lengths(bits, 280), []
+    for _ in range(3):
+        used = [s for s, k in enumerate(read_lengths(bits, 256)) if k]
         if len(used) != 1:
             return None
         rest.append(used[0])
-    return width, height, lengths[:256], rest[2] << 24 | rest[0] << 16 | rest[1], bits.at
+    distance = read_lengths(bits, 40)
+    if max(green) > SPAN or max(distance) > SPAN:
+        return None
+    return _Head(width, height, green, distance if any(green[256:]) else None, rest[2] << 24 | rest[0] << 16 | rest[1], palette, full, bits.at)
 
 
 _REVERSED = np.array([reversed_bits(i, SPAN) for i in range(1 << SPAN)])
+#: Extra bits and first value of each prefix symbol of lengths and distances.
+_EXTRA = np.array([0] * 4 + [(s - 2) >> 1 for s in range(4, 40)], np.uint64)
+_FIRST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)], np.int64)
+_SHORT_X, _SHORT_Y = np.array([(0, 0), *SHORT], np.int64).T
 
 
 def _table(lengths: list[int]) -> np.ndarray:
-    """symbol | length << 8 by the next SPAN bits."""
+    """symbol | length << 9 by the next SPAN bits."""
     size = np.array(lengths)
     used = np.flatnonzero(size)
     if len(used) == 1:
         return np.full(1 << SPAN, used[0], np.uint16)
     order = used[np.argsort(size[used], kind="stable")]
-    return np.repeat((order | size[order] << 8).astype(np.uint16), 1 << (SPAN - size[order]))[_REVERSED]
+    if (1 << (SPAN - size[order])).sum() != 1 << SPAN:
+        raise ValueError("a prefix code that is not complete")
+    return np.repeat((order | size[order] << 9).astype(np.uint16), 1 << (SPAN - size[order]))[_REVERSED]
+
+
+def _lockstep(data: list[bytes], heads: list[_Head]) -> list[np.ndarray]:
+    """The green values of each stream. Each step reads one symbol, a literal or a copy, of every stream that has pixels
+    left; literals are put in place, and the copies, which read only what stands before them, are made in order at the end."""
+    starts = np.cumsum([0, *(len(d) + 8 for d in data)])
+    raw = b"".join(d + b"\0" * 8 for d in data) + b"\0" * 8
+    words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from each byte on
+    green, distance = [], [np.zeros(1 << SPAN, np.uint16)]
+    far = np.zeros(len(heads), np.int64)
+    for i, h in enumerate(heads):
+        green.append(_table(h.green))
+        if h.distance is not None:
+            far[i] = len(distance) << SPAN
+            distance.append(_table(h.distance))
+    green, distance = np.concatenate(green), np.concatenate(distance)
+    sizes = np.array([h.width * h.height for h in heads], np.int64)
+    firsts = np.cumsum([0, *sizes])
+    got, wide = np.zeros(firsts[-1], np.uint8), np.array([h.width for h in heads], np.int64)
+    live, pos, out, base = np.arange(len(heads)), starts[:-1] * 8 + np.array([h.at for h in heads], np.int64), firsts[:-1].copy(), np.arange(len(heads)) << SPAN
+    end, mask, found = firsts[1:].copy(), np.uint64((1 << SPAN) - 1), []
+    while len(live):
+        word = words[pos >> 3] >> (pos & 7).astype(np.uint64)
+        entry = green[base + (word & mask).astype(np.int64)]
+        symbol, used = entry & 511, (entry >> 9).astype(np.int64)
+        k = np.flatnonzero(symbol >= 256)
+        if len(k):
+            literal = symbol < 256
+            got[out[literal]] = symbol[literal]
+            w, s = word[k] >> used[k].astype(np.uint64), (symbol[k] - 256).astype(np.int64)
+            n = _FIRST[s] + (w & ((np.uint64(1) << _EXTRA[s]) - np.uint64(1))).astype(np.int64)
+            w >>= _EXTRA[s]
+            to = distance[far[live[k]] + (w & mask).astype(np.int64)]
+            t, size = (to & 511).astype(np.int64), (to >> 9).astype(np.uint64)
+            w >>= size
+            d = _FIRST[t] + (w & ((np.uint64(1) << _EXTRA[t]) - np.uint64(1))).astype(np.int64)
+            near = np.where(d <= 120, d, 0)
+            d = np.where(d > 120, d - 120, np.maximum(1, _SHORT_X[near] + _SHORT_Y[near] * wide[live[k]]))
+            at = out[k]
+            if (d > at - firsts[live[k]]).any() or (at + n > end[k]).any():
+                raise ValueError("a back-reference leaves the image")
+            found.append((at, n, d))
+            used[k] += (_EXTRA[s] + size + _EXTRA[t]).astype(np.int64)
+            step = np.ones(len(live), np.int64)
+            step[k] = n
+            out += step
+        else:
+            got[out] = symbol
+            out += 1
+        pos += used
+        if (more := out < end).all():
+            continue
+        live, pos, out, base, end = live[more], pos[more], out[more], base[more], end[more]
+    if found:
+        at, n, d = (np.concatenate(x) for x in zip(*found))
+        order, whole = np.argsort(at, kind="stable"), bytearray(got.tobytes())
+        for o, size, back in zip(at[order].tolist(), n[order].tolist(), d[order].tolist()):
+            if back >= size:
+                whole[o:o + size] = whole[o - back:o - back + size]
+            else:
+                whole[o:o + size] = (whole[o - back:o] * (size // back + 1))[:size]
+        got = np.frombuffer(whole, np.uint8)
+    return [got[a:b] for a, b in zip(firsts, firsts[1:])]
 
 
 def decode_many(data: list[bytes]) -> list[np.ndarray]:
-    """[height, width] pixels of each VP8L stream. Streams of green literals alone, as ``encode_samples`` writes, are
-    decoded together: each step reads one symbol of every stream that has any left. Others are decoded one by one."""
+    """[height, width] pixels of each VP8L stream. Streams of green literals and copies, with or without a palette, are
+    decoded together; others, as those with a colour cache, groups or other transforms, one by one."""
     out: list[np.ndarray | None] = [None] * len(data)
-    plain = []
+    together, heads = [], []
     for i, d in enumerate(data):
-        if p := _plain(d):
-            plain.append((p[0] * p[1], i, p))
+        if h := _head_of(d):
+            together.append(i)
+            heads.append(h)
         else:
             out[i] = decode_vp8l(d)
-    plain.sort(key=lambda x: -x[0])
-    if plain:
-        starts = np.cumsum([0, *(len(data[i]) + 4 for _, i, _ in plain)])
-        raw = np.frombuffer(b"".join(data[i] + b"\0\0\0\0" for _, i, _ in plain), np.uint8).astype(np.uint32)
-        words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16
-        tables = np.concatenate([_table(p[2]) for _, _, p in plain])
-        at = starts[:-1] * 8 + np.array([p[4] for _, _, p in plain])
-        sizes = np.array([n for n, _, _ in plain])
-        base = np.arange(len(plain)) << SPAN
-        got = np.zeros((sizes[0], len(plain)), np.uint8)
-        mask = np.uint32((1 << SPAN) - 1)
-        # between two ends of streams the number of live ones stays the same
-        step = 0
-        for stop in np.unique(sizes):
-            live = int((sizes > step).sum())
-            pos, b = at[:live], base[:live]
-            for step in range(step, stop):
-                word = words[pos >> 3] >> (pos & 7).astype(np.uint32) & mask
-                entry = tables[b + word]
-                got[step, :live] = entry & 0xFF
-                pos += entry >> 8
-            step = int(stop)
-        for k, (n, i, p) in enumerate(plain):
-            out[i] = (got[:n, k].astype(np.uint32) << 8 | np.uint32(p[3])).reshape(p[1], p[0])
+    if together:
+        for i, h, green in zip(together, heads, _lockstep([data[i] for i in together], heads)):
+            out[i] = h.pixels(green)
     return out
 
 
@@ -435,16 +509,17 @@ class Writer:
         self.word |= value << self.size
         self.size += n
 
+    def only(self, symbol: int) -> dict[int, tuple[int, int]]:
+        """Writes a code of one symbol, which then takes no bits."""
+        self.put(1 | int(symbol > 1) << 2, 3)
+        self.put(symbol, 8 if symbol > 1 else 1)
+        return {symbol: (0, 0)}
+
     def code(self, lengths) -> dict[int, tuple[int, int]]:
         """Writes a prefix code; returns (bits, length) by symbol."""
-        used = [s for s, n in enumerate(lengths) if n]
+        used = np.flatnonzero(lengths).tolist()
         if len(used) <= 1 and (not used or used[0] < 256):
-            s = used[0] if used else 0
-            self.put(1, 1)
-            self.put(0, 1)
-            self.put(int(s > 1), 1)
-            self.put(s, 8 if s > 1 else 1)
-            return {s: (0, 0)}
+            return self.only(used[0] if used else 0)
         if len(used) == 1:  # a symbol past 255 needs a whole code; another takes its second half
             lengths = list(lengths)
             lengths[0] = lengths[used[0]] = 1
@@ -614,37 +689,125 @@ def riff(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+#: Bytes that a copy saves at least, the most it copies, and about the bits that the code of distances takes.
+LEAST, MOST, CODE_BITS = 6, 4096, 170
+
+
+def find_copies(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of copies of LEAST values or more, in order and without overlaps. Each is of the latest
+    place before it at which the same LEAST values begin."""
+    n, none = len(data), np.zeros(0, np.int64)
+    if n <= LEAST:
+        return none, none, none
+    raw = data.tobytes()
+    keys = np.ndarray(n, "<u8", raw + b"\0" * 8, strides=(1,))[:n - LEAST + 1] & np.uint64((1 << 8 * LEAST) - 1)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    before = np.full(n, -1, np.int64)
+    before[order[1:][same]] = order[:-1][same]
+    places = np.flatnonzero(before >= 0)
+    froms, out, at = before[places].tolist(), [], 0
+    for i, j in zip(places.tolist(), froms):
+        if i < at:
+            continue
+        size, most = LEAST, min(MOST, n - i)
+        while size < most and raw[j + size] == raw[i + size]:
+            size += 1
+        out.append((i, size, i - j))
+        at = i + size
+    return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (none, none, none)
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, their number) of lengths or distances."""
+    v = values - 1
+    high = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
+    small, less = v < 4, np.maximum(high - 1, 0)
+    return np.where(small, v, 2 * high + (v >> less & 1)), np.where(small, 0, v & (1 << less) - 1), np.where(small, 0, less)
+
+
+@functools.cache
+def _short_codes(width: int) -> dict[int, int]:
+    """The smallest short code of each distance that has one."""
+    return {max(1, x + y * width): i + 1 for i, (x, y) in reversed([*enumerate(SHORT)])}
+
+
+def encode_green(data: np.ndarray, width: int, full: int, palette: np.ndarray | None) -> bytes:
+    """A VP8L stream of green values in rows of ``width``; ``palette`` has the samples that they stand for, in rows of
+    ``full``. Values are literals, or copies of earlier ones where these take fewer bits."""
+    plain = code_lengths(np.bincount(data, minlength=280), SPAN)
+    at, size, back = find_copies(data)
+    lengths, far, literal = plain, np.zeros(40, np.int64), np.ones(len(data), bool)
+    if len(at):
+        short = _short_codes(width)
+        n_sym, n_more, n_bits = _prefixed(size)
+        d_sym, d_more, d_bits = _prefixed(np.array([short.get(d, d + 120) for d in back.tolist()], np.int64))
+        edge = np.zeros(len(data) + 1, np.int64)
+        edge[at] = 1
+        edge[at + size] -= 1
+        literal = np.cumsum(edge[:-1]) == 0
+        counts = np.bincount(np.concatenate([data[literal], 256 + n_sym]), minlength=280)
+        d_counts = np.bincount(d_sym, minlength=40)
+        lengths, far = code_lengths(counts, SPAN), code_lengths(d_counts, SPAN)
+        took = int((counts * lengths).sum() + (d_counts * far).sum() * (np.count_nonzero(far) > 1) + n_bits.sum() + d_bits.sum()) + CODE_BITS
+        if took >= int((np.bincount(data, minlength=280) * plain).sum()):
+            at, lengths, far, literal = at[:0], plain, np.zeros(40, np.int64), np.ones(len(data), bool)
+    w = Writer()
+    _head(w, full, len(data) // width)
+    if palette is not None:
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(len(palette) - 1, 8)
+        colours = channels(palette.astype(np.uint32) << 8 | np.uint32(0xFF000000))
+        write_pixels(w, joined(np.diff(colours, axis=0, prepend=np.zeros((1, 4), np.int64)))[None, :], False)
+    w.put(0, 3)  # no further transform, no cache, one group
+    codes = w.code(lengths)
+    for constant in (0, 0, 255):
+        w.only(constant)
+    d_codes = w.code(far)
+    value, bits = np.zeros(280, np.int64), np.zeros(280, np.int64)
+    for s, (v, n) in codes.items():
+        value[s], bits[s] = v, n
+    where = np.flatnonzero(literal)
+    parts = [(where * 2, value[data[where]], bits[data[where]])]
+    if len(at):
+        d_value, d_size = np.zeros(40, np.int64), np.zeros(40, np.int64)
+        for s, (v, n) in d_codes.items():
+            d_value[s], d_size[s] = v, n
+        parts.append((at * 2, value[256 + n_sym] | n_more << bits[256 + n_sym], bits[256 + n_sym] + n_bits))
+        parts.append((at * 2 + 1, d_value[d_sym] | d_more << d_size[d_sym], d_size[d_sym] + d_bits))
+    turn, v, n = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(turn, kind="stable")
+    v, n = v[order], n[order]
+    ends = np.cumsum(n)
+    total = w.size + int(ends[-1])
+    at = w.size + ends - n
+    v = v << (at & 15)
+    words = np.zeros(total // 16 + 3, np.int64)
+    # every bit is set at most once, so sums are unions
+    for shift in range(3):
+        got = np.bincount((at >> 4) + shift, v >> 16 * shift & 0xFFFF, len(words)).astype(np.int64)
+        words += got[:len(words)]
+    body = bytearray(words.astype("<u2").tobytes()[:-(-total // 8)])
+    for i, b in enumerate(w.bytes()):
+        body[i] |= b
+    return bytes(body)
+
+
 def encode_samples(payload: bytes) -> bytes:
     """WebP files, behind each other, that hold bytes as the green samples of rows of WIDTH pixels, HEIGHT rows at most.
 
-    The bytes' own prefix code is the only one with more than one symbol; the other channels are constant and take none.
+    The other channels are constant and take no bits. An image of at most 16 different bytes gets a palette, under which
+    two to eight pixels share one; back-references are written where they make the image smaller.
     """
     out = []
     for first in range(0, len(payload), WIDTH * HEIGHT):
         data = np.frombuffer(payload, np.uint8, min(WIDTH * HEIGHT, len(payload) - first), first)
-        lengths = np.zeros(280, np.int64)
-        lengths[:256] = code_lengths(np.bincount(data, minlength=256), SPAN)
-        w = Writer()
-        _head(w, WIDTH, len(data) // WIDTH)
-        w.put(0, 3)  # no transform, no cache, one group
-        codes = w.code(lengths)
-        for alphabet, constant in ((256, 0), (256, 0), (256, 255), (40, 0)):
-            w.code([int(s == constant) for s in range(alphabet)])
-        value, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
-        for s, (v, n) in codes.items():
-            value[s], size[s] = v, n
-        n = size[data]
-        ends = np.cumsum(n)
-        at = w.size + ends - n
-        v = value[data] << (at & 15)
-        words = np.zeros((w.size + int(ends[-1])) // 16 + 2, np.int64)
-        # every bit is set at most once, so sums are unions
-        for part, shift in ((v & 0xFFFF, 0), (v >> 16, 1)):
-            got = np.bincount((at >> 4) + shift, part, len(words)).astype(np.int64)
-            words[:len(got)] += got[:len(words)]
-        body = bytearray(words.astype("<u2").tobytes()[:-(-(w.size + int(ends[-1])) // 8)])
-        head = w.bytes()
-        for i, b in enumerate(head):
-            body[i:i + 1] = bytes([body[i] | b]) if i < len(body) else bytes([b])
-        out.append(riff(bytes(body)))
+        palette = np.flatnonzero(np.bincount(data, minlength=256)) if len(set(data[:WIDTH].tolist())) <= 16 else []
+        if 0 < len(palette) <= 16:
+            per, shift = 1 << palette_bits(len(palette)), palette_bits(len(palette))
+            index = np.searchsorted(palette, data).reshape(-1, WIDTH // per, per) << (np.arange(per) * (8 >> shift))
+            out.append(riff(encode_green(index.sum(-1).reshape(-1).astype(np.uint8), WIDTH // per, WIDTH, palette)))
+        else:
+            out.append(riff(encode_green(data, WIDTH, WIDTH, None)))
     return b"".join(out)
