@@ -113,9 +113,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int | None =
     sequence fill it from offset 0 without gaps, and all but the last sequence of a lane are full.
 
     Each source's tokens form a line: a document's place on it is its place in its input partition plus a running sum over
-    partitions. A lane is a stretch of about ``lane`` tokens, cut from every line in proportion, so no lane depends on
-    another's rows, a lane's deficits start where the lane before left off (less than a token), and a source of any size
-    is dealt out evenly. Within a lane, deficit round-robin fills one window after the other.
+    partitions. A lane is a stretch of about ``lane`` tokens, cut from every line in proportion, in units of ``least``
+    tokens; where the rounding falls is turned by a hash of the source, so small sources spread over the lanes. No lane
+    depends on another's rows, a lane's deficits start where the lane before left off (less than a unit), and a source of
+    any size is dealt out evenly. Within a lane, deficit round-robin fills one window after the other.
 
     Target proportions are those of the sources in the table, or ``weights`` by source (``"*"`` for all others, 1 if not
     given) as long as the sources last; tokens per listed source are then read on the driver, one number each.
@@ -146,19 +147,26 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int | None =
             rows += [(c, lo, hi, first, lanes) for c, lo, hi in phase]
             first += lanes
         lines = spark.createDataFrame(rows, "cls string, lo long, hi long, first long, lanes long")
-    bases = cut(bases.join(broadcast_within(cut(lines)), "cls"))
+    lines = cut(lines)
+    classes = lines.count()
+    turn = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("lanes"))
+    bases = cut(bases.join(broadcast_within(lines), "cls").withColumn("units", F.ceil((F.col("hi") - F.col("lo")) / least)).withColumn("turn", turn))
     big = lambda x: f"cast({x} as decimal(19,0))"
+    lane_of = lambda j: f"(({big(j)} + 1) * {big('lanes')} - turn - 1) div {big('units')}"
+    edge = lambda k: f"{least} * (({big(k)} * {big('units')} + turn) div {big('lanes')})"
     chunks = (
         tokens.join(broadcast_within(bases), ["cls", "part"]).withColumn("p", F.col("base") + F.col("at")).where("p < hi and p + n > lo")
-        .withColumn("p0", F.expr("greatest(p, lo) - lo")).withColumn("p1", F.expr("least(p + n, hi) - lo")).withColumn("size", F.expr("hi - lo"))
-        .withColumn("k", F.explode(F.expr(f"sequence({big('p0')} * {big('lanes')} div {big('size')}, ({big('p1')} - 1) * {big('lanes')} div {big('size')})")))
-        .withColumn("from", F.expr(f"greatest(p0, ({big('k')} * {big('size')} + {big('lanes')} - 1) div {big('lanes')})"))
-        .withColumn("to", F.expr(f"least(p1, (({big('k')} + 1) * {big('size')} + {big('lanes')} - 1) div {big('lanes')})"))
+        .withColumn("p0", F.expr("greatest(p, lo) - lo")).withColumn("p1", F.expr("least(p + n, hi) - lo"))
+        .withColumn("j0", F.expr(f"p0 div {least}")).withColumn("j1", F.expr(f"(p1 - 1) div {least}")).withColumn("few", F.expr("units < lanes"))
+        .withColumn("s", F.explode(F.expr(f"sequence(if(few, j0, {lane_of('j0')}), if(few, j1, {lane_of('j1')}))")))
+        .withColumn("k", F.expr(f"if(few, {lane_of('s')}, s)"))
+        .withColumn("from", F.expr(f"greatest(p0, if(few, s * {least}, {edge('s')}))"))
+        .withColumn("to", F.expr(f"least(p1, if(few, (s + 1) * {least}, {edge('s + 1')}))"))
         .where("to > from").withColumn("start", F.expr("from + lo - p")).withColumn("width", F.expr("cast(octet_length(ids) div n as int)"))
         .select((F.col("first") + F.col("k")).alias("lane"), "doc_id", "cls", F.expr("from + lo").alias("at"), "start", F.expr("to - from").alias("length"), F.col("n").alias("doc_tokens"),
                 F.expr("substring(ids, cast(start * width + 1 as int), cast((to - from) * width as int))").alias("ids"), "width")
     )
-    stride = lane // window + 2
+    stride = (lane + 2 * classes * least) // window + 2  # a lane holds a share of each line, rounded to units of ``least``
     schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def fill(table: pa.Table) -> pa.Table:
