@@ -28,7 +28,7 @@ WORD = re.compile(r"\S+")
 #: WINDOW whole grams, so one is chosen in it, and by its content alone.
 GRAM, WINDOW = 26, 26
 SPAN = T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType())
-CLEANED = T.StructType().add("sentences", T.IntegerType()).add("removed", T.IntegerType()).add("spans", T.ArrayType(SPAN)).add("text", T.StringType())
+CLEANED = T.StructType().add("removed", T.IntegerType()).add("spans", T.ArrayType(SPAN)).add("text", T.StringType())
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
@@ -55,14 +55,16 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def runs(text: str) -> tuple[list[int], list[int]]:
-    """(hash, last sentence) of the run from each sentence on: the shortest of at least SENTENCES sentences and WORDS
-    words. Sentences near the end that start no such run have none. Hashes ignore case and the kind of white space."""
+def runs(text: str) -> tuple[list[int], list[tuple[int, int]]]:
+    """(hash, characters that it covers) of the run from each sentence on: the shortest of at least SENTENCES sentences and
+    WORDS words, up to the next sentence. Sentences near the end that start no such run have none. Hashes ignore case and
+    the kind of white space."""
     found = sentences(text)
     if len(found) < SENTENCES:
         return [], []
     said = [b" ".join(text[a:b].lower().encode("utf-8", "replace").split()) for a, b, _ in found]
-    hashes, lasts = [], []
+    starts = [a for a, *_ in found] + [len(text)]
+    hashes, covers = [], []
     last, words = 0, 0
     for first in range(len(found)):
         while last < len(found) and (words < WORDS or last - first < SENTENCES):
@@ -71,9 +73,9 @@ def runs(text: str) -> tuple[list[int], list[int]]:
         if words < WORDS or last - first < SENTENCES:
             break
         hashes.append(xxhash.xxh3_64_intdigest(b"\n".join(said[first:last])) - (1 << 63))
-        lasts.append(last - 1)
+        covers.append((starts[first], starts[last]))
         words -= found[first][2]
-    return hashes, lasts
+    return hashes, covers
 
 
 def _chosen(values: np.ndarray) -> np.ndarray:
@@ -124,24 +126,34 @@ def grams(text: str) -> tuple[list[int], list[int]]:
     return values[at].view(np.int64).tolist(), at.tolist()
 
 
-def _spans(batches):
-    """(doc_id, text_hash, hashes, again) for each document with runs of sentences, then of words: ``again`` tells which
-    repeat an earlier one of the document; a run of words does so only behind the end of that one."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("hashes", pa.list_(pa.int64())), ("again", pa.list_(pa.int32()))])
+def spans_of(text: str) -> tuple[list[int], list[int], list[int]]:
+    """(hash, range) of all runs of a text, and the ranges of those that repeat an earlier one of it: a run of words does so
+    only behind that one's end. A range is its first character in the upper, its end in the lower 32 bits."""
+    (hashes, covers), (more, at) = runs(text), grams(text)
+    ranges = [a << 32 | b for a, b in covers]
+    seen: set[int] = set()
+    again = [r for h, r in zip(hashes, ranges) if h in seen or seen.add(h)]
+    if more:
+        edges = [*(m.start() for m in WORD.finditer(text)), len(text)]
+        words = [edges[p] << 32 | edges[p + GRAM] for p in at]
+        ahead: dict[int, int] = {}
+        again += [r for h, p, r in zip(more, at, words) if p >= ahead.setdefault(h, p) + GRAM]
+        hashes, ranges = hashes + more, ranges + words
+    return hashes, ranges, again
+
+
+def _parsed(batches):
+    """(doc_id, place, text_hash, text) -> (doc_id, place, text_hash, hashes, ranges, again) for texts with runs."""
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", long), ("place", long), ("text_hash", long), ("hashes", longs), ("ranges", longs), ("again", longs)])
     for batch in batches:
         rows, held = [], 0
-        for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            text = text.as_py() or ""
-            (hashes, _), (more, at) = runs(text), grams(text)
-            if not hashes and not more:
+        for doc, place, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+            hashes, ranges, again = spans_of(text.as_py() or "")
+            if not hashes:
                 continue
-            seen: set[int] = set()
-            again = [i for i, h in enumerate(hashes) if h in seen or seen.add(h)]
-            ahead: dict[int, int] = {}
-            again += [len(hashes) + i for i, (h, p) in enumerate(zip(more, at)) if p >= ahead.setdefault(h, p) + GRAM]
-            hashes += more
-            rows.append((doc, mark, hashes, again))
-            held += 8 * len(hashes)
+            rows.append((doc, place, mark, hashes, ranges, again))
+            held += 16 * len(hashes)
             if held > BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
                 rows, held = [], 0
@@ -149,77 +161,87 @@ def _spans(batches):
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def without(text: str, ranges) -> tuple[int, list[dict], str]:
+    """(characters that go, merged spans, what stays) of a text without ranges."""
+    spans, kept, at = [], [], 0
+    for r in sorted(ranges):
+        start, stop = int(r) >> 32, int(r) & 0xFFFFFFFF
+        if spans and spans[-1][1] >= start:
+            spans[-1][1] = max(stop, spans[-1][1])
+        else:
+            spans.append([start, stop])
+    for start, stop in spans:
+        kept.append(text[at:start])
+        at = stop
+    kept.append(text[at:])
+    left = "".join(kept)
+    return sum(b - a for a, b in spans), [{"start": a, "stop": b} for a, b in spans], left.rstrip() if spans and spans[-1][1] == len(text) else left
+
+
 @pandas_udf(CLEANED)
-def _without(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, covered in zip(text, starts):
-        if t is None or covered is None or not len(covered):
-            out.append((len(sentences(t or "")), 0, [], t))
-            continue
-        found, (_, lasts) = sentences(t), runs(t)
-        gone = np.zeros(len(found) + 1, np.int32)
-        for i in covered[covered < len(lasts)]:
-            gone[i] += 1
-            gone[lasts[i] + 1] -= 1
-        gone = np.cumsum(gone[:-1]) > 0
-        ranges = [(found[i][0], found[i + 1][0] if i + 1 < len(found) else len(t)) for i in np.flatnonzero(gone)]
-        if len(words := covered[covered >= len(lasts)]):
-            (_, at), edges = grams(t), [*(m.start() for m in WORD.finditer(t)), len(t)]
-            ranges = sorted(ranges + [(edges[at[i - len(lasts)]], edges[at[i - len(lasts)] + GRAM]) for i in words])
-            starts_of = np.array([a for a, *_ in found])
-            for a, b in ranges:
-                gone[np.searchsorted(starts_of, a, "right") - 1:np.searchsorted(starts_of, b)] = True
-        spans, kept, at = [], [], 0
-        for start, stop in ranges:
-            if spans and spans[-1][1] >= start:
-                spans[-1][1] = max(stop, spans[-1][1])
-            else:
-                spans.append([start, stop])
-        for start, stop in spans:
-            kept.append(t[at:start])
-            at = stop
-        kept.append(t[at:])
-        out.append((len(found), int(gone.sum()), [{"start": a, "stop": b} for a, b in spans], "".join(kept).rstrip() if spans and spans[-1][1] == len(t) else "".join(kept)))
-    return pd.DataFrame(out, columns=["sentences", "removed", "spans", "text"])
-
-
-#: Called nondeterministic so that Spark pushes no filter on its result below it, which would clean every text twice, in two
+def _without(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+    out = [(0, [], None) if t is None else without(t, r) for t, r in zip(text, ranges)]
+    return pd.DataFrame(out, columns=["removed", "spans", "text"])
+
+
+#: Called nondeterministic so that Spark pushes no filter on its result below it, which would cut every text twice, in two
 #: Python workers a task.
-_cleaned = _without.asNondeterministic()
+_cut = _without.asNondeterministic()
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, place, text): the rows as structs. ``place`` numbers the rows without doc_id, which are parked with
+    their numbers, so that each of them is a document of its own; other rows have none."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    named = docs.where(docs["doc_id"].isNotNull()).select(row, F.lit(None).cast("long").alias("place"))
+    unnamed = park(docs.where(docs["doc_id"].isNull()).select(row, F.monotonically_increasing_id().alias("place")))
+    return named.union(unnamed).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), "place", F.col("row.text").alias("text"))
+
+
+def repeated_runs(rows: DataFrame) -> DataFrame:
+    """(doc_id, place, text_hash, ranges): for the documents with repeated runs, the ranges of those that are not the first
+    with their hash. First is the smallest doc_id, behind these the smallest place of rows without one, inside a document
+    the earliest.
+
+    Every run is hashed. Minimum and maximum of doc_id and place are aggregated by hash before any join, and only hashes of
+    two documents or more are joined back, so a passage of any number of documents is never gathered in one group.
+    """
+    key = ["doc_id", "place", "text_hash"]
+    base = texts(rows).select("doc_id", "place", F.xxhash64("text").alias("text_hash"), "text")
+    spans = park(base.mapInArrow(_parsed, "doc_id long, place long, text_hash long, hashes array<long>, ranges array<long>, again array<long>"))
+    each = spans.select(*key, F.explode(F.arrays_zip("hashes", "ranges")).alias("run")).select(*key, F.col("run.hashes").alias("hash"), F.col("run.ranges").alias("range"))
+    ends = each.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("place").alias("first_place"), F.max("place").alias("last_place"))
+    shared = cut(ends.where("first < last or first_place < last_place or (first is not null and first_place is not null)").select("hash", "first", "first_place"))
+    later = each.join(shared, "hash").where("doc_id > first or place > first_place or (doc_id is null and first is not null)").select(*key, "range")
+    inside = spans.select(*key, F.explode("again").alias("range"))
+    return later.union(inside).groupBy(*key).agg(F.collect_set("range").alias("ranges"))
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, starts): for the documents with repeated runs, the numbers of those that are not the first with
-    their hash; runs of sentences are numbered first, then the chosen runs of words. First is the smallest doc_id (null last), inside a document the earliest.
+def cleaned(docs: DataFrame) -> DataFrame:
+    """(row, removed, spans, text): each row as a struct, and its text without what non-first repeated runs cover.
 
-    Every run is hashed. Minimum and maximum doc_id are aggregated by hash before any join, and only hashes of two
-    documents or more are joined back, so a passage of any number of documents is never gathered in one group.
+    Every text is parsed once; only texts with repeated runs go to Python again, with the ranges to cut.
     """
-    base = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    spans = park(base.mapInArrow(_spans, "doc_id long, text_hash long, hashes array<long>, again array<int>"))
-    order = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord")
-    each = spans.select("doc_id", "text_hash", order, F.posexplode("hashes").alias("at", "hash"))
-    shared = cut(each.groupBy("hash").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("hash", "first"))
-    later = each.join(shared, "hash").where("ord > first").select("doc_id", "text_hash", "at")
-    inside = spans.select("doc_id", "text_hash", F.explode("again").alias("at"))
-    return later.union(inside).groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("starts"))
+    rows = placed(docs)
+    found = repeated_runs(rows).select(F.col("doc_id").alias("_id"), F.col("place").alias("_at"), F.col("text_hash").alias("_hash"), "ranges")
+    known = rows["doc_id"].eqNullSafe(found["_id"]) & rows["place"].eqNullSafe(found["_at"]) & (F.xxhash64(rows["text"]) == found["_hash"])
+    joined = rows.join(found, known, "left").select("row", "text", "ranges")
+    hit = F.col("ranges").isNotNull()
+    new = joined.select("row", "text", hit.alias("hit"), _cut(F.when(hit, F.col("text")), "ranges").alias("new"))
+    return new.select("row", "new.removed", "new.spans", F.when(F.col("hit"), F.col("new.text")).otherwise(F.col("text")).alias("text"))
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """(all columns but text, sentences, removed, spans, text): each document without the sentences and words that a
-    non-first repeated run covers; ``spans`` are their character ranges in the old text, ``removed`` counts the sentences
-    that lose anything.
+    """(all columns but text, removed, spans, text): each document without the sentences and words that a non-first repeated
+    run covers; ``spans`` are their character ranges in the old text, ``removed`` is how many characters went.
 
     A run is three or more consecutive sentences with 25 or more words (sentences over 16 words are first cut behind words
     that the content chooses), or 26 words at a place that the content chooses, at least one in any 51 words. So every
     passage of over 50 words is found wherever it stands and loses at least 26 words; where it starts or ends inside a
     sentence, up to 25 words at either end may stay. Single lines and stock phrases stay. Null text stays null, empty and
-    short texts stay; rows with the same doc_id are versions of one document and do not repeat each other; an empty table
-    gives an empty result; other columns are kept as they are.
+    short texts stay. Rows with the same doc_id are versions of one document and do not repeat each other; a row without
+    doc_id is a document of its own, behind all with one. An empty table gives an empty result. Other columns are kept;
+    columns named ``removed`` and ``spans`` are replaced (``cleaned`` keeps them).
     """
-    found = repeated_runs(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts")
-    names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.xxhash64("text").alias("_h"))
-    joined = rows.join(found, rows["row.doc_id"].eqNullSafe(found["_id"]) & (rows["_h"] == found["_hash"]), "left")
-    out = joined.select("row", _cleaned(F.col("row.text"), F.col("starts")).alias("new"))
-    return out.select(*[F.col("row")[c].alias(c) for c in names if c != "text"], "new.sentences", "new.removed", "new.spans", "new.text")
+    names = [c for c in docs.columns if c not in ("text", "removed", "spans")]
+    return cleaned(docs).select(*[F.col("row")[c].alias(c) for c in names], "removed", "spans", "text")
