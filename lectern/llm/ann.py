@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.storage import broadcast_within, cut
+from lectern.storage import cut
 
-#: Rows that centroids are fitted on, queries that the candidate budget is measured with, and their recall at that budget.
+#: Rows that centroids are fitted on, probes that the candidate budget is measured with, and their recall at that budget.
 SAMPLE, PROBES, RECALL = 20_000, 256, 0.985
 #: Rows of a cell, and queries, that one task compares.
 BLOCK = 4096
@@ -90,6 +90,13 @@ class Index:
                 heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
         return out
 
+    def ranked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All cells with rows by ascending sum of the halves' distances, and how many rows they hold up to each."""
+        a, b = distances(q[None, :self.half], self.first)[0], distances(q[None, self.half:], self.second)[0]
+        cells = np.argsort((a[:, None] + b).reshape(-1), kind="stable")
+        cells = cells[self.held[cells] > 0]
+        return cells, np.cumsum(self.held[cells])
+
     def reach(self, q: np.ndarray) -> tuple[list[int], list[int]]:
         """The cells within the budget, in two parts: the first hold sqrt(budget * CELL) rows, the rest are behind them.
 
@@ -123,13 +130,13 @@ def _true_cells(classes: DataFrame, probes: np.ndarray, ids: np.ndarray, k: int)
     return [(r.probe, r.cell) for r in near.withColumn("r", first).where(F.col("r") <= k).select("probe", "cell").collect()]
 
 
-def build(vectors: DataFrame, k: int) -> tuple[DataFrame, Index] | None:
+def build(vectors: DataFrame, k: int, recall: float = RECALL) -> tuple[DataFrame, Index] | None:
     """(cut table of classes (cid, vector, ids, cell), index) of a table of distinct (vec_id, vector), or None if it is empty.
 
     Equal vectors make one class, of which the k + 1 smallest vec_ids are kept: no query needs more of them. Centroids are
     fitted on a sample of at most about SAMPLE classes by hash; every class is put into its cell. Then the rows that a
-    query has to look at are measured: PROBES queries are compared with all rows, and the budget is what RECALL of their
-    nearest neighbours need.
+    query has to look at are measured: PROBES classes are compared with all rows, and the budget is what ``recall`` of
+    their nearest neighbours need, k + 1 rows at least; all rows if ``recall`` is 1 or more.
     """
     first = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     few = vectors.withColumn("r", first).where(F.col("r") <= k + 1)
@@ -152,21 +159,23 @@ def build(vectors: DataFrame, k: int) -> tuple[DataFrame, Index] | None:
         index.held[c] = held
     at = np.random.default_rng(2).permutation(len(sample))[:PROBES]
     ids = np.array([sample[i].cid for i in at], np.int64)
-    need, order_of = [], [index.walk(q, n) for q in x[at]]
-    upto = [dict(zip(cells, np.cumsum(index.held[cells]).tolist())) for cells in order_of]
+    if recall >= 1:
+        index.budget = n
+        return classes, index
+    upto = [dict(zip(cells.tolist(), held.tolist())) for cells, held in map(index.ranked, x[at])]
     need = [upto[p][c] for p, c in _true_cells(classes, x[at], ids, k)]
-    index.budget = int(np.quantile(need, RECALL, method="higher")) if need else n
+    index.budget = max(k + 1, int(np.quantile(need, recall, method="higher"))) if need else n
     return classes, index
 
 
 def _compare(k: int):
-    """Joins queries (qid, vector, least) with the rows of a cell: the k + 1 best of each query that reach ``least``."""
+    """Joins queries (qid, asked, least) with the rows of a cell: the k + 1 best of each query that reach ``least``."""
     schema = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
-            q, x = unit(left.column("vector").to_pylist()), unit(right.column("vector").to_pylist())
+            q, x = unit(left.column("asked").to_pylist()), unit(right.column("vector").to_pylist())
             qid, least, cid, ids = left.column("qid").to_pylist(), left.column("least").to_pylist(), right.column("cid").to_numpy(), right.column("ids").to_pylist()
             for i, s in enumerate(q @ x.T):
                 if s.max() >= least[i]:
@@ -176,17 +185,19 @@ def _compare(k: int):
     return compare
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows, by cosine, of each row of which the key is divisible by
     ``every``, nearest first and ties by smaller vec_id; all others if they are fewer.
 
     A query walks the pairs of centroids until their cells hold the index's budget of rows and meets these cells' rows,
     which are compared in double precision. The first cells give a bound, and of the cells behind them only rows that
-    reach it leave their task. Large cells and many queries are split into blocks that meet pairwise, so no
-    task outgrows BLOCK rows of either; equal vectors are searched once.
+    reach it leave their task. A cell's rows and the queries that reach it are split into blocks that meet pairwise, so no
+    task outgrows BLOCK rows of either, and only cells that many queries reach are copied; equal vectors are searched once.
+    With a ``recall`` of 1 every query meets all cells, and the answer is exact.
 
     Null keys, null and zero vectors, vectors with null or non-finite components, and vectors of another length than most
-    take no part; repeated rows count once; an empty table gives an empty result; other columns are ignored.
+    (cosine has no value for these) take no part; repeated rows count once; an empty table gives an empty result; other
+    columns are ignored.
     """
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score double"
@@ -195,50 +206,41 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     if not sizes:
         return spark.createDataFrame([], shape)
     rows = cut(rows.where(F.size("vector") == sizes[0].n).groupBy("vec_id", "vector").agg(F.lit(1).alias("one")).drop("one"))
-    classes, index = build(rows, k)
+    classes, index = build(rows, k, recall)
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = cut(asked.join(classes.select("vector", "cid"), "vector").select("vec_id", "cid"))
     wanted = cut(classes.join(queries.select("cid").distinct(), "cid", "left_semi").select(F.col("cid").alias("qid"), "vector"))
-    halves = max(1, -(-wanted.count() // BLOCK))
-    split = np.maximum(1, -(-index.held // BLOCK))
+    parts = np.maximum(1, -(-index.held // BLOCK))
 
-    def probes(asking: DataFrame, part: int) -> DataFrame:
-        """(qid, cell, part, vector, least, side) of (qid, vector, least), for the first cells (0) or those behind (1)."""
-        schema = pa.schema([("qid", pa.int64()), ("cell", pa.int64()), ("part", pa.int64()), ("vector", pa.list_(pa.float64())), ("least", pa.float64())])
+    def reached(asking: DataFrame, part: int) -> DataFrame:
+        """(qid, least, cell) of (qid, vector, least), for the first cells (0) or those behind (1)."""
+        schema = pa.schema([("qid", pa.int64()), ("least", pa.float64()), ("cells", pa.list_(pa.int64()))])
 
         def walk(batches):
             for batch in batches:
-                out = []
-                for qid, v, least in zip(*(c.to_pylist() for c in batch.columns)):
-                    out += [(qid, c, p, v, least) for c in index.reach(unit([v])[0])[part] for p in range(split[c])]
-                    if len(out) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-                        out = []
+                out = [(qid, least, index.reach(unit([v])[0])[part]) for qid, v, least in zip(*(c.to_pylist() for c in batch.columns))]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
-        found = asking.select("qid", "vector", "least").mapInArrow(walk, "qid long, cell long, part long, vector array<double>, least double")
-        return found.withColumn("side", F.pmod(F.xxhash64("qid"), F.lit(halves).cast("long")))
+        lists = asking.select("qid", "vector", "least").mapInArrow(walk, "qid long, least double, cells array<long>")
+        return cut(lists.select("qid", "least", F.explode("cells").alias("cell")))
 
-    one = int(split.max()) == 1
-    if not one:
-        table = spark.createDataFrame([(c, int(n)) for c, n in enumerate(split) if index.held[c]], "cell long, parts int")
-        entries = classes.join(F.broadcast(table), "cell")  # at most a row for each pair of centroids
-    else:
-        entries = classes.withColumn("parts", F.lit(1))
-    entries = entries.select("cid", "ids", "vector", "cell", F.pmod(F.xxhash64("cid"), F.col("parts").cast("long")).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(halves - 1)).cast("array<bigint>")).alias("side"))
-    first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cid"))
+    def meet(asking: DataFrame, part: int) -> DataFrame:
+        """Each query with the rows of its cells, in blocks."""
+        asks = reached(asking, part)
+        sides = {r.cell: -(-r.n // BLOCK) for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most a row for each pair of centroids
+        blocks = F.broadcast(spark.createDataFrame([(c, int(parts[c]), int(n)) for c, n in sides.items()], "cell long, parts long, sides long"))
+        left = asks.join(blocks, "cell").join(wanted, "qid").select("qid", F.col("vector").alias("asked"), "least", F.col("cell").alias("cell"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.pmod(F.xxhash64("qid"), F.col("sides")).alias("side"))
+        right = classes.join(blocks, "cell").select("cid", "ids", "vector", "cell", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part"), F.explode(F.expr("sequence(0L, sides - 1)")).alias("side"))
+        by = ["cell", "part", "side"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_compare(k), "qid long, cid long, ids array<long>, score double")
 
-    def meet(probing: DataFrame) -> DataFrame:
-        return probing.groupBy("cell", "part", "side").cogroup(entries.groupBy("cell", "part", "side")).applyInArrow(_compare(k), "qid long, cid long, ids array<long>, score double")
-
-    def top(met: DataFrame) -> DataFrame:
-        return cut(met.withColumn("r", first).where(F.col("r") <= k + 1).drop("r"))
-
-    near = top(meet(probes(wanted.withColumn("least", F.lit(-2.0)), 0)))
+    first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cid"))
+    top = lambda met: cut(met.withColumn("r", first).where(F.col("r") <= k + 1).drop("r"))
+    near = top(meet(wanted.withColumn("least", F.lit(-2.0)), 0))
     bound = near.groupBy("qid").agg(F.when(F.count("*") > k, F.min("score")).alias("bound"))
     bounded = wanted.join(bound, "qid", "left").select("qid", "vector", F.coalesce("bound", F.lit(-2.0)).alias("least"))
-    hits = top(near.union(meet(probes(bounded, 1))))
+    hits = top(near.union(meet(bounded, 1)))
     found = queries.join(hits, queries["cid"] == hits["qid"]).select(F.col("vec_id").alias("query_id"), F.explode("ids").alias("near"), "score").where("near <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "near"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("near").alias("vec_id"), "score")
