@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import ann, langid, media, mixing, packing, sharding, simhash, substring, token_output, toxicity
+from lectern.storage import shared_dir
 
 #: Tokens of a sequence, and what ends a document.
 WINDOW, END = 2048, 1
@@ -39,8 +42,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the packed id matrix with checksums of ids and positions."""
+    """The rows of the packed id matrix, written and read back, with checksums of ids and positions."""
     rows = token_output.pack_matrix(table(spark, sf_dir, "documents"), tokenizer(), WINDOW, END)
+    rows = token_output.save(rows, f"{shared_dir(spark).rstrip('/')}/matrix-{uuid.uuid4().hex}")
     return rows.select("sequence_id", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
 
 

@@ -117,3 +117,14 @@ def pack_matrix(docs: DataFrame, tokenizer: str, window: int = 2048, end: int |
 
     packed = texts(docs).select("doc_id", "text").mapInArrow(batches, ROWS)
     return packed.withColumn("sequence_id", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("sequence_id"))
+
+
+def save(rows: DataFrame, path: str) -> DataFrame:
+    """Writes matrix rows as a Parquet table, each task its own file, and returns the table as read from there."""
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def matrix(rows: list, column: str = "input_ids") -> np.ndarray:
+    """[sequence, position] of the ids, or the positions, of rows held here."""
+    return np.stack([np.frombuffer(r[column], "<u4") for r in rows]) if rows else np.zeros((0, 0), "<u4")
