@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space.
@@ -19,3 +19,12 @@ def word_count(text: str = "text") -> Column:
 def class_key(column: str) -> Column:
     """A non-null string that sorts like ``column`` by code point, with null last."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("~"))
+
+
+def only_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose doc_id and hash of the text are in ``kept`` (doc_id, text_hash); of
+    rows that repeat both, one. Rows are dealt once, by the keys that both steps share."""
+    key = lambda d, h: [F.coalesce(d, F.lit(0)).alias("k1"), d.isNull().alias("k2"), h.alias("k3")]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *key(docs["doc_id"], F.xxhash64(docs["text"])))
+    names = ["k1", "k2", "k3"]
+    return rows.join(kept.select(*key(kept["doc_id"], kept["text_hash"])), names, "left_semi").dropDuplicates(names).select("row.*")

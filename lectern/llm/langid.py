@@ -91,13 +91,13 @@ class Profiles:
 def learn(docs: DataFrame, most: int = 5_000) -> Profiles:
     """Profiles from the text of rows with a non-null lang.
 
-    Of a language with more than ``most`` rows, a share by hash of the text that is expected to hold ``most`` is read: a
-    bounded sample of labelled rows. n-grams are counted in the tasks and summed by (language, n-gram); the top of each
+    Of a language with more than ``most`` rows, a share by hash of (doc_id, text) that is expected to hold ``most`` is read:
+    a bounded sample of labelled rows, also where one text stands in very many of them. n-grams are counted in the tasks and summed by (language, n-gram); the top of each
     language is first found within hash buckets of n-grams, so the ranking never gathers all n-grams of a language.
     """
-    named = texts(docs).where("lang is not null and text is not null").select("lang", "text")
+    named = texts(docs).where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("at"))
     share = cut(named.groupBy("lang").agg(F.least(F.lit(1.0), most / F.count("*")).alias("share")))
-    sample = named.join(broadcast_within(share), "lang").where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
+    sample = named.join(broadcast_within(share), "lang").where(F.pmod("at", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
 
     def count(batches):
         held: dict[str, list] = {}
@@ -143,7 +143,11 @@ def held_out(key: str = "doc_id"):
 
 
 def identify(docs: DataFrame, most: int = 5_000) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each document of (doc_id, text, lang), learned from the rows not held out."""
+    """(doc_id, held_out, lang_pred, score) for each document of (doc_id, text, lang), learned from the rows not held out.
+
+    Rows with null lang or text teach nothing and are still identified; null doc_ids count as an empty id; repeated rows
+    get equal answers; an empty table gives an empty result; other columns are ignored.
+    """
     out = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
     profiles = learn(out.where("not held_out"), most)
     return predict(out.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
@@ -151,7 +155,8 @@ def identify(docs: DataFrame, most: int = 5_000) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.02, most: int = 5_000) -> DataFrame:
     """The documents in some learned language, with all columns: rejected are those without letters and those that share
-    next to no n-grams with any profile (score below ``least``)."""
+    next to no n-grams with any profile (score below ``least``). Null and empty texts go; columns of any name and repeated
+    rows are kept as they are; an empty table stays empty."""
     profiles = learn(docs.where(~held_out()), most)
     full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
     return predict(full, profiles).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from lectern.llm.common import only_rows
 from lectern.operators.components import connected_components
 from lectern.storage import broadcast_within, cut, texts
 
@@ -210,12 +211,11 @@ def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
     several texts under it that with the smallest hash. Rows that repeat its doc_id and text stay one row.
 
     Groups are told apart by their fingerprints, so documents without a doc_id are not mixed up, and a doc_id that stands
-    for texts of several groups is kept once for each.
+    for texts of several groups is kept once for each. Null and empty texts are one group; columns of any name are kept; an
+    empty table stays empty.
     """
     rows, groups = _grouped(docs, radius, "doc_id", "text")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = rows.groupBy("fp").agg(F.min(first).alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = cut(best.select("first.doc_id", "first.text_hash"))
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["doc_id"]) & (marked["_text_hash"] == kept["text_hash"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return only_rows(docs, kept)
