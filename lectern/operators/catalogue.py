@@ -18,6 +18,11 @@ def contains(column: Column, words: str) -> Column:
     return column.ilike(f"%{words}%")
 
 
+def lookup(rows: DataFrame, **given) -> DataFrame:
+    """Rows that equal every given value; a value of None asks for nothing."""
+    return reduce(lambda d, kv: d.where(F.col(kv[0]) == kv[1]), [x for x in given.items() if x[1] is not None], rows)
+
+
 def entities(kinds: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """(kind, id, title) of several tables: for each kind its table, id and title columns."""
     return reduce(DataFrame.unionByName, (t.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(title).alias("title")) for kind, (t, key, title) in kinds.items()))
