@@ -82,3 +82,11 @@ def repeated_lines(docs: DataFrame, least: int = 3) -> DataFrame:
     """(line, docs): lines that stand in ``least`` documents or more. A document counts once for a line."""
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
     return lines.distinct().groupBy("line").agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
+
+
+def token_spans(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, k, token, start, stop): the words of each text between white space, with their characters."""
+    pieces = rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0))).alias("k", "piece"))
+    stop = F.sum(F.char_length("piece")).over(Window.partitionBy(key).orderBy("k"))
+    token = F.regexp_replace("piece", r"^\s+", "")
+    return pieces.select(key, (F.col("k") + 1).cast("long").alias("k"), token.alias("token"), stop.alias("stop")).withColumn("start", F.col("stop") - F.char_length("token"))
