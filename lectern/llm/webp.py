@@ -7,7 +7,6 @@ from the top.
 from __future__ import annotations
 
 import functools
-import heapq
 import struct
 
 import numpy as np
@@ -91,6 +90,21 @@ class Code:
         raise ValueError("a code that no symbol has")
 
 
+@functools.lru_cache(64)
+def _length_table(first: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(symbol, bits) of the code length code by the next seven bits."""
+    used = [s for s, n in enumerate(first) if n]
+    if len(used) == 1:
+        return [(used[0], 0)] * 128
+    if sum(1 << (7 - first[s]) for s in used) != 128:
+        raise ValueError("a prefix code that is not complete")
+    table = [(0, 0)] * 128
+    for n, c, s in canonical(first):
+        for rest in range(1 << (7 - n)):
+            table[reversed_bits(c, n) | rest << n] = s, n
+    return table
+
+
 def read_lengths(bits: Bits, size: int) -> list[int]:
     """Code lengths of a prefix code over ``size`` symbols."""
     lengths = [0] * size
@@ -103,21 +117,28 @@ def read_lengths(bits: Bits, size: int) -> list[int]:
     first = [0] * 19
     for i in range(4 + bits.read(4)):
         first[LENGTH_ORDER[i]] = bits.read(3)
-    code = Code(first)
+    table = _length_table(tuple(first))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
+    at, last, start = 0, 8, bits.at >> 3
+    word = int.from_bytes(bits.data[start:start + 2 * size + 8], "little") >> (bits.at & 7)  # 14 bits a symbol at most
     while at < size and left:
         left -= 1
-        s = code.read(bits)
+        s, n = table[word & 127]
+        word >>= n
+        bits.at += n
         if s < 16:
             lengths[at] = s
             at, last = at + 1, s or last
-        else:
-            value, n = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-            if at + n > size:
-                raise ValueError("code lengths run past the alphabet")
+            continue
+        value, n, extra = (last, 3, 2) if s == 16 else (0, 3, 3) if s == 17 else (0, 11, 7)
+        n += word & (1 << extra) - 1
+        word >>= extra
+        bits.at += extra
+        if at + n > size:
+            raise ValueError("code lengths run past the alphabet")
+        if value:
             lengths[at:at + n] = [value] * n
-            at += n
+        at += n
     return lengths
 
 
@@ -370,6 +391,7 @@ def _head_of(data: bytes) -> _Head | None:
 
 
 _REVERSED = np.array([reversed_bits(i, SPAN) for i in range(1 << SPAN)])
+_REVERSED_BY = [[reversed_bits(i, n) for i in range(1 << n)] for n in range(SPAN + 1)]
 #: Extra bits and first value of each prefix symbol of lengths and distances.
 _EXTRA = np.array([0] * 4 + [(s - 2) >> 1 for s in range(4, 40)], np.uint64)
 _FIRST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)], np.int64)
@@ -478,25 +500,52 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     if len(used) <= 1:
         out[used] = 1
         return out
-    weight, least = counts[used].astype(np.int64), 1
+    used = used[np.argsort(counts[used], kind="stable")]
+    weight, least, n = counts[used].tolist(), 1, len(used)
     while True:
-        heap = [(c, i) for i, c in enumerate(weight.tolist())]
-        heapq.heapify(heap)
-        parent, n = {}, len(heap)
-        while len(heap) > 1:
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[i] = parent[j] = n
-            heapq.heappush(heap, (a + b, n))
-            n += 1
-        depth = {n - 1: 0}
-        for i in range(n - 2, -1, -1):
+        # leaves and joined nodes both come in order of weight, so the two lightest are at the heads of two queues
+        heavy, parent, leaf, node = [], [0] * (2 * n - 1), 0, 0
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (node >= len(heavy) or weight[leaf] <= heavy[node]):
+                    total += weight[leaf]
+                    parent[leaf] = new
+                    leaf += 1
+                else:
+                    total += heavy[node]
+                    parent[n + node] = new
+                    node += 1
+            heavy.append(total)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
-        sizes = np.array([depth[i] for i in range(len(used))])
-        if sizes.max() <= most:
-            out[used] = sizes
+        if max(depth[:n]) <= most:
+            out[used] = depth[:n]
             return out
         least *= 2  # in the end all weights are equal, and the code as short as it can be
-        weight = np.maximum(weight, least)
+        weight = [max(w, least) for w in weight]
+
+
+def bits_for(counts: np.ndarray) -> float:
+    """About the bits that a prefix code takes for symbols with counts: their entropy."""
+    c = counts[counts > 0].astype(float)
+    return float((c * (np.log2(c.sum()) - np.log2(c))).sum())
+
+
+@functools.cache
+def _codes_of(lengths: tuple[int, ...]) -> dict[int, tuple[int, int]]:
+    return {s: (reversed_bits(c, n), n) for n, c, s in canonical(lengths)}
+
+
+def _canonical_bits(used: list[int], sizes: list[int]) -> dict[int, tuple[int, int]]:
+    """(bits as written, length) of the canonical code of the used symbols."""
+    out, code, last = {}, 0, 0
+    for n, s in sorted((sizes[s], s) for s in used):
+        code <<= n - last
+        out[s] = _REVERSED_BY[n][code], n
+        code, last = code + 1, n
+    return out
 
 
 class Writer:
@@ -532,23 +581,18 @@ class Writer:
         self.put(15, 4)
         for s in LENGTH_ORDER:
             self.put(first[s], 3)
-        coded = {s: (reversed_bits(c, n), n) for n, c, s in canonical(first)}
+        coded = _codes_of(tuple(first))
         tokens, at, last = [], 0, used[-1] + 1
-        while at < last:
-            if lengths[at]:
-                tokens.append((int(lengths[at]), 0, 0))
-                at += 1
-                continue
-            run = at
-            while not lengths[run]:
-                run += 1
-            n = run - at
+        sizes = [int(n) for n in lengths[:last]]
+        for s in used:
+            n = s - at
             while n >= 3:
                 k = min(n, 138)
                 tokens.append((18, k - 11, 7) if k >= 11 else (17, k - 3, 3))
                 n -= k
             tokens += [(0, 0, 0)] * n
-            at = run
+            tokens.append((sizes[s], 0, 0))
+            at = s + 1
         if last < len(lengths):
             size = max(2, (len(tokens) - 2).bit_length() + 1 & ~1)
             self.put(1, 1)
@@ -556,10 +600,13 @@ class Writer:
             self.put(len(tokens) - 2, size)
         else:
             self.put(0, 1)
+        word = size = 0
         for s, value, extra in tokens:
             v, n = coded[s]
-            self.put(v | value << n, n + extra)
-        return {s: (reversed_bits(c, n), n) for n, c, s in canonical(lengths)}
+            word |= (v | value << n) << size
+            size += n + extra
+        self.put(word, size)
+        return _canonical_bits(used, sizes)
 
     def bytes(self) -> bytes:
         return self.word.to_bytes(-(-self.size // 8), "little")
@@ -700,11 +747,12 @@ def find_copies(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n <= LEAST:
         return none, none, none
     raw = data.tobytes()
-    keys = np.ndarray(n, "<u8", raw + b"\0" * 8, strides=(1,))[:n - LEAST + 1] & np.uint64((1 << 8 * LEAST) - 1)
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
+    keys = np.ndarray(n, "<u8", raw + b"\0" * 8, strides=(1,))[:n - LEAST + 1] << np.uint64(64 - 8 * LEAST)
+    keys = np.sort(keys | np.arange(len(keys), dtype=np.uint64))  # places take the lower 16 bits
+    at = (keys & np.uint64(0xFFFF)).astype(np.int64)
+    same = keys[1:] >> np.uint64(16) == keys[:-1] >> np.uint64(16)
     before = np.full(n, -1, np.int64)
-    before[order[1:][same]] = order[:-1][same]
+    before[at[1:][same]] = at[:-1][same]
     places = np.flatnonzero(before >= 0)
     froms, out, at = before[places].tolist(), [], 0
     for i, j in zip(places.tolist(), froms):
@@ -735,23 +783,22 @@ def _short_codes(width: int) -> dict[int, int]:
 def encode_green(data: np.ndarray, width: int, full: int, palette: np.ndarray | None) -> bytes:
     """A VP8L stream of green values in rows of ``width``; ``palette`` has the samples that they stand for, in rows of
     ``full``. Values are literals, or copies of earlier ones where these take fewer bits."""
-    plain = code_lengths(np.bincount(data, minlength=280), SPAN)
+    counts, far, literal = np.bincount(data, minlength=280), np.zeros(40, np.int64), None
     at, size, back = find_copies(data)
-    lengths, far, literal = plain, np.zeros(40, np.int64), np.ones(len(data), bool)
     if len(at):
         short = _short_codes(width)
         n_sym, n_more, n_bits = _prefixed(size)
         d_sym, d_more, d_bits = _prefixed(np.array([short.get(d, d + 120) for d in back.tolist()], np.int64))
-        edge = np.zeros(len(data) + 1, np.int64)
+        edge = np.zeros(len(data) + 1, np.int8)
         edge[at] = 1
         edge[at + size] -= 1
-        literal = np.cumsum(edge[:-1]) == 0
-        counts = np.bincount(np.concatenate([data[literal], 256 + n_sym]), minlength=280)
-        d_counts = np.bincount(d_sym, minlength=40)
-        lengths, far = code_lengths(counts, SPAN), code_lengths(d_counts, SPAN)
-        took = int((counts * lengths).sum() + (d_counts * far).sum() * (np.count_nonzero(far) > 1) + n_bits.sum() + d_bits.sum()) + CODE_BITS
-        if took >= int((np.bincount(data, minlength=280) * plain).sum()):
-            at, lengths, far, literal = at[:0], plain, np.zeros(40, np.int64), np.ones(len(data), bool)
+        literal = np.cumsum(edge[:-1], dtype=np.int8) == 0
+        both, d_counts = np.bincount(np.concatenate([data[literal], 256 + n_sym]), minlength=280), np.bincount(d_sym, minlength=40)
+        if bits_for(both) + bits_for(d_counts) + int(n_bits.sum() + d_bits.sum()) + CODE_BITS < bits_for(counts):
+            counts, far = both, code_lengths(d_counts, SPAN)
+        else:
+            at, literal = at[:0], None
+    lengths = code_lengths(counts, SPAN)
     w = Writer()
     _head(w, full, len(data) // width)
     if palette is not None:
@@ -768,17 +815,19 @@ def encode_green(data: np.ndarray, width: int, full: int, palette: np.ndarray |
     value, bits = np.zeros(280, np.int64), np.zeros(280, np.int64)
     for s, (v, n) in codes.items():
         value[s], bits[s] = v, n
-    where = np.flatnonzero(literal)
-    parts = [(where * 2, value[data[where]], bits[data[where]])]
     if len(at):
+        where = np.flatnonzero(literal)
+        v, n = np.zeros(len(where) + 2 * len(at), np.int64), np.zeros(len(where) + 2 * len(at), np.int64)
+        slot = np.arange(len(where)) + 2 * np.searchsorted(at, where)
+        v[slot], n[slot] = value[data[where]], bits[data[where]]
         d_value, d_size = np.zeros(40, np.int64), np.zeros(40, np.int64)
-        for s, (v, n) in d_codes.items():
-            d_value[s], d_size[s] = v, n
-        parts.append((at * 2, value[256 + n_sym] | n_more << bits[256 + n_sym], bits[256 + n_sym] + n_bits))
-        parts.append((at * 2 + 1, d_value[d_sym] | d_more << d_size[d_sym], d_size[d_sym] + d_bits))
-    turn, v, n = (np.concatenate(c) for c in zip(*parts))
-    order = np.argsort(turn, kind="stable")
-    v, n = v[order], n[order]
+        for s, (x, k) in d_codes.items():
+            d_value[s], d_size[s] = x, k
+        slot = np.searchsorted(where, at) + 2 * np.arange(len(at))
+        v[slot], n[slot] = value[256 + n_sym] | n_more << bits[256 + n_sym], bits[256 + n_sym] + n_bits
+        v[slot + 1], n[slot + 1] = d_value[d_sym] | d_more << d_size[d_sym], d_size[d_sym] + d_bits
+    else:
+        v, n = value[data], bits[data]
     ends = np.cumsum(n)
     total = w.size + int(ends[-1])
     at = w.size + ends - n
