@@ -78,6 +78,15 @@ def bootstrap(families: DataFrame, family: str, value: str, rounds: int = 1000,
     return means.agg(F.first("mean").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+def harm_report(rows: DataFrame, family: str, harmful: str, rounds: int = 10_000, seed: str = "harm") -> DataFrame:
+    """One row: families, harmful events, families with any, their share and its interval over resamples of families. No
+    number of resamples shows that harm is rare, so no claim of safety is ever supported."""
+    sums = rows.groupBy(family).agg(F.max(harmful).cast("double").alias("v"), F.sum(harmful).alias("events"))
+    counts = sums.agg(F.count("*").alias("families"), F.sum("events").alias("harm_events"), F.count_if(F.col("v") > 0).alias("families_with_harm"))
+    interval = bootstrap(sums, family, "v", rounds, seed).withColumnRenamed("mean", "fraction")
+    return counts.join(F.broadcast(interval)).withColumn("safety_claim_supported", F.lit(False))  # a row each
+
+
 def agreement(votes: DataFrame, page: str, voter: str, text: str) -> DataFrame:
     """(a, b, pages, rate) for two voters a < b: the pages that both voted on, and the share on which their texts agree.
 
