@@ -36,13 +36,19 @@ def safe_removals(members: DataFrame, edges: DataFrame, keepers: DataFrame) -> D
 
 
 def near_lengths(docs: DataFrame, share: float = 0.02) -> DataFrame:
-    """(a, b) of documents of one source whose sizes differ by at most ``share`` of the smaller, 1 at least.
+    """(doc_id, links): how many other documents of its source have a size that differs by at most ``share`` of the smaller
+    one, 1 at least.
 
-    A range join: sizes are dealt into buckets as wide as the widest range that starts there, so that a pair meets in the
-    bucket of the smaller or the next one.
+    Documents are first counted by source and size, so only different sizes meet: in a range join over buckets as wide as
+    the widest range that starts there, so that a pair meets in the bucket of the smaller or the next one.
     """
-    sized = docs.where("n_chars > 0").select("doc_id", "source", "n_chars").withColumn("most", F.greatest(F.lit(1), F.floor(F.col("n_chars") * share)))
+    docs = docs.where("n_chars > 0").select("doc_id", "source", "n_chars")
+    sized = docs.groupBy("source", "n_chars").agg(F.count("*").alias("n")).withColumn("most", F.greatest(F.lit(1), F.floor(F.col("n_chars") * share)))
     width = F.floor(F.log(1 + 2 * share, F.col("n_chars").cast("double") + 1 / share))
-    left = sized.select(F.col("doc_id").alias("a"), "source", F.col("n_chars").alias("x"), "most", F.explode(F.array(width, width + 1)).alias("cell"))
-    right = sized.select(F.col("doc_id").alias("b"), "source", F.col("n_chars").alias("y"), width.alias("cell"))
-    return left.join(right, ["source", "cell"]).where("y - x between 0 and most and (x < y or a < b)").select("a", "b")
+    left = sized.select("source", F.col("n_chars").alias("x"), F.col("n").alias("nx"), "most", F.explode(F.array(width, width + 1)).alias("cell"))
+    right = sized.select("source", F.col("n_chars").alias("y"), F.col("n").alias("ny"), width.alias("cell"))
+    pairs = left.join(right, ["source", "cell"]).where("y - x between 1 and most")
+    either = pairs.select("source", F.explode(F.array(F.struct(F.col("x").alias("n_chars"), F.col("ny").alias("links")), F.struct(F.col("y").alias("n_chars"), F.col("nx").alias("links")))).alias("e"))
+    links = either.groupBy("source", F.col("e.n_chars").alias("n_chars")).agg(F.sum("e.links").alias("other"))
+    counted = sized.join(links, ["source", "n_chars"], "left").select("source", "n_chars", (F.col("n") - 1 + F.coalesce("other", F.lit(0))).alias("links"))
+    return docs.join(counted, ["source", "n_chars"]).select("doc_id", "links")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.relations import pools
+
 
 def blocked_pairs(rows: DataFrame, key: str, block: Column, text: str, score, least: float = 0.0, sizes: tuple[int, int] = (2, 20)) -> DataFrame:
     """(a, b, score): pairs a < b of rows of one block with ``score(text, text)`` of ``least`` or more.
@@ -27,10 +29,11 @@ def large_blocks(rows: DataFrame, key: str, block: Column, most: int = 20) -> Da
     return named.join(large, "block").select("id", "class_id", "members")
 
 
-def best_candidates(left: DataFrame, right: DataFrame, key: str, block: str, text: str, score, least: float, k: int) -> DataFrame:
-    """(id, candidate, score, rank): for each left row the k best right rows of its block, ties to the smaller candidate."""
+def best_candidates(left: DataFrame, right: DataFrame, key: str, block: str, text: str, score, least: float, k: int, pool: int = 100) -> DataFrame:
+    """(id, candidate, score, rank): for each left row the k best of the first ``pool`` right rows of its block, by id, ties to
+    the smaller candidate. A block's pool is cut before anything is scored, so a row meets a bounded number of others."""
     a = left.select(F.col(key).alias("id"), F.col(block).alias("block"), F.col(text).alias("t_a"))
-    b = right.select(F.col(key).alias("candidate"), F.col(block).alias("block"), F.col(text).alias("t_b"))
+    b = pools(right.select(F.col(key).alias("candidate"), F.col(block).alias("block"), F.col(text).alias("t_b")), "block", "candidate", pool)
     scored = a.join(b, "block").select("id", "candidate", score(F.col("t_a"), F.col("t_b")).alias("score")).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "candidate"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

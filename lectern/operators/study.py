@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from lectern.functions.text import portable_hash
 
 
-def nearest_rank(values: str, p: float) -> Column:
-    """The value at index round(p * (n - 1)), halves to even, of the sorted values. Gathers a group's values."""
-    return F.element_at(F.array_sort(F.collect_list(values)), F.bround(F.lit(p) * (F.count(values) - 1)).cast("int") + 1)
+def gaps(rows: DataFrame, key: str, ts: str, order: str, width: str = "1 hour") -> DataFrame:
+    """``rows`` with ``gap_us``: microseconds since the row before of the same key. A key's rows are dealt by stretches of
+    ``width``; the last time of the stretch before, of which there is one row each, is carried over the border."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    cell = F.date_trunc("hour", ts) if width == "1 hour" else F.window(ts, width)["start"]
+    marked = rows.withColumn("_cell", cell)
+    inside = F.lag(ts).over(Window.partitionBy(key, "_cell").orderBy(ts, order))
+    ends = marked.groupBy(key, "_cell").agg(F.max(ts).alias("_end"))
+    carried = ends.select(F.col(key).alias("_k"), F.col("_cell").alias("_c"), F.lag("_end").over(Window.partitionBy(key).orderBy("_cell")).alias("_carry"))
+    joined = marked.withColumn("_before", inside).join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cell").eqNullSafe(F.col("_c")), "left")
+    return joined.withColumn("gap_us", micros(F.col(ts)) - micros(F.coalesce("_before", "_carry"))).drop("_cell", "_before", "_k", "_c", "_carry")
 
 
 def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -64,7 +72,7 @@ def threshold_grid(rows: DataFrame, score: str, good: Column, bad: Column, steps
     return full.select((F.col("cell") / steps).alias("threshold"), *[F.sum(c).over(above).alias(c) for c in ("accepted", "good", "bad")])
 
 
-def bootstrap(families: DataFrame, family: str, value: str, rounds: int = 1000, seed: str = "b") -> DataFrame:
+def bootstrap(families: DataFrame, family: str, value: str, rounds: int = 10_000, seed: str = "b") -> DataFrame:
     """(mean, low, high): the mean of the families' values and its 95 % interval over resamples of families.
 
     Draw j of round i takes the family at position md5(seed:i:j) mod n in the order of families. ``families`` has one row

@@ -66,7 +66,7 @@ def title_block_fuzzy_large(t):
     return resolution.large_blocks(t("part"), "p_partkey", F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")), 500)
 
 
-@query("""WITH s AS (SELECT a.p_partkey AS id, b.p_partkey AS candidate, 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_size <= 5 AND b.p_size > 5)
+@query("""WITH k AS (SELECT * FROM part WHERE p_size > 5 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 100), s AS (SELECT a.p_partkey AS id, b.p_partkey AS candidate, 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) AS score FROM part a JOIN k b ON a.p_brand = b.p_brand WHERE a.p_size <= 5)
 SELECT id, candidate, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate) AS rank FROM s WHERE score >= 0.2 QUALIFY rank <= 3""")
 def resolve_topk(t):
     part = t("part")
@@ -131,7 +131,7 @@ def reconcile_report(t):
 
 @query("""WITH f AS (SELECT source, avg(quality) - avg(toxic) AS v FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1),
 p AS (SELECT row_number() OVER (ORDER BY source) - 1 AS pos, v FROM f), n AS (SELECT count(*) AS n, avg(v) AS mean FROM f),
-m AS (SELECT i, avg(v) AS m FROM range(1000) r(i), n, unnest(range(n.n)) u(j) JOIN p ON pos = ('0x' || substr(md5('pair:' || i || ':' || j), 1, 8))::BIGINT % n.n GROUP BY 1)
+m AS (SELECT i, avg(v) AS m FROM range(10000) r(i), n, unnest(range(n.n)) u(j) JOIN p ON pos = ('0x' || substr(md5('pair:' || i || ':' || j), 1, 8))::BIGINT % n.n GROUP BY 1)
 SELECT (SELECT mean FROM n) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m""")
 def paired_bootstrap(t):
     rows = t("labels").join(t("documents").select("doc_id", "source"), "doc_id").where("source is not null")

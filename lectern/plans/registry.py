@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import catalogue, duplicates, signatures, study
+from lectern.operators import catalogue, duplicates, evaluation, signatures, study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,8 +65,8 @@ def safe_removals(t):
     return duplicates.safe_removals(members, edges, members.groupBy("cluster_id").agg(F.min("doc_id").alias("keeper_id")))
 
 
-@query("""SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.source = b.source
-AND b.n_chars - a.n_chars BETWEEN 0 AND greatest(1, floor(a.n_chars * 0.02)) AND (a.n_chars < b.n_chars OR a.doc_id < b.doc_id) WHERE a.n_chars > 0""")
+@query("""SELECT a.doc_id, count(*) FILTER (WHERE b.doc_id <> a.doc_id) AS links FROM documents a JOIN documents b ON a.source = b.source
+AND greatest(a.n_chars, b.n_chars) - least(a.n_chars, b.n_chars) <= greatest(1, floor(least(a.n_chars, b.n_chars) * 0.02)) WHERE a.n_chars > 0 AND b.n_chars > 0 GROUP BY 1""")
 def page_count_range_join(t):
     return duplicates.near_lengths(t("documents"))
 
@@ -189,10 +189,10 @@ def isbn_checksum(t):
 
 # --- Evaluation
 
-@query("""WITH p AS (SELECT p_brand, substr(p_name, 1, 40) AS a, p_type AS b FROM part)
+@query("""WITH p AS (SELECT p_brand, p_name AS a, p_type AS b FROM part)
 SELECT p_brand, CAST(sum(levenshtein(a, lower(b))) AS BIGINT) AS edits, CAST(sum(length(a)) AS BIGINT) AS chars, sum(levenshtein(a, lower(b)))::DOUBLE / sum(length(a)) AS micro, avg(levenshtein(a, lower(b))::DOUBLE / length(a)) AS macro FROM p GROUP BY 1""")
 def micro_macro_report(t):
-    a, b = F.substring("p_name", 1, 40), F.lower("p_type")
+    a, b = F.col("p_name"), F.lower("p_type")
     edits = F.levenshtein(a, b).cast("long")
     return t("part").groupBy("p_brand").agg(F.sum(edits).alias("edits"), F.sum(F.char_length(a).cast("long")).alias("chars"), F.try_divide(F.sum(edits).cast("double"), F.sum(F.char_length(a))).alias("micro"), F.avg(X.error_rate(a, b)).alias("macro"))
 
@@ -200,7 +200,9 @@ def micro_macro_report(t):
 @query("""WITH x AS (SELECT l_returnflag, l_quantity AS q FROM lineitem), s AS (SELECT l_returnflag, list_sort(list(q)) AS v, count(*) AS n, quantile_cont(q, 0.95) AS linear FROM x GROUP BY 1)
 SELECT l_returnflag, linear, v[CAST(round_even(0.95 * (n - 1), 0) AS INT) + 1] AS nearest FROM s""")
 def percentile_ways(t):
-    return t("lineitem").groupBy("l_returnflag").agg(F.percentile("l_quantity", F.lit(0.95)).alias("linear"), study.nearest_rank("l_quantity", 0.95).alias("nearest"))
+    lines = t("lineitem").select("l_returnflag", "l_quantity")
+    linear = lines.groupBy("l_returnflag").agg(F.percentile("l_quantity", F.lit(0.95)).alias("linear"))
+    return linear.join(evaluation.nearest_rank(lines, "l_returnflag", "l_quantity", 0.95), "l_returnflag")
 
 
 @query("""SELECT source, count(*) AS labelled, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS beneficial, count(*) FILTER (WHERE toxic = 1) AS harmful,
@@ -236,8 +238,7 @@ def quota_by_day(t):
 
 @query("SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS gap_us FROM events")
 def call_pacing(t):
-    before = F.lag("ts").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return t("events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))).alias("gap_us"))
+    return study.gaps(t("events").select("event_id", "event_type", "ts"), "event_type", "ts", "event_id").select("event_id", "gap_us")
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -281,10 +282,10 @@ def loo_stability(t):
 
 # --- Signatures, resampling, agreement, queues
 
-@query("""WITH s AS (SELECT min(vec_id) AS id, sig FROM (SELECT vec_id, CAST(list_sum(list_transform(embedding[1:62], lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << CAST(i - 1 AS INT) ELSE 0::BIGINT END)) AS BIGINT) AS sig FROM embeddings) GROUP BY sig)
-SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.sig, b.sig)) AS INT) AS distance FROM s a JOIN s b ON a.id < b.id AND bit_count(xor(a.sig, b.sig)) <= 10""")
+@query("""WITH s AS (SELECT min(vec_id) AS id, sig FROM (SELECT vec_id, array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS sig FROM embeddings WHERE embedding IS NOT NULL) GROUP BY sig)
+SELECT a.id AS a, b.id AS b, CAST(hamming(a.sig, b.sig) AS INT) AS distance FROM s a JOIN s b ON a.id < b.id AND hamming(a.sig, b.sig) <= 10""")
 def signbit_hamming_pairs(t):
-    return signatures.hamming_pairs(t("embeddings"), "vec_id", signatures.sign_bits("embedding"), 10)
+    return signatures.hamming_pairs(t("embeddings"), "vec_id", signatures.sign_bits("embedding", 64), 10)
 
 
 @query("""WITH v AS (SELECT vec_id AS id, array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS sig FROM embeddings WHERE embedding IS NOT NULL),
@@ -296,7 +297,7 @@ def signbit_hamming_members(t):
 
 @query("""WITH f AS (SELECT source, avg(toxic) AS v FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY 1),
 p AS (SELECT row_number() OVER (ORDER BY source) - 1 AS pos, v FROM f), n AS (SELECT count(*) AS n, avg(v) AS mean FROM f),
-m AS (SELECT i, avg(v) AS m FROM range(1000) r(i), n, unnest(range(n.n)) u(j) JOIN p ON pos = ('0x' || substr(md5('b:' || i || ':' || j), 1, 8))::BIGINT % n.n GROUP BY 1)
+m AS (SELECT i, avg(v) AS m FROM range(10000) r(i), n, unnest(range(n.n)) u(j) JOIN p ON pos = ('0x' || substr(md5('b:' || i || ':' || j), 1, 8))::BIGINT % n.n GROUP BY 1)
 SELECT (SELECT mean FROM n) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m""")
 def harm_bootstrap(t):
     rows = t("labels").join(t("documents").select("doc_id", "source"), "doc_id").where("source is not null")
