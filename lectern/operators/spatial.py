@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,24 @@ def rows_by_height(boxes: DataFrame, page: str, key: str) -> DataFrame:
 
     numbered = pages.withColumn("rows", F.aggregate("items", start, step)["rows"])
     return numbered.select(page, F.explode(F.arrays_zip("items", "rows")).alias("e")).select(page, F.col("e.items.id").alias(key), F.col("e.rows").alias("row"))
+
+
+def nearest_lines(words: DataFrame, lines: DataFrame, page: str, key: str) -> DataFrame:
+    """(word, line, hit): the smallest line that each word's box meets; for the others the line with the nearest vertical
+    centre, ties to the smaller. On pages without lines words get numbers of their own, from the top, from 0.
+
+    Lines and words are put in one order of centres, so a word looks at the line before and behind it alone.
+    """
+    met = overlaps(words, lines, page, key).groupBy("a").agg(F.min("b").alias("line"))
+    hits = met.select(F.col("a").alias("word"), "line", F.lit(True).alias("hit"))
+    centre = (F.col("y0") + F.col("y1")) / 2
+    rest = words.join(met.select(F.col("a").alias(key)), key, "left_anti").select(F.col(page).alias("page"), centre.alias("c"), F.col(key).alias("word"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("line"), ((F.col("x0") + F.col("x1")) / 2).alias("x"))
+    own = lines.select(F.col(page).alias("page"), centre.alias("c"), F.col(key).alias("id")).groupBy("page", "c").agg(F.min("id").cast("long").alias("line"))
+    own = own.select("page", "c", F.lit(None).cast("long").alias("word"), F.lit(0).alias("kind"), "line", F.lit(None).cast("double").alias("x"))
+    order = Window.partitionBy("page").orderBy("c", "kind", "x", "word")
+    side = F.when(F.col("line").isNotNull(), F.struct("c", "line"))
+    before, after = F.last(side, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first(side, True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    placed = own.union(rest).withColumn("up", before).withColumn("down", after).withColumn("n", F.row_number().over(order) - 1).where("word is not null")
+    up, down = F.col("c") - F.col("up.c"), F.col("down.c") - F.col("c")
+    nearest = F.when(F.col("down").isNull() | (up < down) | ((up == down) & (F.col("up.line") < F.col("down.line"))), F.col("up.line")).otherwise(F.col("down.line"))
+    return hits.union(placed.select("word", F.coalesce(nearest, F.col("n").cast("long")).alias("line"), F.lit(False).alias("hit")))

@@ -104,6 +104,15 @@ def agreement(votes: DataFrame, page: str, voter: str, text: str) -> DataFrame:
     return left.join(right, page).where("a < b").groupBy("a", "b").agg(F.count("*").alias("pages"), F.avg((F.col("t_a") == F.col("t_b")).cast("double")).alias("rate"))
 
 
+def agreement_by(votes: DataFrame, region: list[str], voter: str, text: str) -> DataFrame:
+    """(a, b, regions, rate): of two voters, the regions that both read and the share on which they agree but for white
+    space. Votes meet inside a region, of which there is one row a voter."""
+    from lectern.functions.text import collapsed
+
+    left, right = (votes.select(*region, F.col(voter).alias(s), collapsed(F.col(text)).alias(f"t_{s}")) for s in "ab")
+    return left.join(right, region).where("a < b").groupBy("a", "b").agg(F.count("*").alias("regions"), F.round(F.avg((F.col("t_a") == F.col("t_b")).cast("double")), 4).alias("rate"))
+
+
 def zero_filled(rows: DataFrame, key: str, state: str, states: tuple[str, ...]) -> DataFrame:
     """(key, state, n): how often each key has each of ``states``, 0 included. One aggregation, no join with the states."""
     counted = rows.groupBy(key).agg(*[F.count(F.when(F.col(state) == s, 1)).alias(s) for s in states])
