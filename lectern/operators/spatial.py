@@ -99,3 +99,27 @@ def nearest_lines(words: DataFrame, lines: DataFrame, page: str, key: str) -> Da
     up, down = F.col("c") - F.col("up.c"), F.col("down.c") - F.col("c")
     nearest = F.when(F.col("down").isNull() | (up < down) | ((up == down) & (F.col("up.line") < F.col("down.line"))), F.col("up.line")).otherwise(F.col("down.line"))
     return hits.union(placed.select("word", F.coalesce(nearest, F.col("n").cast("long")).alias("line"), F.lit(False).alias("hit")))
+
+
+def merged_lines(regions: DataFrame, page: str) -> DataFrame:
+    """(page, place, text, confidence, height, top, left, right): the lines of each page joined into blocks, tallest first.
+
+    From the top, a line joins the block before it if their heights differ by a quarter at most, it starts within 1.8 of
+    the block's height below the block's top, and they overlap from left to right. A block has all texts, the least
+    confidence, the largest height, and the block's first top. A page's lines are folded in one array.
+    """
+    line = F.struct(*[F.col(c).cast("double").alias(c) for c in ("top", "left", "right", "height", "confidence")], "text")
+    pages = regions.groupBy(page).agg(F.array_sort(F.collect_list(line)).alias("all"))
+    kind = pages.schema["all"].dataType
+
+    def put(got: Column, x: Column) -> Column:
+        last = F.try_element_at(got, F.lit(-1))
+        gap = x["top"] - last["top"]
+        close = (F.least(x["height"], last["height"]) >= 0.75 * F.greatest(x["height"], last["height"])) & (gap >= 0) & (gap <= 1.8 * F.greatest(last["height"], F.lit(1.0))) & (F.least(x["right"], last["right"]) > F.greatest(x["left"], last["left"]))
+        both = F.struct(last["top"].alias("top"), F.least(x["left"], last["left"]).alias("left"), F.greatest(x["right"], last["right"]).alias("right"), F.greatest(x["height"], last["height"]).alias("height"), F.least(x["confidence"], last["confidence"]).alias("confidence"), F.concat_ws(" ", last["text"], x["text"]).alias("text"))
+        return F.when(F.coalesce(close, F.lit(False)), F.array_append(F.slice(got, F.lit(1), F.size(got) - 1), both)).otherwise(F.array_append(got, x))
+
+    merged = F.aggregate("all", F.array().cast(kind), put)
+    tall = F.array_sort(F.transform(merged, lambda b: F.struct((-b["height"]).alias("h"), (-b["confidence"]).alias("c"), b.alias("b"))))
+    out = pages.select(page, F.posexplode(tall).alias("place", "x"))
+    return out.select(page, "place", *[F.col(f"x.b.{c}").alias(c) for c in ("text", "confidence", "height", "top", "left", "right")])

@@ -30,3 +30,50 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new")))
     return both.withColumn("_r", last).where("_r = 1").drop("_r", "_new")
+
+
+SPECIFICATION = "Title string, Author string, ISBN string, Publisher string, Edition string, `Number of Pages` string, Language string"
+
+
+def retail(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
+    """(line, title, author, isbn, pages, url, name): books of a retailer's JSONL dump behind line ``after``, with their
+    specification, which is JSON inside JSON. ``line`` is the cursor to go on from; broken lines and other products go."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "value")).select((F.col("at") + 1).alias("line"), "value").where((F.col("line") > after) & (F.trim("value") != ""))
+    rows = lines.select("line", F.from_json("value", BOOK, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("line", "r.*").where("_bad is null")
+    s = F.from_json("specification", SPECIFICATION)
+    return books(rows).select("line", F.coalesce(F.when(F.trim(s["Title"]) != "", s["Title"]), F.col("name")).alias("title"), s["Author"].alias("author"), s["ISBN"].alias("isbn"), F.regexp_extract(s["Number of Pages"], "[0-9]+", 0).try_cast("int").alias("pages"), "url", "name")
+
+
+def legacy_books(records: DataFrame) -> DataFrame:
+    """(title, author, isbn): the first author alone, and an ISBN's digits if they are ten or more."""
+    digits = F.regexp_replace(F.coalesce("isbn", F.lit("")), "[^0-9]", "")
+    return records.select(F.trim("name").alias("title"), F.try_element_at("authors", F.lit(1)).alias("author"), F.when(F.char_length(digits) >= 10, digits).alias("isbn")).where("title <> ''")
+
+
+def dump_records(dump: DataFrame, kinds: tuple[str, ...] = ("/type/edition", "/type/work")) -> DataFrame:
+    """(kind, key, title, payload) of dump lines with a title: JSON lines of any kind, five-field lines of the given kinds."""
+    title = F.trim(F.get_json_object("payload", "$.title"))
+    kind = F.coalesce("kind", F.get_json_object("payload", "$.type.key"))
+    return dump.select(kind.alias("kind"), F.coalesce("key", F.get_json_object("payload", "$.key")).alias("key"), title.alias("title"), "payload").where((F.col("title") != "") & (F.col("kind").isNull() | F.col("kind").isin(*kinds)))
+
+
+def response_items(responses: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, id, title, payload): the items of API responses that have a title; an item without an id is named by its place."""
+    items = responses.select(key, F.posexplode(F.from_json(F.get_json_object(raw, "$.items"), "array<string>")).alias("k", "payload"))
+    ident = F.coalesce(F.get_json_object("payload", "$.id"), F.concat(F.lit("position:"), F.col("k").cast("string")))
+    return items.select(key, ident.alias("id"), F.trim(F.get_json_object("payload", "$.volumeInfo.title")).alias("title"), "payload").where("title <> ''")
+
+
+def coverage_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """One row: all rows of a CSV with a header, and those in which each column is not blank; a column that is not there is
+    null, not 0."""
+    rows = spark.read.option("header", True).csv(path)
+    told = [F.count_if(F.trim(F.coalesce(c, F.lit(""))) != "").alias(c) if c in rows.columns else F.lit(None).cast("long").alias(c) for c in columns]
+    return rows.agg(F.count("*").alias("rows"), *told)
+
+
+def hypotheses(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text, seconds, error, model_rev): the last line of each id of a JSONL file."""
+    lines = spark.read.schema("id string, text string, seconds double, error string, model_rev string").json(path).where("id is not null").withColumn("_at", F.monotonically_increasing_id())
+    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_at")))
+    return lines.withColumn("_r", last).where("_r = 1").drop("_r", "_at")
