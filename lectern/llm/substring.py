@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,65 +13,115 @@ from pyspark.sql.functions import pandas_udf
 from lectern.llm.common import BATCH_BYTES
 from lectern.storage import cut, park, texts
 
-#: A sentence ends behind its closing marks before white space, or with its line.
-END = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 #: Longer sentences are cut behind words that their content chooses, one in eight, so equal passages are cut alike.
 LONG, CHOICE = 16, 8
 #: A run: so many consecutive sentences at least, and so many words.
 SENTENCES, WORDS = 3, 25
-WORD = re.compile(r"\S+")
 #: Words of a gram, and consecutive grams of which at least one is chosen. A stretch of GRAM + WINDOW - 1 = 51 words holds
 #: WINDOW whole grams, so one is chosen in it, and by its content alone.
 GRAM, WINDOW = 26, 26
+#: Marks that end a sentence before white space; a line ends one too.
+MARKS = np.array([ord(c) for c in ".!?。！？"], np.uint32)
+#: Odd bases of the hashes of words and of runs of words, and what tells runs of sentences from grams.
+LETTER, TERM, SENTENCE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
 SPAN = T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType())
 CLEANED = T.StructType().add("removed", T.IntegerType()).add("spans", T.ArrayType(SPAN)).add("text", T.StringType())
 
 
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each sentence with words, in order; the ends are without the white space behind."""
-    out, at = [], 0
-    for m in [*END.finditer(text), None]:
-        stop = m.start() if m else len(text)
-        piece = text[at:stop]
-        n = len(piece.split())
-        if n > LONG:
-            start = count = 0
-            for w in WORD.finditer(piece):
-                if not count:
-                    start = w.start()
-                count += 1
-                if not zlib.crc32(w.group().encode("utf-8", "replace")) % CHOICE:
-                    out.append((at + start, at + w.end(), count))
-                    count = 0
-            if count:
-                out.append((at + start, stop, count))
-        elif n:
-            out.append((at, stop, n))
-        at = m.end() if m else stop
-    return out
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
 
+    def __init__(self, base: np.uint64):
+        self.bases = np.uint64(base), np.uint64(pow(int(base), -1, 1 << 64))
+        self.held = [np.ones(1, np.uint64)] * 2
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[0]) < n:
+            size = 1 << n.bit_length()
+            self.held = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b)]), dtype=np.uint64) for b in self.bases]
+        return self.held[0][:n], self.held[1][:n]
+
+
+_LETTERS, _TERMS = _Powers(LETTER), _Powers(TERM)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    values = values ^ values >> np.uint64(32)
+    values = values * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ values >> np.uint64(29)
+
+
+def pieces_hashed(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, powers: _Powers) -> np.ndarray:
+    """A hash of values[start:stop] for each pair, that of equal pieces equal: sums of value * base^place, shifted to place 0."""
+    up, down = powers.upto(len(values) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1], dtype=np.uint64)])
+    return mixed((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+
+
+def _edges(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the words: runs of characters other than white space."""
+    word = np.ones(len(codes), bool)
+    low = codes < len(_SPACE)
+    word[low] = ~_SPACE[codes[low]]
+    step = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
-def runs(text: str) -> tuple[list[int], list[tuple[int, int]]]:
-    """(hash, characters that it covers) of the run from each sentence on: the shortest of at least SENTENCES sentences and
-    WORDS words, up to the next sentence. Sentences near the end that start no such run have none. Hashes ignore case and
-    the kind of white space."""
-    found = sentences(text)
-    if len(found) < SENTENCES:
-        return [], []
-    said = [b" ".join(text[a:b].lower().encode("utf-8", "replace").split()) for a, b, _ in found]
-    starts = [a for a, *_ in found] + [len(text)]
-    hashes, covers = [], []
-    last, words = 0, 0
-    for first in range(len(found)):
-        while last < len(found) and (words < WORDS or last - first < SENTENCES):
-            words += found[last][2]
-            last += 1
-        if words < WORDS or last - first < SENTENCES:
-            break
-        hashes.append(xxhash.xxh3_64_intdigest(b"\n".join(said[first:last])) - (1 << 63))
-        covers.append((starts[first], starts[last]))
-        words -= found[first][2]
-    return hashes, covers
+
+class Parsed:
+    """A text's words: where they start and stop, and their hashes without regard to case."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.size = len(codes)
+        self.starts, self.stops = _edges(codes)
+        low = text.lower()
+        if low is not text and low != text:
+            small = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+            starts, stops = (self.starts, self.stops) if len(small) == len(codes) else _edges(small)
+        else:
+            small, starts, stops = codes, self.starts, self.stops
+        self.hashes = pieces_hashed(small.astype(np.uint64), starts, stops, _LETTERS) if len(starts) else np.zeros(0, np.uint64)
+        self.codes = codes
+
+    def sentences(self) -> np.ndarray:
+        """The first word of each sentence, and the number of words at the end. Sentences of more than LONG words are cut."""
+        n = len(self.starts)
+        if not n:
+            return np.zeros(1, np.int64)
+        lines = np.cumsum(np.concatenate([[0], self.codes == 10]))
+        last = np.isin(self.codes[self.stops - 1], MARKS)
+        last[:-1] |= lines[self.starts[1:]] > lines[self.stops[:-1]]
+        last[-1] = True
+        of = np.cumsum(last) - last
+        cut = last | (self.hashes % np.uint64(CHOICE) == 0) & (np.bincount(of)[of] > LONG)
+        return np.concatenate([[0], np.flatnonzero(cut) + 1])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first word, word behind) of the run from each sentence on: the shortest of at least SENTENCES sentences and
+        WORDS words. Sentences near the end that start no such run have none."""
+        at = self.sentences()
+        first = np.arange(len(at) - 1)
+        last = np.maximum(np.searchsorted(at, at[:-1] + WORDS), first + SENTENCES)
+        good = last < len(at)
+        a, b = at[first[good]], at[last[good]]
+        return pieces_hashed(self.hashes, a, b, _TERMS) ^ SENTENCE, a, b
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first word, word behind) of chosen runs of GRAM words, without regard to sentences: any WINDOW consecutive
+        runs have one. Texts too short for a passage of over 50 words have none."""
+        n = len(self.starts) - GRAM + 1
+        if n < WINDOW:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        each = np.arange(n)
+        values = pieces_hashed(self.hashes, each, each + GRAM, _TERMS)
+        at = _chosen(values)
+        return values[at], at, at + GRAM
+
+    def ranges(self, first: np.ndarray, behind: np.ndarray, whole: bool) -> np.ndarray:
+        """First character in the upper, end in the lower 32 bits; up to the next word if ``whole``."""
+        stops = np.append(self.starts, self.size)[behind] if whole else self.stops[behind - 1]
+        return self.starts[first] << 32 | stops
 
 
 def _chosen(values: np.ndarray) -> np.ndarray:
@@ -107,58 +153,56 @@ def _chosen(values: np.ndarray) -> np.ndarray:
     return at[keep]
 
 
+def runs(text: str) -> tuple[list[int], list[tuple[int, int]]]:
+    """(hash, characters) of the runs of sentences."""
+    found = Parsed(text)
+    h, a, b = found.runs()
+    r = found.ranges(a, b, True)
+    return h.view(np.int64).tolist(), list(zip((r >> 32).tolist(), (r & 0xFFFFFFFF).tolist()))
+
+
 def grams(text: str) -> tuple[list[int], list[int]]:
-    """(hash, first word) of chosen runs of GRAM words, without regard to sentences, case and the kind of white space: any
-    WINDOW consecutive runs have one. Texts too short for a passage of over 50 words have none."""
-    words = text.lower().split()
-    if len(words) < GRAM + WINDOW - 1:
-        return [], []
-    one = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in set(words)}
-    each = np.array([one[w] for w in words], np.uint64)
-    n = len(each) - GRAM + 1
-    values = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        values = values * np.uint64(0x9E3779B97F4A7C15) + each[k:k + n]
-    values ^= values >> np.uint64(32)
-    values *= np.uint64(0xD6E8FEB86659FD93)
-    values ^= values >> np.uint64(29)
-    at = _chosen(values)
-    return values[at].view(np.int64).tolist(), at.tolist()
-
-
-def spans_of(text: str) -> tuple[list[int], list[int], list[int]]:
+    """(hash, first word) of the chosen runs of words."""
+    h, a, _ = Parsed(text).grams()
+    return h.view(np.int64).tolist(), a.tolist()
+
+
+def spans_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, range) of all runs of a text, and the ranges of those that repeat an earlier one of it: a run of words does so
-    only behind that one's end. A range is its first character in the upper, its end in the lower 32 bits."""
-    (hashes, covers), (more, at) = runs(text), grams(text)
-    ranges = [a << 32 | b for a, b in covers]
-    seen: set[int] = set()
-    again = [r for h, r in zip(hashes, ranges) if h in seen or seen.add(h)]
-    if more:
-        edges = [*(m.start() for m in WORD.finditer(text)), len(text)]
-        words = [edges[p] << 32 | edges[p + GRAM] for p in at]
-        ahead: dict[int, int] = {}
-        again += [r for h, p, r in zip(more, at, words) if p >= ahead.setdefault(h, p) + GRAM]
-        hashes, ranges = hashes + more, ranges + words
-    return hashes, ranges, again
+    only behind that one's end."""
+    found = Parsed(text)
+    (h, a, b), (more, p, q) = found.runs(), found.grams()
+    ranges, words = found.ranges(a, b, True), found.ranges(p, q, True)
+    again = [np.zeros(0, np.int64)]
+    for values, own, at, least in ((h, ranges, a, 1), (more, words, p, GRAM)):
+        if len(values) > 1:
+            _, where, of = np.unique(values, return_index=True, return_inverse=True)
+            again.append(own[at >= at[where][of] + least])
+    return np.concatenate([h, more]).view(np.int64), np.concatenate([ranges, words]), np.concatenate(again)
 
 
 def _parsed(batches):
     """(doc_id, place, text_hash, text) -> (doc_id, place, text_hash, hashes, ranges, again) for texts with runs."""
-    long, longs = pa.int64(), pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", long), ("place", long), ("text_hash", long), ("hashes", longs), ("ranges", longs), ("again", longs)])
+    names = ["doc_id", "place", "text_hash", "hashes", "ranges", "again"]
+    lists = lambda arrays: pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), pa.array(np.concatenate(arrays)))
+
+    def rows_of(batch, rows):
+        which = pa.array([k for k, _ in rows], pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(which) for k in range(3)), *(lists([r[k] for _, r in rows]) for k in range(3))], names=names)
+
     for batch in batches:
         rows, held = [], 0
-        for doc, place, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
-            hashes, ranges, again = spans_of(text.as_py() or "")
-            if not hashes:
+        for k, text in enumerate(batch.column(3)):
+            found = spans_of(text.as_py() or "")
+            if not len(found[0]):
                 continue
-            rows.append((doc, place, mark, hashes, ranges, again))
-            held += 16 * len(hashes)
+            rows.append((k, found))
+            held += 16 * len(found[0])
             if held > BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+                yield rows_of(batch, rows)
                 rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+            yield rows_of(batch, rows)
 
 
 def without(text: str, ranges) -> tuple[int, list[dict], str]:
