@@ -209,3 +209,30 @@ def word_distances(t):
 def grapheme_error_rates(t):
     accent = F.lit("é")  # two code points, one cluster
     return t("part").select("p_partkey", (S.grapheme_distance(F.concat("p_name", accent), F.concat(F.lower("p_type"), accent)) / F.char_length("p_name")).alias("ger"))
+
+
+# --- File names
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name || '|' || p_type || '~' WHEN 1 THEN p_name || '~' || p_brand WHEN 2 THEN p_name || '~' || p_brand || ' x' WHEN 3 THEN p_name || '~' WHEN 4 THEN '~' ELSE p_name || '~' || p_type || ' y|' || p_brand || ' z' END AS found,
+CASE WHEN p_partkey % 6 = 3 THEN CAST(p_size AS VARCHAR) END AS volume, CASE WHEN p_partkey % 6 = 3 THEN '1989' END AS year, p_partkey % 6 = 4 AS is_not_a_book FROM part""")
+def parsed_filenames(t):
+    from lectern.functions import filenames
+
+    m, name, kind, brand, size = F.col("p_partkey") % 6, F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.col("p_size").cast("string")
+    at = lambda source, *parts: F.concat(F.lit(f"data/incoming-scraped/{source}/books/"), *parts, F.lit(".pdf"))
+    path = (F.when(m == 0, at("granthagara", name, F.lit(" বাংলা বই পিডিএফ ডাউনলোড_ "), kind, F.lit(" Bengali Book PDF Download"))).when(m == 1, at("amarboi", brand, F.lit(" - "), name))
+            .when(m == 2, at("allbanglaboi", name, F.lit(" by "), brand, F.lit(" x"))).when(m == 3, at("books", name, F.lit(" [Pt. "), size, F.lit("] [1989]"))).when(m == 4, at("books", F.lit("Chapter "), size))
+            .otherwise(F.concat(F.lit("shelf/"), brand, F.lit(" z/"), name, F.lit(" - "), kind, F.lit(" y.pdf"))))
+    rows = t("part").select("p_partkey", filenames.parsed_path(path).alias("f"))
+    return rows.select("p_partkey", F.concat(F.array_join("f.titles", "|"), F.lit("~"), F.array_join("f.authors", "|")).alias("found"), "f.volume", "f.year", "f.is_not_a_book")
+
+
+@query("""SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 3 < 2 THEN p_brand || ' Khan' END AS author, CASE WHEN p_partkey % 3 < 2 THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM part""")
+def embedded_titles(t):
+    from lectern.functions import filenames
+
+    m = F.col("p_partkey") % 3
+    said = F.when(m == 0, F.concat("p_name", F.lit(" By "), "p_brand", F.lit(" Khan.pdf"))).when(m == 1, F.concat(F.lit("Unknown Author - "), "p_name", F.lit(" ।। "), "p_brand", F.lit(" Khan ( Site.com ).epub"))).otherwise(F.concat("p_name", F.lit(" ( PDFDrive.com ).epub")))
+    rows = t("part").select("p_partkey", filenames.parsed_title(said).alias("f"))
+    return rows.select("p_partkey", F.try_element_at("f.titles", F.lit(1)).alias("title"), F.try_element_at("f.authors", F.lit(1)).alias("author"), "f.confidence")
