@@ -208,3 +208,20 @@ def shared_names(signals: Column) -> Column:
 def challenge(candidates: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     """Candidates that are not in a sample taken before, stamped as challenge rows."""
     return candidates.join(taken, key, "left_anti").withColumn("split", F.lit("challenge"))
+
+
+CURSOR = "id long, kind string, title string"
+
+
+def decoded_cursor(rows: DataFrame, cursor: str) -> DataFrame:
+    """``rows`` with ``at`` (id, kind, title) of an opaque cursor; null unless it is base64 of JSON with all three."""
+    text = F.when(F.col(cursor).rlike("^[A-Za-z0-9+/_-]+={0,2}$") & (F.char_length(cursor) % 4 == 0), F.try_to_binary(F.translate(cursor, "-_", "+/"), F.lit("base64")))
+    at = F.from_json(F.decode(text, "UTF-8"), CURSOR)
+    return rows.withColumn("at", F.when(at["id"].isNotNull() & at["kind"].isNotNull() & at["title"].isNotNull(), at))
+
+
+def dispatched(rows: DataFrame, by: str, registry: dict) -> DataFrame:
+    """The results of each kind's own function (DataFrame to DataFrame) over its rows; a kind without one is an error."""
+    known = F.when(F.col(by).isin(*registry), F.col(by)).otherwise(F.raise_error(F.concat(F.lit("no evaluator for "), F.coalesce(by, F.lit("null")))).cast("string"))
+    checked = rows.withColumn(by, known)
+    return reduce(DataFrame.unionByName, [f(checked.where(F.col(by) == kind)) for kind, f in registry.items()])

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lectern.plans import evaluation, graph, keys, more, queues, registry, relations, resolve, study  # noqa: F401  (they register their queries)
+from lectern.plans import corpus, evaluation, graph, keys, more, queues, registry, relations, resolve, study  # noqa: F401  (they register their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
