@@ -10,6 +10,8 @@ from lectern.storage import broadcast_within, cut
 
 #: Bits of the hash that one histogram refines, and the bits of the hash.
 STEP, BITS = 9, 63
+#: A size that no document has.
+NO_CAP = 1 << 62
 
 
 def place(key: str = "doc_id", text: str = "text") -> Column:
@@ -78,7 +80,7 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     the documents behind it that are small enough, ``passes`` times in all.
     """
     plan = cut(targets(sizes, weights, share, cap))
-    state = plan.where("need >= 1").select("cls", "need", F.lit(0).cast("long").alias("lo"), F.lit((1 << 62)).cast("long").alias("cap"))
+    state = plan.where("need >= 1").select("cls", "need", F.lit(0).cast("long").alias("lo"), F.lit(NO_CAP).cast("long").alias("cap"))
     bands = []
     for _ in range(passes):
         state = cut(state)
@@ -98,8 +100,8 @@ def mix_plan(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
 
 
 def repeats(u: Column, size: Column) -> Column:
-    """How often a document is taken, by the columns of a plan."""
-    inside = F.exists("bands", lambda b: (u >= b["lo"]) & (u < b["hi"]) & (size <= b["cap"]))
+    """How often a document is taken, by the columns of a plan. ``size`` is only looked at where a band asks for it."""
+    inside = F.exists("bands", lambda b: (u >= b["lo"]) & (u < b["hi"]) & ((b["cap"] >= NO_CAP) | (size <= b["cap"])))
     return F.col("whole") + F.when(inside, 1).otherwise(0)
 
 
@@ -117,9 +119,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, passes: int = 3) -> DataFrame:
-    """The documents of the mix with all their columns, each as many rows as it is taken."""
+    """The documents of the mix with all their columns, each as many rows as it is taken.
+
+    Null and empty texts have no words, so all of them are taken as often as their source is whole; columns of any name are
+    kept; an empty table stays empty. Words are counted once; the texts are read again for the rows that are taken.
+    """
     names = docs.columns
-    full = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), class_key("source").alias("cls"), place().alias("u"), word_count().alias("size"))
-    plan = mix_plan(cut(full.select("cls", "u", "size")), weights, share, cap, passes)
-    taken = full.join(broadcast_within(plan), "cls").withColumn("times", repeats(F.col("u"), F.col("size")))
+    full = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), class_key("source").alias("cls"), place().alias("u"), docs["text"].alias("said"))
+    plan = mix_plan(cut(full.select("cls", "u", word_count("said").alias("size"))), weights, share, cap, passes)
+    taken = full.join(broadcast_within(plan), "cls").withColumn("times", repeats(F.col("u"), word_count("said")))
     return taken.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).select("row.*")
