@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -234,29 +236,36 @@ _cut = _without.asNondeterministic()
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, place, text): the rows as structs. ``place`` numbers the rows without doc_id, which are parked with
-    their numbers, so that each of them is a document of its own; other rows have none."""
+    """(row, doc_id, text): the rows as structs; and ``place`` if any row has no doc_id: such rows are parked with numbers, so
+    that each of them is a document of its own."""
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     named = docs.where(docs["doc_id"].isNotNull()).select(row, F.lit(None).cast("long").alias("place"))
     unnamed = park(docs.where(docs["doc_id"].isNull()).select(row, F.monotonically_increasing_id().alias("place")))
-    return named.union(unnamed).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), "place", F.col("row.text").alias("text"))
+    rows = named.drop("place") if unnamed.isEmpty() else named.union(unnamed)
+    return rows.select("*", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
-    """(doc_id, place, text_hash, ranges): for the documents with repeated runs, the ranges of those that are not the first
-    with their hash. First is the smallest doc_id, behind these the smallest place of rows without one, inside a document
-    the earliest.
+    """(doc_id, text_hash, ranges), and place if ``rows`` have it: for the documents with repeated runs, the ranges of those
+    that are not the first with their hash. First is the smallest doc_id, behind these the smallest place of rows without
+    one, inside a document the earliest.
 
-    Every run is hashed. Minimum and maximum of doc_id and place are aggregated by hash before any join, and only hashes of
-    two documents or more are joined back, so a passage of any number of documents is never gathered in one group.
+    Every run is hashed. Minimum and maximum of doc_id (and place) are aggregated by hash before any join, and only hashes
+    of two documents or more are joined back, so a passage of any number of documents is never gathered in one group.
     """
-    key = ["doc_id", "place", "text_hash"]
-    base = texts(rows).select("doc_id", "place", F.xxhash64("text").alias("text_hash"), "text")
+    some = "place" in rows.columns
+    key = ["doc_id", "text_hash", *["place"] * some]
+    base = texts(rows).select("doc_id", F.col("place") if some else F.lit(None).cast("long").alias("place"), F.xxhash64("text").alias("text_hash"), "text")
     spans = park(base.mapInArrow(_parsed, "doc_id long, place long, text_hash long, hashes array<long>, ranges array<long>, again array<long>"))
     each = spans.select(*key, F.explode(F.arrays_zip("hashes", "ranges")).alias("run")).select(*key, F.col("run.hashes").alias("hash"), F.col("run.ranges").alias("range"))
-    ends = each.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("place").alias("first_place"), F.max("place").alias("last_place"))
-    shared = cut(ends.where("first < last or first_place < last_place or (first is not null and first_place is not null)").select("hash", "first", "first_place"))
-    later = each.join(shared, "hash").where("doc_id > first or place > first_place or (doc_id is null and first is not null)").select(*key, "range")
+    ends = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
+    shared, behind = "first < last", "doc_id > first"
+    if some:
+        ends += [F.min("place").alias("first_place"), F.max("place").alias("last_place")]
+        shared += " or first_place < last_place or (first is not null and first_place is not null)"
+        behind += " or place > first_place or (doc_id is null and first is not null)"
+    firsts = cut(each.groupBy("hash").agg(*ends).where(shared).select("hash", "first", *["first_place"] * some))
+    later = each.join(firsts, "hash").where(behind).select(*key, "range")
     inside = spans.select(*key, F.explode("again").alias("range"))
     return later.union(inside).groupBy(*key).agg(F.collect_set("range").alias("ranges"))
 
@@ -267,8 +276,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
     Every text is parsed once; only texts with repeated runs go to Python again, with the ranges to cut.
     """
     rows = placed(docs)
-    found = repeated_runs(rows).select(F.col("doc_id").alias("_id"), F.col("place").alias("_at"), F.col("text_hash").alias("_hash"), "ranges")
-    known = rows["doc_id"].eqNullSafe(found["_id"]) & rows["place"].eqNullSafe(found["_at"]) & (F.xxhash64(rows["text"]) == found["_hash"])
+    ids = [c for c in ("doc_id", "place") if c in rows.columns]
+    found = repeated_runs(rows).select(*[F.col(c).alias(f"_{c}") for c in ids], F.col("text_hash").alias("_hash"), "ranges")
+    known = reduce(Column.__and__, [rows[c].eqNullSafe(found[f"_{c}"]) for c in ids], F.xxhash64(rows["text"]) == found["_hash"])
     joined = rows.join(found, known, "left").select("row", "text", "ranges")
     hit = F.col("ranges").isNotNull()
     new = joined.select("row", "text", hit.alias("hit"), _cut(F.when(hit, F.col("text")), "ranges").alias("new"))
