@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import ann, langid, media, mixing, packing, sharding, simhash, substring, token_output, toxicity
+from lectern.llm.common import class_key, word_count
 from lectern.storage import shared_dir
 
 #: Tokens of a sequence, and what ends a document.
@@ -81,6 +82,13 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and target of each source, the part of the mix that SQL can express."""
+    docs = table(spark, sf_dir, "documents")
+    found = mixing.targets(docs.select(class_key("source").alias("cls"), word_count().alias("size")), weights=(5, 2, 1), share=1.5, cap=2.0)
+    return found.select(F.when(F.col("cls") != "~", F.substring("cls", 2, 1 << 20)).alias("source"), "source_size", F.round("target", 6).alias("target"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -88,7 +96,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_simhash, op4_token_output, op5_language_id, op6_toxicity, op7_webp, op8_substring, op9_sharding, op10_multi_index, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_simhash, op4_token_output, op5_language_id, op6_toxicity, op7_webp, op8_substring, op9_sharding, op10_multi_index, pipeline, mixing_targets)}
 
 #: Queries that SQL can express over whole tables. The others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"mixing_targets": r"""WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY 1),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level FROM w WINDOW p AS (ORDER BY 2.0::DOUBLE * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, level * w >= 2.0::DOUBLE * source_size AS capped FROM l), z AS (SELECT arg_min(level, (2.0::DOUBLE * source_size / w, source)) AS open FROM c WHERE NOT capped)
+SELECT source, source_size, round(CASE WHEN capped THEN 2.0::DOUBLE * source_size ELSE open * w END, 6) AS target FROM c, z"""}

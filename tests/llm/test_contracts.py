@@ -333,3 +333,13 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     tok = tokenizers.Tokenizer.from_file(queries.tokenizer())
     wanted = sum(len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect())
     assert sum(r.length for r in corpus_pipeline.run(spark, str(path)).collect()) == wanted
+
+
+def test_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name, sql in queries.ORACLES.items():
+        df, found = queries.QUERIES[name](spark, SF), con.execute(sql)
+        assert sorted(map(tuple, df.select(*[d[0] for d in found.description]).collect())) == sorted(found.fetchall())
