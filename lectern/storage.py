@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, upon which Spark deletes the shuffle files of finished jobs; else they stay beside
+    those of the next job for as long as the driver's memory happens to last."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _PARKED: list[list[str]] = []
 
 
