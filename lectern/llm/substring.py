@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from lectern.llm.common import BATCH_BYTES
-from lectern.storage import cut, park, texts
+from lectern.storage import cut, park, sweep, texts
 
 #: Longer sentences are cut behind words that their content chooses, one in eight, so equal passages are cut alike.
 LONG, CHOICE = 16, 8
@@ -265,6 +265,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
         shared += " or first_place < last_place or (first is not null and first_place is not null)"
         behind += " or place > first_place or (doc_id is null and first is not null)"
     firsts = cut(each.groupBy("hash").agg(*ends).where(shared).select("hash", "first", *["first_place"] * some))
+    sweep(rows.sparkSession)
     later = each.join(firsts, "hash").where(behind).select(*key, "range")
     inside = spans.select(*key, F.explode("again").alias("range"))
     return later.union(inside).groupBy(*key).agg(F.collect_set("range").alias("ranges"))
