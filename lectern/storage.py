@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,13 +31,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage, upon which Spark deletes the shuffle files of finished jobs; else they stay beside
-    those of the next job for as long as the driver's memory happens to last."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 _PARKED: list[list[str]] = []
 
 
@@ -59,14 +51,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def park_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows as a compressed column table in the shared folder, and the table's folder, for the caller to delete once
+    a later table stands in its place."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/parked-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def park(df: DataFrame) -> DataFrame:
     """The same rows as a compressed column table in the shared folder, for wide rows of which later steps read few columns.
     It stays until the block of ``scratch`` around it ends, else with the application's folder."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/parked-{uuid.uuid4().hex}"
+    parked, path = park_at(df)
     if _PARKED:
         _PARKED[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return parked
 
 
 def broadcast_within(df: DataFrame, rows: int = 100_000) -> DataFrame:
