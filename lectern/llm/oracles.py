@@ -33,3 +33,20 @@ b0 AS (SELECT p, CAST(id - 1 AS INTEGER) AS e, c FROM x WHERE id <= {entries}),
 {", ".join(steps)},
 z AS (SELECT id, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM ({near.format(k=rounds)}) GROUP BY 1)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM r JOIN z USING (id)"""
+
+
+#: Documents whose sets of five-word shingles are at least four fifths alike, and what they reach. Only sets of which four
+#: fifths stand elsewhere can have a link; equal sets are one class.
+NGRAM_JOIN = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS g FROM w),
+s AS MATERIALIZED (SELECT id, list(g ORDER BY g) AS g, count(*) AS n FROM g GROUP BY 1),
+c AS MATERIALIZED (SELECT min(id) AS c, g AS k FROM s GROUP BY g),
+m AS MATERIALIZED (SELECT id, c, n FROM s JOIN c ON s.g = c.k),
+u AS MATERIALIZED (SELECT g.id AS c, g.g FROM g SEMI JOIN c ON g.id = c.c),
+d AS MATERIALIZED (SELECT g FROM u GROUP BY 1 HAVING count(*) > 1),
+v AS MATERIALIZED (SELECT u.c, any_value(m.n) AS n FROM u SEMI JOIN d USING (g) JOIN m ON m.id = u.c GROUP BY 1 HAVING count(*) * 5 >= any_value(m.n) * 4),
+x AS MATERIALIZED (SELECT u.c, u.g, v.n FROM u JOIN v USING (c) SEMI JOIN d USING (g)),
+p AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.g = b.g AND a.c <> b.c AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4 GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+z AS (SELECT r.a AS c, min(w.doc_id) AS component_id FROM r JOIN m ON m.c = r.b JOIN w ON w.id = m.id GROUP BY 1)
+SELECT w.doc_id, coalesce(m.n, 0) AS n_shingles, coalesce(z.component_id, w.doc_id) AS component_id FROM w LEFT JOIN m ON m.id = w.id LEFT JOIN z USING (c)"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, divergence, langid, media, mixing, oracles, packing, sharding, simhash, substring, token_output, toxicity, vector_codes
+from lectern.llm import ann, divergence, langid, media, mixing, ngram_join, oracles, packing, sharding, simhash, substring, token_output, toxicity, vector_codes
 from lectern.llm.common import class_key, word_count
 from lectern.storage import shared_dir
 
@@ -82,6 +82,11 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document over links of a Jaccard similarity of 0.8 or more."""
+    return ngram_join.similar_texts(table(spark, sf_dir, "documents"), 5, (4, 5))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of a language are from each other and from the language."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -107,10 +112,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_simhash, op4_token_output, op5_language_id, op6_toxicity, op7_webp, op8_substring, op9_sharding, op10_multi_index, op12_divergence, op13_vector_codes, pipeline, mixing_targets)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_simhash, op4_token_output, op5_language_id, op6_toxicity, op7_webp, op8_substring, op9_sharding, op10_multi_index, op11_ngram_join, op12_divergence, op13_vector_codes, pipeline, mixing_targets)}
 
 #: Queries that SQL can express over whole tables. The others are tested against brute force.
-ORACLES: dict[str, str] = {"op12_divergence": oracles.DIVERGENCE, "op13_vector_codes": oracles.lloyd(), "mixing_targets": r"""WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY 1),
+ORACLES: dict[str, str] = {"op11_ngram_join": oracles.NGRAM_JOIN, "op12_divergence": oracles.DIVERGENCE, "op13_vector_codes": oracles.lloyd(), "mixing_targets": r"""WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY 1),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level FROM w WINDOW p AS (ORDER BY 2.0::DOUBLE * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, level * w >= 2.0::DOUBLE * source_size AS capped FROM l), z AS (SELECT arg_min(level, (2.0::DOUBLE * source_size / w, source)) AS open FROM c WHERE NOT capped)
