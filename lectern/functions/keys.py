@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column
@@ -134,8 +135,10 @@ def tidy(text: Column, ends: str = " \t\u00a0-_–—:;,.") -> Column:
 
 
 def volume_tokens(name: Column) -> Column:
-    """The volumes that a name states: numbers beside volume words, ordinals, and a number at the end; without zeros before."""
-    stem = F.translate(name, BENGALI_DIGITS, DIGITS)
+    """The volumes that a file's name states: numbers beside volume words, ordinals, and a number at the end; without zeros
+    before. Folders and the extension are no part of the name."""
+    file = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"(?<=[^.])\.[^.]+$", "")
+    stem = F.translate(file, BENGALI_DIGITS, DIGITS)
     after = F.regexp_extract_all(stem, F.lit(rf"(?i){VOLUME_WORDS}[\s\-._:]*([0-9]{{1,3}})"), F.lit(1))
     before = F.regexp_extract_all(stem, F.lit(rf"(?i)([0-9]{{1,3}})[\s\-._:]*{VOLUME_WORDS}"), F.lit(1))
     last = F.regexp_extract_all(stem, F.lit(r"[\-_\s]([0-9]{1,3})\s*$"), F.lit(1))
@@ -179,11 +182,24 @@ def split_authors(value: Column) -> Column:
     return F.filter(F.transform(names, lambda n: collapsed(n)), lambda n: ~junk_author(n))
 
 
-def isbn_candidates(text: Column) -> Column:
-    """Runs of 13 digits, and runs of 10 outside these, in order; digits may have a hyphen or space behind."""
-    gap = "[\\s\\-\u00ad]?"
-    thirteen, ten = rf"(?<!\d)(?:\d{gap}){{13}}(?!\d)", rf"(?<!\d)(?:\d{gap}){{9}}[\dXx](?!\d)"
-    return F.regexp_extract_all(text, F.lit(f"{thirteen}|{ten}"), F.lit(0))
+#: What may stand for an ISBN in running text, digits with a hyphen or space behind.
+ISBN13 = re.compile(r"(?<!\d)(?:\d[\s\-\u00ad]?){13}(?!\d)")
+ISBN10 = re.compile(r"(?<!\d)(?:\d[\s\-\u00ad]?){9}[\dX](?!\d)", re.IGNORECASE)
+
+
+def isbn_runs(text: str) -> list[str]:
+    """All runs of 13 digits, and those of 10 that touch none of these, in order of place."""
+    long = [m.span() for m in ISBN13.finditer(text)]
+    ends, starts = [e for _, e in long], [s for s, _ in long]
+    # the first long run that ends behind a short one's start is the only one that can touch it
+    short = [(s, e) for s, e in (m.span() for m in ISBN10.finditer(text)) if (k := bisect_right(ends, s)) == len(long) or starts[k] >= e]
+    return [text[s:e] for s, e in sorted(long + short)]
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def isbn_candidates(text: pd.Series) -> pd.Series:
+    """``isbn_runs`` of each text: all runs of 13 are looked for before any of 10, which one pattern cannot say; null stays null."""
+    return pd.Series([None if t is None else isbn_runs(t) for t in text], dtype=object)
 
 
 def canonical_isbn10(value: Column) -> Column:

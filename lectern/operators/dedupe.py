@@ -110,17 +110,29 @@ def removable(found: DataFrame, edges: DataFrame, kept: DataFrame) -> DataFrame:
     return free.join(direct, both, "left_semi").select("doc_id", "keeper_id")
 
 
-def reconciled(inventory: DataFrame, gone: DataFrame, found: DataFrame, claims: dict[str, Column]) -> DataFrame:
-    """(check, ok) of the eight statements that a report must keep: paths by status add up, failures are all listed, the
-    removable copies and their bytes are those claimed, no path goes twice, no keeper goes, every one has a hash, and
-    clusters hold the documents claimed. ``inventory`` has (status), ``gone`` (path, keeper_path, sha, bytes), ``found``
-    one row for each member; ``claims`` gives failures, copies, bytes and members."""
-    one = inventory.agg(F.count("*").alias("paths"), F.count_if(F.col("status").isin("ok", "unreadable", "unsupported")).alias("known"), F.count_if(F.col("status") != "ok").alias("failed"))
-    going = gone.agg(F.count("*").alias("copies"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.countDistinct("path").alias("distinct"), F.count_if(F.col("path") == F.col("keeper_path")).alias("keepers"), F.count_if(F.coalesce("sha", F.lit("")) == "").alias("unhashed"))
-    held = found.agg(F.count("*").alias("members"))
-    row = one.join(F.broadcast(going)).join(F.broadcast(held))  # a row each
-    checks = {"paths by status": F.col("paths") == F.col("known"), "failures listed": F.col("failed") == claims["failures"], "removable copies": F.col("copies") == claims["copies"], "bytes saved": F.col("bytes") == claims["bytes"],
-              "no path twice": F.col("copies") == F.col("distinct"), "no keeper goes": F.col("keepers") == 0, "all hashed": F.col("unhashed") == 0, "members of clusters": F.col("members") == claims["members"]}
+def report_claims(inventory: DataFrame, gone: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row, the head of a report: paths, ok, unreadable, unsupported and failed by ``inventory`` (status); copies and bytes
+    that may go by ``gone`` (bytes); documents in clusters by ``clusters`` (cluster_id, size), a row for each."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    one = inventory.agg(F.count("*").alias("paths"), n("ok"), n("unreadable"), n("unsupported"), F.count_if(F.col("status") != "ok").alias("failed"))
+    going = gone.agg(F.count("*").alias("copies"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    held = clusters.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("members"))
+    return one.join(F.broadcast(going)).join(F.broadcast(held))  # a row each
+
+
+def reconciled(claims: DataFrame, failures: DataFrame, gone: DataFrame, members: DataFrame) -> DataFrame:
+    """(check, ok) of the eight statements that a written report must keep, each a claim of its head against its lists: paths
+    by status add up, failures are all listed, the removable copies and their bytes are those listed, no path goes twice, no
+    keeper goes, every one has a hash, and clusters hold the documents claimed. ``claims`` is the head (``report_claims``),
+    ``failures`` has a row for each failed path, ``gone`` (path, keeper_path, sha, bytes), ``members`` a row for each
+    member of a cluster."""
+    listed = failures.agg(F.count("*").alias("l_failed"))
+    going = gone.agg(F.count("*").alias("l_copies"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("l_bytes"), F.count_if(F.coalesce("sha", F.lit("")) == "").alias("unhashed"), F.count_if(F.col("path") == F.col("keeper_path")).alias("kept"), F.countDistinct("path").alias("l_paths"))
+    held = members.agg(F.count("*").alias("l_members"))
+    row = claims.join(F.broadcast(listed)).join(F.broadcast(going)).join(F.broadcast(held))  # a row each
+    same = lambda c: F.col(c) == F.col(f"l_{c}")
+    checks = {"paths by status": F.col("paths") == F.col("ok") + F.col("unreadable") + F.col("unsupported"), "failures listed": same("failed"), "removable copies": same("copies"), "bytes saved": same("bytes"),
+              "no path twice": F.col("l_copies") == F.col("l_paths"), "no keeper goes": F.col("kept") == 0, "all hashed": F.col("unhashed") == 0, "members of clusters": same("members")}
     return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in checks.items()])).alias("c")).select("c.check", "c.ok")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import collapsed, portable_hash
+from lectern.storage import cut
 
-LABELS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 REGION = ["page", "region"]
 
 # --- Votes: (page, region, voter, text, state), one row for each voter and region
@@ -29,12 +30,21 @@ def triage(status: DataFrame) -> DataFrame:
     return status.groupBy("page").agg(n("provisional_accept"), n("conflict"), F.count("*").alias("regions"))
 
 
+def letters(n: int) -> list[str]:
+    """The first ``n`` labels: A to Z, then AA, AB and so on."""
+    def label(k: int) -> str:
+        return (label(k // 26 - 1) if k >= 26 else "") + chr(ord("A") + k % 26)
+
+    return [label(k) for k in range(n)]
+
+
 def labelled(pages: DataFrame, voters: list[str], seed: str) -> DataFrame:
-    """(page, label, voter): a letter for each voter, in an order that differs from page to page and never between reruns."""
+    """(page, label, voter): a label of letters for each voter, in an order that differs from page to page and never between
+    reruns. Any number of voters has labels of its own."""
     each = pages.select("page", F.explode(F.array(*[F.lit(v) for v in voters])).alias("voter"))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("page").cast("string"), F.col("voter")))
     all_ = each.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "voter"))).alias("v"))
-    return all_.select("page", F.posexplode("v").alias("k", "x")).select("page", F.substring(F.lit(LABELS), F.col("k") + 1, F.lit(1)).alias("label"), F.col("x.voter").alias("voter"))
+    return all_.select("page", F.posexplode("v").alias("k", "x")).select("page", F.element_at(F.array(*[F.lit(x) for x in letters(len(voters))]), F.col("k") + 1).alias("label"), F.col("x.voter").alias("voter"))
 
 
 def blind_conflicts(votes: DataFrame, status: DataFrame, labels: DataFrame) -> DataFrame:
@@ -155,31 +165,32 @@ def representative_pages(pages: Column) -> Column:
     return F.when(pages > 0, F.array_distinct(F.array(at(pages * 0.15), at(pages / 2), at(pages * 0.85)))).otherwise(F.array().cast("array<long>"))
 
 
-def capped_strata(rows: DataFrame, cells: list[list[str]], cell: str, key: str, author: str, per_cell: int = 5, per_author: int = 2, seed: str = "s") -> list[tuple[str, object]]:
-    """(cell, key) of at most ``per_cell`` rows a cell, in the cells' order, with at most ``per_author`` rows of an author over
-    all cells. Each entry of ``cells`` is a cell and the cells that fill it where it is short. Rows go by hash.
+def capped_strata(rows: DataFrame, cells: list[list[str]], cell: str, key: str, author: str, per_cell: int = 5, per_author: int = 2, seed: str = "s") -> DataFrame:
+    """(cell, key, place) of at most ``per_cell`` rows a cell, in the cells' order, with at most ``per_author`` rows of an author
+    over all cells. Each entry of ``cells`` is a cell and the cells that fill it where it is short. Rows go by hash; those
+    without an author, or with the author ``unknown``, are left out.
 
-    The draw is one pass over all cells, so the driver makes it, from a bounded set: of a cell only the first
-    ``per_author`` rows of an author can be drawn, and no more authors than all cells' places can be full before one that
-    is not, so the first per_author * places rows of a cell, and per_cell behind these, decide.
+    Cells are asked in turn: of the rows not drawn yet, those that stand within what their author has left come first, and
+    the first ``per_cell`` of these are what a draw row by row takes. So the driver sees the rows drawn, as many as the
+    cells have places, and no row is passed over however many cells and full authors there are.
     """
     order = portable_hash(F.concat_ws(":", F.lit(seed), F.col(cell), F.col(key).cast("string")))
-    most = per_cell * len(cells) * (per_author + 1) + per_cell
-    few = rows.where(F.col(author).isNotNull() & (F.col(author) != "unknown")).select(F.col(cell).alias("cell"), F.col(key).alias("key"), F.col(author).alias("author"), order.alias("o"))
-    few = few.withColumn("a", F.row_number().over(Window.partitionBy("cell", "author").orderBy("o", "key"))).where(F.col("a") <= per_author * len(cells))
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("o", "key"))).where(F.col("r") <= most)
-    by: dict[str, list] = {}
-    for r in few.orderBy("cell", "r").collect():
-        by.setdefault(r.cell, []).append(r)
-    taken: set = set()
-    full: dict[str, int] = {}
-    out = []
-    for target, *spare in cells:
-        mine = 0
-        for r in (r for c in [target, *spare] for r in by.get(c, [])):
-            if mine < per_cell and r.key not in taken and full.get(r.author, 0) < per_author:
-                taken.add(r.key)
-                full[r.author] = full.get(r.author, 0) + 1
-                out.append((target, r.key))
-                mine += 1
-    return out
+    known = rows.where(F.col(author).isNotNull() & (F.col(author) != "unknown"))
+    every = cut(known.select(F.col(cell).alias("from"), F.col(key).alias("key"), F.col(author).alias("author"), order.alias("o")))
+    used: dict[str, int] = {}
+    out: list[tuple] = []
+    for sources in cells:
+        place = F.array_position(F.array(*[F.lit(c) for c in sources]), F.col("from"))
+        mine = every.withColumn("p", place).where("p > 0")
+        if out:
+            mine = mine.where(~F.col("key").isin([k for _, k, _ in out]))
+        rank = F.row_number().over(Window.partitionBy("author").orderBy("p", "o", "key"))
+        mine = mine.withColumn("a", rank).where(F.col("a") <= per_author)
+        if used:
+            left = F.create_map(*[F.lit(v) for pair in used.items() for v in pair])
+            mine = mine.where(F.col("a") <= per_author - F.coalesce(F.try_element_at(left, F.col("author")), F.lit(0)))
+        for k, r in enumerate(mine.orderBy("p", "o", "key").limit(per_cell).collect()):
+            used[r.author] = used.get(r.author, 0) + 1
+            out.append((sources[0], r.key, k + 1))
+    kind = T.StructType().add("cell", T.StringType()).add("key", every.schema["key"].dataType).add("place", T.IntegerType())
+    return rows.sparkSession.createDataFrame(out, kind)

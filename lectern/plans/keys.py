@@ -92,13 +92,13 @@ def token_spans(t):
 def volume_sets(t):
     m, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
     said = F.when(m == 0, F.concat(F.lit("Vol. "), size, F.lit(" of part-07"))).when(m == 1, F.concat("p_name", F.lit("-0"), size)).when(m == 2, F.concat("p_name", F.lit(" দ্বিতীয় x"))).when(m == 3, F.concat(F.lit("খণ্ড-"), F.translate(size, K.DIGITS, K.BENGALI_DIGITS))).otherwise(F.col("p_name"))
-    rows = t("part").where("p_size > 9").select("p_partkey", K.volume_tokens(said).alias("v"))
+    rows = t("part").where("p_size > 9").select("p_partkey", K.volume_tokens(F.concat(said, F.lit(".pdf"))).alias("v"))
     return rows.select("p_partkey", F.array_join(F.reverse("v"), ",").alias("volumes"))
 
 
 @query("""SELECT p_partkey, p_size % 3 <> p_partkey % 3 AS conflict FROM part""")
 def volume_vetoes(t):
-    name = lambda n: F.concat("p_name", F.lit(" vol "), (n % 3).cast("string"))
+    name = lambda n: F.concat("p_name", F.lit("-0"), (n % 3).cast("string"), F.lit(".pdf"))
     return t("part").select("p_partkey", K.volume_conflict(name(F.col("p_size")), name(F.col("p_partkey"))).alias("conflict"))
 
 

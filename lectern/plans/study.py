@@ -131,8 +131,7 @@ def pages_of_sample(t):
 def capped_strata(t):
     docs = t("documents").select("doc_id", "source", "lang")
     cells = [["de", "en"], ["en"], ["es", "fr"], ["fr", "es"]]
-    found = voting.capped_strata(docs, cells, "lang", "doc_id", "source", seed="frame")
-    return docs.sparkSession.createDataFrame(found, "cell string, doc_id long")
+    return voting.capped_strata(docs, cells, "lang", "doc_id", "source", seed="frame").select("cell", F.col("key").alias("doc_id"))
 
 
 # --- Layout

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.lines import last_of, numbered, placed
+
 BOOK = "url string, name string, productType string, authors array<string>, specification string, ratingValue string, ratingCount string, _bad string"
 
 
@@ -25,11 +27,20 @@ def tab_dump(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(*[F.when(F.size(parts) == 5, parts[i]).alias(n) for i, n in enumerate(("kind", "key", "revision", "modified"))], F.when(F.size(parts) == 5, parts[4]).otherwise(F.col("value")).alias("payload"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows without those that new ones replace, and the last new row of each key."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new")))
-    return both.withColumn("_r", last).where("_r = 1").drop("_r", "_new")
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Old rows without those that new ones replace, and of each key the new row that was written last.
+
+    ``order`` is the column of ``new`` that says so; of equals the row that is largest column by column stays, so reruns
+    agree. Without it a key that new rows repeat is an error, as nothing tells which came last. Null keys equal each other.
+    """
+    columns = [c for c in new.columns if c != order or c in old.columns]
+    last = F.struct(*[F.col(c) for c in ([order] if order else []) + [c for c in new.columns if c != order]])
+    one = new.groupBy(*keys).agg(F.max(last).alias("row"), F.count("*").alias("n"))
+    if order is None:
+        one = one.withColumn("row", F.when(F.col("n") == 1, F.col("row")).otherwise(F.raise_error(F.lit("a key stands in several new rows and no column orders them"))))
+    fresh = one.select(*[F.col("row")[c].alias(c) for c in columns])
+    gone = fresh.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return old.join(gone, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti").unionByName(fresh)
 
 
 SPECIFICATION = "Title string, Author string, ISBN string, Publisher string, Edition string, `Number of Pages` string, Language string"
@@ -37,11 +48,14 @@ SPECIFICATION = "Title string, Author string, ISBN string, Publisher string, Edi
 
 def retail(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
     """(line, title, author, isbn, pages, url, name): books of a retailer's JSONL dump behind line ``after``, with their
-    specification, which is JSON inside JSON. ``line`` is the cursor to go on from; broken lines and other products go."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "value")).select((F.col("at") + 1).alias("line"), "value").where((F.col("line") > after) & (F.trim("value") != ""))
+    specification, which is JSON inside JSON. ``line`` is the cursor to go on from; broken lines and other products go. A
+    dump of any size is read in parts."""
+    lines = numbered(spark, path).where((F.col("line") > after) & (F.trim("value") != ""))
     rows = lines.select("line", F.from_json("value", BOOK, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("line", "r.*").where("_bad is null")
     s = F.from_json("specification", SPECIFICATION)
-    return books(rows).select("line", F.coalesce(F.when(F.trim(s["Title"]) != "", s["Title"]), F.col("name")).alias("title"), s["Author"].alias("author"), s["ISBN"].alias("isbn"), F.regexp_extract(s["Number of Pages"], "[0-9]+", 0).try_cast("int").alias("pages"), "url", "name")
+    title = F.coalesce(F.when(F.trim(s["Title"]) != "", s["Title"]), F.col("name")).alias("title")
+    pages = F.regexp_extract(s["Number of Pages"], "[0-9]+", 0).try_cast("int").alias("pages")
+    return books(rows).select("line", title, s["Author"].alias("author"), s["ISBN"].alias("isbn"), pages, "url", "name")
 
 
 def legacy_books(records: DataFrame) -> DataFrame:
@@ -73,7 +87,8 @@ def coverage_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 
 def hypotheses(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text, seconds, error, model_rev): the last line of each id of a JSONL file."""
-    lines = spark.read.schema("id string, text string, seconds double, error string, model_rev string").json(path).where("id is not null").withColumn("_at", F.monotonically_increasing_id())
-    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_at")))
-    return lines.withColumn("_r", last).where("_r = 1").drop("_r", "_at")
+    """(id, text, seconds, error, model_rev): the last line of each id in JSONL files, the files being read by name and each
+    from its start, however tasks share them out."""
+    said = F.from_json("value", "id string, text string, seconds double, error string, model_rev string")
+    lines = placed(spark, path).withColumn("said", said)
+    return last_of(lines, F.col("said.id"), F.col("said")).select("value.*")

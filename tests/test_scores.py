@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import filenames, scorers
-from lectern.operators import evaluation, spatial, voting
+from lectern.functions import filenames, keys, scorers
+from lectern.operators import dedupe, evaluation, spatial, voting
 
 
 def plain_distance(a, b):
@@ -91,24 +91,77 @@ def test_errors_are_raised(spark):
         evaluation.evaluated(refs, spark.createDataFrame([(1, "a")], "id int, hypothesis string")).collect()
 
 
-def test_capped_strata_equal_a_plain_draw(spark):
+def plain_draw(rows, cells, per_cell, per_author, seed="s"):
     import hashlib
 
-    draw = random.Random(5)
-    rows = [(i, draw.choice(["x", "y", "z"]), f"a{draw.randrange(12)}" if i % 9 else "unknown") for i in range(300)]
-    cells = [["x", "y"], ["y"], ["z", "x"], ["w", "z"]]
-    order = lambda r: (int(hashlib.md5(f"s:{r[1]}:{r[0]}".encode()).hexdigest()[:8], 16), r[0])
+    order = lambda r: (int(hashlib.md5(f"{seed}:{r[1]}:{r[0]}".encode()).hexdigest()[:8], 16), r[0])
     taken, full, want = set(), {}, []
     for target, *spare in cells:
         mine = 0
         for cell in [target, *spare]:
-            for r in sorted((r for r in rows if r[1] == cell and r[2] != "unknown"), key=order):
-                if mine < 5 and r[0] not in taken and full.get(r[2], 0) < 2:
+            for r in sorted((r for r in rows if r[1] == cell and r[2] not in ("unknown", None)), key=order):
+                if mine < per_cell and r[0] not in taken and full.get(r[2], 0) < per_author:
                     taken.add(r[0])
                     full[r[2]] = full.get(r[2], 0) + 1
-                    want.append((target, r[0]))
                     mine += 1
-    assert voting.capped_strata(spark.createDataFrame(rows, "id long, cell string, author string"), cells, "cell", "id", "author") == want
+                    want.append((target, r[0], mine))
+    return want
+
+
+@pytest.mark.parametrize("per_cell,per_author,seed", [(5, 2, "s"), (3, 1, "t")])
+def test_capped_strata_equal_a_plain_draw(spark, per_cell, per_author, seed):
+    draw = random.Random(5)
+    names = [f"c{i}" for i in range(20)]
+    rows = [(i, draw.choice(names), draw.choice([None, "unknown", *(f"a{k}" for k in range(25))])) for i in range(900)]
+    cells = [["c0", "c1"], ["c1"], ["c2", "c0"], ["none", "c2"], *([n] for n in names[3:])]
+    got = voting.capped_strata(spark.createDataFrame(rows, "id long, cell string, author string"), cells, "cell", "id", "author", per_cell, per_author, seed)
+    assert [tuple(r) for r in got.collect()] == plain_draw(rows, cells, per_cell, per_author, seed)
+
+
+@pytest.mark.parametrize("seed", ["s0", "s1", "s2", "s3"])
+def test_capped_strata_behind_full_authors(spark, seed):
+    """Nine cells fill an author each; the last holds 30 rows of each of these and one of a free author."""
+    rows = [(i, f"c{i}", f"a{i}") for i in range(9)]
+    rows += [(100 + i, "c9", f"a{i % 9}") for i in range(270)] + [(999, "c9", "free")]
+    got = voting.capped_strata(spark.createDataFrame(rows, "id long, cell string, author string"), [[f"c{i}"] for i in range(10)], "cell", "id", "author", 1, 1, seed)
+    assert [(r.cell, r.key) for r in got.collect()] == [*((f"c{i}", i) for i in range(9)), ("c9", 999)]
+
+
+def test_labels_for_any_number_of_voters(spark):
+    assert voting.letters(29)[24:] == ["Y", "Z", "AA", "AB", "AC"] and voting.letters(703)[-1] == "AAA" and len(set(voting.letters(2000))) == 2000
+    voters = [f"v{i}" for i in range(30)]
+    rows = voting.labelled(spark.createDataFrame([("p",), ("q",)], "page string"), voters, "x").collect()
+    for page in "pq":
+        assert sorted(r.voter for r in rows if r.page == page) == sorted(voters) and {r.label for r in rows if r.page == page} == set(voting.letters(30))
+
+
+def test_volumes_of_file_names(spark):
+    names = [("Rachanabali-11.pdf", ["11"]), ("a/b-7/Rachanabali-12.pdf", ["12"]), ("খণ্ড-২.epub", ["2"]), ("Set Part-3", ["3"]), ("দ্বিতীয় বই.pdf", ["2"]), (".hidden", []), ("plain.pdf", []), ("x 007", ["7"])]
+    got = spark.createDataFrame(names, "name string, want array<string>").withColumn("v", keys.volume_tokens(F.col("name"))).collect()
+    assert all(r.v == r.want for r in got), got
+    edges = spark.createDataFrame([(1, 2, "page_image"), (1, 3, "page_image"), (1, 2, "metadata_exact")], "a long, b long, method string")
+    facts = spark.createDataFrame([(1, "Rachanabali-11.pdf", None), (2, "Rachanabali-12.pdf", None), (3, "copy/Rachanabali-11.PDF", None)], "doc_id long, name string, title string")
+    assert {(r.b, r.method): r.vetoed for r in dedupe.vetoed(edges, facts).collect()} == {(2, "page_image"): True, (3, "page_image"): False, (2, "metadata_exact"): False}
+
+
+def test_isbn_runs_equal_two_passes(spark):
+    """All runs of 13 are found before any of 10."""
+    import re
+
+    def plain(text):
+        spans = [m.span() for m in re.finditer(r"(?<!\d)(?:\d[\s\-\u00ad]?){13}(?!\d)", text)]
+        for m in re.finditer(r"(?<!\d)(?:\d[\s\-\u00ad]?){9}[\dXx](?!\d)", text):
+            if not any(m.start() < e and s < m.end() for s, e in spans):
+                spans.append(m.span())
+        return [text[s:e] for s, e in sorted(spans)]
+
+    assert keys.isbn_runs("12 978-0-3064-0615-7, 0-306-40615-2") == ["978-0-3064-0615-7", "0-306-40615-2"]  # one pattern takes "12 978-0-3064"
+    assert keys.isbn_runs("ISBN 978 0 306 40615 7 x 080442957x") == ["978 0 306 40615 7 ", "080442957x"]
+    draw = random.Random(2)
+    said = ["".join(draw.choice("0123456789-- Xx,") for _ in range(90)) for _ in range(2000)]
+    assert all(keys.isbn_runs(s) == plain(s) for s in said)
+    got = spark.createDataFrame([(said[0],), (None,), ("",)], "t string").select(keys.isbn_candidates("t").alias("r")).collect()
+    assert [r.r for r in got] == [plain(said[0]), None, []]
 
 
 def test_cover_lines(spark):

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text
@@ -52,6 +53,14 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == [(1, "a"), (2, "c"), (3, "d")] == sorted(map(tuple, records.upsert(once, new, ["k"]).collect()))
 
 
+def test_upsert_keeps_what_was_written_last(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
+    new = spark.createDataFrame([(1, "first", 1), (1, "last", 3), (1, "middle", 2), (None, "m", 1), (2, "tie a", 5), (2, "tie b", 5)], "k int, v string, at int").repartition(3)
+    assert sorted(map(tuple, records.upsert(old, new, ["k"], "at").collect()), key=repr) == [(1, "last"), (2, "tie b"), (None, "m")]
+    with pytest.raises(Exception, match="several new rows"):
+        records.upsert(old, new.drop("at"), ["k"]).collect()
+
+
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, "2024-01-01 00:10:00", "x", 1.0), (1, "2024-01-01 00:10:00", "x", 1.0), (2, "2024-01-01 01:20:00", "x", 2.0)], "event_id long, ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     events.write.parquet(str(tmp_path / "in"))

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.sources import files, ocr, records, sinks
+from lectern.sources import files, lines, ocr, records, sinks
 
 
 def test_files(spark, tmp_path):
@@ -79,6 +79,49 @@ def test_records(spark, tmp_path):
     assert sorted((r.id, r.text) for r in records.hypotheses(spark, str(tmp_path / "h.jsonl")).collect()) == [("1", "c"), ("2", "b")]
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    """Many parts of two files give the numbers of one reading from the start."""
+    conf = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    whole = {}
+    for name, n, end in (("b.txt", 4000, "\n"), ("a.txt", 900, "\r\n")):
+        whole[name] = [f"{name} {i} " + "é" * (i % 90) if i % 17 else "" for i in range(n)]
+        (tmp_path / name).write_bytes((end.join(whole[name]) + (end if n == 900 else "")).encode())
+    before = [spark.conf.get(c) for c in conf]
+    try:
+        for c, v in zip(conf, ("8kb", "1kb")):
+            spark.conf.set(c, v)
+        rows = lines.numbered(spark, str(tmp_path / "*.txt"))
+        assert rows.rdd.getNumPartitions() > 4
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r.path.rsplit("/", 1)[-1], {})[r.line] = r.value
+        assert got == {k: dict(enumerate(v, 1)) for k, v in whole.items()}
+        for k in range(3):  # the largest file first by size, the last by name
+            said = [json.dumps({"id": str(i % 40), "text": f"{k}-{i}", "seconds": 1.0}) for i in range((3 - k) * 700)]
+            (tmp_path / f"h{k}.jsonl").write_text("\n".join([*said, "{broken", json.dumps({"text": "no id"})]))
+        assert {r.id: r.text for r in records.hypotheses(spark, str(tmp_path / "h*.jsonl")).collect()} == {str(i): f"2-{(680 if i < 20 else 660) + i}" for i in range(40)}
+    finally:
+        for c, v in zip(conf, before):
+            spark.conf.set(c, v)
+
+
+def test_dump_is_staged_in_batches_and_gone_on_with(spark, tmp_path):
+    record = lambda i, **more: json.dumps({"productType": "book", "id": f"b{i}", "specification": json.dumps({"Title": f" T{i} "})} | more)
+    said = [record(0), "", "{broken", record(1), record(2, productType="pen"), record(3, specification=json.dumps({"Title": " "})), record(0), record(4, id=None), record(5, id=""), record(6), record(1), record(7, specification="no json")]
+    path, folder = str(tmp_path / "dump.jsonl"), str(tmp_path / "staged")
+    (tmp_path / "dump.jsonl").write_text("\n".join(said) + "\n")
+    assert lines.stage(spark, path, folder, 3, 1) == {"cursor": 3, "staged": 1, "skipped": 2, "ignored": 0}
+    broken = tmp_path / "staged" / "batch-000000000000003"  # a run that died while it wrote
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"half")
+    assert lines.stage(spark, path, folder, 3, 1)["cursor"] == 6
+    assert lines.stage(spark, path, folder, 3) == lines.stage(spark, path, folder, 3) == {"cursor": 12, "staged": 5, "skipped": 5, "ignored": 2}
+    rows = lines.staged(spark, folder).where("state = 'staged'").orderBy("line").collect()
+    assert [(r.line, r.external_id, r.title) for r in rows] == [(1, "b0", "T0"), (4, "b1", "T1"), (8, "line:8", "T4"), (9, "line:9", "T5"), (10, "b6", "T6")]
+    once = str(tmp_path / "once")
+    assert lines.stage(spark, path, once) == lines.progress(lines.staged(spark, folder)) and lines.progress(lines.staged(spark, str(tmp_path / "nothing")))["cursor"] == 0
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     sinks.write_once(rows, str(tmp_path / "once"))
