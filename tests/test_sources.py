@@ -99,7 +99,7 @@ def test_lines_of_split_files(spark, tmp_path):
         for k in range(3):  # the largest file first by size, the last by name
             said = [json.dumps({"id": str(i % 40), "text": f"{k}-{i}", "seconds": 1.0}) for i in range((3 - k) * 700)]
             (tmp_path / f"h{k}.jsonl").write_text("\n".join([*said, "{broken", json.dumps({"text": "no id"})]))
-        assert {r.id: r.text for r in records.hypotheses(spark, str(tmp_path / "h*.jsonl")).collect()} == {str(i): f"2-{(680 if i < 20 else 660) + i}" for i in range(40)}
+        assert {r.id: r.text for r in records.hypotheses(spark, str(tmp_path / "h*.jsonl")).collect()} == {str(i): f"2-{(680 if i < 20 else 640) + i}" for i in range(40)}
     finally:
         for c, v in zip(conf, before):
             spark.conf.set(c, v)
