@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
 import regex
@@ -71,32 +72,111 @@ def title_similarity(a: str, b: str) -> float:
     return best_of_sort_and_part(a, b)
 
 
-def edits(a, b) -> tuple[int, int, int, int]:
-    """(edits, inserts, deletes, replaces) that turn ``a`` into ``b``, as few as can be; of equal choices replacing first."""
-    start, end = 0, 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
+def _trimmed(a, b):
+    """Both sequences without what they share at either end."""
+    start, most = 0, min(len(a), len(b))
+    while start < most and a[start] == b[start]:
         start += 1
-    while end < min(len(a), len(b)) - start and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
+    end = 0
+    while end < most - start and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
         end += 1
-    a, b = a[start:len(a) - end], b[start:len(b) - end]
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        last, row = rows[-1], [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1))
-        rows.append(row)
-    i, j, ops = len(a), len(b), [0, 0, 0]
-    while i or j:
-        here = rows[i][j]
-        if i and j and here == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            ops[2] += a[i - 1] != b[j - 1]
-            i, j = i - 1, j - 1
-        elif j and here == rows[i][j - 1] + 1:
+    return a[start:len(a) - end], b[start:len(b) - end]
+
+
+def _places(a) -> dict:
+    """Element -> an integer whose bits are its places."""
+    found: dict = {}
+    for i, x in enumerate(a):
+        found.setdefault(x, []).append(i)
+    out = {}
+    for x, at in found.items():
+        bits = bytearray(len(a) // 8 + 1)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        out[x] = int.from_bytes(bits, "little")
+    return out
+
+
+def _columns(places: dict, full: int, b, up: int, down: int):
+    """(up, down) for each element of ``b``, bit-parallel (Myers 1999, Hyyro 2003): the bits of the places of ``a`` at which the
+    column of edit distances rises or falls by one. The whole column is one integer, so a step costs len(a) / 64 words."""
+    for y in b:
+        same = places.get(y, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(across | up)), up & across
+        rise, fall = rise << 1 & full | 1, fall << 1 & full
+        up, down = fall | (full & ~(level | rise)), rise & level
+        yield up, down
+
+
+def distance(a, b) -> int:
+    """The fewest inserts, deletes and replaces that turn one sequence of any elements into the other."""
+    a, b = _trimmed(a, b)
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    full = (1 << len(a)) - 1
+    up, down = full, 0
+    for up, down in _columns(_places(a), full, b, full, 0):
+        pass
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+def edits(a, b) -> tuple[int, int, int, int]:
+    """(edits, inserts, deletes, replaces) that turn ``a`` into ``b``, as few as can be; read from the end, of equal choices
+    replacing comes first, then inserting.
+
+    The way back through the table of distances needs every column. Each is two integers of len(a) bits; only every
+    sqrt(len(b))-th is kept, and those between are made again when the way back comes to them, so 20,000 by 20,000 elements
+    take a few megabytes instead of the table.
+    """
+    a, b = _trimmed(a, b)
+    if not a or not b:
+        return len(a) + len(b), len(b), len(a), 0
+    places, full, n = _places(a), (1 << len(a)) - 1, len(b)
+    step = math.isqrt(n) + 1
+    kept = {0: (full, 0)}
+    for j, column in enumerate(_columns(places, full, b, full, 0), 1):
+        if not j % step:
+            kept[j] = column
+    i, j, ops = len(a), n, [0, 0, 0]
+    first, columns = n + 1, []  # columns holds those from first on
+
+    def column(j):
+        nonlocal first, columns
+        if j < first:
+            first = j // step * step
+            columns = [kept[first], *_columns(places, full, b[first:min(first + step, n)], *kept[first])]
+        return columns[j - first]
+
+    def value(j, i):
+        """The distance of the first i elements of ``a`` and the first j of ``b``."""
+        up, down = column(j)
+        low = (1 << i) - 1
+        return j + (up & low).bit_count() - (down & low).bit_count()
+
+    here, left = value(n, i), value(n - 1, i)  # at (j, i) and at (j - 1, i)
+    while i and j:
+        up, down = column(j - 1)
+        corner = left - (up >> (i - 1) & 1) + (down >> (i - 1) & 1)  # at (j - 1, i - 1)
+        differ = a[i - 1] != b[j - 1]
+        if here == corner + differ:
+            ops[2] += differ
+            i, j, here = i - 1, j - 1, corner
+            left = value(j - 1, i) if j else 0
+        elif here == left + 1:
             ops[0] += 1
-            j -= 1
+            j, here = j - 1, left
+            left = value(j - 1, i) if j else 0
         else:
             ops[1] += 1
-            i -= 1
+            up, down = column(j)
+            here += (down >> (i - 1) & 1) - (up >> (i - 1) & 1)
+            i, left = i - 1, corner
+    ops[0] += j
+    ops[1] += i
     return sum(ops), *ops
 
 
@@ -111,8 +191,18 @@ def _pairs(score, kind):
 fuzz_ratio, fuzz_partial, fuzz_token_sort, fuzz_token_set = (_pairs(f, T.DoubleType()) for f in (ratio, partial_ratio, token_sort_ratio, token_set_ratio))
 match_score, title_score = (_pairs(f, T.DoubleType()) for f in (best_of_sort_and_part, title_similarity))
 difflib_ratio = _pairs(lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), T.DoubleType())
-sequence_distance = _pairs(lambda a, b: edits(list(a), list(b))[0], T.IntegerType())
-grapheme_distance = _pairs(lambda a, b: edits(regex.findall(r"\X", a), regex.findall(r"\X", b))[0], T.IntegerType())
+sequence_distance = _pairs(lambda a, b: distance(list(a), list(b)), T.IntegerType())
+grapheme_distance = _pairs(lambda a, b: distance(regex.findall(r"\X", a), regex.findall(r"\X", b)), T.IntegerType())
+_long_distance = _pairs(distance, T.IntegerType())
+#: Cells of the table of distances up to which the built-in function, which fills it, is the faster one.
+CELLS = 1 << 20
+
+
+def char_distance(a: Column, b: Column) -> Column:
+    """The edit distance of two texts by characters: the built-in function for short texts, bit-parallel for long ones; null if
+    one is null."""
+    small = F.char_length(a).cast("long") * F.char_length(b) <= CELLS
+    return F.when(small, F.levenshtein(F.when(small, a), F.when(small, b))).otherwise(_long_distance(F.when(~small, a), F.when(~small, b)))
 
 
 @pandas_udf(OPS)

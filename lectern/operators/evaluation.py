@@ -24,7 +24,7 @@ def scored(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     ref = F.when(F.coalesce(F.trim(reference), F.lit("")) == "", F.raise_error(F.lit("a reference without text")).cast("string")).otherwise(F.col(reference))
     hyp = F.coalesce(F.col(hypothesis), F.lit(""))
     words = lambda c: F.coalesce(word_tokens(c), F.array().cast("array<string>"))
-    out = rows.withColumns({"edits": F.levenshtein(ref, hyp).cast("long"), "chars": F.char_length(ref).cast("long"), "word_edits": scorers.sequence_distance(words(ref), words(hyp)).cast("long"), "words": F.size(words(ref)).cast("long")})
+    out = rows.withColumns({"edits": scorers.char_distance(ref, hyp).cast("long"), "chars": F.char_length(ref).cast("long"), "word_edits": scorers.sequence_distance(words(ref), words(hyp)).cast("long"), "words": F.size(words(ref)).cast("long")})
     return out.withColumns({"cer": F.col("edits") / F.col("chars"), "wer": F.try_divide(F.col("word_edits").cast("double"), F.col("words"))})
 
 
@@ -232,7 +232,7 @@ def match_lines(census: list[str], predicted: list[str], least: float = 0.70) ->
             elif min(len(line), len(other)) / max(len(line), len(other)) <= max(best, least - 1e-9):
                 score = 0.0 if line != other else 1.0  # no longer line can be so near
             else:
-                score = 1 - scorers.edits(line, other)[0] / max(len(line), len(other))
+                score = 1 - scorers.distance(line, other) / max(len(line), len(other))
             if score > best:
                 best, at = score, j
         if at >= 0 and best >= least - 1e-12:

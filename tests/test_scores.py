@@ -109,6 +109,62 @@ def plain_draw(rows, cells, per_cell, per_author, seed="s"):
 
 
 @pytest.mark.parametrize("per_cell,per_author,seed", [(5, 2, "s"), (3, 1, "t")])
+def plain_script(a, b):
+    """The way back through the whole table: replace before insert before delete, behind what both ends share."""
+    start = end = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
+        end += 1
+    a, b = a[start:len(a) - end], b[start:len(b) - end]
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        last, row = rows[-1], [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        rows.append(row)
+    i, j, ops = len(a), len(b), [0, 0, 0]
+    while i or j:
+        if i and j and rows[i][j] == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j, ops[2] = i - 1, j - 1, ops[2] + (a[i - 1] != b[j - 1])
+        elif j and rows[i][j] == rows[i][j - 1] + 1:
+            j, ops[0] = j - 1, ops[0] + 1
+        else:
+            i, ops[1] = i - 1, ops[1] + 1
+    return sum(ops), *ops
+
+
+def test_edit_scripts_equal_the_whole_table():
+    draw = random.Random(9)
+    for _ in range(600):
+        a, b = ("".join(draw.choice("abcd"[:draw.randint(1, 4)]) for _ in range(draw.randrange(70))) for _ in range(2))
+        assert scorers.edits(a, b) == plain_script(a, b) and scorers.distance(a, b) == plain_distance(a, b) == scorers.distance(list(a), list(b))
+    assert scorers.edits("", "") == (0, 0, 0, 0) and scorers.edits("", "ab") == (2, 2, 0, 0) and scorers.edits("ab", "") == (2, 0, 2, 0)
+    assert scorers.edits("a", "é") == (1, 0, 0, 1) and scorers.distance([1, None, 2], [None, 2]) == 1
+
+
+def test_page_length_scripts_need_little_memory():
+    import tracemalloc
+
+    draw = random.Random(3)
+    a = [f"w{draw.randrange(3000)}" for _ in range(20_000)]
+    b = [w if draw.random() < 0.9 else f"q{draw.random()}" for w in a if draw.random() < 0.95]
+    tracemalloc.start()
+    total, more, less, other = scorers.edits(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert total == more + less + other == scorers.distance(a, b) and more - less == len(b) - len(a)
+
+
+def test_long_texts_are_scored_as_short_ones(spark, monkeypatch):
+    rows = [("kitten", "sitting"), ("", "abc"), (None, "x"), ("x", None), ("é" * 1500, "é" * 1400 + "z")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    want = [3, 3, None, None, 100]
+    assert [r[0] for r in df.select(scorers.char_distance(F.col("a"), F.col("b"))).collect()] == want
+    monkeypatch.setattr(scorers, "CELLS", 4)
+    assert [r[0] for r in df.select(scorers.char_distance(F.col("a"), F.col("b"))).collect()] == want
+
+
 def test_capped_strata_equal_a_plain_draw(spark, per_cell, per_author, seed):
     draw = random.Random(5)
     names = [f"c{i}" for i in range(20)]
