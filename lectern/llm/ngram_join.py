@@ -123,8 +123,9 @@ def _fragments(pieces: int, width: int):
     return run
 
 
-def _shared(batches):
-    """Rows of _fragments, sorted by fragment -> (short, shared): how many n-grams of a set others have, by fragment."""
+def _shared(pieces: int):
+    """Rows of _fragments, sorted by fragment -> (bucket, ids, shared): how many n-grams of each set others have in a fragment,
+    packed by ``pieces`` buckets of sets, so that a fragment gives a row for each bucket and not one for each set."""
     names = ("ids", "counts", "single", "several", "sure_ids", "sure")
 
     def counted(parts):
@@ -136,20 +137,48 @@ def _shared(batches):
         at = np.minimum(np.searchsorted(more, single), max(len(more) - 1, 0))
         hit = more[at] == single if len(more) else np.zeros(len(single), bool)
         sums = np.add.reduceat(hit, np.cumsum(counts) - counts, dtype=np.int64) if len(counts) else np.zeros(0, np.int64)
-        out = np.concatenate([ids[sums > 0], np.frombuffer(whole["sure_ids"], np.int64)]), np.concatenate([sums[sums > 0], np.frombuffer(whole["sure"], np.int32)])
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["short", "shared"])
+        ids = np.concatenate([ids[sums > 0], np.frombuffer(whole["sure_ids"], np.int64)])
+        sums = np.concatenate([sums[sums > 0], np.frombuffer(whole["sure"], np.int32)]).astype(np.int32)
+        bucket = ids % pieces
+        by = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[by], np.arange(pieces + 1))
+        rows = [(k, ids[by[a:b]].tobytes(), sums[by[a:b]].tobytes()) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[], [], []], (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "ids", "shared"])
+
+    def run(batches):
+        key, parts = None, []
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in names]
+            for now, *part in zip(batch.column("fragment").to_pylist(), *columns):
+                if now != key:
+                    if parts:
+                        yield counted(parts)
+                    key, parts = now, []
+                parts.append(part)
+        if parts:
+            yield counted(parts)
+
+    return run
+
+
+def _summed(batches):
+    """Rows of _shared, sorted by bucket -> (short, shared), summed over fragments."""
+
+    def out(parts):
+        ids, shared = (np.frombuffer(b"".join(p), t) for p, t in zip(zip(*parts), (np.int64, np.int32)))
+        each, at = np.unique(ids, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.bincount(at, weights=shared, minlength=len(each)).astype(np.int64))], names=["short", "shared"])
 
     key, parts = None, []
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in names]
-        for now, *part in zip(batch.column("fragment").to_pylist(), *columns):
+        for now, *part in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if now != key:
                 if parts:
-                    yield counted(parts)
+                    yield out(parts)
                 key, parts = now, []
             parts.append(part)
     if parts:
-        yield counted(parts)
+        yield out(parts)
 
 
 def _segments(width: int):
@@ -175,15 +204,24 @@ def sharers(docs: DataFrame, classes: DataFrame, width: int, least: tuple[int, i
     num, den = least
     parts = docs.select("text").mapInArrow(_fragments(pieces, width), "fragment int, ids binary, counts binary, single binary, several binary, sure_ids binary, sure binary")
     dealt = parts.repartitionById(pieces, "fragment").sortWithinPartitions("fragment")
-    shared = dealt.mapInArrow(_shared, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
+    packed = dealt.mapInArrow(_shared(pieces), "bucket int, ids binary, shared binary")
+    shared = packed.repartitionById(pieces, "bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "short long, shared long")
     return classes.join(shared, "short").where(F.col("shared") * den >= F.col("n") * num).drop("shared")
 
 
-def _possible(a: str, b: str, least: tuple[int, int]) -> Column:
-    """Whether two sets, structs of size ``n`` and n-grams that others have ``s``, can be as similar as ``least``."""
+def _possible(a: str, b: str, least: tuple[int, int], common: tuple[str, str] | None = None) -> Column:
+    """Whether two sets, structs of size ``n``, n-grams that others have ``s`` and the place ``at`` of the n-gram under which they
+    meet, can be as similar as ``least`` if that is the first that they share: then they share no more than stand from there
+    on. ``common`` names what each has in common with a third set: together they have the smaller of it, and of what others
+    have that they have beside it."""
     num, den = least
-    of = lambda f, c: f(F.col(f"{a}.{c}"), F.col(f"{b}.{c}"))
-    return (of(F.least, "n") * den >= of(F.greatest, "n") * num) & (of(F.least, "s") * (num + den) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * num)
+    left, right = (lambda c, v=v: F.col(f"{v}.{c}") for v in (a, b))
+    enough = lambda most: most * (num + den) >= (left("n") + right("n")) * num
+    fits = (F.least(left("n"), right("n")) * den >= F.greatest(left("n"), right("n")) * num) & enough(F.least(left("n") - left("at"), right("n") - right("at")))
+    if common is None:
+        return fits
+    x, y = map(F.col, common)
+    return fits & F.coalesce(enough(F.least(x, y) + F.least(left("s") - x, right("s") - y)), F.lit(True))
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -201,7 +239,9 @@ def links(segments: DataFrame, least: tuple[int, int] = LEAST, stars: int = STAR
     In an order by rising frequency, two such sets share one of their first n - ceil(least * n) + 1 n-grams, so only sets that
     meet under one of these can be near. Under each, the set with the fewest n-grams of its own is compared with all others
     first; then, ``stars`` times in all, that of those outside the largest component; at last all that are still in
-    different components with those they meet, so a group of near copies gives a few pairs a set and no link is lost.
+    different components with those they meet. Pairs that cannot be near by their sizes, or by what both have in common with
+    the first set that they were compared with, are passed over. So a group of near copies gives a few pairs a set, and no
+    link is lost.
     """
     num, den = least
     tokens = segments.select("sid", "n", F.explode("grams").alias("gram"))
@@ -209,25 +249,30 @@ def links(segments: DataFrame, least: tuple[int, int] = LEAST, stars: int = STAR
     ranked = tokens.join(common, "gram").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("by"))
     whole = F.expr(f"(n * {num} + {den - 1}) div {den}")  # ceil(least * n)
     first = (F.size("by") + 1 - whole).cast("int")  # those that only this set has come before, and meet nobody
-    meeting = ranked.where(first > 0).select(F.struct(F.col("sid"), "n", F.size("by").cast("long").alias("s")).alias("x"), F.explode(F.slice("by", F.lit(1), first)).alias("g"))
-    held = cut(meeting.select(F.col("g.gram").alias("gram"), "x"))
+    meeting = ranked.where(first > 0).select(F.col("sid"), "n", F.size("by").cast("long").alias("s"), F.posexplode(F.slice("by", F.lit(1), first)).alias("k", "g"))
+    held = cut(meeting.select(F.col("g.gram").alias("gram"), F.struct("sid", "n", "s", (F.col("n") - F.col("s") + F.col("k")).alias("at")).alias("x")))
     central = F.struct((F.col("x.n") - F.col("x.s")).alias("own"), F.col("x.sid").alias("sid"), F.col("x").alias("x"))
-    apart = lambda v: v.select(F.col("v.sid").alias("a"), F.col("x.sid").alias("b"), F.col("v.n").alias("na"), F.col("x.n").alias("nb"))
-    near = lambda pairs: cut(overlaps(cut(pairs.distinct()), segments).where(F.col("common") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b"))
+    apart = lambda v: cut(v.select(F.col("v.sid").alias("a"), F.col("x.sid").alias("b"), F.col("v.n").alias("na"), F.col("x.n").alias("nb")).distinct())
+    near = lambda rows: rows.where(F.col("common") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
 
     heads = held.groupBy("gram").agg(F.min(central).alias("v"), F.count("*").alias("n")).where("n > 1").select("gram", "v.x").withColumnRenamed("x", "v")
-    found = [near(apart(held.join(heads, "gram").where("x.sid <> v.sid").where(_possible("v", "x", least))))]
+    meet = held.join(heads, "gram")
+    first = cut(overlaps(apart(meet.where("x.sid <> v.sid").where(_possible("v", "x", least))), segments))
+    found = [near(first)]
+    # each row with what its set has in common with the first head that it met, where that was counted
+    known = broadcast_within(first.select("a", "b", "common"))
+    held = cut(meet.join(known, (F.col("v.sid") == F.col("a")) & (F.col("x.sid") == F.col("b")), "left").select("gram", "x", F.when(F.col("x.sid") == F.col("v.sid"), F.col("x.s")).otherwise(F.col("common")).alias("common")))
     for k in range(stars):
         roots = cut(connected_components(reduce(DataFrame.union, found)))
-        placed = held.join(broadcast_within(roots), F.col("x.sid") == F.col("node"), "left").select("gram", "x", F.coalesce("root", "x.sid").alias("root"))
+        placed = held.join(broadcast_within(roots), F.col("x.sid") == F.col("node"), "left").select("gram", "x", "common", F.coalesce("root", "x.sid").alias("root"))
         largest = placed.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("gram", "most")
         mixed = cut(placed.join(largest, "gram"))
-        left = mixed.where("root <> most").select("gram", F.col("x").alias("v"), F.col("root").alias("other"))
+        left = mixed.where("root <> most").select("gram", F.col("x").alias("v"), F.col("root").alias("other"), F.col("common").alias("beside"))
         if k + 1 < stars:  # one of those outside the largest component
-            of = F.struct((F.col("v.n") - F.col("v.s")).alias("own"), F.col("v.sid").alias("sid"), "v", "other")
-            left = left.groupBy("gram").agg(F.min(of).alias("h")).select("gram", "h.v", "h.other")
+            of = F.struct((F.col("v.n") - F.col("v.s")).alias("own"), F.col("v.sid").alias("sid"), "v", "other", "beside")
+            left = left.groupBy("gram").agg(F.min(of).alias("h")).select("gram", "h.v", "h.other", "h.beside")
         met = mixed.join(left, "gram").where("root <> other").where((F.col("root") == F.col("most")) | (F.col("v.sid") < F.col("x.sid")) | F.lit(k + 1 < stars))
-        found.append(near(apart(met.where(_possible("v", "x", least)))))
+        found.append(cut(near(overlaps(apart(met.where(_possible("v", "x", least, ("beside", "common")))), segments))))
     return reduce(DataFrame.union, found)
 
 
