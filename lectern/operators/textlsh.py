@@ -2,58 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from lectern.functions.keys import shingle_view
-from lectern.storage import cut, texts
-
-#: Characters of a shingle, permutations, bands, shingles that make a text usable, and the similarity of a link.
-SHINGLE, PERMUTATIONS, BANDS, USABLE, LEAST = 9, 128, 16, 500, 0.75
-#: The prime of all hashes, and the base of a shingle's polynomial.
-PRIME, BASE = (1 << 31) - 1, 16777619
-#: Shingles that are permuted at once, and classes that one task compares with as many.
-CHUNK, BLOCK = 1 << 13, 512
+from lectern.operators.components import connected_components
+from lectern.storage import broadcast_within, cut, texts
+
+#: Characters of a shingle, places of a signature (a power of two), bands, shingles that make a text usable, and the
+#: similarity of a link.
+SHINGLE, PLACES, BANDS, USABLE, LEAST = 9, 128, 16, 500, 0.75
+#: Fixed value: the base of a shingle's polynomial, modulo 2 ** 64.
+BASE = 1099511628211
+#: An odd factor that spreads the polynomials.
+SPREAD = 0x9E3779B97F4A7C15
+#: Bits of a hash that choose its place, and bits below its value, which has 32.
+PLACE_BITS = PLACES.bit_length() - 1
+REST = 64 - PLACE_BITS - 32
 SIGNED = T.StructType().add("signature", T.ArrayType(T.LongType())).add("shingles", T.LongType())
 
 
-def coefficients(n: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) of the permutations, from the first 32 bits of MD5, so that other engines can draw them."""
-    import hashlib
-
-    draw = lambda kind: np.array([int(hashlib.md5(f"{kind}:{i}".encode()).hexdigest()[:8], 16) % (PRIME - 1) + 1 for i in range(n)], np.int64)
-    return draw("a"), draw("b")
-
-
 def shingle_hashes(view: str) -> np.ndarray:
-    """The distinct hashes of a normalised text's shingles: sum of code point * BASE^place, modulo PRIME."""
-    codes = np.frombuffer(view.encode("utf-32-le"), np.uint32).astype(np.int64)
+    """The distinct 64-bit hashes of a normalised text's shingles: sum of code point * BASE^place, modulo 2 ** 64."""
+    codes = np.frombuffer(view.encode("utf-32-le"), np.uint32).astype(np.uint64)
     if len(codes) < SHINGLE:
-        return np.zeros(0, np.int64)
-    total = np.zeros(len(codes) - SHINGLE + 1, np.int64)
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
     for j in range(SHINGLE):
-        total += codes[j:j + len(total)] * pow(BASE, j, PRIME) % PRIME
-    return np.unique(total % PRIME)
+        total += codes[j:j + len(total)] * np.uint64(pow(BASE, j, 1 << 64))
+    return np.unique(total)
 
 
-def minhash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least (a * hash + b) mod PRIME of each permutation; zeros without hashes."""
-    low = np.full(len(a), PRIME, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        np.minimum(low, ((hashes[at:at + CHUNK, None] * a + b) % PRIME).min(axis=0), out=low)
-    return low if len(hashes) else np.zeros(len(a), np.int64)
+def minhash(hashes: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash: the spread hash chooses a place by its first bits, and each place holds the least of the next 32
+    bits. An empty place borrows from the next one that is not, counted round, and adds 2 ** 32 for each place between, so
+    that two texts agree there only where both borrow the same. Zeros without hashes."""
+    if not len(hashes):
+        return np.zeros(PLACES, np.int64)
+    spread = np.sort(hashes * np.uint64(SPREAD))
+    place = (spread >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+    there, first = np.unique(place, return_index=True)
+    value = (spread[first] >> np.uint64(REST)).astype(np.int64) & 0xFFFFFFFF
+    after = np.searchsorted(there, np.arange(PLACES)) % len(there)
+    return value[after] + ((there[after] - np.arange(PLACES)) % PLACES << 32)
 
 
 @pandas_udf(SIGNED)
 def _sign(view: pd.Series) -> pd.DataFrame:
-    a, b = coefficients()
     found = [shingle_hashes(v or "") for v in view]
-    return pd.DataFrame({"signature": [minhash(h, a, b) for h in found], "shingles": [len(h) for h in found]})
+    return pd.DataFrame({"signature": [minhash(h) for h in found], "shingles": [len(h) for h in found]})
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,72 +65,82 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.select(key, "s.signature", "s.shingles")
 
 
+def _part(signature: Column, k: Column, bands: int) -> Column:
+    rows = F.floor(F.size(signature) / bands).cast("int")
+    return F.slice(signature, k * rows + 1, rows)
+
+
 def band_keys(signature: Column, bands: int = BANDS) -> Column:
     """A digest for each band of a signature; none for an empty one."""
-    rows = F.floor(F.size(signature) / bands).cast("int")
-    part = lambda k: F.array_join(F.slice(signature, k * rows + 1, rows).cast("array<string>"), ",")
-    return F.when(F.size(signature) > 0, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.concat(k.cast("string"), F.lit(":"), F.substring(F.md5(part(k)), 1, 16)))).otherwise(F.array().cast("array<string>"))
-
-
-def _linked(left: np.ndarray, right: np.ndarray, band: int, least: float, bands: int) -> np.ndarray:
-    """[i, j]: whether two signatures agree in ``least`` of their places, and ``band`` is the first band that they share."""
-    same = left[:, None, :] == right[None, :, :]
-    first = same.reshape(len(left), len(right), bands, -1).all(-1)
-    return (same.mean(-1) >= least) & first[:, :, band] & ~first[:, :, :band].any(-1)
-
-
-def _count(least: float, bands: int):
-    """Sorted batches (band, key, i, j, own, class_id, signature) -> (class_id, links) of each pair of parts of a bucket."""
-
-    def found(band, i, j, rows):
-        own = [r for r in rows if r[0] == i]
-        ids = np.array([r[1] for r in own], np.int64)
-        mine = np.stack([r[2] for r in own]) if own else None
-        if i == j:
-            if len(own) > 1:
-                hit = _linked(mine, mine, band, least, bands)
-                np.fill_diagonal(hit, False)
-                yield ids, hit.sum(1)
-        elif own and (others := [r for r in rows if r[0] == j]):
-            hit = _linked(mine, np.stack([r[2] for r in others]), band, least, bands)
-            yield ids, hit.sum(1)
-            yield np.array([r[1] for r in others], np.int64), hit.sum(0)
-
-    def counted(batches):
-        now, rows = None, []
-        for batch in batches:
-            *names, own, ids = (batch.column(k).to_pylist() for k in range(6))
-            for name, o, c, s in zip(zip(*names), own, ids, batch.column(6)):
-                if name != now:
-                    for part in found(now[0], now[2], now[3], rows) if now else ():
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names=["class_id", "links"])
-                    now, rows = name, []
-                rows.append((o, c, s.values.to_numpy(zero_copy_only=False)))
-        for part in found(now[0], now[2], now[3], rows) if now else ():
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names=["class_id", "links"])
-
-    return counted
-
-
-def text_links(signed: DataFrame, key: str = "doc_id", least: float = LEAST, bands: int = BANDS, usable: int = USABLE, block: int = BLOCK) -> DataFrame:
-    """(key, class_id, members, links) of each usable text: its class of equal signatures, named after the smallest key, the
-    class's size, and how many other classes share a band and agree in ``least`` of the signature's places.
-
-    Classes stand for their copies, so copies meet nobody. A bucket of any size is cut into parts of about ``block``
-    classes, and every two parts are compared in a task of their own; a pair counts under the first band that it shares.
-    """
-    rows = cut(signed.where(F.col("shingles") >= usable).select(key, "signature"))
-    classes = cut(rows.groupBy("signature").agg(F.min(key).alias("class_id"), F.count("*").alias("members")))
-    places = F.sequence(F.lit(0), F.lit(bands - 1))
-    part = lambda k: F.slice("signature", k * F.floor(F.size("signature") / bands).cast("int") + 1, F.floor(F.size("signature") / bands).cast("int"))
-    banded = classes.select("class_id", "signature", F.posexplode(F.transform(places, lambda k: F.xxhash64(part(k)))).alias("band", "bucket"))
-    shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("band", "bucket", F.ceil(F.col("n") / block).cast("long").alias("parts"))
-    own = F.pmod(F.xxhash64("class_id"), F.col("parts"))
-    dealt = banded.join(shared, ["band", "bucket"]).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
-    dealt = dealt.select(F.col("band").cast("long").alias("band"), "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "signature")
-    by = ["band", "bucket", "i", "j"]
-    links = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_count(least, bands), "class_id long, links long").groupBy("class_id").agg(F.sum("links").alias("links"))
-    found = classes.join(links, "class_id", "left").select("signature", "class_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.join(found, "signature").select(key, "class_id", "members", "links")
+    digest = lambda k: F.substring(F.md5(F.array_join(_part(signature, k, bands).cast("array<string>"), ",")), 1, 16)
+    return F.when(F.size(signature) > 0, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.concat(k.cast("string"), F.lit(":"), digest(k)))).otherwise(F.array().cast("array<string>"))
+
+
+def differing(left: Column, right: Column) -> Column:
+    """The number of places in which two signatures differ."""
+    return F.size(F.filter(F.zip_with(left, right, lambda x, y: x != y), lambda d: d))
+
 
+def _measured(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, d) of the pairs (a, b): in how many places their signatures differ."""
+    side = lambda k: classes.select(F.col("class_id").alias(k), F.col("signature").alias(f"{k}_s"))
+    met = broadcast_within(pairs).join(side("a"), "a").join(side("b"), "b")
+    return cut(met.select("a", "b", differing(F.col("a_s"), F.col("b_s")).alias("d")))
 
+
+def class_links(classes: DataFrame, least: float = LEAST, bands: int = BANDS, stars: int = 2) -> DataFrame:
+    """(a, b, similarity): links between classes (class_id, signature) of a cut table that share a band and agree in ``least`` of
+    their places, enough of them to connect all that such links connect.
+
+    In each bucket of a band the smallest class is compared with all others first, and ``stars`` - 1 times that of those
+    still outside the largest component; at last all of these with the others of the bucket. Places differ like a distance:
+    two classes cannot be nearer than their distances to the bucket's first class are apart, which spares most of the last
+    comparisons. So a bucket of near copies costs a comparison a class, and is spread over tasks by pairs, not by bucket.
+    """
+    most = F.lit((1 - least) * PLACES)
+    buckets = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(_part(F.col("signature"), k, bands))))
+    rows = classes.select("class_id", buckets.alias("band", "bucket"))
+    heads = rows.groupBy("band", "bucket").agg(F.min("class_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = cut(rows.join(heads, ["band", "bucket"]))
+    first = _measured(rows.where("class_id <> head").select(F.col("head").alias("a"), F.col("class_id").alias("b")).distinct(), classes)
+    rows = rows.join(broadcast_within(first), (F.col("head") == F.col("a")) & (F.col("class_id") == F.col("b")), "left")
+    rows = cut(rows.select("band", "bucket", "class_id", F.coalesce("d", F.lit(0)).alias("far")))
+    found = [first.where(F.col("d") <= most)]
+    for k in range(stars):
+        roots = cut(connected_components(reduce(DataFrame.union, found).select("a", "b")))
+        placed = rows.join(broadcast_within(roots), F.col("class_id") == F.col("node"), "left").select("band", "bucket", "class_id", "far", F.coalesce("root", "class_id").alias("root"))
+        by = ["band", "bucket"]
+        largest = placed.groupBy(*by, "root").agg(F.count("*").alias("n")).groupBy(*by).agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        mixed = cut(placed.join(largest, by))
+        left = mixed.where("root <> most").select(*by, F.col("class_id").alias("v"), F.col("far").alias("v_far"), F.col("root").alias("v_root"))
+        if k + 1 < stars:
+            left = left.groupBy(*by).agg(F.min(F.struct("v", "v_far", "v_root")).alias("h")).select(*by, "h.*")
+        met = mixed.join(left, by).where("root <> v_root").where((F.col("root") == F.col("most")) | (F.col("v") < F.col("class_id")) | F.lit(k + 1 < stars))
+        met = met.where(F.abs(F.col("far") - F.col("v_far")) <= most).select(F.col("v").alias("a"), F.col("class_id").alias("b")).distinct()
+        found.append(_measured(met, classes).where(F.col("d") <= most))
+    return reduce(DataFrame.union, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (1 - F.col("d") / PLACES).alias("similarity")).distinct()
+
+
+def usable_classes(signed: DataFrame, key: str = "doc_id", usable: int = USABLE) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes), both cut: (key, signature) of texts of ``usable`` shingles or more, and (class_id, signature, members) of
+    each different signature, named after its smallest key."""
+    rows = cut(signed.where((F.col("shingles") >= usable) & F.col(key).isNotNull()).select(key, "signature"))
+    return rows, cut(rows.groupBy("signature").agg(F.min(key).alias("class_id"), F.count("*").alias("members")))
+
+
+def text_links(signed: DataFrame, key: str = "doc_id", least: float = LEAST, bands: int = BANDS, usable: int = USABLE, stars: int = 2) -> DataFrame:
+    """(key, class_id, members, family) of each usable text: its class of equal signatures, the class's size, and the smallest
+    class that it reaches over links (``class_links``). Classes stand for their copies, so copies meet nobody. Rows without
+    a key are left out."""
+    rows, classes = usable_classes(signed, key, usable)
+    roots = cut(connected_components(class_links(classes, least, bands, stars).select("a", "b")))
+    named = classes.join(broadcast_within(roots), F.col("class_id") == F.col("node"), "left").select("signature", "class_id", "members", F.coalesce("root", "class_id").alias("family"))
+    return rows.join(named, "signature").select(key, "class_id", "members", "family")
+
+
+def text_edges(signed: DataFrame, key: str = "doc_id", least: float = LEAST, bands: int = BANDS, usable: int = USABLE) -> DataFrame:
+    """Edges (a, b, method, score) of the duplicate graph: links between classes, and from each class to its copies."""
+    rows, classes = usable_classes(signed, key, usable)
+    between = class_links(classes, least, bands).select("a", "b", F.col("similarity").alias("score"))
+    copies = rows.join(classes, "signature").where(F.col(key) != F.col("class_id")).select(F.col("class_id").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("score"))
+    return between.union(copies).select("a", "b", F.lit("text_minhash").alias("method"), "score")

@@ -22,12 +22,14 @@ x AS (SELECT *, max(nullif(pages, 0)) OVER w AS most, min(nullif(pages, 0)) OVER
 s AS (SELECT cluster_id, doc_id, coalesce(4.0::DOUBLE * confidence / 100, 0) + CASE WHEN text_layer THEN 3.0::DOUBLE ELSE 0 END + coalesce(2.0::DOUBLE * nullif(pages, 0) / most, 0) + CASE WHEN coalesce(most - least <= greatest(1, floor(most * 0.02::DOUBLE)), false) THEN coalesce(size_bytes::DOUBLE / nullif(largest, 0), 0) ELSE 0 END
  + CASE WHEN title THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN authors THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN matched THEN 1.5::DOUBLE ELSE 0 END + CASE source WHEN 'src1' THEN 1.0::DOUBLE WHEN 'src2' THEN 0.5::DOUBLE ELSE 0 END AS score FROM x)
 """
-#: Signatures: polynomials of nine code points over the normalised text, then 128 permutations.
+#: Signatures: polynomials of nine code points modulo 2^64 over the normalised text, spread by a factor; the first seven bits choose
+#: one of 128 places, each keeps the least of the next 32 bits, and an empty one borrows from the next.
 SIGNED = r"""WITH v AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g'))) AS t FROM documents),
 ch AS (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM v WHERE t <> ''),
-sh AS (SELECT doc_id, (""" + " + ".join(f"unicode(lead(c, {j}) OVER w)::BIGINT * {pow(textlsh.BASE, j, textlsh.PRIME)}" for j in range(9)) + f""") % {textlsh.PRIME} AS h FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-h AS (SELECT DISTINCT doc_id, h FROM sh WHERE h IS NOT NULL), p AS (SELECT j, ('0x' || substr(md5('a:' || j), 1, 8))::BIGINT % {textlsh.PRIME - 1} + 1 AS a, ('0x' || substr(md5('b:' || j), 1, 8))::BIGINT % {textlsh.PRIME - 1} + 1 AS b FROM range(128) x(j)),
-m AS (SELECT doc_id, j, min((h * a + b) % {textlsh.PRIME}) AS low FROM h, p GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS shingles FROM h GROUP BY 1), z AS (SELECT doc_id, list(low ORDER BY j) AS signature FROM m GROUP BY 1),
+sh AS (SELECT doc_id, (""" + " + ".join(f"unicode(lead(c, {j}) OVER w)::UHUGEINT * {pow(textlsh.BASE, j, 1 << 64)}::UHUGEINT" for j in range(9)) + f""") % {1 << 64}::UHUGEINT AS h FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT DISTINCT doc_id, h FROM sh WHERE h IS NOT NULL), m AS MATERIALIZED (SELECT doc_id, CAST(z // {1 << 57}::UHUGEINT AS INTEGER) AS place, CAST(min(z) % {1 << 57}::UHUGEINT // {1 << 25}::UHUGEINT AS BIGINT) AS low FROM (SELECT doc_id, h * {textlsh.SPREAD}::UHUGEINT % {1 << 64}::UHUGEINT AS z FROM h) GROUP BY 1, 2),
+f AS (SELECT doc_id, j, arg_min(low, k) + min(k) * 4294967296 AS low FROM (SELECT doc_id, j, low, (place - j + 128) % 128 AS k FROM m, range(128) x(j)) GROUP BY 1, 2),
+n AS (SELECT doc_id, count(*) AS shingles FROM h GROUP BY 1), z AS (SELECT doc_id, list(low ORDER BY j) AS signature FROM f GROUP BY 1),
 s AS (SELECT doc_id, coalesce(signature, list_transform(range(128), lambda x: 0)) AS signature, coalesce(shingles, 0) AS shingles FROM v LEFT JOIN z USING (doc_id) LEFT JOIN n USING (doc_id))
 """
 
@@ -179,9 +181,10 @@ def jaccard_estimates(t):
     return signed.join(after, "doc_id").select("doc_id", scorers.jaccard_estimate(F.col("signature"), F.col("next")).alias("similarity"))
 
 
-@query(SIGNED + """, c AS (SELECT signature, min(doc_id) AS class_id, count(*) AS members FROM s WHERE shingles >= 500 GROUP BY 1), b AS (SELECT class_id, k, signature[k * 8 + 1:k * 8 + 8] AS band FROM c, range(16) x(k)),
+@query(SIGNED.replace("WITH v AS", "WITH RECURSIVE v AS") + """, c AS MATERIALIZED (SELECT signature, min(doc_id) AS class_id, count(*) AS members FROM s WHERE shingles >= 500 GROUP BY 1), b AS (SELECT class_id, k, signature[k * 8 + 1:k * 8 + 8] AS band FROM c, range(16) x(k)),
 q AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM b x JOIN b y ON x.k = y.k AND x.band = y.band AND x.class_id <> y.class_id),
-l AS (SELECT a, count(*) AS links FROM q JOIN c x ON x.class_id = a JOIN c y ON y.class_id = b WHERE len(list_filter(list_zip(x.signature, y.signature), lambda z: z[1] = z[2])) >= 96 GROUP BY 1)
-SELECT s.doc_id, class_id, members, coalesce(links, 0) AS links FROM s JOIN c ON c.signature = s.signature LEFT JOIN l ON a = class_id WHERE s.shingles >= 500""")
+l AS MATERIALIZED (SELECT a, b FROM q JOIN c x ON x.class_id = a JOIN c y ON y.class_id = b WHERE len(list_filter(list_zip(x.signature, y.signature), lambda z: z[1] = z[2])) >= 96),
+r AS (SELECT class_id AS node, class_id AS other FROM c UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other), w AS (SELECT node, min(other) AS family FROM r GROUP BY 1)
+SELECT s.doc_id, class_id, members, family FROM s JOIN c ON c.signature = s.signature JOIN w ON w.node = class_id WHERE s.shingles >= 500""")
 def lsh_text_links(t):
     return textlsh.text_links(textlsh.signatures(t("documents")))

@@ -10,31 +10,97 @@ from lectern.operators import candidates, corpus, dedupe, textlsh, voting
 from lectern.streaming import jobs
 
 
-def test_text_links_in_split_buckets_equal_brute_force(spark):
-    draw = random.Random(3)
+def plain_signature(view):
+    """Place by place, with Python's integers."""
+    hashes = {sum(ord(c) * 1099511628211**j for j, c in enumerate(view[i:i + 9])) % 2**64 for i in range(len(view) - 8)}
+    low = {}
+    for h in hashes:
+        z = h * textlsh.SPREAD % 2**64
+        low[z >> 57] = min(z % 2**57 >> 25, low.get(z >> 57, 2**32))
+    if not low:
+        return [0] * 128
+    return [next(low[(j + k) % 128] + (k << 32) for k in range(128) if (j + k) % 128 in low) for j in range(128)]
+
+
+def near_texts(draw):
     base = [[f"word{draw.randrange(400)}" for _ in range(220)] for _ in range(6)]
     rows = []
     for i in range(72):
         words = list(base[i % 6])
-        for _ in range(draw.randrange(0, 5)):
+        for _ in range(draw.randrange(0, 7)):
             words[draw.randrange(len(words))] = f"new{draw.randrange(9)}"
         rows.append((i, " ".join(words)))
-    rows += [(100 + i, rows[0][1].upper() + " !") for i in range(5)] + [(200, "short"), (201, None)]
+    return rows + [(100 + i, rows[0][1].upper() + " !") for i in range(5)] + [(200, "short"), (201, None), (202, ""), (None, rows[0][1])]
+
+
+def test_signatures_equal_plain_ones(spark):
+    rows = [(1, "Héllo wörld, again"), (2, "ab"), (3, None), (4, "x" * 50), (5, " ".join(str(i) for i in range(400)))]
+    got = {r.doc_id: (r.shingles, r.signature) for r in textlsh.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        view = " ".join("".join(c for c in (t or "").lower() if c.isalnum() or c == " ").split())
+        assert got[i] == (len({view[k:k + 9] for k in range(len(view) - 8)}), plain_signature(view))
+
+
+def test_text_links_equal_all_pairs(spark):
+    rows = near_texts(random.Random(3))
     signed = textlsh.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
-    a, b = textlsh.coefficients()
-    plain = {i: textlsh.minhash(textlsh.shingle_hashes(" ".join("".join(c for c in t.lower() if c.isalnum() or c == " ").split())), a, b) for i, t in rows if t and t != "short"}
+    plain = {r.doc_id: tuple(r.signature) for r in signed.collect() if r.doc_id is not None and r.shingles >= 500}
     classes = {}
     for i in sorted(plain):
-        classes.setdefault(plain[i].tobytes(), []).append(i)
-    links = dict.fromkeys((m[0] for m in classes.values()), 0)
-    for x in links:
-        for y in links:
-            same = plain[x] == plain[y]
-            links[x] += x != y and same.mean() >= 0.75 and same.reshape(16, 8).all(1).any()
-    want = {i: (m[0], len(m), links[m[0]]) for m in classes.values() for i in m}
-    assert sum(links.values()) > 50
-    for block in (512, 3):
-        assert {r.doc_id: (r.class_id, r.members, r.links) for r in textlsh.text_links(signed, block=block).collect()} == want
+        classes.setdefault(plain[i], []).append(i)
+    root = {m[0]: m[0] for m in classes.values()}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = set()
+    for x in root:
+        for y in root:
+            same = np.array(plain[x]) == np.array(plain[y])
+            if x < y and same.mean() >= 0.75 and same.reshape(16, 8).all(1).any():
+                pairs.add((x, y))
+                root[max(find(x), find(y))] = min(find(x), find(y))
+    want = {i: (m[0], len(m), find(m[0])) for m in classes.values() for i in m}
+    assert len(pairs) > 50 and len(set(v[2] for v in want.values())) >= 6
+    for stars in (1, 3):
+        assert {r.doc_id: (r.class_id, r.members, r.family) for r in textlsh.text_links(signed, stars=stars).collect()} == want
+    edges = textlsh.text_edges(signed).collect()
+    assert {(r.a, r.b) for r in edges if r.score < 1} <= pairs and sum(r.score == 1 for r in edges) == sum(len(m) - 1 for m in classes.values())
+
+
+def test_links_find_similar_texts(spark):
+    """Of all pairs of texts whose shingles are 0.8 alike or more, over 95 % end in one family; none that are under 0.6 alike."""
+    draw = random.Random(12)
+    rows = []
+    for g in range(40):
+        base = [f"w{draw.randrange(10**5)}" for _ in range(300)]
+        rows.append((2 * g, " ".join(base)))
+        for k in draw.sample(range(300), draw.randrange(1, 110)):
+            base[k] = f"n{draw.randrange(10**5)}"
+        rows.append((2 * g + 1, " ".join(base)))
+    family = {r.doc_id: r.family for r in textlsh.text_links(textlsh.signatures(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    sets = [{t[k:k + 9] for k in range(len(t) - 8)} for _, t in rows]
+    alike = [(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]), family[i] == family[i + 1]) for i in range(0, 80, 2)]
+    near, far = [hit for s, hit in alike if s >= 0.8], [hit for s, hit in alike if s < 0.6]
+    assert len(near) > 2 and len(far) > 8 and sum(near) >= 0.95 * len(near) and not any(far)
+
+
+def test_a_large_bucket_costs_a_comparison_a_class(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 1 << 32, 128)
+    rows = []
+    for i in range(4000):
+        own = base.copy()
+        own[draw.integers(8, 128, 12)] = draw.integers(0, 1 << 32, 12)  # the first band is everybody's
+        rows.append((i, own.tolist()))
+    compared = []
+    plain = textlsh._measured
+    monkeypatch.setattr(textlsh, "_measured", lambda pairs, classes: (compared.append(pairs.count()), plain(pairs, classes))[1])
+    classes = spark.createDataFrame(rows, "class_id long, signature array<long>")
+    links = textlsh.class_links(classes).collect()
+    assert len({r.b for r in links} | {r.a for r in links}) == 4000 and sum(compared) < 40 * 4000
 
 
 def test_fuzzy_lookup_equals_all_pairs(spark):

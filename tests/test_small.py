@@ -38,6 +38,28 @@ def test_bootstrap_is_repeatable_and_holds_the_mean(spark):
     assert study.bootstrap(df.limit(0), "f", "v", 50).first().mean is None
 
 
+def test_hamming_candidates_are_few(spark):
+    """Random signatures of 64 bits meet under 1 % of the others, and every pair within the radius."""
+    draw = random.Random(7)
+    n = 3000
+    sigs = [draw.getrandbits(64) - 2**63 for _ in range(n)]
+    for i in range(200):  # near ones
+        x = sigs[i]
+        for k in draw.sample(range(63), draw.randrange(1, 12)):
+            x ^= 1 << k
+        sigs.append(x)
+    df = spark.createDataFrame(list(enumerate(sigs)), "id long, sig long")
+    met = signatures.hamming_candidates(df, 10, 64).where("id_a <> id_b").count()
+    assert met < 0.01 * len(sigs) ** 2
+    distance = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+    want = {(i, j, d) for i in range(200) for j in range(n, n + 200) if (d := distance(sigs[i], sigs[j])) <= 10}
+    got = {tuple(r) for r in signatures.hamming_pairs(df, "id", F.col("sig"), 10, 64).collect()}
+    assert want <= got and all(distance(sigs[a], sigs[b]) == d <= 10 for a, b, d in got) and len(want) > 150
+    edge, within, masks = signatures.near_masks(10, 64)
+    assert edge == [0, 16, 32, 48, 64] and within == 2 and len(masks) == 137
+    assert len(signatures.near_masks(20, 64)[2]) <= signatures.NEAR_KEYS
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text('{"name": "A", "productType": "book"}\n\n{broken\n{"name": " ", "productType": "book"}\n{"name": "B", "productType": "pen"}\n')
     found = records.json_lines(spark, str(tmp_path / "d.jsonl"))
