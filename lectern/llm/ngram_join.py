@@ -276,27 +276,35 @@ def links(segments: DataFrame, least: tuple[int, int] = LEAST, stars: int = STAR
     return reduce(DataFrame.union, found)
 
 
-def similar_texts(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, key: str = "doc_id", text: str = "text", stars: int = STARS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document: its number of distinct n-grams of ``width`` words, and the smallest
-    doc_id that it reaches over links of a Jaccard similarity of ``least`` or more.
-
-    Texts with the same n-grams are one class, told apart by 128 bits, and meet others once; n-grams are equal if their 64
-    bits are. Texts of fewer words are one n-gram and link with their equals; null and empty texts and such without words
-    have no n-grams and link with nothing, so each is its own component. A null doc_id gets its group's smallest other one, null
-    if there is none; repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result.
-    """
+def grouped(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, key: str = "doc_id", text: str = "text", stars: int = STARS) -> tuple[DataFrame, DataFrame]:
+    """Two cut tables: (doc_id, text_hash, key, short, n) of each row, ``key`` naming its set of n-grams, ``n`` their number; and
+    (key, root) of the sets that are linked with others, ``root`` naming what they reach."""
     spark = docs.sparkSession
     docs = texts(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     rows = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _sketch(width)("text").alias("s")).select("doc_id", "text_hash", "s.*"))
-    classes = cut(rows.where("n > 0").groupBy("key").agg(F.first("short").alias("short"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")))
+    classes = cut(rows.where("n > 0").groupBy("key").agg(F.first("short").alias("short"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash")))
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stay = cut(sharers(docs, classes, width, least, pieces).withColumn("sid", F.monotonically_increasing_id()))
     named = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(broadcast_within(stay.select("text_hash", "sid", "n")), "text_hash").dropDuplicates(["sid"])
     segments, path = park_at(named.select("sid", "n", F.posexplode(_segments(width)("text")).alias("fragment", "grams")).where("size(grams) > 0"))
     roots = cut(connected_components(links(segments, least, stars)))
     delete(spark, path)
-    member = stay.join(roots, stay["sid"] == roots["node"]).select("key", "root", "least")
+    return rows, cut(stay.join(roots, stay["sid"] == roots["node"]).select("key", "root"))
+
+
+def similar_texts(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, key: str = "doc_id", text: str = "text", stars: int = STARS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each document: its number of distinct n-grams of ``width`` words, and the smallest
+    doc_id that it reaches over links of a Jaccard similarity of ``least`` or more.
+
+    Texts with the same n-grams are one class, told apart by 128 bits, and meet others once; n-grams are equal if their 64
+    bits are. Texts of fewer words are one n-gram and link with their equals; null and empty texts and such without words
+    have no n-grams and link with nothing, so each is its own component. A null doc_id gets its group's smallest other one, null
+    if there is none; repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result.
+    """
+    rows, linked = grouped(docs, width, least, key, text, stars)
+    first = cut(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least")))
+    member = linked.join(first, "key")
     best = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
-    ends = classes.join(best, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
+    ends = first.join(best, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
     found = rows.where("n > 0").join(ends, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
