@@ -162,7 +162,7 @@ def test_op6_swaps_act_on_held_out_rows(spark):
     assert fair.swapped > 100 and learned.swapped == fair.swapped
 
     def gap(model):
-        pairs = [p for t, _ in test for p in toxicity.changes(toxicity.words(t))]
+        pairs = [p for t, _ in test for p in toxicity.text_changes(t)]
         return np.mean([abs(sum(model.weights.get(f, 0) for f in b) - sum(model.weights.get(f, 0) for f in a)) for a, b in pairs])
 
     def auc(model):
@@ -170,6 +170,33 @@ def test_op6_swaps_act_on_held_out_rows(spark):
         return np.mean([(b > g) + (b == g) / 2 for b in bad for g in good])
 
     assert gap(fair) < 0.1 * gap(plain) and auc(fair) > auc(plain) - 0.02 and auc(fair) > 0.9
+    # every score again, from the learned weights alone
+    said = {r.doc_id: r.text for r in table.collect()}
+    for r in rows:
+        found = set(re.findall(r"[^\W\d_]+", (said[r.doc_id] or "").lower()))
+        marks = {w for w in found} | {w[:5] + "*" for w in found if len(w) > 5} | {w[:7] + "*" for w in found if len(w) > 7}
+        z = learned.bias + sum(w for f, w in learned.weights.items() if f in marks)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_op6_swaps_stay_inside_sentences():
+    changed = toxicity.text_changes("He came. She went home! The idiot and he\nran; der Hund, la casa")
+    kinds = Counter({(g, c): n for (g, c), n in changed.items()})
+    assert kinds == {(("he",), ("she",)): 2, (("she",), ("he",)): 1}  # no articles, and "she" elsewhere does not hide "he"
+    assert toxicity.text_changes("he and she") == {(("he",), ()): 1, (("she",), ()): 1} and not toxicity.text_changes(None) and not toxicity.text_changes("...")
+
+
+def test_op6_neutral_mentions_by_default():
+    """Texts that name a group are toxic by their company alone; the default penalty takes that from the name."""
+    draw = random.Random(5)
+    filler = [f"w{i}" for i in range(40)]
+    say = lambda *extra: " ".join(draw.sample(filler, 8) + list(extra))
+    toxic = [say("idiot", "muslim") for _ in range(80)] + [say("scum") for _ in range(40)]
+    clean = [say() for _ in range(150)] + [say("christian") for _ in range(10)]
+    plain, fair = (toxicity.fit(toxic + clean, [1] * 120 + [0] * 160, **o) for o in ({"counterfactual": 0.0}, {}))
+    neutral, rude = [say("muslim") for _ in range(60)], [say("idiot") for _ in range(60)]
+    wrong = lambda m: np.mean([m.score(t) >= 0.5 for t in neutral])
+    assert wrong(plain) > 0.5 and wrong(fair) < 0.1 and np.mean([fair.score(t) >= 0.5 for t in rude]) > 0.9
 
 
 def test_op6_without_terms_warns():
@@ -221,18 +248,23 @@ def test_op8_removes_only_what_stood_before(spark, docs):
     loses words."""
     rows = {r.doc_id: r for r in queries.op8_substring(spark, SF).collect()}
     assert rows.keys() == docs.keys()
-    split = {d: (r.text or "").lower().split() for d, r in docs.items()}
-    seen: dict[str, list[int]] = {}
+    split = {d: [(m.group().lower(), *m.span()) for m in WORD.finditer(r.text or "")] for d, r in docs.items()}
+    first: dict[str, tuple[int, int]] = {}
     for d in sorted(docs):
-        for i in range(len(split[d]) - 24):
-            seen.setdefault(" ".join(split[d][i:i + 25]), []).append(d)
+        for i in range(len(split[d]) - 19):
+            first.setdefault(" ".join(w for w, _, _ in split[d][i:i + 20]), (d, i))
+    gone = 0
     for d, r in docs.items():
+        stood = set()  # places of words in 20 that stood before
+        for i in range(len(split[d]) - 19):
+            if first[" ".join(w for w, _, _ in split[d][i:i + 20])] < (d, i):
+                stood.update(range(i, i + 20))
         for s in rows[d].spans or []:
-            gone = r.text[s.start:s.stop].lower().split()
-            assert len(gone) >= 25
-            for i in range(len(gone) - 24):
-                part = seen[" ".join(gone[i:i + 25])]
-                assert min(part) < d or part.count(d) > 1 or len(gone) > 25, (d, s)
+            inside = [k for k, (_, a, b) in enumerate(split[d]) if a >= s.start and b <= s.stop]
+            assert len(inside) >= 25 and stood.issuperset(inside), (d, s)
+            gone += len(inside)
+    assert gone > 1000
+    split = {d: (r.text or "").lower().split() for d, r in docs.items()}
     passage: dict[str, int] = {}
     for d in sorted(docs):
         left = set(" ".join(rows[d].text.lower().split()[i:i + 51]) for i in range(len((rows[d].text or "").split()) - 50))
