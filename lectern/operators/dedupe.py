@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,21 +52,20 @@ def vetoed(edges: DataFrame, facts: DataFrame, least: float = 30.0) -> DataFrame
     return joined.withColumn("vetoed", ~F.col("method").isin(*METADATA) & (volumes | titles)).drop("a_name", "b_name", "a_title", "b_title")
 
 
-def clusters(edges: DataFrame, kind: str, review_over: int = REVIEW_OVER) -> DataFrame:
-    """(doc_id, relation, cluster_id, size, methods, status) of the components of one relation's edges: relations never
-    chain into each other."""
-    own = edges.where(F.col("relation") == kind)
+def all_clusters(edges: DataFrame, review_over: int = REVIEW_OVER) -> DataFrame:
+    """(doc_id, relation, cluster_id, size, methods, status) of the components of each relation's edges: relations never chain
+    into each other. Edges are computed once, and all relations contracted together, a node being a relation and an id."""
+    own = cut(edges.select(*[F.struct("relation", F.col(k).alias("id")).alias(k) for k in "ab"], "method").distinct())
     members = cut(connected_components(own.select("a", "b")))
     methods = own.join(members, F.col("a") == F.col("node")).groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"))
     sizes = members.groupBy("root").agg(F.count("*").alias("size")).join(methods, "root")
     status = F.when(F.col("size") > review_over, "review").otherwise("auto")
-    return members.join(sizes, "root").select(F.col("node").alias("doc_id"), F.lit(kind).alias("relation"), F.col("root").alias("cluster_id"), "size", "methods", status.alias("status"))
+    return members.join(sizes, "root").select(F.col("node.id").alias("doc_id"), "node.relation", F.col("root.id").alias("cluster_id"), "size", "methods", status.alias("status"))
 
 
-def all_clusters(edges: DataFrame) -> DataFrame:
-    """The clusters of every relation."""
-    kinds = ("duplicate", "format_variant", "same_work")
-    return reduce(DataFrame.unionByName, (clusters(edges, k) for k in kinds))
+def clusters(edges: DataFrame, kind: str, review_over: int = REVIEW_OVER) -> DataFrame:
+    """The clusters of one relation."""
+    return all_clusters(edges.where(F.col("relation") == kind), review_over)
 
 
 def summary(found: DataFrame) -> DataFrame:
