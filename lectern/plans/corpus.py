@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import keys
 from lectern.functions import text as X
-from lectern.operators import candidates, corpus, duplicates, evaluation, relations
+from lectern.operators import candidates, corpus, duplicates, evaluation, relations, search
 from lectern.plans.more import boxes
 from lectern.plans.registry import query
 
@@ -132,3 +132,16 @@ def native_evaluators(t):
     rows = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"), F.when(F.col("p_size") % 2 == 0, "half").otherwise("whole").alias("dataset"))
     registry = {"half": lambda d: d.select("id", (F.col("v") / 2).alias("native")), "whole": lambda d: d.select("id", F.col("v").cast("double").alias("native"))}
     return relations.dispatched(rows, "dataset", registry)
+
+
+# --- Ranked search
+
+
+@query(r"""WITH d AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(substr(text, 1, 60)), '[\p{L}\p{M}\p{N}]+')) AS term FROM benchmark), p AS (SELECT doc, len(t) AS l, unnest(t) AS term FROM d),
+c AS (SELECT doc, l, term, count(*) AS tf FROM p SEMI JOIN q USING (term) GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+x AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 9) AS score FROM q JOIN c USING (term) JOIN f USING (term), s GROUP BY 1, 2)
+SELECT query, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 10""")
+def ranked_search(t):
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    return search.search(search.build(t("documents")), asked, 10).withColumn("score", F.round("score", 6))
