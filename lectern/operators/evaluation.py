@@ -7,10 +7,10 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udtf
 
 from lectern.functions import scorers
 from lectern.functions.text import word_tokens
@@ -141,6 +141,20 @@ def _disagreements(base: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([disagreements(a or "", b or "") for a, b in zip(base, other)], dtype=object)
 
 
+class Disagreements:
+    """``disagreements(base, other)`` as a table function: a row for each edit, numbered from 0; null counts as empty."""
+
+    def eval(self, base: str | None, other: str | None):
+        for k, e in enumerate(disagreements(base or "", other or "")):
+            yield k, e["start"], e["end"], e["before"], e["after"]
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``disagreements`` known to SQL, with rows in Arrow batches: ``FROM pages, LATERAL disagreements(base, other)``."""
+    kind = T.StructType([T.StructField(n, t) for n, t in zip(("k", "start", "end", "before", "after"), [T.IntegerType()] * 3 + [T.StringType()] * 2)])
+    spark.udtf.register("disagreements", udtf(Disagreements, returnType=kind, useArrow=True))
+
+
 def proposed(pages: DataFrame, page: str, base: str, other: str, proposer: str, seed: str) -> DataFrame:
     """(candidate_id, page, start, end, before, after): a candidate for each place at which two readings of a page differ."""
     found = pages.select(page, F.posexplode(_disagreements(base, other)).alias("k", "c"))

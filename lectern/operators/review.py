@@ -24,6 +24,46 @@ def gate(size: Column, confidence: Column, agreement: Column, most: int = 2, bel
     return F.when(missing, "abstain").when((size <= most) & (confidence < below) & agreement, "accept").otherwise("reject")
 
 
+# --- Gates: each gives (gate, decision) of an edit, the decision being pass, reject, or abstain where it cannot tell
+
+
+def _gate(name: str, passes: Column) -> Column:
+    return F.struct(F.lit(name).alias("gate"), F.when(passes.isNull(), "abstain").when(passes, "pass").otherwise("reject").alias("decision"))
+
+
+def unchanged(before: str, after: str) -> Column:
+    """Rejects an edit that changes nothing."""
+    return _gate("unchanged", F.col(before) != F.col(after))
+
+
+def edit_size(before: str, after: str, most: int = 2) -> Column:
+    """Rejects edits of more than ``most`` characters."""
+    return _gate("edit_size", F.levenshtein(before, after) <= most)
+
+
+def confidence_below(confidence: str, below: float = 70.0) -> Column:
+    """Rejects edits where the engine was sure of what it read."""
+    return _gate("confidence", F.col(confidence) < below)
+
+
+def agreement(agreed: str) -> Column:
+    """Rejects edits that no other reading bears out."""
+    return _gate("agreement", F.col(agreed))
+
+
+def probability_from(probability: Column, threshold: float) -> Column:
+    """Passes edits from a calibrated probability on; below it nothing is told."""
+    return _gate("probability", F.when(probability >= threshold, True))
+
+
+def decided(edits: DataFrame, gates: list[Column]) -> DataFrame:
+    """``edits`` with ``decision`` and ``gate``: accept if all gates pass; else the first that does not says reject or abstain,
+    and ``gate`` names it."""
+    stopped = F.filter(F.array(*gates), lambda g: g["decision"] != "pass")
+    first = F.try_element_at(stopped, F.lit(1))
+    return edits.withColumn("_first", first).withColumns({"decision": F.coalesce(F.col("_first.decision"), F.lit("accept")), "gate": F.col("_first.gate")}).drop("_first")
+
+
 def without_overlaps(spans: DataFrame, page: str, start: str = "start", end: str = "end", key: str = "id") -> DataFrame:
     """The spans that a pass in the order (start, end, key) keeps: each that starts at or behind the end of the last kept one.
 

@@ -148,10 +148,34 @@ def proposed_candidates(t):
     return evaluation.proposed(t("part").select("p_partkey", "p_name", other.alias("other")), "p_partkey", "p_name", "other", "vote", "7")
 
 
-@query("""SELECT o_custkey AS page, count(*) AS candidates FROM orders GROUP BY 1""")
+@query("""SELECT p_partkey, k, start, "end", before, after FROM (SELECT p_partkey, 0 AS k, CASE WHEN p_size % 2 = 0 THEN 0 ELSE length(a) + 1 END AS start, CASE WHEN p_size % 2 = 0 THEN length(a) ELSE length(p_name) END AS "end",
+CASE WHEN p_size % 2 = 0 THEN a ELSE b END AS before, 'other ' || p_size AS after FROM (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part))""")
+def disagreements_in_sql(t):
+    """The same edits by the table function, called from SQL."""
+    first, last = (F.split_part("p_name", F.lit(" "), F.lit(k)) for k in (1, 2))
+    word = F.concat(F.lit("other "), F.col("p_size").cast("string"))
+    rows = t("part").select("p_partkey", "p_name", F.when(F.col("p_size") % 2 == 0, F.concat_ws(" ", word, last)).otherwise(F.concat_ws("  ", first, word)).alias("other"))
+    evaluation.register(rows.sparkSession)
+    return rows.sparkSession.sql("SELECT p_partkey, d.k, d.start, d.end, d.before, d.after FROM {rows}, LATERAL disagreements(p_name, other) d", rows=rows)
+
+
+@query("""WITH g AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_name ELSE p_name || repeat('x', p_size % 4) END AS after, p_name AS before, CASE WHEN p_size % 7 > 0 THEN p_retailprice % 100 END AS confidence, p_partkey % 3 > 0 AS agreed FROM part),
+s AS (SELECT p_partkey, CASE WHEN before = after THEN 'reject unchanged' WHEN length(after) - length(before) > 2 THEN 'reject edit_size' WHEN confidence IS NULL THEN 'abstain confidence' WHEN confidence >= 70 THEN 'reject confidence' WHEN NOT agreed THEN 'reject agreement' ELSE 'accept' END AS d FROM g)
+SELECT p_partkey, split_part(d, ' ', 1) AS decision, nullif(split_part(d, ' ', 2), '') AS gate FROM s""")
+def gate_chain(t):
+    from lectern.operators import review
+
+    after = F.when(F.col("p_size") % 5 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.repeat(F.lit("x"), F.col("p_size") % 4)))
+    rows = t("part").select("p_partkey", F.col("p_name").alias("before"), after.alias("after"), F.when(F.col("p_size") % 7 > 0, F.col("p_retailprice") % 100).alias("confidence"), (F.col("p_partkey") % 3 > 0).alias("agreed"))
+    gates = [review.unchanged("before", "after"), review.edit_size("before", "after", 2), review.confidence_below("confidence", 70.0), review.agreement("agreed")]
+    return review.decided(rows, gates).select("p_partkey", "decision", "gate")
+
+
+@query("""SELECT page, CAST(count(*) AS BIGINT) AS candidates, sha256('[' || string_agg('{"start":' || start || ',"end":' || stop || ',"after":"' || after || '","candidate_id":' || id || ',"before":"a"}', ',' ORDER BY start, stop, after, id) || ']') AS bank_hash
+FROM (SELECT o_custkey AS page, o_orderkey AS id, o_orderkey % 50 AS start, o_orderkey % 50 + 3 AS stop, o_orderstatus AS after FROM orders) GROUP BY 1""")
 def candidate_bank(t):
     rows = t("orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("candidate_id"), (F.col("o_orderkey") % 50).alias("start"), (F.col("o_orderkey") % 50 + 3).alias("end"), F.lit("a").alias("before"), F.col("o_orderstatus").alias("after"))
-    return evaluation.bank(rows, "page").select("page", F.col("candidates").cast("long").alias("candidates"))
+    return evaluation.bank(rows, "page").select("page", F.col("candidates").cast("long").alias("candidates"), "bank_hash")
 
 
 @query("""WITH s AS (SELECT n_chars / 10000.0::DOUBLE AS score, quality, toxic FROM documents JOIN labels USING (doc_id)), g AS (SELECT k / 100.0::DOUBLE AS threshold, count(*) FILTER (WHERE quality = 1 AND least(100, floor(least(1.0, score) * 100)) >= k) AS good, count(*) FILTER (WHERE toxic = 1 AND least(100, floor(least(1.0, score) * 100)) >= k) AS bad FROM range(101) r(k), s GROUP BY k)
