@@ -11,6 +11,7 @@ from lectern.functions import keys, scorers
 from lectern.functions.text import collapsed
 from lectern.operators import dedupe, spatial
 from lectern.operators.components import connected_components
+from lectern.operators.relations import top_per_group
 from lectern.storage import broadcast_within, cut
 
 # --- Fuzzy lookup
@@ -72,9 +73,9 @@ def resolved_covers(blocks: DataFrame, titles: DataFrame, people: DataFrame, lea
 
 def cover_reading(regions: DataFrame, page: str) -> DataFrame:
     """(page, titles, authors): of a cover's regions (height, text, id), the three tallest as titles and the second to fourth
-    as authors; ties to the smaller id."""
-    tall = F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("h"), "id", "text")))
-    texts = regions.groupBy(page).agg(F.slice(tall, 1, 4).alias("t")).select(page, F.transform("t", lambda r: r["text"]).alias("t"))
+    as authors; ties to the smaller id. Four of a cover are gathered, however many it has."""
+    tall = top_per_group(regions.select(page, "height", "id", "text"), page, [F.desc("height"), F.col("id")], 4)
+    texts = tall.groupBy(page).agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("h"), "id", "text"))).alias("t")).select(page, F.transform("t", lambda r: r["text"]).alias("t"))
     return texts.select(page, F.slice("t", 1, 3).alias("titles"), F.slice("t", 2, 3).alias("authors"))
 
 

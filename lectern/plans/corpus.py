@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import keys
 from lectern.functions import text as X
-from lectern.operators import candidates, corpus, duplicates, evaluation, relations, search
+from lectern.operators import candidates, corpus, dedupe, duplicates, evaluation, relations, search, textlsh
 from lectern.plans.more import boxes
 from lectern.plans.registry import query
 
@@ -46,13 +46,23 @@ def document_facts(t):
     return corpus.document_facts(t("part").select(F.col("p_partkey").alias("doc_id"), path.alias("path"), raw.alias("metadata")))
 
 
-@query("""WITH g AS (SELECT doc_id, lang, n_chars, min(doc_id) OVER w AS first, first_value(lang) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS kind FROM documents WINDOW w AS (PARTITION BY sha256(text))),
-e AS (SELECT first, doc_id FROM g WHERE doc_id <> first AND lang = kind), s AS (SELECT first, count(*) + 1 AS n FROM e GROUP BY 1) SELECT doc_id, first AS keeper_id FROM e JOIN s USING (first) WHERE n <= 8""")
+@query("""WITH g AS (SELECT doc_id, lang, n_chars, source, min(doc_id) OVER (PARTITION BY sha256(text)) AS first, first_value(lang) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS kind FROM documents),
+e AS (SELECT first, doc_id FROM g WHERE doc_id <> first AND lang = kind AND doc_id % 3 = first % 3), m AS (SELECT first, doc_id FROM e UNION ALL SELECT DISTINCT first, first FROM e),
+f AS (SELECT m.first, m.doc_id, l.quality * 90.0::DOUBLE AS confidence, n_chars // 500 AS pages, n_chars AS size_bytes, l.quality = 1 AS title, l.toxic = 0 AS authors, l.doc_id IS NOT NULL AS matched, g.lang IS NOT NULL AS layer, count(*) OVER (PARTITION BY m.first) AS n FROM m JOIN g ON g.doc_id = m.doc_id LEFT JOIN labels l ON l.doc_id = m.doc_id),
+x AS (SELECT *, max(nullif(pages, 0)) OVER w AS most, min(nullif(pages, 0)) OVER w AS least, max(size_bytes) OVER w AS largest FROM f WINDOW w AS (PARTITION BY first)),
+s AS (SELECT first, doc_id, n, coalesce(4.0::DOUBLE * confidence / 100, 0) + CASE WHEN layer THEN 3.0::DOUBLE ELSE 0 END + coalesce(2.0::DOUBLE * nullif(pages, 0) / most, 0) + CASE WHEN coalesce(most - least <= greatest(1, floor(most * 0.02::DOUBLE)), false) THEN coalesce(size_bytes::DOUBLE / nullif(largest, 0), 0) ELSE 0 END
+ + CASE WHEN title THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN authors THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN matched THEN 1.5::DOUBLE ELSE 0 END AS score FROM x), k AS (SELECT first, arg_max(doc_id, (score, -doc_id)) AS keeper_id FROM s GROUP BY 1)
+SELECT doc_id, keeper_id FROM s JOIN k USING (first) WHERE n <= 8 AND doc_id <> keeper_id AND (doc_id = first OR keeper_id = first)""")
 def analysed_corpus(t):
+    """Copies, titles and similar texts as edges; volumes of file names as vetoes; labels, lengths and languages as facts of quality."""
     docs = t("documents").withColumn("media", F.col("lang"))
-    facts = docs.select("doc_id", F.lit("").alias("name"), F.lit("").alias("title"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("text_layer"), F.col("n_chars").alias("pages"), F.col("n_chars").alias("size_bytes"), F.lit(True).alias("has_title"), F.lit(True).alias("has_authors"), F.lit(False).alias("matched"), "source")
-    same = lambda d: duplicates.copy_edges(d).select("a", "b")
-    return corpus.analysed(docs, {"sha256": same}, facts)["removals"]
+    labels = t("labels").withColumnRenamed("doc_id", "_id")
+    title = F.lower(F.split_part("text", F.lit("\n"), F.lit(1)))
+    known = docs.join(labels, F.col("doc_id") == F.col("_id"), "left")
+    facts = known.select("doc_id", F.concat(F.lit("set-"), (F.col("doc_id") % 3).cast("string"), F.lit(".pdf")).alias("name"), title.alias("title"), (F.col("quality") * 90.0).alias("confidence"), F.col("lang").isNotNull().alias("text_layer"), F.expr("n_chars div 500").alias("pages"),
+                         F.col("n_chars").alias("size_bytes"), (F.col("quality") == 1).alias("has_title"), (F.col("toxic") == 0).alias("has_authors"), F.col("_id").isNotNull().alias("matched"), "source")
+    signers = {"sha256": lambda d: duplicates.copy_edges(d).select("a", "b"), "metadata_exact": lambda d: dedupe.title_edges(d, title), "text_minhash": lambda d: textlsh.text_edges(textlsh.signatures(d))}
+    return corpus.analysed(docs, signers, facts)["removals"]
 
 
 @query("""WITH RECURSIVE i AS (SELECT o_custkey % 30 AS doc, o_orderkey % 200 AS item FROM orders), k AS (SELECT DISTINCT item FROM i), u AS (SELECT item AS a, item + 1 AS b FROM k WHERE item % 10 < 2 UNION SELECT item + 1, item FROM k WHERE item % 10 < 2),
@@ -82,7 +92,7 @@ def aligned_pages(t):
     return corpus.aligned_pages(lines.withColumn("text", F.concat(F.lit("w"), F.col("id").cast("string"))), regions.where("s = 'F'"), "page", "id", "text")
 
 
-@query("""WITH k AS (SELECT o_orderkey AS id, o_custkey % 50 AS page, o_orderstatus AS s, o_orderkey * 37 % 1000 AS x0, o_orderkey * 91 % 1400 AS y0 FROM orders), l AS (SELECT id, page, x0, y0, x0 + 20 + id % 180 AS x1, y0 + 12 + id % 20 AS y1 FROM k WHERE s <> 'F'), r AS (SELECT id, page, x0, y0, x0 + 100 + id % 400 AS x1, y0 + 60 + id % 300 AS y1 FROM k WHERE s = 'F')
+@query("""WITH k AS (SELECT o_orderkey AS id, o_custkey // 20 AS page, o_orderstatus AS s, o_orderkey * 37 % 1000 AS x0, o_orderkey * 91 % 1400 AS y0 FROM orders), l AS (SELECT id, page, x0, y0, x0 + 20 + id % 180 AS x1, y0 + 12 + id % 20 AS y1 FROM k WHERE s <> 'F'), r AS (SELECT id, page, x0, y0, x0 + 100 + id % 400 AS x1, y0 + 60 + id % 300 AS y1 FROM k WHERE s = 'F')
 SELECT substr(sha256(page || chr(0) || l.x0 || chr(0) || l.y0 || chr(0) || l.x1 || chr(0) || l.y1 || chr(0) || 'w' || l.id), 1, 32) AS entry_id, l.id AS line, (SELECT min(r.id) FROM r WHERE r.page = l.page AND r.x0 <= l.x0 AND r.y0 <= l.y0 AND l.x1 <= r.x1 AND l.y1 <= r.y1) AS paragraph FROM l""")
 def gold_entries(t):
     lines, regions = boxes(t("orders"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import spatial, study, voting
+from lectern.operators import relations, spatial, study, voting
 from lectern.plans.more import boxes
 from lectern.plans.registry import query
 
@@ -137,7 +137,7 @@ def capped_strata(t):
 # --- Layout
 
 
-@query("""WITH k AS (SELECT o_orderkey AS id, o_custkey % 50 AS page, o_orderstatus AS s, o_orderkey * 37 % 1000 AS x0, o_orderkey * 91 % 1400 AS y0 FROM orders),
+@query("""WITH k AS (SELECT o_orderkey AS id, o_custkey // 20 AS page, o_orderstatus AS s, o_orderkey * 37 % 1000 AS x0, o_orderkey * 91 % 1400 AS y0 FROM orders),
 w AS (SELECT id, page, x0, y0, x0 + 20 + id % 180 AS x1, y0 + 12 + id % 20 AS y1 FROM k WHERE s <> 'F'), l AS (SELECT id, page, x0, y0, x0 + 100 + id % 400 AS x1, y0 + 60 + id % 300 AS y1 FROM k WHERE s = 'F'),
 h AS (SELECT w.id AS word, min(l.id) AS line FROM w JOIN l ON w.page = l.page AND l.x0 < w.x1 AND w.x0 < l.x1 AND l.y0 < w.y1 AND w.y0 < l.y1 GROUP BY 1),
 n AS (SELECT w.id AS word, arg_min(l.id, (abs((w.y0 + w.y1) / 2.0::DOUBLE - (l.y0 + l.y1) / 2.0::DOUBLE), l.id)) AS line FROM w JOIN l ON w.page = l.page WHERE w.id NOT IN (SELECT word FROM h) GROUP BY 1) SELECT word, line, true AS hit FROM h UNION ALL SELECT word, line, false FROM n""")
@@ -148,5 +148,4 @@ def words_to_lines(t):
 
 @query("""SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 3""")
 def title_regions(t):
-    rows = t("part").groupBy("p_brand").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("p_size")).alias("h"), "p_partkey"))), 1, 3).alias("x"))
-    return rows.select("p_brand", F.explode("x.p_partkey").alias("p_partkey"))
+    return relations.top_per_group(t("part"), "p_brand", [F.desc("p_size"), F.col("p_partkey")], 3).select("p_brand", "p_partkey")
