@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def _box(rows: DataFrame, page: str, key: str, side: str) -> DataFrame:
@@ -60,24 +65,60 @@ def omitted(regions: DataFrame, found: DataFrame, page: str, key: str, least: fl
     return regions.join(met, key, "left_anti")
 
 
+def _in_turn(rows: DataFrame, page: str, order: list[str], start: Callable[[], Callable], schema: T.StructType) -> DataFrame:
+    """A pass over each page's rows in ``order``, as batches stream by: ``start()`` gives a step for a page, which takes a row and
+    gives the rows that are done with, and takes None at the page's end. Only what a step holds is in memory."""
+    names = schema.names
+
+    def run(batches):
+        now, step, out = None, None, []
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in batch.schema.names]
+            at = batch.schema.names.index(page)
+            for row in zip(*columns):
+                if step is None or row[at] != now:
+                    out += step(None) if step else []
+                    now, step = row[at], start()
+                out += step(dict(zip(batch.schema.names, row)))
+            yield _batch(out)
+            out = []
+        if step:
+            yield _batch(step(None))
+
+    kinds = to_arrow_schema(schema)
+
+    def _batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kinds.field(n).type) for n in names], names=names)
+
+    return rows.repartition(page).sortWithinPartitions(page, *order).mapInArrow(run, schema)
+
+
 def rows_by_height(boxes: DataFrame, page: str, key: str) -> DataFrame:
     """(page, key, row): boxes of a page from top to bottom, in rows numbered from 0. A box starts a new row if its middle
     lies half the page's median height or more below the middle of the box that started the row.
 
-    A page's boxes are gathered, which is bounded by what a page holds; ties go from left to right, then by key.
+    A page's boxes pass by one after the other, so a page may hold any number; ties go from left to right, then by key. Boxes
+    of a null page are a page, boxes without a middle are left out.
     """
     middle = ((F.col("y0") + F.col("y1")) / 2).cast("double")
-    item = F.struct(middle.alias("cy"), F.col("x0").alias("x0"), F.col(key).alias("id"))
-    pages = boxes.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("items"), F.percentile(F.col("y1") - F.col("y0"), 0.5).alias("tall"))
-    start = F.struct(F.lit(None).cast("double").alias("cy"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
+    tall = boxes.groupBy(F.col(page).alias("_page")).agg(F.percentile(F.col("y1") - F.col("y0"), 0.5).alias("_tall"))
+    named = boxes.select(page, key, middle.alias("_cy"), F.col("x0").alias("_x0")).where("_cy is not null")
+    named = named.join(tall, F.col(page).eqNullSafe(F.col("_page"))).drop("_page")
+
+    def start():
+        state = {"cy": None, "row": -1}
+
+        def step(box):
+            if box is None:
+                return []
+            if state["cy"] is None or box["_cy"] - state["cy"] >= box["_tall"] / 2:
+                state["cy"], state["row"] = box["_cy"], state["row"] + 1
+            return [{page: box[page], key: box[key], "row": state["row"]}]
 
-    def step(state: Column, box: Column) -> Column:
-        fresh = state["cy"].isNull() | (box["cy"] - state["cy"] >= F.col("tall") / 2)
-        row = state["row"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(F.when(fresh, box["cy"]).otherwise(state["cy"]).alias("cy"), row.alias("row"), F.concat(state["rows"], F.array(row)).alias("rows"))
+        return step
 
-    numbered = pages.withColumn("rows", F.aggregate("items", start, step)["rows"])
-    return numbered.select(page, F.explode(F.arrays_zip("items", "rows")).alias("e")).select(page, F.col("e.items.id").alias(key), F.col("e.rows").alias("row"))
+    kind = T.StructType([boxes.schema[page], boxes.schema[key], T.StructField("row", T.IntegerType())])
+    return _in_turn(named, page, ["_cy", "_x0", key], start, kind)
 
 
 def nearest_lines(words: DataFrame, lines: DataFrame, page: str, key: str) -> DataFrame:
@@ -106,20 +147,30 @@ def merged_lines(regions: DataFrame, page: str) -> DataFrame:
 
     From the top, a line joins the block before it if their heights differ by a quarter at most, it starts within 1.8 of
     the block's height below the block's top, and they overlap from left to right. A block has all texts, the least
-    confidence, the largest height, and the block's first top. A page's lines are folded in one array.
+    confidence, the largest height, and the block's first top. A page's lines pass by one after the other; one block is held.
     """
-    line = F.struct(*[F.col(c).cast("double").alias(c) for c in ("top", "left", "right", "height", "confidence")], "text")
-    pages = regions.groupBy(page).agg(F.array_sort(F.collect_list(line)).alias("all"))
-    kind = pages.schema["all"].dataType
-
-    def put(got: Column, x: Column) -> Column:
-        last = F.try_element_at(got, F.lit(-1))
-        gap = x["top"] - last["top"]
-        close = (F.least(x["height"], last["height"]) >= 0.75 * F.greatest(x["height"], last["height"])) & (gap >= 0) & (gap <= 1.8 * F.greatest(last["height"], F.lit(1.0))) & (F.least(x["right"], last["right"]) > F.greatest(x["left"], last["left"]))
-        both = F.struct(last["top"].alias("top"), F.least(x["left"], last["left"]).alias("left"), F.greatest(x["right"], last["right"]).alias("right"), F.greatest(x["height"], last["height"]).alias("height"), F.least(x["confidence"], last["confidence"]).alias("confidence"), F.concat_ws(" ", last["text"], x["text"]).alias("text"))
-        return F.when(F.coalesce(close, F.lit(False)), F.array_append(F.slice(got, F.lit(1), F.size(got) - 1), both)).otherwise(F.array_append(got, x))
-
-    merged = F.aggregate("all", F.array().cast(kind), put)
-    tall = F.array_sort(F.transform(merged, lambda b: F.struct((-b["height"]).alias("h"), (-b["confidence"]).alias("c"), b.alias("b"))))
-    out = pages.select(page, F.posexplode(tall).alias("place", "x"))
-    return out.select(page, "place", *[F.col(f"x.b.{c}").alias(c) for c in ("text", "confidence", "height", "top", "left", "right")])
+    numbers = ["top", "left", "right", "height", "confidence"]
+    lines = regions.select(page, *[F.col(c).cast("double").alias(c) for c in numbers], "text")
+
+    def start():
+        held: list[dict] = []
+
+        def step(x):
+            last = held[-1] if held else None
+            if x is None:
+                return held
+            if last and None not in (*(x[n] for n in numbers), *(last[n] for n in numbers)):
+                gap = x["top"] - last["top"]
+                alike = min(x["height"], last["height"]) >= 0.75 * max(x["height"], last["height"])
+                if alike and 0 <= gap <= 1.8 * max(last["height"], 1.0) and min(x["right"], last["right"]) > max(x["left"], last["left"]):
+                    last |= {"left": min(x["left"], last["left"]), "right": max(x["right"], last["right"]), "height": max(x["height"], last["height"]), "confidence": min(x["confidence"], last["confidence"]), "text": " ".join(t for t in (last["text"], x["text"]) if t is not None)}
+                    return []
+            done = held[:]
+            held[:] = [dict(x)]
+            return done
+
+        return step
+
+    blocks = _in_turn(lines, page, [*numbers, "text"], start, lines.schema)
+    place = F.row_number().over(Window.partitionBy(page).orderBy(F.desc("height"), F.desc("confidence"), "top", "left", "right", "text")) - 1
+    return blocks.select(page, place.alias("place"), "text", "confidence", "height", "top", "left", "right")
