@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from lectern.functions import scorers
-from lectern.functions.text import word_tokens
+from lectern.functions.text import nfc, word_tokens
 
 # --- Error rates
 
@@ -98,6 +98,23 @@ def arms(records: DataFrame, roster: DataFrame) -> DataFrame:
     return joined.select("arm", status.alias("status"), "macro_cer", *zero, coverage.alias("coverage"), F.when(coverage > 0, F.try_divide(F.col("hits").cast("double"), F.col("accepted"))).alias("exact_precision"))
 
 
+STORED = "arm_id string, family string, reference string, hypothesis string, accepted boolean, edit_class string, status string, exact boolean, _bad string"
+
+
+def stored_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records that ``arms`` takes, rebuilt from stored predictions: JSON lines with arm_id, family, reference and hypothesis,
+    and a decision where one was made. Error rates are computed again over both texts in NFC; a missing hypothesis counts as
+    empty. A line that is no JSON, or without arm, family or reference, is an error when it is read; blank lines go."""
+    said = F.from_json("value", STORED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(said.alias("r")).select("r.*")
+    told = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    problem = F.when(F.col("_bad").isNotNull(), "a line that is no JSON").when(~(told("arm_id") & told("family") & told("reference")), "a record without arm, family or reference")
+    arm = F.when(problem.isNotNull(), F.raise_error(problem).cast("string")).otherwise(F.col("arm_id"))
+    texts = rows.select(arm.alias("arm"), "family", nfc(F.col("reference")).alias("reference"), nfc(F.coalesce("hypothesis", F.lit(""))).alias("hypothesis"), "accepted", "edit_class", F.coalesce("status", F.lit("ok")).alias("state"), "exact")
+    cer = scorers.char_distance(F.col("reference"), F.col("hypothesis")) / F.char_length("reference")
+    return texts.select("arm", "family", cer.alias("cer"), "state", "accepted", "edit_class", "exact")
+
+
 def effects(a: DataFrame, b: DataFrame, family: str = "family", value: str = "v") -> DataFrame:
     """(family, a, b, diff) of two systems over the same families; a family that only one has, or that one has twice, is an
     error when it is read."""

@@ -108,7 +108,22 @@ def plain_draw(rows, cells, per_cell, per_author, seed="s"):
     return want
 
 
-@pytest.mark.parametrize("per_cell,per_author,seed", [(5, 2, "s"), (3, 1, "t")])
+def test_arms_rebuilt_from_stored_predictions(spark, tmp_path):
+    import json
+
+    lines = [{"arm_id": "a", "family": "f", "reference": "cafe\u0301", "hypothesis": "café"}, {"arm_id": "a", "family": "g", "reference": "abcd", "hypothesis": "abxd", "accepted": True, "edit_class": "harmful", "exact": False},
+             {"arm_id": "a", "family": "g", "reference": "ab", "accepted": False, "status": "failed"}, {"arm_id": "b", "family": "f", "reference": "x", "hypothesis": "x", "status": "unsupported"}]
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n")
+    roster = spark.createDataFrame([("a",), ("b",), ("c",)], "arm string")
+    got = {r.arm: r for r in evaluation.arms(evaluation.stored_records(spark, str(tmp_path / "r.jsonl")), roster).collect()}
+    assert got["a"].macro_cer == (0 + (0.25 + 1) / 2) / 2 and (got["a"].status, got["a"].attempted, got["a"].accepted, got["a"].harmful) == ("failed", 3, 1, 1)
+    assert got["b"].status == "unsupported" and got["b"].macro_cer == 0 and got["c"].status == "failed" and got["c"].attempted == 0
+    for broken, problem in (("{oops", "no JSON"), ('{"arm_id": "a", "family": "f"}', "without arm"), ('{"arm_id": "a", "family": "f", "reference": "x", "accepted": true}', "without a class")):
+        (tmp_path / "x.jsonl").write_text(broken)
+        with pytest.raises(Exception, match=problem):
+            evaluation.arms(evaluation.stored_records(spark, str(tmp_path / "x.jsonl")), roster).collect()
+
+
 def plain_script(a, b):
     """The way back through the whole table: replace before insert before delete, behind what both ends share."""
     start = end = 0
@@ -165,6 +180,7 @@ def test_long_texts_are_scored_as_short_ones(spark, monkeypatch):
     assert [r[0] for r in df.select(scorers.char_distance(F.col("a"), F.col("b"))).collect()] == want
 
 
+@pytest.mark.parametrize("per_cell,per_author,seed", [(5, 2, "s"), (3, 1, "t")])
 def test_capped_strata_equal_a_plain_draw(spark, per_cell, per_author, seed):
     draw = random.Random(5)
     names = [f"c{i}" for i in range(20)]
