@@ -371,7 +371,8 @@ def test_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df, found = queries.QUERIES[name](spark, SF), con.execute(sql)
         assert sorted(map(tuple, df.select(*[d[0] for d in found.description]).collect())) == sorted(found.fetchall())
