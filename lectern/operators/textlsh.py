@@ -29,23 +29,25 @@ SIGNED = T.StructType().add("signature", T.ArrayType(T.LongType())).add("shingle
 
 
 def shingle_hashes(view: str) -> np.ndarray:
-    """The distinct 64-bit hashes of a normalised text's shingles: sum of code point * BASE^place, modulo 2 ** 64."""
+    """The distinct 64-bit hashes of a normalised text's shingles, ascending: sum of code point * BASE^place, spread by a factor,
+    modulo 2 ** 64."""
     codes = np.frombuffer(view.encode("utf-32-le"), np.uint32).astype(np.uint64)
     if len(codes) < SHINGLE:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
     for j in range(SHINGLE):
         total += codes[j:j + len(total)] * np.uint64(pow(BASE, j, 1 << 64))
-    return np.unique(total)
+    total *= np.uint64(SPREAD)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
-def minhash(hashes: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash: the spread hash chooses a place by its first bits, and each place holds the least of the next 32
-    bits. An empty place borrows from the next one that is not, counted round, and adds 2 ** 32 for each place between, so
-    that two texts agree there only where both borrow the same. Zeros without hashes."""
-    if not len(hashes):
+def minhash(spread: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash of ascending hashes: a hash chooses a place by its first bits, and each place holds the least of
+    the next 32 bits. An empty place borrows from the next one that is not, counted round, and adds 2 ** 32 for each place
+    between, so that two texts agree there only where both borrow the same. Zeros without hashes."""
+    if not len(spread):
         return np.zeros(PLACES, np.int64)
-    spread = np.sort(hashes * np.uint64(SPREAD))
     place = (spread >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
     there, first = np.unique(place, return_index=True)
     value = (spread[first] >> np.uint64(REST)).astype(np.int64) & 0xFFFFFFFF
