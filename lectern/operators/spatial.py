@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lectern.storage import cut
+
+#: Places on a page, in the order of keys, at which a slice of its boxes ends.
+SLICES = (64, 512, 4096, 32768)
+
 
 def _box(rows: DataFrame, page: str, key: str, side: str) -> DataFrame:
     return rows.select(F.col(page).alias("page"), F.col(key).alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("x0", "y0", "x1", "y1")])
@@ -45,24 +51,53 @@ def iou() -> Column:
     return F.col("common").cast("double") / (area("a") + area("b") - F.col("common"))
 
 
+def _distinct(rows: DataFrame, page: str, key: str) -> DataFrame:
+    """Boxes of the same page and corners by the smallest key alone, with their place ``at`` on the page in the order of keys."""
+    at = F.row_number().over(Window.partitionBy(page).orderBy(key))
+    return rows.where(F.col(page).isNotNull()).groupBy(page, "x0", "y0", "x1", "y1").agg(F.min(key).alias(key)).withColumn("at", at)
+
+
+def first_met(left: DataFrame, right: DataFrame, page: str, key: str, met: Column | None = None, slices: tuple[int, ...] = SLICES) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the smallest right box with which each left box has a common area and ``met``, a condition on rows of
+    ``overlaps``, holds; and the left boxes that have none. Both are cut.
+
+    The right boxes of a page come in slices by rising key, each longer than the one before. A box that has found one leaves,
+    as all that follow are larger; so a box of which one in n is met looks at about n of a page's boxes and not at all.
+    """
+    rest, found = left, []
+    right = cut(_distinct(right, page, key))
+    longest = right.agg(F.max("at")).first()[0] or 0
+    ends = [*(n for n in slices if n < longest), longest]
+    for low, high in zip((0, *ends), ends):
+        pairs = overlaps(rest, right.where(F.col("at").between(low + 1, high)), page, key)
+        found.append(cut((pairs if met is None else pairs.where(met)).groupBy("a").agg(F.min("b").alias("b"))))
+        rest = cut(rest.join(found[-1], F.col(key).eqNullSafe(F.col("a")), "left_anti"))
+    return reduce(DataFrame.union, found), rest
+
+
+INSIDE = "x0_b <= x0_a and y0_b <= y0_a and x1_a <= x1_b and y1_a <= y1_b"
+
+
 def assign(lines: DataFrame, regions: DataFrame, page: str, key: str, least: float = 0.5) -> DataFrame:
-    """(line, region, share): the region that covers most of each line, at least ``least`` of it; ties to the smaller region."""
+    """(line, region, share): the region that covers most of each line, at least ``least`` of it; ties to the smaller region.
+
+    Nothing covers more of a line than a region that holds it, so only lines that none holds are measured against all."""
+    whole, rest = first_met(lines, regions, page, key, F.expr(INSIDE))
     share = F.col("common").cast("double") / area("a")
-    met = overlaps(lines, regions, page, key).select("a", "b", share.alias("share")).where(F.col("share") >= least)
+    met = overlaps(rest, _distinct(regions, page, key), page, key).select("a", "b", share.alias("share")).where(F.col("share") >= least)
     best = met.groupBy("a").agg(F.max(F.struct("share", (-F.col("b")).alias("neg"))).alias("m"))
-    return best.select(F.col("a").alias("line"), (-F.col("m.neg")).alias("region"), F.col("m.share").alias("share"))
+    parts = best.select(F.col("a").alias("line"), (-F.col("m.neg")).alias("region"), F.col("m.share").alias("share"))
+    return whole.select(F.col("a").alias("line"), F.col("b").alias("region"), F.lit(1.0).alias("share")).where(F.lit(least <= 1)).union(parts)
 
 
 def containing(lines: DataFrame, regions: DataFrame, page: str, key: str) -> DataFrame:
     """(line, region): the smallest region that holds the whole line."""
-    inside = "x0_b <= x0_a and y0_b <= y0_a and x1_a <= x1_b and y1_a <= y1_b"
-    return overlaps(lines, regions, page, key).where(inside).groupBy("a").agg(F.min("b").alias("region")).withColumnRenamed("a", "line")
+    return first_met(lines, regions, page, key, F.expr(INSIDE))[0].toDF("line", "region")
 
 
 def omitted(regions: DataFrame, found: DataFrame, page: str, key: str, least: float = 0.3) -> DataFrame:
     """The regions that meet no found box of the page with an IoU of ``least`` or more."""
-    met = overlaps(regions, found, page, key).where(iou() >= least).select(F.col("a").alias(key)).distinct()
-    return regions.join(met, key, "left_anti")
+    return first_met(regions, found, page, key, iou() >= least)[1]
 
 
 def _in_turn(rows: DataFrame, page: str, order: list[str], start: Callable[[], Callable], schema: T.StructType) -> DataFrame:
@@ -127,15 +162,16 @@ def nearest_lines(words: DataFrame, lines: DataFrame, page: str, key: str) -> Da
 
     Lines and words are put in one order of centres, so a word looks at the line before and behind it alone.
     """
-    met = overlaps(words, lines, page, key).groupBy("a").agg(F.min("b").alias("line"))
-    hits = met.select(F.col("a").alias("word"), "line", F.lit(True).alias("hit"))
+    met, others = first_met(words, lines, page, key)
+    hits = met.select(F.col("a").alias("word"), F.col("b").alias("line"), F.lit(True).alias("hit"))
     centre = (F.col("y0") + F.col("y1")) / 2
-    rest = words.join(met.select(F.col("a").alias(key)), key, "left_anti").select(F.col(page).alias("page"), centre.alias("c"), F.col(key).alias("word"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("line"), ((F.col("x0") + F.col("x1")) / 2).alias("x"))
+    rest = others.select(F.col(page).alias("page"), centre.alias("c"), F.col(key).alias("word"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("line"), ((F.col("x0") + F.col("x1")) / 2).alias("x"))
     own = lines.select(F.col(page).alias("page"), centre.alias("c"), F.col(key).alias("id")).groupBy("page", "c").agg(F.min("id").cast("long").alias("line"))
     own = own.select("page", "c", F.lit(None).cast("long").alias("word"), F.lit(0).alias("kind"), "line", F.lit(None).cast("double").alias("x"))
-    order = Window.partitionBy("page").orderBy("c", "kind", "x", "word")
+    order, back = Window.partitionBy("page").orderBy("c", "kind", "x", "word"), Window.partitionBy("page").orderBy(F.desc("c"), F.desc("kind"), F.desc("x"), F.desc("word"))
     side = F.when(F.col("line").isNotNull(), F.struct("c", "line"))
-    before, after = F.last(side, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first(side, True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # what follows is read backwards: a frame without an end is computed anew for each row
+    before, after = (F.last(side, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (order, back))
     placed = own.union(rest).withColumn("up", before).withColumn("down", after).withColumn("n", F.row_number().over(order) - 1).where("word is not null")
     up, down = F.col("c") - F.col("up.c"), F.col("down.c") - F.col("c")
     nearest = F.when(F.col("down").isNull() | (up < down) | ((up == down) & (F.col("up.line") < F.col("down.line"))), F.col("up.line")).otherwise(F.col("down.line"))

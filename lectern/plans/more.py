@@ -9,13 +9,13 @@ from lectern.operators import catalogue, resolution, review, spatial, study
 from lectern.plans.registry import query
 
 #: Boxes made of orders' keys: lines are small, regions large.
-BOXES = """WITH k AS (SELECT o_orderkey AS id, o_custkey // 20 AS page, o_orderstatus AS s, o_orderkey * 37 % 1000 AS x0, o_orderkey * 91 % 1400 AS y0 FROM orders),
+BOXES = """WITH k AS (SELECT o_orderkey AS id, o_custkey % 50 AS page, o_orderstatus AS s, o_orderkey * 37 % 1000 AS x0, o_orderkey * 91 % 1400 AS y0 FROM orders),
 l AS (SELECT id, page, x0, y0, x0 + 20 + id % 180 AS x1, y0 + 12 + id % 20 AS y1 FROM k WHERE s <> 'F'), b AS (SELECT id, page, s, x0, y0, x0 + 100 + id % 400 AS x1, y0 + 60 + id % 300 AS y1 FROM k), r AS (SELECT * FROM b WHERE s = 'F')
 """
 
 
-def boxes(orders):
-    k = orders.select(F.col("o_orderkey").alias("id"), F.expr("o_custkey div 20").alias("page"), F.col("o_orderstatus").alias("s"), (F.col("o_orderkey") * 37 % 1000).alias("x0"), (F.col("o_orderkey") * 91 % 1400).alias("y0"))
+def boxes(orders, page: str = "o_custkey % 50"):
+    k = orders.select(F.col("o_orderkey").alias("id"), F.expr(page).alias("page"), F.col("o_orderstatus").alias("s"), (F.col("o_orderkey") * 37 % 1000).alias("x0"), (F.col("o_orderkey") * 91 % 1400).alias("y0"))
     size = lambda w, mw, h, mh: k.withColumn("x1", F.col("x0") + w + F.col("id") % mw).withColumn("y1", F.col("y0") + h + F.col("id") % mh)
     return size(20, 180, 12, 20).where("s <> 'F'"), size(100, 400, 60, 300)
 

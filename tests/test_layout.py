@@ -101,3 +101,32 @@ def test_difflib_ratios_and_engine_proxies(spark):
         arms.setdefault(r.p_brand, []).append((ratio(said, heard), sum("\u0980" <= c <= "\u09ff" or c in "\u0964\u0965" or c in "0123456789" for c in said) / sum(not c.isspace() for c in said)))
     got = {r.arm: (r.similarity, r.block_ratio) for r in registry.QUERIES["engine_proxies"](spark, SF).collect()}
     assert got.keys() == arms.keys() and all(abs(got[a][0] - statistics.fmean(x for x, _ in v)) < 1e-9 and abs(got[a][1] - statistics.fmean(x for _, x in v)) < 1e-9 for a, v in arms.items())
+
+
+def test_boxes_of_fifty_pages_equal_brute_force(spark, monkeypatch):
+    """Pages do not grow in number with the table; the smallest box is found though few of a page are looked at."""
+    from lectern.plans.more import boxes as made
+
+    orders = spark.createDataFrame([(i * 37, i * 7919 % 100000, "FOP"[i * i % 3]) for i in range(900)] + [(10**6 + k, 0, "F") for k in range(9)], "o_orderkey long, o_custkey long, o_orderstatus string")
+    words, regions = made(orders)
+    assert {r.page for r in words.select("page").distinct().collect()} <= set(range(50))
+    w, r = ([(x.page % 3, x.id, x.x0, x.y0, x.x1, x.y1) for x in df.collect()] for df in (words, regions.where("s = 'F'")))
+    r += [(p, 10**7 + k, *corners) for k, (p, _, *corners) in enumerate(r[:40])] + [(5, 10**8, 0, 0, 9, 9)]
+    w += [(9, 10**9, 0, 0, 5, 5), (9, 10**9 + 1, 0, 1, 5, 5), (5, 10**9 + 2, 500, 500, 600, 600)]
+    common = lambda a, b: max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3])) if a[0] == b[0] else 0
+    size = lambda a: (a[4] - a[2]) * (a[5] - a[3])
+    kind = "page long, id long, x0 long, y0 long, x1 long, y1 long"
+    dw, dr = spark.createDataFrame(w, kind), spark.createDataFrame(r, kind)
+    monkeypatch.setattr(spatial, "SLICES", (2, 9, 30))
+    monkeypatch.setattr(spatial.first_met, "__defaults__", (None, (2, 9, 30)))
+    best = {a[1]: max(((common(a, b) / size(a), -b[1]) for b in r if common(a, b) / size(a) >= 0.5), default=None) for a in w}
+    assert {x.line: (x.share, -x.region) for x in spatial.assign(dw, dr, "page", "id").collect()} == {k: v for k, v in best.items() if v}
+    inside = {a[1]: min((b[1] for b in r if common(a, b) == size(a)), default=None) for a in w}
+    assert {x.line: x.region for x in spatial.containing(dw, dr, "page", "id").collect()} == {k: v for k, v in inside.items() if v is not None}
+    assert sorted(x.id for x in spatial.omitted(dw, dr, "page", "id", 0.05).collect()) == sorted(a[1] for a in w if not any((c := common(a, b)) / (size(a) + size(b) - c) >= 0.05 for b in r))
+    want = {}
+    for a in w:
+        met = [b[1] for b in r if common(a, b)]
+        near = [(abs(a[3] + a[5] - b[3] - b[5]), b[1]) for b in r if b[0] == a[0]]
+        want[a[1]] = (min(met), True) if met else (min(near)[1], False) if near else ({10**9: 0, 10**9 + 1: 1}[a[1]], False)
+    assert {x.word: (x.line, x.hit) for x in spatial.nearest_lines(dw, dr, "page", "id").collect()} == want
