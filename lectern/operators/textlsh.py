@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,8 @@ SPREAD = 0x9E3779B97F4A7C15
 #: Bits of a hash that choose its place, and bits below its value, which has 32.
 PLACE_BITS = PLACES.bit_length() - 1
 REST = 64 - PLACE_BITS - 32
+#: The prime of the permutations, shingles that are permuted at once, and classes that a task compares with as many.
+PRIME, CHUNK, BLOCK = (1 << 31) - 1, 256, 4096
 SIGNED = T.StructType().add("signature", T.ArrayType(T.LongType())).add("shingles", T.LongType())
 
 
@@ -55,18 +59,64 @@ def minhash(spread: np.ndarray) -> np.ndarray:
     return value[after] + ((there[after] - np.arange(PLACES)) % PLACES << 32)
 
 
-@pandas_udf(SIGNED)
-def _sign(view: pd.Series) -> pd.DataFrame:
-    found = [shingle_hashes(v or "") for v in view]
-    return pd.DataFrame({"signature": [minhash(h) for h in found], "shingles": [len(h) for h in found]})
+def coefficients(n: int = PLACES) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of the permutations, from the first 32 bits of MD5, so that other engines can draw them."""
+    draw = lambda kind: np.array([int(hashlib.md5(f"{kind}:{i}".encode()).hexdigest()[:8], 16) % (PRIME - 1) + 1 for i in range(n)], np.uint64)
+    return draw("a"), draw("b")
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+_A, _B = coefficients()
+
+
+def permuted(spread: np.ndarray) -> np.ndarray:
+    """MinHash by 128 permutations: the least (a * h + b) mod PRIME of each, over the polynomials h of hashes that are spread.
+    Zeros without hashes. Products stay under PRIME squared, so one fold and one subtraction take the remainder."""
+    if not len(spread):
+        return np.zeros(PLACES, np.int64)
+    prime, low = np.uint64(PRIME), np.full(PLACES, PRIME, np.uint64)
+    own = spread * np.uint64(pow(SPREAD, -1, 1 << 64)) % prime
+    x, y = (np.empty((min(CHUNK, len(own)), PLACES), np.uint64) for _ in range(2))
+    for at in range(0, len(own), CHUNK):
+        n = min(CHUNK, len(own) - at)
+        v, w = x[:n], y[:n]
+        np.multiply(own[at:at + n, None], _A, out=v)
+        v += _B
+        np.right_shift(v, np.uint64(31), out=w)
+        v &= prime
+        v += w
+        np.subtract(v, prime, out=w)  # wraps to the larger number where v is under the prime
+        np.minimum(v, w, out=v)
+        np.minimum(low, v.min(axis=0), out=low)
+    return low.astype(np.int64)
+
+
+def _signer(sign):
+    @pandas_udf(SIGNED)
+    def signed(view: pd.Series) -> pd.DataFrame:
+        out, sizes = [], []
+        for v in view:  # one text's hashes at a time
+            found = shingle_hashes(v or "")
+            out.append(sign(found))
+            sizes.append(len(found))
+        return pd.DataFrame({"signature": out, "shingles": sizes})
+
+    return signed
+
+
+_sign, _permute = _signer(minhash), _signer(permuted)
+
+
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", sign=_sign) -> DataFrame:
     """(key, signature, shingles) of each text, over its whole normalised form; null counts as empty."""
-    rows = texts(docs).select(key, _sign(shingle_view(F.coalesce(F.col(text), F.lit("")))).alias("s"))
+    rows = texts(docs).select(key, sign(shingle_view(F.coalesce(F.col(text), F.lit("")))).alias("s"))
     return rows.select(key, "s.signature", "s.shingles")
 
 
+def permuted_signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, signature, shingles) as ``signatures`` gives them, each place of a signature from a permutation of its own."""
+    return signatures(docs, key, text, _permute)
+
+
 def _part(signature: Column, k: Column, bands: int) -> Column:
     rows = F.floor(F.size(signature) / bands).cast("int")
     return F.slice(signature, k * rows + 1, rows)
@@ -140,6 +190,85 @@ def text_links(signed: DataFrame, key: str = "doc_id", least: float = LEAST, ban
     return rows.join(named, "signature").select(key, "class_id", "members", "family")
 
 
+def _near(left: np.ndarray, right: np.ndarray, band: int, least: float, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows of the other side each row agrees with in ``least`` of its places, where ``band`` is the first band that
+    both share. Sides are signatures row by row; few rows of the left are compared at a time."""
+    wide, turned = left.shape[1] // bands, np.ascontiguousarray(right.T)
+    mine, theirs = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    for at in range(0, len(left), 64):
+        part = left[at:at + 64]
+        same, open_ = np.zeros((len(part), len(right)), np.uint16), np.ones((len(part), len(right)), bool)
+        for k in range(bands):
+            here = np.zeros(same.shape, np.uint8)
+            for p in range(k * wide, (k + 1) * wide):
+                here += part[:, p, None] == turned[p]
+            same += here
+            if k <= band:
+                open_ &= (here == wide) == (k == band)
+        hit = open_ & (same >= least * left.shape[1])
+        mine[at:at + 64] = hit.sum(1)
+        theirs += hit.sum(0)
+    return mine, theirs
+
+
+def _counted(least: float, bands: int):
+    """Batches (band, bucket, i, j, own, class_id, signature), sorted by the first four -> (class_id, links) of the pairs between
+    two parts of a bucket."""
+
+    def found(key, rows):
+        band, _, i, j = key
+        sides = [[r for r in rows if r[0] == k] for k in ((i,) if i == j else (i, j))]
+        ids = [np.array([r[1] for r in s], np.int64) for s in sides]
+        marks = [np.frombuffer(b"".join(r[2] for r in s), np.int64).reshape(len(s), -1) for s in sides if s]
+        if len(marks) < len(sides):
+            return
+        mine, theirs = _near(marks[0], marks[-1], band, least, bands)
+        for names, n in ((ids[0], mine - (band == 0)),) if i == j else ((ids[0], mine), (ids[1], theirs)):  # a class shares its first band with itself
+            yield pa.RecordBatch.from_arrays([pa.array(names[n > 0]), pa.array(n[n > 0])], names=["class_id", "links"])
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            *key, own, ids, signed = (batch.column(k).to_pylist() for k in range(7))
+            for k, *row in zip(zip(*key), own, ids, signed):
+                if k != now:
+                    if len(rows) > 1:
+                        yield from found(now, rows)
+                    now, rows = k, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield from found(now, rows)
+
+    return run
+
+
+@pandas_udf(T.BinaryType())
+def _packed(signature: pd.Series) -> pd.Series:
+    return pd.Series([np.asarray(s, np.int64).tobytes() for s in signature], dtype=object)
+
+
+def counted_links(signed: DataFrame, key: str = "doc_id", least: float = LEAST, bands: int = BANDS, usable: int = USABLE, block: int = BLOCK) -> DataFrame:
+    """(key, class_id, members, links) of each usable text: its class of equal signatures, the class's size, and how many other
+    classes share a band with it and agree in ``least`` of the places.
+
+    Classes stand for their copies, so copies meet nobody. A bucket of any size is cut into parts of about ``block`` classes,
+    and every two parts are compared in a task of their own, so that no pair is left out and no task holds a large bucket; a
+    pair counts under the first band that it shares.
+    """
+    rows, classes = usable_classes(signed, key, usable)
+    buckets = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(_part(F.col("signature"), k, bands))))
+    banded = classes.select("class_id", buckets.alias("band", "bucket"))
+    shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("band", "bucket", F.ceil(F.col("n") / block).cast("long").alias("parts"))
+    dealt = cut(banded.join(shared, ["band", "bucket"]))
+    packed = classes.join(dealt.select("class_id").distinct(), "class_id", "left_semi").select("class_id", _packed("signature").alias("signature"))
+    dealt = dealt.join(packed, "class_id").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    by = ["band", "bucket", "i", "j"]
+    dealt = dealt.select(F.col("band").cast("long").alias("band"), "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "signature")
+    links = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_counted(least, bands), "class_id long, links long").groupBy("class_id").agg(F.sum("links").alias("links"))
+    found = classes.join(links, "class_id", "left").select("signature", "class_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.join(found, "signature").select(key, "class_id", "members", "links")
+
+
 def text_edges(signed: DataFrame, key: str = "doc_id", least: float = LEAST, bands: int = BANDS, usable: int = USABLE) -> DataFrame:
     """Edges (a, b, method, score) of the duplicate graph: links between classes, and from each class to its copies."""
     rows, classes = usable_classes(signed, key, usable)

@@ -70,6 +70,28 @@ def test_text_links_equal_all_pairs(spark):
     assert {(r.a, r.b) for r in edges if r.score < 1} <= pairs and sum(r.score == 1 for r in edges) == sum(len(m) - 1 for m in classes.values())
 
 
+def test_permuted_signatures_and_numbers_of_links_equal_all_pairs(spark):
+    """128 permutations of each shingle, and every link of a class, also where a bucket is cut into parts."""
+    rows = near_texts(random.Random(3))
+    signed = textlsh.permuted_signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: r for r in signed.collect() if r.doc_id is not None}
+    a, b = ([int(v) for v in c] for c in textlsh.coefficients())
+    view = dict(rows)[0]
+    own = {sum(ord(c) * 1099511628211**j for j, c in enumerate(view[i:i + 9])) % 2**64 for i in range(len(view) - 8)}
+    assert found[0].signature == [min((h % (2**31 - 1) * x + y) % (2**31 - 1) for h in own) for x, y in zip(a, b)] and found[0].shingles == len(own)
+    assert found[200].signature == found[201].signature == [0] * 128
+    plain = {i: tuple(r.signature) for i, r in found.items() if r.shingles >= 500}
+    classes = {}
+    for i in sorted(plain):
+        classes.setdefault(plain[i], []).append(i)
+    near = lambda x, y: (s := np.array(x) == np.array(y)).mean() >= 0.75 and s.reshape(16, 8).all(1).any()
+    links = {x: sum(near(x, y) for y in classes) - 1 for x in classes}
+    want = {i: (m[0], len(m), links[x]) for x, m in classes.items() for i in m}
+    assert sum(links.values()) > 100
+    for block in (4096, 5):
+        assert {r.doc_id: (r.class_id, r.members, r.links) for r in textlsh.counted_links(signed, block=block).collect()} == want
+
+
 def test_links_find_similar_texts(spark):
     """Of all pairs of texts whose shingles are 0.8 alike or more, over 95 % end in one family; none that are under 0.6 alike."""
     draw = random.Random(12)
