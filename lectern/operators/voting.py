@@ -133,14 +133,17 @@ def family_pages(families: DataFrame, pages: DataFrame, key: str, page: str, k:
 
 
 def core_pages(books: DataFrame, key: str, pages: str, k: int, seed: str) -> DataFrame:
-    """(key, page, probability): k pages by hash of each book's core, which leaves out two at either end from 12 pages on."""
-    n = F.col(pages).cast("long")
-    all_ = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<long>"))
-    core = F.when(n >= 12, F.slice(all_, F.lit(3), F.greatest(n - 4, F.lit(0)).cast("int"))).otherwise(all_)
-    each = books.select(key, F.size(core).alias("_n"), F.explode(core).alias("page"))
-    order = portable_hash(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("page").cast("string")))
-    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order, "page"))).where(F.col("_r") <= k)
-    return ranked.select(key, "page", F.round(F.least(F.lit(1.0), k / F.col("_n")), 4).alias("probability"))
+    """(key, page, probability): k pages by hash of each book's core, which leaves out two at either end from 12 pages on.
+
+    Books are dealt by key before they have pages, and a book's pages are ranked in its own row, so that a task never sorts
+    the pages of all its books."""
+    parts = int(books.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = books.select(key, F.col(pages).cast("long").alias("_n")).where("_n > 0").repartition(parts, key).groupBy(key).agg(F.collect_list("_n").alias("_n"))
+    order = lambda page: portable_hash(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), page.cast("string")))
+    core = lambda n: F.when(n >= 12, F.sequence(F.lit(3).cast("long"), n - 2)).otherwise(F.sequence(F.lit(1).cast("long"), n))
+    placed = lambda n: F.transform(core(n), lambda p: F.struct(order(p).alias("o"), p.alias("page"), F.when(n >= 12, n - 4).otherwise(n).alias("n")))
+    ranked = dealt.select(key, F.explode(F.slice(F.sort_array(F.flatten(F.transform("_n", placed))), 1, k)).alias("p"))
+    return ranked.select(key, "p.page", F.round(F.least(F.lit(1.0), k / F.col("p.n")), 4).alias("probability"))
 
 
 def mixed_sample(rows: DataFrame, key: str, suspicious: Column, cap: int, seed: str, mode: str = "mixed") -> DataFrame:

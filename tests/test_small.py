@@ -161,3 +161,21 @@ def test_rows_by_height_equal_a_plain_pass(spark):
                 anchor, row = cy, row + 1
             want[page, i] = row
     assert got == want
+
+
+def test_core_pages_deal_books_before_they_have_pages(spark):
+    """A window over all pages sorted them in as few tasks as the books' file has; the same rows, also where a key repeats."""
+    import hashlib
+
+    from lectern.operators import voting
+
+    books = [(i, i * 7 % 40) for i in range(60)] + [(3, 15), (None, 4), (70, None), (71, -2)]
+    found = voting.core_pages(spark.createDataFrame(books, "b long, n int").coalesce(1), "b", "n", 10, "pp")
+    want = {}
+    for b, n in books:
+        for p in range(3, n - 1) if (n or 0) >= 12 else range(1, (n or 0) + 1):
+            name = ":".join(str(x) for x in ("pp", b, p) if x is not None)
+            want.setdefault(b, []).append((int(hashlib.md5(name.encode()).hexdigest()[:8], 16), p, n - 4 if n >= 12 else n))
+    got = sorted((str(r.b), r.page, r.probability) for r in found.collect())
+    assert got == sorted((str(b), p, round(min(1, 10 / n), 4)) for b, rows in want.items() for _, p, n in sorted(rows)[:10])
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
