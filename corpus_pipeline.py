@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, mixing, neardup, packing, queries, substring
+from lectern.llm import langid, mixing, neardup, packing, queries, simhash, substring
 from lectern.storage import delete, scratch, shared_dir
 
 
@@ -19,8 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of texts with a five-word Jaccard similarity of 0.8 or more, that with the smallest doc_id."""
-    return neardup.keep_first(docs)
+    """Keeps one document of each group of texts whose SimHash fingerprints link at three bits or fewer, that with the smallest
+    doc_id; then, as near texts may differ in more bits, one of each group that a five-word Jaccard similarity of 0.8 links."""
+    return neardup.keep_first(simhash.keep_first(docs, radius=3))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ class _Words(dict):
     """Word -> hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word, 7)
         return out
@@ -114,7 +114,7 @@ def _fragments(pieces: int, width: int):
                     if short not in sets:
                         sets[short] = own
                         held += own.nbytes
-                if held > 2 * BATCH_BYTES:
+                if held > BATCH_BYTES:
                     yield block(sets)
                     sets, held = {}, 0
         if sets:
