@@ -179,3 +179,38 @@ def test_core_pages_deal_books_before_they_have_pages(spark):
     got = sorted((str(r.b), r.page, r.probability) for r in found.collect())
     assert got == sorted((str(b), p, round(min(1, 10 / n), 4)) for b, rows in want.items() for _, p, n in sorted(rows)[:10])
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_small_file_are_dealt(spark):
+    """Queries that cost much for each row of a small file ran in as many tasks as the file has parts."""
+    from lectern.plans import registry
+    from lectern.plans import corpus, evaluation, keys  # noqa: F401  (they register their queries)
+
+    for name in ("volume_vetoes", "disagreements_in_sql"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4, name
+    plan = registry.QUERIES["pooled_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WindowGroupLimit") + plan.count("Window [") >= 2, plan  # suppliers are cut by key before they meet customers
+
+
+def test_pairs_are_scored_once(monkeypatch):
+    from lectern.functions import scorers
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    calls = []
+    scored = scorers._pairs(lambda a, b: calls.append((a, b)) or 1.0, T.DoubleType(), 64).func
+    a, b = pd.Series(["x", None, "x", "y", "x" * 500, "x" * 500]), pd.Series(["z", "z", "z", "z", "w", "w"])
+    assert [*scored(a, b)] == [1.0, None, 1.0, 1.0, 1.0, 1.0] and len(calls) == 4
+
+
+def test_exact_pairs_are_no_fuzzy_candidates(spark):
+    """A document's rows are dealt once, by id; the pairs of exact stages stay out of the pool without a join."""
+    from lectern.operators import candidates
+
+    docs = spark.createDataFrame([(1, "silver river vol 2", "ann", "i1"), (2, "silver river", None, None)], "id long, title string, author string, isbn string")
+    editions = spark.createDataFrame([(k, t, a, i) for k, (t, a, i) in enumerate([("silver river vol 2", "Ann", None), ("silver rivers 2", "ann", "i1"), ("silver riven 2", "ann", None), ("silver river", "bob", None)])], "edition long, title string, author string, isbn string")
+    found = candidates.generated(docs, editions)
+    got = sorted((r.id, r.edition, r.method) for r in found.collect())
+    assert len({x[:2] for x in got}) == len(got) and {x for x in got if x[2] != "fuzzy"} == {(1, 1, "exact_isbn"), (1, 0, "exact_title_author"), (2, 3, "exact_title")} and (1, 2, "fuzzy") in got
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 2  # one more before
