@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import evaluation, relations, study
 from lectern.plans.registry import query
+from lectern.storage import dealt
 
 #: References are part names, hypotheses types; words become letters, so that a distance of texts is one of words.
 PAIRS = """WITH p AS (SELECT p_partkey AS id, p_brand AS arm, p_size % 5 AS family, p_name || ' ' || p_brand AS reference, lower(p_type) || ' ' || split_part(p_name, ' ', 2) AS hypothesis FROM part),
@@ -154,7 +155,7 @@ def disagreements_in_sql(t):
     """The same edits by the table function, called from SQL."""
     first, last = (F.split_part("p_name", F.lit(" "), F.lit(k)) for k in (1, 2))
     word = F.concat(F.lit("other "), F.col("p_size").cast("string"))
-    rows = t("part").select("p_partkey", "p_name", F.when(F.col("p_size") % 2 == 0, F.concat_ws(" ", word, last)).otherwise(F.concat_ws("  ", first, word)).alias("other"))
+    rows = dealt(t("part").select("p_partkey", "p_name", "p_size")).select("p_partkey", "p_name", F.when(F.col("p_size") % 2 == 0, F.concat_ws(" ", word, last)).otherwise(F.concat_ws("  ", first, word)).alias("other"))
     evaluation.register(rows.sparkSession)
     return rows.sparkSession.sql("SELECT p_partkey, d.k, d.start, d.end, d.before, d.after FROM {rows}, LATERAL disagreements(p_name, other) d", rows=rows)
 
