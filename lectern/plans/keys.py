@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import keys as K
 from lectern.functions import scorers as S
 from lectern.plans.registry import query
+from lectern.storage import dealt
 
 #: Longest common subsequence of two short texts, row by row: each cell is the best of the row above up to it.
 LCS = """, r AS (SELECT id, a, b, 0 AS i, list_transform(range(length(b) + 1), lambda j: 0) AS l FROM p
@@ -99,7 +100,7 @@ def volume_sets(t):
 @query("""SELECT p_partkey, p_size % 3 <> p_partkey % 3 AS conflict FROM part""")
 def volume_vetoes(t):
     name = lambda n: F.concat("p_name", F.lit("-0"), (n % 3).cast("string"), F.lit(".pdf"))
-    return t("part").select("p_partkey", K.volume_conflict(name(F.col("p_size")), name(F.col("p_partkey"))).alias("conflict"))
+    return dealt(t("part").select("p_partkey", "p_name", "p_size")).select("p_partkey", K.volume_conflict(name(F.col("p_size")), name(F.col("p_partkey"))).alias("conflict"))
 
 
 @query(r"""WITH f AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN 'Untitled-' || p_size WHEN 2 THEN p_brand || '.pdf' WHEN 3 THEN CAST(p_size AS VARCHAR) || ' - 12' WHEN 4 THEN 'a/b' ELSE 'Microsoft Word - x' END AS title FROM part)
