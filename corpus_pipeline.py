@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import langid, mixing, neardup, packing, queries, simhash, substring
-from lectern.storage import delete, scratch, shared_dir
+from lectern.storage import delete, freed_shuffles, scratch, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of texts whose SimHash fingerprints link at three bits or fewer, that with the smallest
     doc_id; then, as near texts may differ in more bits, one of each group that a five-word Jaccard similarity of 0.8 links."""
-    return neardup.keep_first(simhash.keep_first(docs, radius=3))
+    return neardup.keep_first(docs, simhash.first_rows(docs, radius=3))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def step(docs: DataFrame, numbered: tuple) -> DataFrame:
         k, (name, stage) = numbered
-        with scratch(spark):
+        with scratch(spark), freed_shuffles(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         if k:
             delete(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from lectern.llm.common import BATCH_BYTES
+from lectern.llm.common import BATCH_BYTES, hashes_among
 from lectern.operators.components import connected_components
 from lectern.storage import broadcast_within, cut, delete, park_at, texts
 
@@ -276,12 +276,15 @@ def links(segments: DataFrame, least: tuple[int, int] = LEAST, stars: int = STAR
     return reduce(DataFrame.union, found)
 
 
-def grouped(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, key: str = "doc_id", text: str = "text", stars: int = STARS) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST, key: str = "doc_id", text: str = "text", stars: int = STARS, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Two cut tables: (doc_id, text_hash, key, short, n) of each row, ``key`` naming its set of n-grams, ``n`` their number; and
-    (key, root) of the sets that are linked with others, ``root`` naming what they reach."""
+    (key, root) of the sets that are linked with others, ``root`` naming what they reach. With ``among`` (doc_id, text_hash) only
+    these rows, and links between them; the other rows' n-grams are counted by ``sharers``, so that texts need not be dealt
+    to leave them out, and can only let a set stay there."""
     spark = docs.sparkSession
     docs = texts(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _sketch(width)("text").alias("s")).select("doc_id", "text_hash", "s.*"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _sketch(width)("text").alias("s")).select("doc_id", "text_hash", "s.*")
+    rows = cut(rows if among is None else hashes_among(rows, among))
     classes = cut(rows.where("n > 0").groupBy("key").agg(F.first("short").alias("short"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash")))
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stay = cut(sharers(docs, classes, width, least, pieces).withColumn("sid", F.monotonically_increasing_id()))

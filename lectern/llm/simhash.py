@@ -214,8 +214,12 @@ def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
     for texts of several groups is kept once for each. Null and empty texts are one group; columns of any name are kept; an
     empty table stays empty.
     """
+    return only_rows(docs, first_rows(docs, radius))
+
+
+def first_rows(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """(doc_id, text_hash) of the rows that ``keep_first`` keeps, cut; no text is dealt for them."""
     rows, groups = _grouped(docs, radius, "doc_id", "text")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = rows.groupBy("fp").agg(F.min(first).alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = cut(best.select("first.doc_id", "first.text_hash"))
-    return only_rows(docs, kept)
+    return cut(best.select("first.doc_id", "first.text_hash"))

@@ -60,3 +60,27 @@ def test_links_are_exact(spark):
     for other, want in ((2, [1]), (3, [1, 3])):
         docs = spark.createDataFrame([rows[0], rows[other - 1]], "doc_id long, text string")
         assert sorted(r.doc_id for r in neardup.keep_first(docs).collect()) == want
+
+
+def test_two_steps_deal_texts_once(spark):
+    """The pipeline's near-dedup gives what its steps give one after the other, and shuffles whole texts once, not at each look at them."""
+    import corpus_pipeline
+    from lectern.llm import simhash
+
+    rng, rows = random.Random(7), []
+    for g in range(60):
+        base = [f"{rng.getrandbits(60):x}" for _ in range(3000)]
+        near = changed(base, rng, 60) if g % 4 else list(base)
+        rows += [(2 * g, " ".join(base), g), (2 * g + 1 if g % 5 else None, " ".join(near), g)]
+    rows += [(500, "", 1), (501, None, 2), (None, None, 3), (None, " ", 4), (500, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    spark.createDataFrame([(1, "a", 1)], docs.schema).repartition(2).count()
+    before = written()
+    got = sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()))
+    sent = written() - before
+    assert got == sorted(map(str, neardup.keep_first(simhash.keep_first(docs, radius=3)).collect()))
+    before = written()
+    docs.repartition(2, "doc_id").write.format("noop").mode("overwrite").save()
+    once = written() - before
+    assert sent < 5 * once  # of which n-grams that are compared take over half
