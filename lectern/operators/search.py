@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import word_tokens
-from lectern.storage import broadcast_within, cut
+from lectern.storage import broadcast_within, cut, delete, park, park_at
 
 #: Ids of a range, block maxima of a term that are kept for thresholds, and the constants of BM25.
 RANGE, TOPS = 128, 100
@@ -38,23 +38,29 @@ class Index:
         return cls(spark.read.parquet(f"{folder}/blocks"), spark.read.parquet(f"{folder}/tops"))
 
 
-def build(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = RANGE) -> Index:
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = RANGE, only: DataFrame | None = None) -> Index:
     """The index of all texts by BM25. ``key`` is an integer, and ids that are near stand in a range; null keys and texts are left
     out, and rows that repeat a key are one document with all their words.
 
-    Words are counted in each document, then dealt by term and range, so a common word's postings are many small groups.
+    Words are counted in each document, then dealt by term and range, so a common word's postings are many small groups. ``only``
+    (term) names the words that will be asked for, null for all: postings of others are not made, while lengths and the number of
+    documents are those of whole texts, so scores are the same. Blocks are parked (``storage.park``).
     """
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), terms(F.col(text)).alias("t"))
     lengths = rows.groupBy("doc").agg(F.sum(F.size("t")).alias("len"))
     stats = cut(lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")))
-    counted = rows.select("doc", F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")).join(lengths, "doc")
-    each = cut(counted.withColumn("range", F.floor(F.col("doc") / width)).groupBy("term", "range").agg(F.collect_list(F.struct("doc", "tf", "len")).alias("p")))
-    df = each.groupBy("term").agg(F.sum(F.size("p")).alias("df"))
-    known = each.join(df, "term").join(F.broadcast(stats))  # one row of statistics
+    words = rows.select("doc", F.explode("t").alias("term"))
+    if only is not None:
+        words = words.join(broadcast_within(cut(only.select("term").distinct())), "term", "left_semi")
+    counted = words.groupBy("doc", "term").agg(F.count("*").alias("tf")).join(lengths, "doc")
+    each, path = park_at(counted.withColumn("range", F.floor(F.col("doc") / width)).groupBy("term", "range").agg(F.collect_list(F.struct("doc", "tf", "len")).alias("p"), F.count("*").alias("n_docs")))
+    df = cut(each.groupBy("term").agg(F.sum("n_docs").alias("df")))
+    known = each.drop("n_docs").join(broadcast_within(df), "term").join(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = lambda p: F.struct(p["doc"].alias("doc"), (idf * p["tf"] * (K1 + 1) / (p["tf"] + K1 * (1 - B + B * p["len"] / F.col("mean")))).alias("impact"))
     blocks = known.select("term", "range", "df", F.transform("p", impact).alias("postings")).withColumn("top", F.array_max(F.transform("postings", lambda p: p["impact"])))
-    blocks = cut(blocks.select("term", "df", "range", "top", "postings"))
+    blocks = park(blocks.select("term", "df", "range", "top", "postings"))
+    delete(docs.sparkSession, path)
     best = blocks.select("term", "df", "top").withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("top")))).where(F.col("r") <= TOPS)
     tops = cut(best.groupBy("term").agg(F.first("df").alias("df"), F.sort_array(F.collect_list("top"), asc=False).alias("tops")))
     return Index(blocks.select("term", "range", "top", "postings"), tops)

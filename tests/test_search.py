@@ -73,3 +73,15 @@ def test_search_of_nothing(spark):
     assert search.search(index, asked).collect() == []
     with pytest.raises(ValueError):
         search.search(index, asked, 0)
+
+
+def test_index_of_asked_words_alone(spark):
+    """Postings of the asked words only, with the scores that the index of all words gives."""
+    draw = random.Random(12)
+    docs = spark.createDataFrame([(draw.randrange(400), " ".join(draw.choice("abcdefghij") for _ in range(draw.randint(0, 30)))) for _ in range(500)] + [(900, None), (None, "a b")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b b"), (2, "J zz"), (3, "")], "query_id long, text string")
+    every, some = search.build(docs), search.build(docs, only=spark.createDataFrame([(w,) for w in ("a", "b", "j", "zz", "a")], "term string"))
+    assert {r.term for r in every.tops.collect()} == set("abcdefghij") and {r.term for r in some.tops.collect()} == set("abj")
+    assert {r.term for r in some.blocks.select("term").collect()} == set("abj")
+    got, want = ([tuple(r) for r in search.search(i, asked, 10).orderBy("query", "rank").collect()] for i in (some, every))
+    assert got == want and len(got) == 20
