@@ -27,6 +27,8 @@ WORD = re.compile(r"\S+")
 #: Words of a gram, and consecutive grams of which at least one is chosen. A stretch of GRAM + WINDOW - 1 = 51 words holds
 #: WINDOW whole grams, so one is chosen in it, and by its content alone.
 GRAM, WINDOW = 26, 26
+#: Bits for each repeated hash, and of all at most, by which others are passed over; and bits of a piece.
+MARKS, MOST_MARKS, PIECE = 16, 1 << 30, 1 << 15
 SPAN = T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType())
 CLEANED = T.StructType().add("removed", T.IntegerType()).add("spans", T.ArrayType(SPAN)).add("text", T.StringType())
 
@@ -198,13 +200,25 @@ def placed(docs: DataFrame) -> DataFrame:
     return named.union(unnamed).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), "place", F.col("row.text").alias("text"))
 
 
+def marked(each: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows of ``each`` whose ``hash`` may stand in the cut table ``shared``: all that do, and about one in MARKS of the others.
+    Each shared hash sets a bit; the bits are broadcast in pieces, so rows that find theirs unset are dealt nowhere."""
+    size = PIECE * max(1, min(MARKS * shared.count(), MOST_MARKS) // PIECE)
+    piece, word, bit = (F.expr(x.format(f"pmod(hash, {size}L)")) for x in (f"{{}} div {PIECE}", f"cast({{}} % {PIECE} div 64 as int)", "shiftleft(1L, cast({} % 64 as int))"))
+    none = each.sparkSession.range(size // 64).select(F.expr(f"id div {PIECE // 64}").alias("piece"), F.expr(f"cast(id % {PIECE // 64} as int)").alias("word"), F.lit(0).cast("long").alias("bit"))
+    words = shared.select(piece.alias("piece"), word.alias("word"), bit.alias("bit")).union(none).groupBy("piece", "word").agg(F.bit_or("bit").alias("bits"))
+    pieces = words.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("word", "bits")))["bits"].alias("words"))
+    return each.join(F.broadcast(cut(pieces)), piece == F.col("piece")).where(F.get("words", word).bitwiseAND(bit) != 0).drop("piece", "words")
+
+
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """(doc_id, place, text_hash, ranges): for the documents with repeated runs, the ranges of those that are not the first
     with their hash. First is the smallest doc_id, behind these the smallest place of rows without one, inside a document
     the earliest.
 
     Every run is hashed. Minimum and maximum of doc_id and place are aggregated by hash before any join, and only hashes of
-    two documents or more are joined back, so a passage of any number of documents is never gathered in one group.
+    two documents or more are joined back, so a passage of any number of documents is never gathered in one group. Runs whose
+    hash is surely in one document are passed over by ``marked`` before they are dealt for that join, which stays exact.
     """
     key = ["doc_id", "place", "text_hash"]
     base = texts(rows).select("doc_id", "place", F.xxhash64("text").alias("text_hash"), "text")
@@ -212,7 +226,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     each = spans.select(*key, F.explode(F.arrays_zip("hashes", "ranges")).alias("run")).select(*key, F.col("run.hashes").alias("hash"), F.col("run.ranges").alias("range"))
     ends = each.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("place").alias("first_place"), F.max("place").alias("last_place"))
     shared = cut(ends.where("first < last or first_place < last_place or (first is not null and first_place is not null)").select("hash", "first", "first_place"))
-    later = each.join(shared, "hash").where("doc_id > first or place > first_place or (doc_id is null and first is not null)").select(*key, "range")
+    later = marked(each, shared).join(shared, "hash").where("doc_id > first or place > first_place or (doc_id is null and first is not null)").select(*key, "range")
     inside = spans.select(*key, F.explode("again").alias("range"))
     return later.union(inside).groupBy(*key).agg(F.collect_set("range").alias("ranges"))
 
@@ -224,11 +238,11 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """
     rows = placed(docs)
     found = repeated_runs(rows).select(F.col("doc_id").alias("_id"), F.col("place").alias("_at"), F.col("text_hash").alias("_hash"), "ranges")
-    known = rows["doc_id"].eqNullSafe(found["_id"]) & rows["place"].eqNullSafe(found["_at"]) & (F.xxhash64(rows["text"]) == found["_hash"])
-    joined = rows.join(found, known, "left").select("row", "text", "ranges")
+    known = rows["doc_id"].eqNullSafe(found["_id"]) & rows["place"].eqNullSafe(found["_at"]) & (F.xxhash64(rows["row.text"]) == found["_hash"])
+    joined = rows.drop("text").join(found, known, "left").select("row", "ranges")  # the text is in the row and dealt once
     hit = F.col("ranges").isNotNull()
-    new = joined.select("row", "text", hit.alias("hit"), _cut(F.when(hit, F.col("text")), "ranges").alias("new"))
-    return new.select("row", "new.removed", "new.spans", F.when(F.col("hit"), F.col("new.text")).otherwise(F.col("text")).alias("text"))
+    new = joined.select("row", hit.alias("hit"), _cut(F.when(hit, F.col("row.text")), "ranges").alias("new"))
+    return new.select("row", "new.removed", "new.spans", F.when(F.col("hit"), F.col("new.text")).otherwise(F.col("row.text")).alias("text"))
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

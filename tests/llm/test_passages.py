@@ -54,3 +54,31 @@ def test_passages_inside_sentences_are_removed(spark):
             assert {w for w in old[r.doc_id].split() if w not in own} <= left
         else:
             assert 26 <= len(r.text.split()) < 51 or r.text == old[500]
+
+
+def test_only_runs_that_may_repeat_are_dealt_again(spark):
+    """All rows of shared hashes pass, few of others do, and texts are dealt once."""
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"{rng.getrandbits(40):x}" for _ in range(n))
+    each = spark.createDataFrame([(rng.getrandbits(64) - (1 << 63), k) for k in range(20000)], "hash long, n int").cache()
+    shared = substring.cut(each.where("n < 5000").select("hash"))
+    got = {r.n for r in substring.marked(each, shared).collect()}
+    assert got >= set(range(5000)) and len(got) < 5000 + 15000 / 8
+    assert substring.marked(each, substring.cut(shared.where("false"))).count() == 0
+    docs = spark.createDataFrame([(k, line(8000)) for k in range(40)], "doc_id long, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert substring.cleaned(docs).where("removed = 0").count() == 40
+    sent = written() - before
+    before = written()
+    docs.repartition(2, "doc_id").write.format("noop").mode("overwrite").save()
+    assert sent < 2 * (written() - before)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    """Shuffles that made a cut table are gone when it stands."""
+    files = lambda: sum(1 for m in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in m)
+    spark.range(10).count()
+    before = files()
+    kept = substring.cut(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+    assert files() == before and sorted(r.k for r in kept.collect()) == list(range(7))
