@@ -100,7 +100,8 @@ def _signer(sign):
             sizes.append(len(found))
         return pd.DataFrame({"signature": out, "shingles": sizes})
 
-    return signed
+    # else Spark puts a filter on the number of shingles below, and signs every text twice, in two more Python workers a task
+    return signed.asNondeterministic()
 
 
 _sign, _permute = _signer(minhash), _signer(permuted)

@@ -176,3 +176,13 @@ def test_a_file_settles_over_polls(spark):
     assert ready == [False, False, False, True, False, True]
     gone = jobs.poll(state, seen(1).limit(0), F.lit(900).cast("long")).first()
     assert (gone.present, gone.ready, gone.since) == (False, False, 200)
+
+
+def test_texts_are_signed_once(spark):
+    """A filter on the number of shingles takes no further pass of Python over the texts: one normalises, one signs."""
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    for sign in (textlsh.signatures, textlsh.permuted_signatures):
+        usable = sign(docs).where((F.col("shingles") >= 1) & F.col("doc_id").isNotNull()).select("doc_id", "signature")
+        plan = usable._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 2, plan
+        assert [r.doc_id for r in usable.collect()] == [1]
