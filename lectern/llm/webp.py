@@ -394,6 +394,7 @@ _REVERSED = np.array([reversed_bits(i, SPAN) for i in range(1 << SPAN)])
 _REVERSED_BY = [[reversed_bits(i, n) for i in range(1 << n)] for n in range(SPAN + 1)]
 #: Extra bits and first value of each prefix symbol of lengths and distances.
 _EXTRA = np.array([0] * 4 + [(s - 2) >> 1 for s in range(4, 40)], np.uint64)
+_BITS, _LOW = _EXTRA.astype(np.int64), (np.uint64(1) << _EXTRA) - np.uint64(1)
 _FIRST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)], np.int64)
 _SHORT_X, _SHORT_Y = np.array([(0, 0), *SHORT], np.int64).T
 
@@ -410,59 +411,65 @@ def _table(lengths: list[int]) -> np.ndarray:
     return np.repeat((order | size[order] << 9).astype(np.uint16), 1 << (SPAN - size[order]))[_REVERSED]
 
 
+def _paired(table: np.ndarray) -> np.ndarray:
+    """By the next SPAN bits: the first symbol (of copies less 256), a second one << 8, how many literals these are << 16 (none for
+    a copy), and the bits that they take << 18. Two literals stand there where the bits hold both."""
+    table = table.astype(np.uint32)
+    first, size = table & np.uint32(511), table >> np.uint32(9)
+    after = table[np.arange(1 << SPAN, dtype=np.uint32) >> size]
+    second, both = after & np.uint32(511), size + (after >> np.uint32(9))
+    literal = first < 256
+    two = literal & (second < 256) & (both <= SPAN)
+    return (first & np.uint32(255)) | second * two << np.uint32(8) | (literal.astype(np.uint32) + two) << np.uint32(16) | np.where(two, both, size) << np.uint32(18)
+
+
 def _lockstep(data: list[bytes], heads: list[_Head]) -> list[np.ndarray]:
-    """The green values of each stream. Each step reads one symbol, a literal or a copy, of every stream that has pixels
-    left; literals are put in place, and the copies, which read only what stands before them, are made in order at the end."""
+    """The green values of each stream. Each step reads one or two literals, or a copy, of every stream that has pixels left;
+    literals are put in place, and the copies, which read only what stands before them, are made in order at the end. A place
+    behind each stream takes what a step reads past its end."""
     starts = np.cumsum([0, *(len(d) + 8 for d in data)])
     raw = b"".join(d + b"\0" * 8 for d in data) + b"\0" * 8
     words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from each byte on
     green, distance = [], [np.zeros(1 << SPAN, np.uint16)]
     far = np.zeros(len(heads), np.int64)
     for i, h in enumerate(heads):
-        green.append(_table(h.green))
+        green.append(_paired(_table(h.green)))
         if h.distance is not None:
             far[i] = len(distance) << SPAN
             distance.append(_table(h.distance))
     green, distance = np.concatenate(green), np.concatenate(distance)
     sizes = np.array([h.width * h.height for h in heads], np.int64)
-    firsts = np.cumsum([0, *sizes])
+    firsts = np.cumsum([0, *(sizes + 2)])
     got, wide = np.zeros(firsts[-1], np.uint8), np.array([h.width for h in heads], np.int64)
     live, pos, out, base = np.arange(len(heads)), starts[:-1] * 8 + np.array([h.at for h in heads], np.int64), firsts[:-1].copy(), np.arange(len(heads)) << SPAN
-    end, mask, found = firsts[1:].copy(), np.uint64((1 << SPAN) - 1), []
+    end, mask, found = out + sizes, np.uint64((1 << SPAN) - 1), []
     while len(live):
-        word = words[pos >> 3] >> (pos & 7).astype(np.uint64)
-        entry = green[base + (word & mask).astype(np.int64)]
-        symbol, used = entry & 511, (entry >> 9).astype(np.int64)
-        k = np.flatnonzero(symbol >= 256)
+        word = words[pos >> 3] >> (pos & 7).view(np.uint64)
+        entry = green[base + (word & mask).view(np.int64)]
+        got[out], got[out + 1] = entry.astype(np.uint8), (entry >> np.uint32(8)).astype(np.uint8)
+        step, used = (entry >> np.uint32(16) & np.uint32(3)).astype(np.int64), (entry >> np.uint32(18)).astype(np.int64)
+        k = np.flatnonzero(step == 0)
         if len(k):
-            literal = symbol < 256
-            got[out[literal]] = symbol[literal]
-            w, s = word[k] >> used[k].astype(np.uint64), (symbol[k] - 256).astype(np.int64)
-            n = _FIRST[s] + (w & ((np.uint64(1) << _EXTRA[s]) - np.uint64(1))).astype(np.int64)
+            w, s, which = word[k] >> used[k].view(np.uint64), (entry[k] & np.uint32(255)).astype(np.int64), live[k]
+            n = _FIRST[s] + (w & _LOW[s]).view(np.int64)
             w >>= _EXTRA[s]
-            to = distance[far[live[k]] + (w & mask).astype(np.int64)]
-            t, size = (to & 511).astype(np.int64), (to >> 9).astype(np.uint64)
-            w >>= size
-            d = _FIRST[t] + (w & ((np.uint64(1) << _EXTRA[t]) - np.uint64(1))).astype(np.int64)
-            near = np.where(d <= 120, d, 0)
-            d = np.where(d > 120, d - 120, np.maximum(1, _SHORT_X[near] + _SHORT_Y[near] * wide[live[k]]))
-            at = out[k]
-            if (d > at - firsts[live[k]]).any() or (at + n > end[k]).any():
-                raise ValueError("a back-reference leaves the image")
-            found.append((at, n, d))
-            used[k] += (_EXTRA[s] + size + _EXTRA[t]).astype(np.int64)
-            step = np.ones(len(live), np.int64)
+            to = distance[far[which] + (w & mask).view(np.int64)].astype(np.int64)
+            t, size = to & 511, to >> 9
+            found.append((which, out[k], n, t, w >> size.view(np.uint64)))
+            used[k] += size + _BITS[s] + _BITS[t]
             step[k] = n
-            out += step
-        else:
-            got[out] = symbol
-            out += 1
+        out += step
         pos += used
         if (more := out < end).all():
             continue
         live, pos, out, base, end = live[more], pos[more], out[more], base[more], end[more]
     if found:
-        at, n, d = (np.concatenate(x) for x in zip(*found))
+        which, at, n, t, w = (np.concatenate(x) for x in zip(*found))
+        d = _FIRST[t] + (w & _LOW[t]).view(np.int64)
+        near = np.where(d <= 120, d, 0)
+        d = np.where(d > 120, d - 120, np.maximum(1, _SHORT_X[near] + _SHORT_Y[near] * wide[which]))
+        if (d > at - firsts[which]).any() or (at + n > firsts[which] + sizes[which]).any():
+            raise ValueError("a back-reference leaves the image")
         order, whole = np.argsort(at, kind="stable"), bytearray(got.tobytes())
         for o, size, back in zip(at[order].tolist(), n[order].tolist(), d[order].tolist()):
             if back >= size:
@@ -470,7 +477,7 @@ def _lockstep(data: list[bytes], heads: list[_Head]) -> list[np.ndarray]:
             else:
                 whole[o:o + size] = (whole[o - back:o] * (size // back + 1))[:size]
         got = np.frombuffer(whole, np.uint8)
-    return [got[a:b] for a, b in zip(firsts, firsts[1:])]
+    return [got[a:a + n] for a, n in zip(firsts.tolist(), sizes.tolist())]
 
 
 def decode_many(data: list[bytes]) -> list[np.ndarray]:
@@ -766,18 +773,27 @@ def find_copies(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (none, none, none)
 
 
-def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, extra bits, their number) of lengths or distances."""
-    v = values - 1
+@functools.cache
+def _prefixes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_prefixed`` gives for each length or distance of an image of samples."""
+    v = np.arange(-1, WIDTH * HEIGHT + 120)
     high = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
     small, less = v < 4, np.maximum(high - 1, 0)
     return np.where(small, v, 2 * high + (v >> less & 1)), np.where(small, 0, v & (1 << less) - 1), np.where(small, 0, less)
 
 
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, their number) of lengths or distances."""
+    return tuple(x[values] for x in _prefixes())
+
+
 @functools.cache
-def _short_codes(width: int) -> dict[int, int]:
-    """The smallest short code of each distance that has one."""
-    return {max(1, x + y * width): i + 1 for i, (x, y) in reversed([*enumerate(SHORT)])}
+def _short_codes(width: int) -> np.ndarray:
+    """The code of each distance in an image of samples: the smallest short one if it has one."""
+    out = np.arange(WIDTH * HEIGHT) + 120
+    for i, (x, y) in reversed([*enumerate(SHORT)]):
+        out[max(1, x + y * width)] = i + 1
+    return out
 
 
 def encode_green(data: np.ndarray, width: int, full: int, palette: np.ndarray | None) -> bytes:
@@ -786,9 +802,8 @@ def encode_green(data: np.ndarray, width: int, full: int, palette: np.ndarray |
     counts, far, literal = np.bincount(data, minlength=280), np.zeros(40, np.int64), None
     at, size, back = find_copies(data)
     if len(at):
-        short = _short_codes(width)
         n_sym, n_more, n_bits = _prefixed(size)
-        d_sym, d_more, d_bits = _prefixed(np.array([short.get(d, d + 120) for d in back.tolist()], np.int64))
+        d_sym, d_more, d_bits = _prefixed(_short_codes(width)[back])
         edge = np.zeros(len(data) + 1, np.int8)
         edge[at] = 1
         edge[at + size] -= 1
@@ -837,10 +852,7 @@ def encode_green(data: np.ndarray, width: int, full: int, palette: np.ndarray |
     for shift in range(3):
         got = np.bincount((at >> 4) + shift, v >> 16 * shift & 0xFFFF, len(words)).astype(np.int64)
         words += got[:len(words)]
-    body = bytearray(words.astype("<u2").tobytes()[:-(-total // 8)])
-    for i, b in enumerate(w.bytes()):
-        body[i] |= b
-    return bytes(body)
+    return (int.from_bytes(words.astype("<u2").tobytes(), "little") | w.word).to_bytes(-(-total // 8), "little")
 
 
 def encode_samples(payload: bytes) -> bytes:

@@ -376,3 +376,14 @@ def test_sql(spark):
     for name, sql in queries.ORACLES.items():
         df, found = queries.QUERIES[name](spark, SF), con.execute(sql)
         assert sorted(map(tuple, df.select(*[d[0] for d in found.description]).collect())) == sorted(found.fetchall())
+
+
+def test_lockstep_reads_two_literals_a_step():
+    """Codes of two bits fit twice in the table's bits; those of SPAN bits stand alone, and copies are no literals."""
+    lengths = [0] * 280
+    lengths[7] = lengths[9] = lengths[11] = lengths[260] = 2
+    entry = webp._paired(webp._table(lengths))
+    count, bits = entry >> 16 & 3, entry >> 18
+    assert sorted({*zip(count.tolist(), bits.tolist())}) == [(0, 2), (1, 2), (2, 4)]
+    assert {int(e) & 255 for e in entry[count == 0]} == {4}
+    assert {(int(e) & 255, int(e) >> 8 & 255) for e in entry[count == 2]} == {(a, b) for a in (7, 9, 11) for b in (7, 9, 11)}
