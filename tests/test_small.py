@@ -214,3 +214,31 @@ def test_exact_pairs_are_no_fuzzy_candidates(spark):
     got = sorted((r.id, r.edition, r.method) for r in found.collect())
     assert len({x[:2] for x in got}) == len(got) and {x for x in got if x[2] != "fuzzy"} == {(1, 1, "exact_isbn"), (1, 0, "exact_title_author"), (2, 3, "exact_title")} and (1, 2, "fuzzy") in got
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 2  # one more before
+
+
+def test_equal_documents_are_scored_once(spark, monkeypatch):
+    """Documents of one title, author and ISBN are one kind; its pairs are scored once, and each document takes its candidates,
+    also where a kind's documents are dealt over parts. Two rows of one id are a kind of their own."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from pyspark.sql.functions import pandas_udf
+
+    from lectern.operators import candidates
+
+    monkeypatch.setattr(candidates, "MEMBERS", 8)
+    seen = spark.sparkContext.accumulator(0)
+
+    @pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen.add(len(a))
+        return pd.Series([0.9] * len(a))
+
+    score = score.asNondeterministic()  # else Spark runs it again for the filter on the scores
+    rows = [(i, "silver river", "ann", None) for i in range(50)] + [(50, "silver river", "ann", None), (50, "silver road", "ann", None), (51, None, None, None)]
+    docs = spark.createDataFrame(rows, "id long, title string, author string, isbn string")
+    editions = spark.createDataFrame([(k, t, "bob", None) for k, t in enumerate(["silver rivers", "silver riven", "silver river"])], "edition long, title string, author string, isbn string")
+    found = candidates.generated(docs, editions, title_score=score, author_score=lambda a, b: F.lit(1.0)).collect()
+    near = [(i, k, "fuzzy") for i in range(51) for k in (0, 1)] + [(50, k, "fuzzy") for k in (0, 1)]
+    assert sorted((r.id, r.edition, r.method) for r in found) == sorted(near + [(i, 2, "exact_title") for i in range(51)])
+    assert seen.value == 2 + 4  # 104 before
+    assert candidates.generated(docs, editions)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # 2 before
