@@ -26,8 +26,8 @@ def _stored(batches):
     """(doc_id, n_bytes, payload) -> (doc_id, n_bytes, media)."""
     for batch in batches:
         media, held, first = [], 0, 0
-        for i, p in enumerate(batch.column(2)):
-            media.append(webp.encode_samples(p.as_py()))
+        for i, file in enumerate(webp.encode_many(p.as_py() for p in batch.column(2))):
+            media.append(file)
             held += len(media[-1])
             if held > BYTES or i + 1 == batch.num_rows:
                 part = batch.slice(first, len(media))

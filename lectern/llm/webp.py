@@ -7,7 +7,9 @@ from the top.
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -500,44 +502,40 @@ def decode_many(data: list[bytes]) -> list[np.ndarray]:
 # --- Encoding
 
 
-def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
-    """Lengths of a prefix code for symbols with counts, none over ``most``; the counts are flattened until that holds."""
-    used = np.flatnonzero(counts)
-    out = np.zeros(len(counts), np.int64)
-    if len(used) <= 1:
-        out[used] = 1
-        return out
-    used = used[np.argsort(counts[used], kind="stable")]
-    weight, least, n = counts[used].tolist(), 1, len(used)
+def depths_of(weight: list[int], most: int) -> list[int]:
+    """Lengths of a prefix code for symbols with weights, which rise, none over ``most``; the weights are flattened until that holds."""
+    n, least, never = len(weight), 1, 1 << 62
+    if n <= 1:
+        return [1] * n
     while True:
         # leaves and joined nodes both come in order of weight, so the two lightest are at the heads of two queues
-        heavy, parent, leaf, node = [], [0] * (2 * n - 1), 0, 0
+        leaves, heavy, parent, leaf, node = [*weight, never], [never] * n, [0] * (2 * n - 1), 0, n
         for new in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (node >= len(heavy) or weight[leaf] <= heavy[node]):
-                    total += weight[leaf]
-                    parent[leaf] = new
-                    leaf += 1
-                else:
-                    total += heavy[node]
-                    parent[n + node] = new
-                    node += 1
-            heavy.append(total)
+            if (x := leaves[leaf]) <= (y := heavy[node - n]):
+                parent[leaf], leaf, total = new, leaf + 1, x
+            else:
+                parent[node], node, total = new, node + 1, y
+            if (x := leaves[leaf]) <= (y := heavy[node - n]):
+                parent[leaf], leaf, total = new, leaf + 1, total + x
+            else:
+                parent[node], node, total = new, node + 1, total + y
+            heavy[new - n] = total
         depth = [0] * (2 * n - 1)
         for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
         if max(depth[:n]) <= most:
-            out[used] = depth[:n]
-            return out
+            return depth[:n]
         least *= 2  # in the end all weights are equal, and the code as short as it can be
         weight = [max(w, least) for w in weight]
 
 
-def bits_for(counts: np.ndarray) -> float:
-    """About the bits that a prefix code takes for symbols with counts: their entropy."""
-    c = counts[counts > 0].astype(float)
-    return float((c * (np.log2(c.sum()) - np.log2(c))).sum())
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a prefix code for symbols with counts, none over ``most``."""
+    used = np.flatnonzero(counts)
+    used = used[np.argsort(counts[used], kind="stable")]
+    out = np.zeros(len(counts), np.int64)
+    out[used] = depths_of(counts[used].tolist(), most)
+    return out
 
 
 @functools.cache
@@ -745,32 +743,50 @@ def riff(stream: bytes) -> bytes:
 
 #: Bytes that a copy saves at least, the most it copies, and about the bits that the code of distances takes.
 LEAST, MOST, CODE_BITS = 6, 4096, 170
+#: Steps of eight bytes in which all copies are made longer together, and samples of images that are encoded together.
+STEPS, TOGETHER = 8, 1 << 16
 
 
-def find_copies(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, length, distance) of copies of LEAST values or more, in order and without overlaps. Each is of the latest
-    place before it at which the same LEAST values begin."""
-    n, none = len(data), np.zeros(0, np.int64)
-    if n <= LEAST:
-        return none, none, none
-    raw = data.tobytes()
-    keys = np.ndarray(n, "<u8", raw + b"\0" * 8, strides=(1,))[:n - LEAST + 1] << np.uint64(64 - 8 * LEAST)
-    keys = np.sort(keys | np.arange(len(keys), dtype=np.uint64))  # places take the lower 16 bits
-    at = (keys & np.uint64(0xFFFF)).astype(np.int64)
-    same = keys[1:] >> np.uint64(16) == keys[:-1] >> np.uint64(16)
-    before = np.full(n, -1, np.int64)
-    before[at[1:][same]] = at[:-1][same]
-    places = np.flatnonzero(before >= 0)
-    froms, out, at = before[places].tolist(), [], 0
-    for i, j in zip(places.tolist(), froms):
-        if i < at:
-            continue
-        size, most = LEAST, min(MOST, n - i)
-        while size < most and raw[j + size] == raw[i + size]:
-            size += 1
-        out.append((i, size, i - j))
-        at = i + size
-    return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (none, none, none)
+def find_copies(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of copies of LEAST values or more in images that stand behind each other in ``data``, in order
+    and without overlaps. Each is of the latest place before it, in its image, at which the same LEAST values begin."""
+    raw = data.tobytes() + b"\0" * (LEAST + 8 * STEPS + 8)
+    words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from each byte on
+    size, first = np.maximum(ends - starts - LEAST + 1, 0), np.repeat(starts, ends - starts)
+    keys = words[:len(data)] << np.uint64(64 - 8 * LEAST) | (np.arange(len(data)) - first).view(np.uint64)  # places take the lower 16 bits
+    before = np.full(len(data), -1, np.int64)
+    for a, n in zip(starts.tolist(), size.tolist()):
+        part = keys[a:a + n]
+        part.sort()
+        at = (part & np.uint64(0xFFFF)).view(np.int64)
+        part >>= np.uint64(16)
+        same = np.flatnonzero(part[1:] == part[:-1])
+        before[a + at[same + 1]] = a + at[same]
+    has = before >= 0
+    places = np.flatnonzero(has)
+    froms = before[places]
+    length, live = np.full(len(places), LEAST, np.int64), np.arange(len(places))
+    for step in range(LEAST, LEAST + 8 * STEPS, 8):
+        differ = words[places[live] + step] ^ words[froms[live] + step]
+        length[live] += np.bitwise_count(differ - np.uint64(1) & ~differ) >> 3
+        live = live[differ == 0]
+    most = np.minimum(MOST, np.repeat(ends, ends - starts)[places] - places)
+    length = np.minimum(length, most)
+    later = np.cumsum(np.append(0, has))  # the first place with a copy from each place on
+    jump = later[places + length]
+    jump[live] = -1  # these may be longer; only those that are taken are followed to their end
+    jump, taken, k = jump.tolist(), [], 0
+    while k < len(jump):
+        taken.append(k)
+        if jump[k] < 0:
+            i, j, n, end = int(places[k]), int(froms[k]), int(length[k]), int(most[k])
+            while n < end and raw[j + n] == raw[i + n]:
+                n += 1
+            length[k] = n
+            k = int(later[i + n])
+        else:
+            k = jump[k]
+    return places[taken], length[taken], (places - froms)[taken]
 
 
 @functools.cache
@@ -788,87 +804,218 @@ def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def _short_codes(width: int) -> np.ndarray:
-    """The code of each distance in an image of samples: the smallest short one if it has one."""
-    out = np.arange(WIDTH * HEIGHT) + 120
-    for i, (x, y) in reversed([*enumerate(SHORT)]):
-        out[max(1, x + y * width)] = i + 1
+def _short_codes() -> np.ndarray:
+    """The code of each distance in an image of samples of which 1, 2, 4 or 8 share a pixel: the smallest short one if it has one."""
+    out = np.tile(np.arange(WIDTH * HEIGHT) + 120, (4, 1))
+    for shared, row in enumerate(out):
+        for i, (x, y) in reversed([*enumerate(SHORT)]):
+            row[max(1, x + y * (WIDTH >> shared))] = i + 1
     return out
 
 
-def encode_green(data: np.ndarray, width: int, full: int, palette: np.ndarray | None) -> bytes:
-    """A VP8L stream of green values in rows of ``width``; ``palette`` has the samples that they stand for, in rows of
-    ``full``. Values are literals, or copies of earlier ones where these take fewer bits."""
-    counts, far, literal = np.bincount(data, minlength=280), np.zeros(40, np.int64), None
-    at, size, back = find_copies(data)
-    if len(at):
-        n_sym, n_more, n_bits = _prefixed(size)
-        d_sym, d_more, d_bits = _prefixed(_short_codes(width)[back])
-        edge = np.zeros(len(data) + 1, np.int8)
-        edge[at] = 1
-        edge[at + size] -= 1
-        literal = np.cumsum(edge[:-1], dtype=np.int8) == 0
-        both, d_counts = np.bincount(np.concatenate([data[literal], 256 + n_sym]), minlength=280), np.bincount(d_sym, minlength=40)
-        if bits_for(both) + bits_for(d_counts) + int(n_bits.sum() + d_bits.sum()) + CODE_BITS < bits_for(counts):
-            counts, far = both, code_lengths(d_counts, SPAN)
-        else:
-            at, literal = at[:0], None
-    lengths = code_lengths(counts, SPAN)
-    w = Writer()
-    _head(w, full, len(data) // width)
-    if palette is not None:
-        w.put(1, 1)
-        w.put(PALETTE, 2)
-        w.put(len(palette) - 1, 8)
-        colours = channels(palette.astype(np.uint32) << 8 | np.uint32(0xFF000000))
-        write_pixels(w, joined(np.diff(colours, axis=0, prepend=np.zeros((1, 4), np.int64)))[None, :], False)
-    w.put(0, 3)  # no further transform, no cache, one group
-    codes = w.code(lengths)
-    for constant in (0, 0, 255):
-        w.only(constant)
-    d_codes = w.code(far)
-    value, bits = np.zeros(280, np.int64), np.zeros(280, np.int64)
-    for s, (v, n) in codes.items():
-        value[s], bits[s] = v, n
-    if len(at):
-        where = np.flatnonzero(literal)
-        v, n = np.zeros(len(where) + 2 * len(at), np.int64), np.zeros(len(where) + 2 * len(at), np.int64)
-        slot = np.arange(len(where)) + 2 * np.searchsorted(at, where)
-        v[slot], n[slot] = value[data[where]], bits[data[where]]
-        d_value, d_size = np.zeros(40, np.int64), np.zeros(40, np.int64)
-        for s, (x, k) in d_codes.items():
-            d_value[s], d_size[s] = x, k
-        slot = np.searchsorted(where, at) + 2 * np.arange(len(at))
-        v[slot], n[slot] = value[256 + n_sym] | n_more << bits[256 + n_sym], bits[256 + n_sym] + n_bits
-        v[slot + 1], n[slot + 1] = d_value[d_sym] | d_more << d_size[d_sym], d_size[d_sym] + d_bits
-    else:
-        v, n = value[data], bits[data]
-    ends = np.cumsum(n)
-    total = w.size + int(ends[-1])
-    at = w.size + ends - n
-    v = v << (at & 15)
-    words = np.zeros(total // 16 + 3, np.int64)
+@functools.cache
+def _weights() -> np.ndarray:
+    """n * log2(n) by n, in 65,536ths, so that sums do not depend on their order."""
+    n = np.arange(2 * WIDTH * HEIGHT + 1, dtype=float)
+    return np.rint(n * np.log2(np.maximum(n, 1)) * 65536).astype(np.int64)
+
+
+def _bits_of(counts: np.ndarray) -> np.ndarray:
+    """About the bits, in 65,536ths, that prefix codes take for symbols with the counts of each row: their entropy."""
+    return _weights()[counts.sum(1)] - _weights()[counts].sum(1)
+
+
+@functools.cache
+def _runs() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bits, their number, code lengths that they write) of so many zeros among code lengths, and the bits of each length; every
+    code length, and both kinds of runs, have a code of 4 bits."""
+    coded = canonical(_FOUR)
+    code = {s: reversed_bits(c, n) for n, c, s in coded}
+    rows = []
+    for n in range(280):
+        word = size = tokens = 0
+        while n:
+            k = min(n, 138) if n >= 3 else 1
+            s, more, extra = (18, k - 11, 7) if k >= 11 else (17, k - 3, 3) if k >= 3 else (0, 0, 0)
+            word |= (code[s] | more << 4) << size
+            size, tokens, n = size + 4 + extra, tokens + 1, n - k
+        rows.append((word, size, tokens))
+    return *np.array(rows, np.int64).T, np.array([code[s] for s in range(14)], np.int64)
+
+
+_FOUR = [4] * 14 + [0, 0, 0, 4, 4]
+#: What stands before code lengths: a whole code, and the lengths of their own code.
+_BEFORE = sum(v << at for at, v in [(1, 15), *((5 + 3 * i, _FOUR[s]) for i, s in enumerate(LENGTH_ORDER))])
+
+
+def _lengths_of(counts: np.ndarray) -> np.ndarray:
+    """``code_lengths`` of each row, none over SPAN."""
+    row, symbol = np.nonzero(counts)
+    count = counts[row, symbol]
+    order = np.argsort(row << 16 | count, kind="stable")
+    ends, weight, depths, a = np.cumsum(np.bincount(row, minlength=len(counts))).tolist(), count[order].tolist(), [], 0
+    for b in ends:
+        depths += depths_of(weight[a:b], SPAN)
+        a = b
+    out = np.zeros(counts.shape, np.int64)
+    out[row[order], symbol[order]] = depths
+    return out
+
+
+def _coded(lengths: np.ndarray):
+    """Of a prefix code for each row of ``lengths``: bits and their number by symbol (none where a row has one symbol), and what
+    writes the codes, as (row, bits, their number)."""
+    n, size = lengths.shape
+    row, symbol = np.nonzero(lengths)
+    used = np.bincount(row, minlength=n)
+    one = used == 1
+    only = np.zeros(n, np.int64)
+    only[row[one[row]]] = symbol[one[row]]
+    many = used > 1
+    row, symbol = row[many[row]], symbol[many[row]]
+    length = lengths[row, symbol]
+    value, bits = np.zeros(lengths.shape, np.int64), np.zeros(lengths.shape, np.int64)
+    order = np.argsort(row << 4 | length, kind="stable")
+    step = 1 << (SPAN - length[order])
+    value[row[order], symbol[order]] = _REVERSED[np.cumsum(step) - step & (1 << SPAN) - 1]  # a row's steps fill its code
+    bits[row, symbol] = length
+    first = np.diff(row, prepend=-1) > 0
+    gap = symbol - np.where(first, -1, np.roll(symbol, 1)) - 1
+    run, run_bits, run_tokens, token = _runs()
+    tokens = np.bincount(row, run_tokens[gap] + 1, n).astype(np.int64)
+    last = np.zeros(n, np.int64)
+    last[row] = symbol  # the largest comes last
+    wide = np.maximum(2, np.frexp(np.maximum(tokens - 2, 0).astype(float))[1] + 1 & ~1)
+    told = np.where(last + 1 < size, 1 | (wide - 2) // 2 << 1 | tokens - 2 << 4, 0)
+    whole = [np.where(many, _BEFORE & (1 << 31) - 1, 0), np.where(many, _BEFORE >> 31, 0), np.where(many, told, 1 | (only > 1) << 2 | only << 3)]
+    whole_bits = [np.where(many, 31, 0), np.where(many, 31, 0), np.where(many, np.where(last + 1 < size, 4 + wide, 1), np.where(only > 1, 11, 4))]
+    rows = np.concatenate([np.repeat(np.arange(n), 3), row])
+    written = np.concatenate([np.stack(whole, 1).reshape(-1), run[gap] | token[length] << run_bits[gap]])
+    sizes = np.concatenate([np.stack(whole_bits, 1).reshape(-1), run_bits[gap] + 4])
+    order = np.argsort(rows, kind="stable")
+    return value, bits, (rows[order], written[order], sizes[order])
+
+
+def _packed(n: int, parts) -> list[bytes]:
+    """The bits of ``n`` streams: of each part (row, bits, their number; by row) those of the row, part behind part."""
+    sizes = [np.bincount(row, size, n).astype(np.int64) for row, _, size in parts]
+    total = sum(sizes)
+    first = np.cumsum((total + 15) // 16) - (total + 15) // 16
+    at, places = first * 16, []
+    for (row, _, size), whole in zip(parts, sizes):
+        before = np.cumsum(whole) - whole
+        places.append((at - before)[row] + np.cumsum(size) - size)
+        at = at + whole
+    place, value = np.concatenate(places), np.concatenate([v for _, v, _ in parts])
+    value = value << (place & 15)
+    place >>= 4
+    words = np.zeros(int(first[-1] + (total[-1] + 15) // 16) + 4)
     # every bit is set at most once, so sums are unions
-    for shift in range(3):
-        got = np.bincount((at >> 4) + shift, v >> 16 * shift & 0xFFFF, len(words)).astype(np.int64)
-        words += got[:len(words)]
-    return (int.from_bytes(words.astype("<u2").tobytes(), "little") | w.word).to_bytes(-(-total // 8), "little")
+    for shift in range(4):
+        if shift > 1:
+            more = np.flatnonzero(value >> 16 * shift)
+            place, value = place[more], value[more] if shift < 3 else value[more]
+        words += np.bincount(place + shift, value >> 16 * shift & 0xFFFF, len(words))
+    raw = words.astype("<u2").tobytes()
+    return [raw[2 * a:2 * a + b] for a, b in zip(first.tolist(), ((total + 7) // 8).tolist())]
+
+
+def encode_green(images: list[tuple[np.ndarray, int, np.ndarray | None]]) -> list[bytes]:
+    """VP8L streams of images of green values; each image has rows of WIDTH samples, of which 2 ** ``shared`` share a value, and
+    maybe a palette, which has the samples that they stand for. Values are literals, or copies of earlier ones where these take
+    fewer bits. The images take each step together."""
+    n, heads = len(images), []
+    for data, shared, palette in images:
+        w = Writer()
+        _head(w, WIDTH, len(data) // (WIDTH >> shared))
+        if palette is not None:
+            w.put(1, 1)
+            w.put(PALETTE, 2)
+            w.put(len(palette) - 1, 8)
+            colours = channels(palette.astype(np.uint32) << 8 | np.uint32(0xFF000000))
+            write_pixels(w, joined(np.diff(colours, axis=0, prepend=np.zeros((1, 4), np.int64)))[None, :], False)
+        w.put(0, 3)  # no further transform, no cache, one group
+        heads.append(w)
+    data, ends = np.concatenate([d for d, _, _ in images]), np.cumsum([len(d) for d, _, _ in images])
+    starts = np.append(0, ends[:-1])
+    image = np.repeat(np.arange(n), ends - starts)
+    at, size, back = find_copies(data, starts, ends)
+    which = image[at]
+    n_sym, n_more, n_bits = _prefixed(size)
+    d_sym, d_more, d_bits = _prefixed(_short_codes()[np.array([s for _, s, _ in images])[which], back])
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[at] = 1
+    edge[at + size] -= 1
+    literal = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    slot = image * 280 + data
+    counts = np.bincount(slot, minlength=280 * n).reshape(n, 280)
+    both = np.bincount(np.concatenate([slot[literal], which * 280 + 256 + n_sym]), minlength=280 * n).reshape(n, 280)
+    far = np.bincount(which * 40 + d_sym, minlength=40 * n).reshape(n, 40)
+    extra = np.bincount(which, n_bits + d_bits, n).astype(np.int64) + CODE_BITS
+    copied = (np.bincount(which, minlength=n) > 0) & (_bits_of(both) + _bits_of(far) + extra * 65536 < _bits_of(counts))
+    value, bits, green = _coded(_lengths_of(np.where(copied[:, None], both, counts)))
+    d_value, d_size, distance = _coded(_lengths_of(np.where(copied[:, None], far, 0)))
+    kept = copied[which]
+    at, which, n_sym, n_more, n_bits, d_sym, d_more, d_bits = (x[kept] for x in (at, which, n_sym, n_more, n_bits, d_sym, d_more, d_bits))
+    literal |= ~copied[image]
+    literal[at] = True  # a copy stands where it begins
+    where = np.flatnonzero(literal)
+    place = np.cumsum(literal)[at] - 1
+    slot = slot[where]
+    v, size = value.reshape(-1)[slot], bits.reshape(-1)[slot]
+    n_size = bits[which, 256 + n_sym]
+    v[place] = value[which, 256 + n_sym] | n_more << n_size | (d_value[which, d_sym] | d_more << d_size[which, d_sym]) << n_size + n_bits
+    size[place] = n_size + n_bits + d_size[which, d_sym] + d_bits
+    head = [(i, w.word >> k & 0xFFFFFFFF, min(32, w.size - k)) for i, w in enumerate(heads) for k in range(0, w.size, 32)]
+    constants = Writer()
+    for constant in (0, 0, 255):
+        constants.only(constant)
+    every = np.arange(n)
+    return _packed(n, [np.array(head, np.int64).T, green, (every, np.full(n, constants.word), np.full(n, constants.size)), distance, (image[where], v, size)])
 
 
-def encode_samples(payload: bytes) -> bytes:
-    """WebP files, behind each other, that hold bytes as the green samples of rows of WIDTH pixels, HEIGHT rows at most.
+def _image(data: np.ndarray) -> tuple[np.ndarray, int, np.ndarray | None]:
+    """An image of samples as ``encode_green`` takes it; at most 16 different ones get a palette, under which some share a value."""
+    palette = np.flatnonzero(np.bincount(data, minlength=256)) if len(set(data[:WIDTH].tolist())) <= 16 else []
+    if not 0 < len(palette) <= 16:
+        return data, 0, None
+    shared = palette_bits(len(palette))
+    index = np.searchsorted(palette, data).reshape(-1, 1 << shared) << (np.arange(1 << shared) * (8 >> shared))
+    return index.sum(-1).astype(np.uint8), shared, palette
+
+
+def encode_many(payloads: Iterable[bytes]) -> Iterator[bytes]:
+    """For each payload WebP files, behind each other, that hold its bytes as the green samples of rows of WIDTH pixels, HEIGHT
+    rows at most.
 
     The other channels are constant and take no bits. An image of at most 16 different bytes gets a palette, under which
-    two to eight pixels share one; back-references are written where they make the image smaller.
+    two to eight pixels share one; back-references are written where they make the image smaller. Images are encoded together
+    up to TOGETHER samples; what an image becomes does not depend on the others.
     """
-    out = []
-    for first in range(0, len(payload), WIDTH * HEIGHT):
-        data = np.frombuffer(payload, np.uint8, min(WIDTH * HEIGHT, len(payload) - first), first)
-        palette = np.flatnonzero(np.bincount(data, minlength=256)) if len(set(data[:WIDTH].tolist())) <= 16 else []
-        if 0 < len(palette) <= 16:
-            per, shift = 1 << palette_bits(len(palette)), palette_bits(len(palette))
-            index = np.searchsorted(palette, data).reshape(-1, WIDTH // per, per) << (np.arange(per) * (8 >> shift))
-            out.append(riff(encode_green(index.sum(-1).reshape(-1).astype(np.uint8), WIDTH // per, WIDTH, palette)))
-        else:
-            out.append(riff(encode_green(data, WIDTH, WIDTH, None)))
-    return b"".join(out)
+    images, files, count, held = [], [], [], 0
+    for payload in payloads:
+        count.append(0)
+        for first in range(0, len(payload), WIDTH * HEIGHT):
+            images.append(_image(np.frombuffer(payload, np.uint8, min(WIDTH * HEIGHT, len(payload) - first), first)))
+            count[-1] += 1
+            held += len(images[-1][0])
+            if held >= TOGETHER:
+                files += map(riff, encode_green(images))
+                images, held = [], 0
+        if not images:
+            yield from _by_payload(files, count)
+            files, count = [], []
+    if images:
+        files += map(riff, encode_green(images))
+    yield from _by_payload(files, count)
+
+
+def _by_payload(files: list[bytes], count: list[int]) -> Iterator[bytes]:
+    files = iter(files)
+    for n in count:
+        yield b"".join(itertools.islice(files, n))
+
+
+def encode_samples(payload: bytes) -> bytes:
+    """``encode_many`` of one payload."""
+    return next(encode_many([payload]))

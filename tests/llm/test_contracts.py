@@ -387,3 +387,25 @@ def test_lockstep_reads_two_literals_a_step():
     assert sorted({*zip(count.tolist(), bits.tolist())}) == [(0, 2), (1, 2), (2, 4)]
     assert {int(e) & 255 for e in entry[count == 0]} == {4}
     assert {(int(e) & 255, int(e) >> 8 & 255) for e in entry[count == 2]} == {(a, b) for a in (7, 9, 11) for b in (7, 9, 11)}
+
+
+def test_webp_images_encoded_together_equal_those_encoded_alone(monkeypatch):
+    """Payloads of any length, also over several images, with and without palettes and copies, flattened codes and long runs."""
+    rng, steps, find = random.Random(4), [], webp.find_copies
+    monkeypatch.setattr(webp, "find_copies", lambda data, *at: steps.append(len(data)) or find(data, *at))
+    many = []
+    for letters in (b" ", b"ab", b"abc", bytes(range(60, 77)), bytes(range(256))):
+        words = [bytes(rng.choices(letters, k=rng.randrange(1, 80))) for _ in range(20)]
+        many += [b"".join(rng.choice(words) * rng.choice([1, 1, 30]) for _ in range(rng.choice([1, 9, 60]))) for _ in range(40)]
+    skewed = [1, 1]
+    while sum(skewed) < 11_000:
+        skewed.append(skewed[-1] + skewed[-2])
+    many += [b"", b"a" * 60_000, bytes(rng.sample(range(256), 256)) + bytes(rng.sample([i for i, n in enumerate(skewed) for _ in range(n)], sum(skewed)))]
+    payloads = [p + b" " * (-len(p) % webp.WIDTH) if p else b" " * webp.WIDTH for p in many]
+    files = [*webp.encode_many(payloads)]
+    assert len(files) == len(payloads) and len(steps) <= sum(map(len, payloads)) // webp.TOGETHER + 1 < len(payloads) / 2  # one for each image before
+    assert [webp.encode_samples(p) for p in payloads] == files and [*webp.encode_many([])] == [] and [*webp.encode_many([b""])] == [b""]
+    for p, f in zip(payloads, files):
+        assert b"".join((i >> np.uint32(8)).astype("u1").tobytes() for i in webp.decode_many(webp.streams(f))) == p
+    first = webp.streams(files[-1])[0]
+    assert (webp.decode_vp8l(first) == webp.decode_many([first])[0]).all()
