@@ -242,3 +242,5 @@ def test_equal_documents_are_scored_once(spark, monkeypatch):
     assert sorted((r.id, r.edition, r.method) for r in found) == sorted(near + [(i, 2, "exact_title") for i in range(51)])
     assert seen.value == 2 + 4  # 104 before
     assert candidates.generated(docs, editions)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # 2 before
+    nobody = spark.createDataFrame([(None, "silver river", "ann", None)], docs.schema)
+    assert {(r.id, r.edition) for r in candidates.generated(nobody, editions, title_score=score, author_score=lambda a, b: F.lit(1.0)).collect()} == {(None, 0), (None, 1), (None, 2)}
