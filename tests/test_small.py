@@ -244,3 +244,70 @@ def test_equal_documents_are_scored_once(spark, monkeypatch):
     assert candidates.generated(docs, editions)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # 2 before
     nobody = spark.createDataFrame([(None, "silver river", "ann", None)], docs.schema)
     assert {(r.id, r.edition) for r in candidates.generated(nobody, editions, title_score=score, author_score=lambda a, b: F.lit(1.0)).collect()} == {(None, 0), (None, 1), (None, 2)}
+
+
+def plain_candidates(docs, editions):
+    """(id, edition, score, method) of all pairs of rows, one at a time."""
+    import re
+    from functools import lru_cache
+
+    from lectern.functions import scorers
+
+    of_titles, of_authors = lru_cache(None)(scorers.title_similarity), lru_cache(None)(scorers.best_of_sort_and_part)
+    number = lambda t: int(found[-1]) if (found := re.findall(r"(?<!\d)\d{1,2}(?!\d)", t)) else None
+    found = set()
+    for i, title, author, isbn in docs:
+        for k, name, by, code in editions:
+            if isbn is not None and isbn == code:
+                found.add((i, k, 1.0, "exact_isbn"))
+            elif title is None or name is None:
+                continue
+            elif title.lower() == name.lower():
+                same = author is not None and by is not None and author.lower() == by.lower()
+                found.add((i, k, *((1.0, "exact_title_author") if same else (0.8, "exact_title"))))
+            elif title.lower()[:8] == name.lower()[:8] or author is not None and author == by:
+                t, known = of_titles(title.lower(), name.lower()), author is not None and by is not None
+                a = of_authors(author.lower(), by.lower()) if known else 0.0
+                v, w = number(title), number(name)
+                score = 0.8 * t + 0.2 * a - (0 if v == w else 0.1 if v is None or w is None else 0.25)
+                if t >= 0.55 and (not known or a >= 0.4) and score >= 0.55:
+                    found.add((i, k, round(score, 9), "fuzzy"))
+    numbered = {x[:2] for x in found if x[3] == "exact_isbn"}
+    return {x for x in found if x[3] == "exact_isbn" or x[:2] not in numbered}
+
+
+def test_no_candidate_is_cut(spark):
+    """More editions than a pool has of one ISBN, one title, one prefix and one author: the classes' pairs and members stand for
+    every pair of rows, in parts of any size; 100 of a pool and ten of a document stayed before."""
+    from pyspark.sql import functions as F
+
+    from lectern.operators import candidates
+
+    docs = [(i, f"silver river {i % 3}", ["ann", "Ann", None][i % 3], "i1" if i % 4 == 0 else None) for i in range(12)]
+    docs += [(12, "Silver Road", "ann", "i9"), (12, "golden gate 2", "bob", None), (13, None, "ann", None), (14, "golden gate", None, "i2"), (None, "silver road", "ann", "i1")]
+    editions = [(k, f"silver river {k}", ["ann", "bob"][k % 2], None) for k in range(120)] + [(k, "silver road", "ann", "i1") for k in range(120, 240)]
+    editions += [(k, f"golden gate{s}", a, "i2") for k, (s, a) in enumerate([("", "bob"), (" 2", "bob"), (" 3", None), ("s", "ann")], 240)] + [(244, None, "ann", None), (245, "silver river 1", "ann", "i9"), (None, "golden gate", "bob", None)]
+    d, e = spark.createDataFrame(docs, "id long, title string, author string, isbn string"), spark.createDataFrame(editions, "edition long, title string, author string, isbn string")
+    want = plain_candidates(docs, editions)
+    assert sum(x[0] == 0 and x[3] == "exact_isbn" for x in want) == 120 and sum(x[0] == 2 and x[3] == "fuzzy" for x in want) > 100
+    for block in (7, 4096):
+        found = candidates.all_candidates(d, e, block=block)
+        got = [tuple(r) for r in candidates.expanded(found).withColumn("score", F.round("score", 9)).collect()]
+        assert set(got) == want and found.where("part = 'pair'").count() < len(want) / 4
+    asked = spark.createDataFrame([(1,), (None,)], "id long")
+    assert {tuple(r) for r in candidates.expanded(found, asked).withColumn("score", F.round("score", 9)).collect()} == {x for x in want if x[0] in (1, None)}
+
+
+def test_scored_candidates_are_all(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from lectern.operators import candidates
+    from lectern.plans import registry, resolve
+
+    sf = "/root/testdata/sf0.01"
+    docs, editions = ([tuple(r) for r in rows.collect()] for rows in resolve.sides(lambda name: spark.read.parquet(f"{sf}/{name}.parquet")))
+    got = [tuple(r) for r in candidates.expanded(registry.QUERIES["scored_candidates"](spark, sf)).withColumn("score", F.round("score", 9)).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_candidates(docs, editions)
+    assert max(Counter(x[0] for x in got if x[3] == "fuzzy").values()) > 10  # ten before
