@@ -191,11 +191,14 @@ def text_links(signed: DataFrame, key: str = "doc_id", least: float = LEAST, ban
     return rows.join(named, "signature").select(key, "class_id", "members", "family")
 
 
-def _near(left: np.ndarray, right: np.ndarray, band: int, least: float, bands: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(left: np.ndarray, right: np.ndarray, band: int, least: float, bands: int, one: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """How many rows of the other side each row agrees with in ``least`` of its places, where ``band`` is the first band that
-    both share. Sides are signatures row by row; few rows of the left are compared at a time."""
+    both share; and pairs (row of the left, row of the right) of these, no more than connect all that they connect. Sides are
+    signatures row by row, the same rows if ``one``; few rows of the left are compared at a time."""
     wide, turned = left.shape[1] // bands, np.ascontiguousarray(right.T)
     mine, theirs = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    behind = 0 if one else len(left)
+    label, edges = np.arange(behind + len(right)), []
     for at in range(0, len(left), 64):
         part = left[at:at + 64]
         same, open_ = np.zeros((len(part), len(right)), np.uint16), np.ones((len(part), len(right)), bool)
@@ -209,12 +212,20 @@ def _near(left: np.ndarray, right: np.ndarray, band: int, least: float, bands: i
         hit = open_ & (same >= least * left.shape[1])
         mine[at:at + 64] = hit.sum(1)
         theirs += hit.sum(0)
-    return mine, theirs
+        for i in np.flatnonzero(mine[at:at + 64]):
+            near = np.flatnonzero(hit[i])
+            near = near[label[behind + near] != label[at + i]]
+            if len(near):
+                joined, first = np.unique(label[behind + near], return_index=True)
+                edges += [(at + i, j) for j in near[first]]
+                label[np.isin(label, joined)] = label[at + i]
+    return mine, theirs, edges
 
 
 def _counted(least: float, bands: int):
-    """Batches (band, bucket, i, j, own, class_id, signature), sorted by the first four -> (class_id, links) of the pairs between
-    two parts of a bucket."""
+    """Batches (band, bucket, i, j, own, class_id, signature), sorted by the first four -> (class_id, links, near) of the pairs
+    between two parts of a bucket: numbers of links, and links to ``near`` that connect the same classes as all of them."""
+    made = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["class_id", "links", "near"])
 
     def found(key, rows):
         band, _, i, j = key
@@ -223,9 +234,12 @@ def _counted(least: float, bands: int):
         marks = [np.frombuffer(b"".join(r[2] for r in s), np.int64).reshape(len(s), -1) for s in sides if s]
         if len(marks) < len(sides):
             return
-        mine, theirs = _near(marks[0], marks[-1], band, least, bands)
+        mine, theirs, edges = _near(marks[0], marks[-1], band, least, bands, i == j)
         for names, n in ((ids[0], mine - (band == 0)),) if i == j else ((ids[0], mine), (ids[1], theirs)):  # a class shares its first band with itself
-            yield pa.RecordBatch.from_arrays([pa.array(names[n > 0]), pa.array(n[n > 0])], names=["class_id", "links"])
+            yield made(names[n > 0], n[n > 0], [None] * int((n > 0).sum()))
+        if edges:
+            a, b = np.array(edges).T
+            yield made(ids[0][a], np.zeros(len(a), np.int64), ids[-1][b])
 
     def run(batches):
         now, rows = None, []
@@ -249,12 +263,12 @@ def _packed(signature: pd.Series) -> pd.Series:
 
 
 def counted_links(signed: DataFrame, key: str = "doc_id", least: float = LEAST, bands: int = BANDS, usable: int = USABLE, block: int = BLOCK) -> DataFrame:
-    """(key, class_id, members, links) of each usable text: its class of equal signatures, the class's size, and how many other
-    classes share a band with it and agree in ``least`` of the places.
+    """(key, class_id, members, links, family) of each usable text: its class of equal signatures, the class's size, how many other
+    classes share a band with it and agree in ``least`` of the places, and the smallest class that it reaches over such links.
 
     Classes stand for their copies, so copies meet nobody. A bucket of any size is cut into parts of about ``block`` classes,
     and every two parts are compared in a task of their own, so that no pair is left out and no task holds a large bucket; a
-    pair counts under the first band that it shares.
+    pair counts under the first band that it shares. Two parts give no more links to the families than connect their classes.
     """
     rows, classes = usable_classes(signed, key, usable)
     buckets = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(_part(F.col("signature"), k, bands))))
@@ -265,9 +279,12 @@ def counted_links(signed: DataFrame, key: str = "doc_id", least: float = LEAST,
     dealt = dealt.join(packed, "class_id").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("parts"))).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
     by = ["band", "bucket", "i", "j"]
     dealt = dealt.select(F.col("band").cast("long").alias("band"), "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "signature")
-    links = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_counted(least, bands), "class_id long, links long").groupBy("class_id").agg(F.sum("links").alias("links"))
-    found = classes.join(links, "class_id", "left").select("signature", "class_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.join(found, "signature").select(key, "class_id", "members", "links")
+    met = cut(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_counted(least, bands), "class_id long, links long, near long"))
+    links = met.groupBy("class_id").agg(F.sum("links").alias("links"))
+    roots = cut(connected_components(met.where("near is not null"), "class_id", "near"))
+    found = classes.join(links, "class_id", "left").join(broadcast_within(roots), F.col("class_id") == F.col("node"), "left")
+    found = found.select("signature", "class_id", "members", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class_id").alias("family"))
+    return rows.join(found, "signature").select(key, "class_id", "members", "links", "family")
 
 
 def text_edges(signed: DataFrame, key: str = "doc_id", least: float = LEAST, bands: int = BANDS, usable: int = USABLE) -> DataFrame:

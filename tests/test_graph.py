@@ -186,3 +186,34 @@ def test_texts_are_signed_once(spark):
         plan = usable._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("ArrowEvalPython") == 2, plan
         assert [r.doc_id for r in usable.collect()] == [1]
+
+
+def test_counted_links_have_families(spark):
+    """Each text has the smallest class that it reaches over links, also over others and where a bucket is cut into parts, beside
+    its number of links; two parts give fewer links than they have rows to connect them."""
+    draw = random.Random(5)
+    rows, words = near_texts(draw), [f"w{draw.randrange(10**5, 10**6)}" for _ in range(400)]
+    for k in range(6):  # each text is near the next, the first not near the last
+        rows.append((1000 + k, " ".join(words)))
+        words[k::25] = [f"n{draw.randrange(10**5, 10**6)}" for _ in range(16)]
+    signed = textlsh.permuted_signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    plain = {r.doc_id: tuple(r.signature) for r in signed.collect() if r.doc_id is not None and r.shingles >= 500}
+    classes = {}
+    for i in sorted(plain):
+        classes.setdefault(plain[i], []).append(i)
+    near = lambda x, y: x != y and (s := np.array(x) == np.array(y)).mean() >= 0.75 and s.reshape(16, 8).all(1).any()
+    links = {x: [y for y in classes if near(x, y)] for x in classes}
+    want, seen = {}, set()
+    for x in sorted(classes, key=lambda x: classes[x][0]):
+        reached, ahead = {x}, [x]
+        while ahead:
+            ahead = [y for y in links[ahead.pop()] if y not in reached] + ahead
+            reached.update(ahead)
+        want |= {i: (classes[x][0], len(classes[x]), len(links[x]), min(classes[y][0] for y in reached)) for i in classes[x]}
+        seen.add(len(reached) > len(links[x]) + 1)
+    assert seen == {True, False} and len({v[3] for v in want.values()}) >= 6
+    for block in (4096, 5):
+        assert {r.doc_id: (r.class_id, r.members, r.links, r.family) for r in textlsh.counted_links(signed, block=block).collect()} == want
+    marks = np.zeros((300, 128), np.int64)
+    mine, theirs, edges = textlsh._near(marks, marks[:200], 0, 0.75, 16, False)
+    assert set(mine) == {200} and set(theirs) == {300} and len(edges) == 499  # 60,000 links
